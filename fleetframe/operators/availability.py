@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from fleetframe.operators.intake import REASON
 from fleetframe.plans.first_come import accept_disjoint
 from fleetframe.plans.intervals import with_overlap_count
+from fleetframe.plans.lookups import pinned_small
 from fleetframe.session import pin
 from fleetframe.sources.tables import RentalTables
 
@@ -29,13 +30,12 @@ def booked_ranges(tables: RentalTables, requests: DataFrame) -> DataFrame:
         ((end >= first_day) | (start >= first_day)) & ((start <= last_day) | (end <= last_day))
     )
     payment = tables.transaction.select("transaction_id", "booking_booking_id")
-    return (
-        near.join(payment, F.col("booking_id") == F.col("booking_booking_id"))
-        .join(
-            tables.car_transaction, F.col("transaction_id") == F.col("transaction_transaction_id")
-        )
-        .select("car_car_id", "start_date", "end_date", F.lit(1).alias("weight"))
-    )
+    paid = payment.join(
+        pinned_small(near), F.col("booking_booking_id") == F.col("booking_id")
+    ).select("transaction_id", "start_date", "end_date")
+    return tables.car_transaction.join(
+        pinned_small(paid), F.col("transaction_transaction_id") == F.col("transaction_id")
+    ).select("car_car_id", "start_date", "end_date", F.lit(1).alias("weight"))
 
 
 def availability_conflicts(requests: DataFrame, tables: RentalTables) -> DataFrame:

@@ -124,9 +124,9 @@ def resolve_booking_customer(validated: DataFrame, customer: DataFrame) -> DataF
         F.col("arrival").alias("_added_at"),
     )
     chosen = decided.filter(~F.col("_new") & F.col(REASON).isNull())
-    on_file = held_values(customer, "id_card", chosen, "customer_selection", "drivers_license").select(
-        F.col("_held").alias("_filed_id"), F.col("drivers_license").alias("_filed_licence")
-    )
+    on_file = held_values(
+        customer, "id_card", chosen, "customer_selection", chosen.count(), "drivers_license"
+    ).select(F.col("_held").alias("_filed_id"), F.col("drivers_license").alias("_filed_licence"))
     selects = ~F.col("_new") & F.col(REASON).isNull()
     joined = decided.join(
         on_file, selects & (F.col("customer_selection") == F.col("_filed_id")), "left"

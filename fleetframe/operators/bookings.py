@@ -15,7 +15,8 @@ from fleetframe.functions import (
     same_day,
     wildcard_match,
 )
-from fleetframe.plans.paging import SHALLOW_ROWS, matching_rows, page_rows, top_rows
+from fleetframe.plans.lookups import BROADCAST_ROWS, matching_rows, pinned_small
+from fleetframe.plans.paging import SHALLOW_ROWS, page_rows, top_rows
 from fleetframe.session import pin
 from fleetframe.sources.tables import RentalTables
 
@@ -115,50 +116,57 @@ def _rentals_of(bridge: DataFrame, car: DataFrame, *labels: Column) -> DataFrame
 
 def today_bookings(tables: RentalTables, as_of: dt.date) -> DataFrame:
     """Bookings that start, end or run on the day, with every car listed as "name (type)"."""
-    bookings = tables.booking.select(*_BOOKING).filter(_is_today(as_of))
+    bookings = pin(tables.booking.select(*_BOOKING).filter(_is_today(as_of)))
+    nearby = _tables_around(tables, bookings, bookings.count())
     label = F.concat("car_name", F.lit(" ("), "car_type", F.lit(")")).alias("car_label")
     details = _details(
         bookings,
-        tables.transaction,
-        _rentals_of(tables.car_transaction, tables.car, label),
+        nearby.transaction,
+        _rentals_of(nearby.car_transaction, tables.car, label),
         "car_label",
         repeat=True,
     )
     shown = _detail_columns(
-        _with_people(details, tables.customer, tables.staff), as_of, "Rented_Cars", position=True
+        _with_people(details, nearby.customer, nearby.staff), as_of, "Rented_Cars", position=True
     )
     return shown.orderBy(F.desc("Start_Date"), "Booking_ID", "Total_Amount", "Payment_Method")
 
 
-def _details_of_few(
-    tables: RentalTables, bookings: DataFrame, as_of: dt.date, keep: Column | None, *labels: Column
-) -> DataFrame:
-    """Detail rows of a pinned frame of few bookings.
+def _tables_around(tables: RentalTables, bookings: DataFrame, rows: int) -> RentalTables:
+    """The tables cut down to what the pinned ``bookings``, at most ``rows``, refer to.
 
-    The bookings are sent to the scans of the large tables; what those scans
-    return is joined as usual, as one booking may have any number of payments
-    and cars.
+    Few bookings are sent to the scans of the large tables, and so are their
+    payments if those are few as well. With many bookings nothing is cut.
     """
+    if rows > BROADCAST_ROWS:
+        return tables
     payments = pin(
         matching_rows(
             tables.transaction.select("transaction_id", "booking_booking_id", *_PAYMENT),
             "booking_booking_id",
             bookings,
             "booking_id",
+            rows,
         )
     )
-    bridge = tables.car_transaction.join(
-        payments, F.col("transaction_transaction_id") == F.col("transaction_id"), "left_semi"
-    )
-    details = _details(
-        bookings, payments, _rentals_of(bridge, tables.car, *labels), "car_name", False, keep
+    return tables.with_tables(
+        transaction=payments,
+        car_transaction=matching_rows(
+            tables.car_transaction, "transaction_transaction_id", payments, "transaction_id"
+        ),
+        customer=matching_rows(tables.customer, "id_card", bookings, "customer_id_card", rows),
+        staff=matching_rows(tables.staff, "staff_id", bookings, "staff_staff_id", rows),
     )
-    people = _with_people(
-        details,
-        matching_rows(tables.customer, "id_card", bookings, "customer_id_card"),
-        matching_rows(tables.staff, "staff_id", bookings, "staff_staff_id"),
+
+
+def _details_with_car_names(
+    tables: RentalTables, bookings: DataFrame, as_of: dt.date, keep: Column | None, *labels: Column
+) -> DataFrame:
+    rentals = _rentals_of(tables.car_transaction, tables.car, *labels)
+    details = _details(bookings, tables.transaction, rentals, "car_name", False, keep)
+    return _detail_columns(
+        _with_people(details, tables.customer, tables.staff), as_of, "Cars_Rented"
     )
-    return _detail_columns(people, as_of, "Cars_Rented")
 
 
 def booking_list(tables: RentalTables, as_of: dt.date, k: int = 50) -> DataFrame:
@@ -168,7 +176,8 @@ def booking_list(tables: RentalTables, as_of: dt.date, k: int = 50) -> DataFrame
     booking first, so the k newest bookings contain all of them.
     """
     newest = pin(top_rows(tables.booking.select(*_BOOKING), _newest_bookings(), k))
-    details = _details_of_few(tables, newest, as_of, None, F.col("car_name"))
+    nearby = _tables_around(tables, newest, k)
+    details = _details_with_car_names(nearby, newest, as_of, None, F.col("car_name"))
     return top_rows(details, newest_first(), k)
 
 
@@ -204,28 +213,31 @@ def _matching_bookings(tables: RentalTables, query: str) -> DataFrame:
     own id, customer or staff member matches, not just one of its cars.
 
     Each column is searched in its own table, and only the keys of hits are
-    joined. Every table is read once and no joined row is wider than its keys.
+    joined, so no table is joined whole and each is read once.
     """
     booking = tables.booking.select(*_BOOKING)
     if query == "":
         return booking.withColumn("_self", F.lit(True))
-    customers = tables.customer.filter(
-        wildcard_match(query, F.col("name"), F.col("phone_number"))
-    ).select(F.col("id_card").alias("_customer"))
-    members = tables.staff.filter(wildcard_match(query, F.col("name"))).select(
-        F.col("staff_id").alias("_member")
+    customers = pinned_small(
+        tables.customer.filter(wildcard_match(query, F.col("name"), F.col("phone_number"))).select(
+            F.col("id_card").alias("_customer")
+        )
     )
-    cars = tables.car.filter(wildcard_match(query, F.col("car_name"))).select("car_id")
-    paid_by = tables.car_transaction.join(
-        cars, F.col("car_car_id") == F.col("car_id"), "left_semi"
+    members = pinned_small(
+        tables.staff.filter(wildcard_match(query, F.col("name"))).select(
+            F.col("staff_id").alias("_member")
+        )
     )
-    by_car = (
-        tables.transaction.join(
-            paid_by, F.col("transaction_id") == F.col("transaction_transaction_id"), "left_semi"
+    cars = pin(tables.car.filter(wildcard_match(query, F.col("car_name"))).select("car_id"))
+    rentals = pin(
+        matching_rows(tables.car_transaction, "car_car_id", cars, "car_id").select(
+            "transaction_transaction_id"
         )
-        .select(F.col("booking_booking_id").alias("_by_car"))
-        .distinct()
     )
+    payments = matching_rows(
+        tables.transaction, "transaction_id", rentals, "transaction_transaction_id"
+    )
+    by_car = pinned_small(payments.select(F.col("booking_booking_id").alias("_by_car")).distinct())
     own = (
         F.col("_customer").isNotNull()
         | F.col("_member").isNotNull()
@@ -254,15 +266,11 @@ def search_bookings(
     # A booking that matches by itself keeps all its rows.
     keep = F.col("_self") | F.coalesce(F.col("_car_hit"), F.lit(False))
     last = max(page, 1) * per_page
+    nearby = tables
     if last <= SHALLOW_ROWS:
-        newest = pin(top_rows(matches, _newest_bookings(), last))
-        details = _details_of_few(tables, newest, as_of, keep, F.col("car_name"), car_hit)
-    else:
-        rentals = _rentals_of(tables.car_transaction, tables.car, F.col("car_name"), car_hit)
-        grouped = _details(matches, tables.transaction, rentals, "car_name", False, keep)
-        details = _detail_columns(
-            _with_people(grouped, tables.customer, tables.staff), as_of, "Cars_Rented"
-        )
+        matches = pin(top_rows(matches, _newest_bookings(), last))
+        nearby = _tables_around(tables, matches, last)
+    details = _details_with_car_names(nearby, matches, as_of, keep, F.col("car_name"), car_hit)
     return page_rows(details, newest_first(), page, per_page)
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from fleetframe.functions import percent_of
 from fleetframe.operators.bookings import booking_list
 from fleetframe.operators.payments import today_stats
+from fleetframe.plans.lookups import matching_rows
 from fleetframe.plans.paging import top_rows
+from fleetframe.session import pin
 from fleetframe.sources.tables import RentalTables
 
 
@@ -20,12 +22,15 @@ def dashboard_stats(tables: RentalTables, as_of: dt.date) -> DataFrame:
     A car is out when a booking that runs on the day has a payment for it.
     """
     today = F.lit(as_of)
-    running = tables.booking.filter((F.col("start_date") <= today) & (F.col("end_date") >= today))
-    paid = tables.transaction.select("transaction_id", "booking_booking_id").join(
-        running.select("booking_id"), F.col("booking_booking_id") == F.col("booking_id"), "left_semi"
+    is_running = (F.col("start_date") <= today) & (F.col("end_date") >= today)
+    running = pin(tables.booking.filter(is_running).select("booking_id"))
+    paid = pin(
+        matching_rows(tables.transaction, "booking_booking_id", running, "booking_id").select(
+            "transaction_id"
+        )
     )
-    out = tables.car_transaction.join(
-        paid, F.col("transaction_transaction_id") == F.col("transaction_id"), "left_semi"
+    out = matching_rows(
+        tables.car_transaction, "transaction_transaction_id", paid, "transaction_id"
     )
     active = out.agg(F.countDistinct("car_car_id")).scalar()
     cars = tables.car.agg(F.count("*")).scalar()

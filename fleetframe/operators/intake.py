@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetframe.functions import is_missing, php_trim
 from fleetframe.plans.first_come import accept_unique
+from fleetframe.plans.lookups import matching_rows
 from fleetframe.plans.paging import with_positions
 from fleetframe.session import pin
 from fleetframe.sources.tables import MONEY, SCHEMAS
@@ -35,18 +36,13 @@ def any_missing(*names: str) -> Column:
     return missing
 
 
-def held_values(master: DataFrame, column: str, requests: DataFrame, asked: str, *extra: str) -> DataFrame:
-    """The values asked for that the master table already holds.
-
-    The batch is matched against the large master side as a semi join on one
-    column, so a small batch is sent to the scan and the master is not shuffled.
-    """
-    wanted = requests.select(F.col(asked).alias("_asked")).filter(F.col("_asked").isNotNull()).distinct()
-    return (
-        master.select(F.col(column).alias("_held"), *extra)
-        .join(wanted, F.col("_held") == F.col("_asked"), "left_semi")
-        .dropDuplicates(["_held"])
-    )
+def held_values(
+    master: DataFrame, column: str, requests: DataFrame, asked: str, rows: int, *extra: str
+) -> DataFrame:
+    """The values asked for by the pinned ``requests``, at most ``rows``, that the
+    master table already holds. A small batch is sent to the scan of the master."""
+    held = master.select(F.col(column).alias("_held"), *extra)
+    return matching_rows(held, "_held", requests, asked, rows).dropDuplicates(["_held"])
 
 
 def unique_reason(
@@ -58,9 +54,11 @@ def unique_reason(
     the batch. Rows that are not open are passed through and take nothing. Adds
     ``_taken``, the message of the first rule broken.
     """
-    marked = requests.withColumn("_open", open_rows)
+    marked = pin(requests.withColumn("_open", open_rows))
+    asking = marked.filter("_open")
+    rows = asking.count()
     for i, (column, master_column, _) in enumerate(rules):
-        held = held_values(master, master_column, marked.filter("_open"), column)
+        held = held_values(master, master_column, asking, column, rows)
         marked = marked.join(
             held.withColumnRenamed("_held", f"_held{i}"), F.col(column) == F.col(f"_held{i}"), "left"
         )

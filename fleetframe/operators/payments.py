@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetframe.functions import half_up_ratio, or_default, percent_of, rupiah, same_day
-from fleetframe.plans.paging import matching_rows, top_rows
+from fleetframe.plans.lookups import matching_rows
+from fleetframe.plans.paging import top_rows
 from fleetframe.session import pin
 from fleetframe.sources.tables import RentalTables
 
@@ -20,18 +21,28 @@ def recent_transactions(tables: RentalTables, k: int = 50) -> DataFrame:
     """
     order = [F.desc("payment_date"), F.asc("transaction_id")]
     latest = pin(top_rows(tables.transaction, order, k))
-    booking = matching_rows(
-        tables.booking.select("booking_id", "customer_id_card"), "booking_id", latest, "booking_booking_id"
+    booking = pin(
+        matching_rows(
+            tables.booking.select("booking_id", "customer_id_card"),
+            "booking_id",
+            latest,
+            "booking_booking_id",
+            rows=k,
+        )
     )
-    booking = pin(booking)
     customer = matching_rows(
         tables.customer.select("id_card", F.col("name").alias("customer_name")),
         "id_card",
         booking,
         "customer_id_card",
+        rows=k,
     )
     staff = matching_rows(
-        tables.staff.select("staff_id", F.col("name").alias("staff_name")), "staff_id", latest, "staff_staff_id"
+        tables.staff.select("staff_id", F.col("name").alias("staff_name")),
+        "staff_id",
+        latest,
+        "staff_staff_id",
+        rows=k,
     )
     joined = (
         latest.join(booking, F.col("booking_booking_id") == F.col("booking_id"), "left")
@@ -66,36 +77,32 @@ def payment_method_analysis(tables: RentalTables) -> DataFrame:
     """Per method: payments that have a booking, with shares of all payments.
 
     One pass over the payments gives numerators and denominators: every payment
-    keeps a marker telling whether its booking exists, the measures count the
-    marked ones, and the totals are windows over the few method rows. Payments
-    are grouped per booking and method before the join, so a booking with very
-    many payments reaches the join as a handful of rows.
+    is kept with a marker telling whether its booking exists, the measures count
+    the marked ones, and the totals are windows over the few method rows. Both
+    tables are shuffled once, on the booking; payments that pile up on one
+    booking, or on none, are split over tasks by the adaptive skew join, and
+    are reduced to methods and customers before the next shuffle.
     """
-    per_booking = tables.transaction.groupBy("booking_booking_id", "payment_method").agg(
-        F.count("*").alias("payments"),
-        F.count("amount").alias("amounts"),
-        F.sum("amount").alias("paid"),
-        F.min("amount").alias("lowest"),
-        F.max("amount").alias("highest"),
-    )
+    payment = tables.transaction.select("booking_booking_id", "payment_method", "amount")
     booking = tables.booking.select("booking_id", "customer_id_card")
-    joined = per_booking.join(booking, F.col("booking_booking_id") == F.col("booking_id"), "left")
+    joined = payment.join(booking, F.col("booking_booking_id") == F.col("booking_id"), "left")
     booked = F.col("booking_id").isNotNull()
+    amount = F.when(booked, F.col("amount"))
     per_method = joined.groupBy("payment_method").agg(
-        F.sum("payments").alias("every_payment"),
-        F.sum("paid").alias("every_paid"),
-        F.sum(F.when(booked, F.col("payments"))).alias("payments"),
-        F.sum(F.when(booked, F.col("amounts"))).alias("amounts"),
-        F.sum(F.when(booked, F.col("paid"))).alias("paid"),
-        F.min(F.when(booked, F.col("lowest"))).alias("lowest"),
-        F.max(F.when(booked, F.col("highest"))).alias("highest"),
+        F.count("*").alias("every_payment"),
+        F.sum("amount").alias("every_paid"),
+        F.count("booking_id").alias("payments"),
+        F.count(amount).alias("amounts"),
+        F.sum(amount).alias("paid"),
+        F.min(amount).alias("lowest"),
+        F.max(amount).alias("highest"),
         F.countDistinct("customer_id_card").alias("customers"),
     )
     every = Window.partitionBy()
     return (
         per_method.withColumn("all_payments", F.sum("every_payment").over(every))
         .withColumn("all_paid", F.sum("every_paid").over(every))
-        .filter(F.col("payments").isNotNull())
+        .filter(F.col("payments") > 0)
         .select(
             F.col("payment_method").alias("Payment_Method"),
             F.col("payments").alias("Transaction_Count"),

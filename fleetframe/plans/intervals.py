@@ -79,20 +79,17 @@ def with_overlap_count(
     def running(column: str, frame) -> Column:
         return F.coalesce(F.sum(column).over(frame), zero)
 
-    counts = calendar.select(
-        "_g",
-        "day",
-        # as the last day of a probe
-        (running("starts", up_to) - (F.sum("r_ends").over(whole) - running("r_ends", up_to))).alias("_at_end"),
-        # as the first day of a probe
-        ((F.sum("r_starts").over(whole) - running("r_starts", before)) - running("ends", before)).alias("_at_start"),
-    )
-    at_end = counts.select(F.col("_g").alias("_g1"), F.col("day").alias("_d1"), "_at_end")
-    at_start = counts.select(F.col("_g").alias("_g2"), F.col("day").alias("_d2"), "_at_start")
+    # As the last day of a probe, and as its first day. Both sums travel in one
+    # array, so the two joins below read the same columns and share one shuffle.
+    at_end = running("starts", up_to) - (F.sum("r_ends").over(whole) - running("r_ends", up_to))
+    at_start = F.sum("r_starts").over(whole) - running("r_starts", before) - running("ends", before)
+    sums = calendar.select("_g", "day", F.array(at_end, at_start).alias("_sums"))
+    last = sums.select(F.col("_g").alias("_g1"), F.col("day").alias("_d1"), F.col("_sums").alias("_last"))
+    first = sums.select(F.col("_g").alias("_g2"), F.col("day").alias("_d2"), F.col("_sums").alias("_first"))
     valid = F.col(p_start) <= F.col(p_end)
     return (
-        probes.join(at_end, (F.col(p_group) == F.col("_g1")) & (F.col(p_end) == F.col("_d1")), "left")
-        .join(at_start, (F.col(p_group) == F.col("_g2")) & (F.col(p_start) == F.col("_d2")), "left")
-        .withColumn(name, F.when(valid, F.coalesce(F.col("_at_end") + F.col("_at_start"), zero)))
+        probes.join(last, (F.col(p_group) == F.col("_g1")) & (F.col(p_end) == F.col("_d1")), "left")
+        .join(first, (F.col(p_group) == F.col("_g2")) & (F.col(p_start) == F.col("_d2")), "left")
+        .withColumn(name, F.when(valid, F.coalesce(F.col("_last")[0] + F.col("_first")[1], zero)))
         .select(*probes.columns, name)
     )

@@ -52,11 +52,3 @@ def page_rows(df: DataFrame, order: list[Column], page: int, per_page: int) -> D
     numbered = with_positions(df, order)
     wanted = F.col("position").between(offset, offset + per_page - 1)
     return numbered.filter(wanted).orderBy("position").drop("position")
-
-
-def matching_rows(big: DataFrame, key: str, few: DataFrame, few_key: str) -> DataFrame:
-    """Rows of ``big`` whose key occurs in ``few``, a pinned frame of at most
-    SHALLOW_ROWS rows. ``few`` is sent to the scan tasks, so ``big`` is neither
-    shuffled nor sorted."""
-    keys = few.select(F.col(few_key).alias("_wanted")).distinct()
-    return big.join(F.broadcast(keys), F.col(key) == F.col("_wanted"), "left_semi")
