@@ -11,7 +11,7 @@ from fleetframe.functions.numbers import half_up_ratio, percent_of
 from fleetframe.functions.text import (
     is_missing,
     or_default,
-    php_trim,
+    form_trim,
     rupiah,
     truncate_text,
     wildcard_match,
@@ -28,7 +28,7 @@ __all__ = [
     "months_before",
     "or_default",
     "percent_of",
-    "php_trim",
+    "form_trim",
     "rental_days",
     "rupiah",
     "same_day",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 _FORM_BLANKS = " \t\n\r\0\x0b"
 
 
-def php_trim(value: Column) -> Column:
+def form_trim(value: Column) -> Column:
     return F.btrim(value, F.lit(_FORM_BLANKS))
 
 

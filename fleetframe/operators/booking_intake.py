@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetframe.functions import inclusive_days, php_trim
+from fleetframe.functions import inclusive_days, form_trim
 from fleetframe.operators.availability import admit_bookings
 from fleetframe.operators.intake import (
     REASON,
@@ -35,7 +35,7 @@ def validate_bookings(requests: DataFrame, as_of: dt.date) -> DataFrame:
     start = F.try_to_date("start_date", "yyyy-MM-dd")
     end = F.try_to_date("end_date", "yyyy-MM-dd")
     return (
-        requests.withColumn("customer_search", php_trim("customer_search"))
+        requests.withColumn("customer_search", form_trim("customer_search"))
         .withColumn("start", start)
         .withColumn("end", end)
         .withColumn(
@@ -93,7 +93,7 @@ def resolve_booking_customer(validated: DataFrame, customer: DataFrame) -> DataF
     is_new = F.coalesce(F.col("customer_selection") == _NEW, F.lit(False))
     trimmed = validated.select(
         *[
-            php_trim(F.coalesce(F.col(c), F.lit(""))).alias(c) if c in _NEW_FIELDS else F.col(c)
+            form_trim(F.coalesce(F.col(c), F.lit(""))).alias(c) if c in _NEW_FIELDS else F.col(c)
             for c in validated.columns
         ]
     ).withColumn("_new", is_new & F.col(REASON).isNull())

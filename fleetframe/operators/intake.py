@@ -10,7 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetframe.functions import is_missing, php_trim
+from fleetframe.functions import is_missing, form_trim
 from fleetframe.plans.first_come import accept_unique
 from fleetframe.plans.lookups import matching_rows
 from fleetframe.plans.paging import with_positions
@@ -85,7 +85,7 @@ def validate_customers(requests: DataFrame) -> DataFrame:
     """Trim the fields and apply the form rules."""
     fields = ["full_name", "phone", "license_number", "address", "id_card"]
     trimmed = requests.select(
-        "arrival", *[php_trim(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields]
+        "arrival", *[form_trim(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields]
     )
     return trimmed.withColumn(
         REASON,
@@ -144,7 +144,7 @@ def validate_cars(requests: DataFrame, car_class: DataFrame, as_of: dt.date) ->
     filled = requests.select(
         "arrival",
         *[
-            (php_trim(F.coalesce(f, F.lit(""))) if f in ("brand", "model") else F.coalesce(f, F.lit(""))).alias(f)
+            (form_trim(F.coalesce(f, F.lit(""))) if f in ("brand", "model") else F.coalesce(f, F.lit(""))).alias(f)
             for f in fields
         ],
     )

@@ -6,7 +6,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fleetframe.plans.intervals import with_overlap_count
 from fleetframe.session import pin
@@ -65,8 +65,8 @@ def accept_unique(rows: DataFrame, arrival: str, keys: list[str]) -> DataFrame:
     return accepted
 
 
-# Rows of one car handed to one Python call per round. More distinct date
-# ranges than this are handled in further rounds.
+# Rows of one group handed to one Python call. A group with more distinct date
+# ranges than this is handled in further rounds.
 GROUP_ROWS = 50_000
 
 
@@ -77,13 +77,13 @@ def accept_disjoint(
 
     Rows are handled in order of ``arrival`` (unique); a row is accepted unless
     it shares a day with an earlier accepted row of its group. Ranges are closed
-    and must satisfy ``start <= end``.
+    and must satisfy ``start <= end``; ``group`` must not be NULL.
 
     Of equal ranges only the first can be accepted, so rows are first reduced to
     distinct ranges; the size of a group is then set by the calendar and not by
-    the number of rows. Each round gives the earliest ``group_rows`` ranges of a
-    group to one pandas call, then drops the later ranges that overlap what was
-    accepted. A group that fits is settled in the first round.
+    the number of rows. A group of up to ``group_rows`` ranges is settled by one
+    pandas call. Of a larger group each round settles about so many of the
+    earliest, then drops the later ones that overlap what was accepted.
 
     Returns one column, ``arrival``.
     """
@@ -92,40 +92,45 @@ def accept_disjoint(
             F.col(group).alias("grp"), F.col(start).alias("start"), F.col(end).alias("end")
         ).agg(F.min(arrival).alias("arrival"))
     )
-    in_group = Window.partitionBy("grp").orderBy("arrival")
     accepted = None
     while True:
         largest = waiting.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
         if largest <= group_rows:
-            last = _greedy(waiting)
-            return last if accepted is None else accepted.unionByName(last).select("arrival")
-        ranked = waiting.withColumn("_n", F.row_number().over(in_group))
-        taken = pin(_greedy(ranked.filter(F.col("_n") <= group_rows).drop("_n"), keep_ranges=True))
-        later = ranked.filter(F.col("_n") > group_rows).drop("_n")
-        counted = with_overlap_count(
-            later, ("grp", "start", "end"), taken.withColumn("weight", F.lit(1)), ("grp", "start", "end", "weight")
+            newly = _greedy(waiting).select("arrival")
+            return newly if accepted is None else accepted.unionByName(newly)
+        # Per group, the arrival up to which the wanted share of its ranges lies.
+        cut = waiting.groupBy("grp").agg(
+            F.count("*").alias("_size"),
+            F.percentile_approx("arrival", group_rows / largest, 100_000).alias("_cut"),
         )
-        waiting = pin(counted.filter(F.col("overlaps") == 0).select("grp", "start", "end", "arrival"))
+        turn = (F.col("_size") <= group_rows) | (F.col("arrival") <= F.col("_cut"))
+        marked = pin(waiting.join(cut, "grp").select(*waiting.columns, turn.alias("_turn")))
+        taken = pin(_greedy(marked.filter("_turn").drop("_turn")).withColumn("weight", F.lit(1)))
+        later = with_overlap_count(
+            marked.filter(~F.col("_turn")).drop("_turn"),
+            ("grp", "start", "end"),
+            taken,
+            ("grp", "start", "end", "weight"),
+        )
+        waiting = pin(later.filter(F.col("overlaps") == 0).drop("overlaps"))
         newly = taken.select("arrival")
         accepted = newly if accepted is None else accepted.unionByName(newly)
 
 
-def _greedy(ranges: DataFrame, keep_ranges: bool = False) -> DataFrame:
-    columns = ["grp", "start", "end", "arrival"] if keep_ranges else ["arrival"]
+def _greedy(ranges: DataFrame) -> DataFrame:
+    """The accepted rows of (grp, start, end, arrival), one Python call per group."""
+    columns = ["grp", "start", "end", "arrival"]
     schema = ranges.select(*columns).schema
-    epoch = F.lit("1970-01-01").cast("date")
-    days = ranges.withColumn("_from", F.datediff("start", epoch)).withColumn(
-        "_to", F.datediff("end", epoch)
-    )
+    days = ranges.select(*columns, F.unix_date("start").alias("_from"), F.unix_date("end").alias("_to"))
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("arrival", kind="stable")
-        return group.loc[_first_fit(group["_from"].to_numpy(), group["_to"].to_numpy()), columns]
+        return group.loc[_first_fit(group["_from"], group["_to"]), columns]
 
     return days.groupBy("grp").applyInPandas(settle, schema=schema)
 
 
-def _first_fit(first, last) -> list[bool]:
+def _first_fit(first: pd.Series, last: pd.Series) -> list[bool]:
     """For day ranges in arrival order: which stay clear of the accepted ones before."""
     starts: list[int] = []
     end_of: dict[int, int] = {}

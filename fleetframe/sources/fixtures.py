@@ -7,6 +7,7 @@ or bent for some keys so that each outer-join branch occurs.
 from __future__ import annotations
 
 import datetime as dt
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -84,7 +85,9 @@ def licence_of(custkey: Column) -> Column:
     return F.concat(F.lit("DL"), custkey.cast("string"))
 
 
+@lru_cache(maxsize=4)
 def load_tables(spark: SparkSession, folder: str) -> RentalTables:
+    """The rental tables over the files in ``folder``, which never change."""
     customer = read_source(spark, folder, "customer")
     supplier = read_source(spark, folder, "supplier")
     part = read_source(spark, folder, "part")
@@ -101,9 +104,11 @@ def load_tables(spark: SparkSession, folder: str) -> RentalTables:
     classes = part.select("p_type").distinct().union(
         spark.createDataFrame([("UNUSED",)], "p_type string")
     )
+    # Whole cents and character codes keep the aggregation buffers fixed-width.
+    cents = (F.col("l_extendedprice").cast(MONEY) * 100).cast("long")
     payments = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_returnflag").alias("payment_method"),
-        F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("amount"),
+        F.char(F.min(F.ascii("l_returnflag"))).alias("payment_method"),
+        (F.sum(cents).cast("decimal(16,0)") / 100).cast(MONEY).alias("amount"),
         F.min("l_shipdate").alias("payment_date"),
     )
     # Cars whose key ends in 0 or 20, 40, ... pass their rentals to the next car.
@@ -152,10 +157,12 @@ def load_tables(spark: SparkSession, folder: str) -> RentalTables:
             _padded("S", F.col("l_orderkey") % 12, 4).alias("staff_staff_id"),
             F.when(F.col("l_linenumber") < 7, _padded("BK", F.col("l_orderkey"), 10)).alias("booking_booking_id"),
         ),
-        car_transaction=lineitem.select(
-            _padded("CAR", rented, 8).alias("car_car_id"),
-            _padded("TX", payment_no, 12).alias("transaction_transaction_id"),
-        ).distinct(),
+        car_transaction=lineitem.select(rented.alias("car_no"), payment_no.alias("payment_no"))
+        .distinct()
+        .select(
+            _padded("CAR", F.col("car_no"), 8).alias("car_car_id"),
+            _padded("TX", F.col("payment_no"), 12).alias("transaction_transaction_id"),
+        ),
         notification=events.select(
             F.col("user_id").cast("string").alias("user_id"),
             F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("message"),
