@@ -19,6 +19,7 @@ from fleetframe.operators.intake import (
     held_values,
     unique_reason,
 )
+from fleetframe.plans.lookups import pinned_small
 from fleetframe.plans.paging import with_positions
 from fleetframe.session import pin
 from fleetframe.sources.tables import MONEY, SCHEMAS, RentalTables
@@ -61,7 +62,8 @@ def validate_bookings(requests: DataFrame, as_of: dt.date) -> DataFrame:
 def price_bookings(requests: DataFrame, car: DataFrame) -> DataFrame:
     """Append days charged and the amount at the car's present rate.
 
-    An unknown car has no rate and is charged nothing.
+    An unknown car has no rate and is charged nothing. An amount that does not
+    fit the amount column is NULL.
     """
     rates = car.select(F.col("car_id").alias("_car"), "car_price")
     return (
@@ -69,7 +71,7 @@ def price_bookings(requests: DataFrame, car: DataFrame) -> DataFrame:
         .withColumn("days", inclusive_days(F.col("start"), F.col("end")))
         .withColumn(
             "total_amount",
-            (F.coalesce(F.col("car_price"), F.lit(0).cast(MONEY)) * F.col("days")).cast(MONEY),
+            (F.coalesce(F.col("car_price"), F.lit(0).cast(MONEY)) * F.col("days")).try_cast(MONEY),
         )
         .drop("_car", "car_price")
     )
@@ -125,7 +127,7 @@ def resolve_booking_customer(validated: DataFrame, customer: DataFrame) -> DataF
     )
     chosen = decided.filter(~F.col("_new") & F.col(REASON).isNull())
     on_file = held_values(
-        customer, "id_card", chosen, "customer_selection", chosen.count(), "drivers_license"
+        customer, "id_card", chosen, "customer_selection", "drivers_license"
     ).select(F.col("_held").alias("_filed_id"), F.col("drivers_license").alias("_filed_licence"))
     selects = ~F.col("_new") & F.col(REASON).isNull()
     joined = decided.join(
@@ -171,7 +173,7 @@ def assign_staff(requests: DataFrame, staff: DataFrame, seed: int = 0) -> DataFr
 
     The pick depends on nothing else, so a retried task picks the same person.
     """
-    places = with_positions(staff.select("staff_id"), [F.asc("staff_id")], "_place")
+    places = pinned_small(with_positions(staff.select("staff_id"), [F.asc("staff_id")], "_place"))
     size = staff.agg(F.count("*")).scalar()
     digest = F.md5(F.concat_ws(":", F.col("arrival").cast("string"), F.lit(str(seed))))
     drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
@@ -255,7 +257,9 @@ def decide_bookings(requests: DataFrame, tables: RentalTables, as_of: dt.date, s
     """All requests with customer, staff, price and ``reject_reason``."""
     resolved = resolve_booking_customer(validate_bookings(requests, as_of), tables.customer)
     staffed = assign_staff(resolved, tables.staff, seed)
-    return admit_bookings(price_bookings(staffed, tables.car), tables)
+    priced = price_bookings(staffed, tables.car)
+    too_much = F.when(F.col("total_amount").isNull(), "Total amount is out of range")
+    return admit_bookings(priced.withColumn(REASON, F.coalesce(REASON, too_much)), tables)
 
 
 def process_booking_requests(

@@ -15,7 +15,7 @@ from fleetframe.functions import (
     same_day,
     wildcard_match,
 )
-from fleetframe.plans.lookups import BROADCAST_ROWS, matching_rows, pinned_small
+from fleetframe.plans.lookups import fits_broadcast, matching_rows, pinned_small
 from fleetframe.plans.paging import SHALLOW_ROWS, page_rows, top_rows
 from fleetframe.session import pin
 from fleetframe.sources.tables import RentalTables
@@ -117,7 +117,7 @@ def _rentals_of(bridge: DataFrame, car: DataFrame, *labels: Column) -> DataFrame
 def today_bookings(tables: RentalTables, as_of: dt.date) -> DataFrame:
     """Bookings that start, end or run on the day, with every car listed as "name (type)"."""
     bookings = pin(tables.booking.select(*_BOOKING).filter(_is_today(as_of)))
-    nearby = _tables_around(tables, bookings, bookings.count())
+    nearby = _tables_around(tables, bookings)
     label = F.concat("car_name", F.lit(" ("), "car_type", F.lit(")")).alias("car_label")
     details = _details(
         bookings,
@@ -132,13 +132,13 @@ def today_bookings(tables: RentalTables, as_of: dt.date) -> DataFrame:
     return shown.orderBy(F.desc("Start_Date"), "Booking_ID", "Total_Amount", "Payment_Method")
 
 
-def _tables_around(tables: RentalTables, bookings: DataFrame, rows: int) -> RentalTables:
-    """The tables cut down to what the pinned ``bookings``, at most ``rows``, refer to.
+def _tables_around(tables: RentalTables, bookings: DataFrame) -> RentalTables:
+    """The tables cut down to what the pinned ``bookings`` refer to.
 
     Few bookings are sent to the scans of the large tables, and so are their
     payments if those are few as well. With many bookings nothing is cut.
     """
-    if rows > BROADCAST_ROWS:
+    if not fits_broadcast(bookings.select("booking_id", "customer_id_card", "staff_staff_id")):
         return tables
     payments = pin(
         matching_rows(
@@ -146,7 +146,7 @@ def _tables_around(tables: RentalTables, bookings: DataFrame, rows: int) -> Rent
             "booking_booking_id",
             bookings,
             "booking_id",
-            rows,
+            fits=True,
         )
     )
     return tables.with_tables(
@@ -154,8 +154,8 @@ def _tables_around(tables: RentalTables, bookings: DataFrame, rows: int) -> Rent
         car_transaction=matching_rows(
             tables.car_transaction, "transaction_transaction_id", payments, "transaction_id"
         ),
-        customer=matching_rows(tables.customer, "id_card", bookings, "customer_id_card", rows),
-        staff=matching_rows(tables.staff, "staff_id", bookings, "staff_staff_id", rows),
+        customer=matching_rows(tables.customer, "id_card", bookings, "customer_id_card", fits=True),
+        staff=matching_rows(tables.staff, "staff_id", bookings, "staff_staff_id", fits=True),
     )
 
 
@@ -176,7 +176,7 @@ def booking_list(tables: RentalTables, as_of: dt.date, k: int = 50) -> DataFrame
     booking first, so the k newest bookings contain all of them.
     """
     newest = pin(top_rows(tables.booking.select(*_BOOKING), _newest_bookings(), k))
-    nearby = _tables_around(tables, newest, k)
+    nearby = _tables_around(tables, newest)
     details = _details_with_car_names(nearby, newest, as_of, None, F.col("car_name"))
     return top_rows(details, newest_first(), k)
 
@@ -269,7 +269,7 @@ def search_bookings(
     nearby = tables
     if last <= SHALLOW_ROWS:
         matches = pin(top_rows(matches, _newest_bookings(), last))
-        nearby = _tables_around(tables, matches, last)
+        nearby = _tables_around(tables, matches)
     details = _details_with_car_names(nearby, matches, as_of, keep, F.col("car_name"), car_hit)
     return page_rows(details, newest_first(), page, per_page)
 

@@ -37,12 +37,12 @@ def any_missing(*names: str) -> Column:
 
 
 def held_values(
-    master: DataFrame, column: str, requests: DataFrame, asked: str, rows: int, *extra: str
+    master: DataFrame, column: str, requests: DataFrame, asked: str, *extra: str
 ) -> DataFrame:
-    """The values asked for by the pinned ``requests``, at most ``rows``, that the
-    master table already holds. A small batch is sent to the scan of the master."""
+    """The values asked for by the pinned ``requests`` that the master table
+    already holds. A small batch is sent to the scan of the master."""
     held = master.select(F.col(column).alias("_held"), *extra)
-    return matching_rows(held, "_held", requests, asked, rows).dropDuplicates(["_held"])
+    return matching_rows(held, "_held", requests, asked).dropDuplicates(["_held"])
 
 
 def unique_reason(
@@ -56,9 +56,8 @@ def unique_reason(
     """
     marked = pin(requests.withColumn("_open", open_rows))
     asking = marked.filter("_open")
-    rows = asking.count()
     for i, (column, master_column, _) in enumerate(rules):
-        held = held_values(master, master_column, asking, column, rows)
+        held = held_values(master, master_column, asking, column)
         marked = marked.join(
             held.withColumnRenamed("_held", f"_held{i}"), F.col(column) == F.col(f"_held{i}"), "left"
         )
@@ -137,7 +136,8 @@ def ingest_customers(requests: DataFrame, customer: DataFrame) -> DataFrame:
 def validate_cars(requests: DataFrame, car_class: DataFrame, as_of: dt.date) -> DataFrame:
     """Apply the form rules and name the car "brand model year".
 
-    Years and rates that are not numbers break their rule.
+    Years and rates that are not numbers break their rule, and a rate must fit
+    the price column.
     """
     newest = as_of.year + 1
     fields = ["brand", "model", "year", "car_class_id", "car_type", "daily_rate"]
@@ -163,6 +163,7 @@ def validate_cars(requests: DataFrame, car_class: DataFrame, as_of: dt.date) ->
                 ),
                 (~F.coalesce(rate > 0, F.lit(False)), "Daily rate must be greater than 0"),
                 (F.col("_class").isNull(), "Invalid car class selected"),
+                (F.col("daily_rate").try_cast(MONEY).isNull(), "Daily rate is out of range"),
             ),
         )
         .withColumn("car_name", F.concat_ws(" ", "brand", "model", "year"))

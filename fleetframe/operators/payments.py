@@ -27,7 +27,6 @@ def recent_transactions(tables: RentalTables, k: int = 50) -> DataFrame:
             "booking_id",
             latest,
             "booking_booking_id",
-            rows=k,
         )
     )
     customer = matching_rows(
@@ -35,14 +34,12 @@ def recent_transactions(tables: RentalTables, k: int = 50) -> DataFrame:
         "id_card",
         booking,
         "customer_id_card",
-        rows=k,
     )
     staff = matching_rows(
         tables.staff.select("staff_id", F.col("name").alias("staff_name")),
         "staff_id",
         latest,
         "staff_staff_id",
-        rows=k,
     )
     joined = (
         latest.join(booking, F.col("booking_booking_id") == F.col("booking_id"), "left")

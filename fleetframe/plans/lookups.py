@@ -2,7 +2,7 @@
 
 The optimizer cannot know how few rows survive a search, a date filter or a
 top-k cut, and would shuffle the large table to be safe. Here the few rows are
-pinned and counted first: up to BROADCAST_ROWS they are sent to the tasks that
+pinned and measured first: up to BROADCAST_BYTES they are sent to the tasks that
 scan the large table, beyond that the join is left to the optimizer.
 """
 
@@ -12,18 +12,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetframe.session import pin
 
-# Rows of a few short columns: some tens of megabytes at most.
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 
+# Fixed part of the estimate, per value.
+_VALUE_BYTES = 16
 
-def sized(pinned: DataFrame, rows: int | None = None) -> DataFrame:
-    """``pinned`` with a broadcast hint when it is small enough.
 
-    ``rows`` is an upper bound on its rows where one is known; otherwise the
-    pinned rows are counted.
-    """
-    bound = pinned.count() if rows is None else rows
-    return F.broadcast(pinned) if bound <= BROADCAST_ROWS else pinned
+def fits_broadcast(pinned: DataFrame) -> bool:
+    """Whether the text and fixed parts of all rows stay within BROADCAST_BYTES."""
+    size = F.lit(0).cast("long")
+    for column in pinned.columns:
+        text = F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0))
+        size = size + text + F.lit(_VALUE_BYTES)
+    total = pinned.agg(F.sum(size)).first()[0]
+    return (total or 0) <= BROADCAST_BYTES
+
+
+def sized(pinned: DataFrame) -> DataFrame:
+    """``pinned`` with a broadcast hint when it is small enough."""
+    return F.broadcast(pinned) if fits_broadcast(pinned) else pinned
 
 
 def pinned_small(df: DataFrame) -> DataFrame:
@@ -31,8 +38,13 @@ def pinned_small(df: DataFrame) -> DataFrame:
 
 
 def matching_rows(
-    big: DataFrame, key: str, few: DataFrame, few_key: str, rows: int | None = None
+    big: DataFrame, key: str, few: DataFrame, few_key: str, fits: bool | None = None
 ) -> DataFrame:
-    """Rows of ``big`` whose key occurs in the pinned frame ``few``."""
+    """Rows of ``big`` whose key occurs in the pinned frame ``few``.
+
+    ``fits`` gives the outcome of ``fits_broadcast`` where the caller knows it.
+    """
     keys = few.select(F.col(few_key).alias("_wanted"))
-    return big.join(sized(keys, rows), F.col(key) == F.col("_wanted"), "left_semi")
+    if fits is None:
+        fits = fits_broadcast(keys)
+    return big.join(F.broadcast(keys) if fits else keys, F.col(key) == F.col("_wanted"), "left_semi")

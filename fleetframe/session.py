@@ -9,11 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR_KEY = "spark.checkpoint.dir"
 
 
-def build_session(app_name: str = "fleetframe", master: str | None = None, **conf: str) -> SparkSession:
+# Shuffle data one task should handle.
+TASK_BYTES = 256 * 1024 * 1024
+
+
+def build_session(
+    app_name: str = "fleetframe",
+    master: str | None = None,
+    largest_shuffle_bytes: int | None = None,
+    **conf: str,
+) -> SparkSession:
     """A session with adaptive execution and skew-join splitting switched on.
 
     On a cluster leave ``master`` unset (spark-submit supplies it) and give
-    ``spark.checkpoint.dir`` a folder that every executor can reach.
+    ``spark.checkpoint.dir`` a folder that every executor can reach. From
+    ``largest_shuffle_bytes`` the number of shuffle partitions is set so that a
+    task handles about TASK_BYTES; smaller shuffles are merged at run time.
+    Further settings are keywords, with ``__`` for a dot.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -23,9 +35,13 @@ def build_session(app_name: str = "fleetframe", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
+    if largest_shuffle_bytes:
+        partitions = str(max(1, -(-largest_shuffle_bytes // TASK_BYTES)))
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = partitions
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)

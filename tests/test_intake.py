@@ -118,6 +118,7 @@ def test_car_rules_names_and_ids(spark, make_tables):
             (8, "B", "M", "new", "C1", "CVT", "1"),
             (9, "B", "M", "1990", "C1", "CVT", "cheap"),
             (1, "B", "M", "1990", "C1", "CVT", "10"),
+            (10, "B", "M", "1990", "C1", "CVT", "1e15"),
         ],
         CAR_REQUEST,
     )
@@ -133,6 +134,7 @@ def test_car_rules_names_and_ids(spark, make_tables):
         7: None,
         8: year,
         9: "Daily rate must be greater than 0",
+        10: "Daily rate is out of range",
     }
     added = intake.new_cars(checked, tables.car).collect()
     assert sorted((r.car_id, r.car_name, r.car_price) for r in added) == [
@@ -249,6 +251,8 @@ def test_conflicts_count_payments_per_car(spark, small):
 
 
 def test_batch_blocks_itself(spark, small):
+    dear = spark.createDataFrame([("K9", "Dear", "CVT", money("9999999999.00"), "C1")], small.car.schema)
+    small = small.with_tables(car=small.car.unionByName(dear))
     frame = spark.createDataFrame(
         [
             booking(1, start="2024-05-10", end="2024-05-12"),
@@ -257,6 +261,7 @@ def test_batch_blocks_itself(spark, small):
             booking(4, car="K2", start="2024-05-11", end="2024-05-13"),
             booking(5, car="K3", start="2024-03-12", end="2024-03-14"),  # booked by B2
             booking(6, car="K3", start="2024-03-12", end="2024-03-14", name="Nina", new=("0899", "5" * 16, "LN", "Road")),
+            booking(7, car="K9", start="2025-05-11", end="9999-12-31"),
         ],
         BOOKING_REQUEST,
     )
@@ -268,6 +273,7 @@ def test_batch_blocks_itself(spark, small):
         4: None,
         5: availability.UNAVAILABLE,
         6: availability.UNAVAILABLE,
+        7: "Total amount is out of range",
     }
     # The customer of a booking that fails later is kept.
     assert [r.name for r in batch.customer.collect()] == ["Nina"]

@@ -144,8 +144,7 @@ def test_lists_are_the_same_beyond_the_broadcast_bound(small, monkeypatch):
     usual = rows(bookings.today_bookings(small, TODAY)), rows(bookings.search_bookings(small, "swift", TODAY))
     from fleetframe.plans import lookups
 
-    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(bookings, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(bookings, "SHALLOW_ROWS", 0)
     assert usual == (
         rows(bookings.today_bookings(small, TODAY)),
