@@ -3,7 +3,7 @@ earlier accepted row stands in its way", computed set by set."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -65,8 +65,8 @@ def accept_unique(rows: DataFrame, arrival: str, keys: list[str]) -> DataFrame:
     return accepted
 
 
-# Rows of one group handed to one Python call. A group with more distinct date
-# ranges than this is handled in further rounds.
+# Rows handed to one Python call, about. A group with more distinct date ranges
+# than this is handled in further rounds.
 GROUP_ROWS = 50_000
 
 
@@ -81,9 +81,10 @@ def accept_disjoint(
 
     Of equal ranges only the first can be accepted, so rows are first reduced to
     distinct ranges; the size of a group is then set by the calendar and not by
-    the number of rows. A group of up to ``group_rows`` ranges is settled by one
-    pandas call. Of a larger group each round settles about so many of the
-    earliest, then drops the later ones that overlap what was accepted.
+    the number of rows. Groups of up to ``group_rows`` ranges are settled by
+    pandas calls on about so many rows. Of a larger group each round settles
+    about so many of the earliest, then drops the later ones that overlap what
+    was accepted.
 
     Returns one column, ``arrival``.
     """
@@ -94,9 +95,11 @@ def accept_disjoint(
     )
     accepted = None
     while True:
-        largest = waiting.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-        if largest <= group_rows:
-            newly = _greedy(waiting).select("arrival")
+        sizes = waiting.groupBy("grp").count()
+        largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
+        calls = max(1, -(-(total or 0) // group_rows))
+        if (largest or 0) <= group_rows:
+            newly = _greedy(waiting, calls).select("arrival")
             return newly if accepted is None else accepted.unionByName(newly)
         # Per group, the arrival up to which the wanted share of its ranges lies.
         cut = waiting.groupBy("grp").agg(
@@ -105,7 +108,7 @@ def accept_disjoint(
         )
         turn = (F.col("_size") <= group_rows) | (F.col("arrival") <= F.col("_cut"))
         marked = pin(waiting.join(cut, "grp").select(*waiting.columns, turn.alias("_turn")))
-        taken = pin(_greedy(marked.filter("_turn").drop("_turn")).withColumn("weight", F.lit(1)))
+        taken = pin(_greedy(marked.filter("_turn").drop("_turn"), calls).withColumn("weight", F.lit(1)))
         later = with_overlap_count(
             marked.filter(~F.col("_turn")).drop("_turn"),
             ("grp", "start", "end"),
@@ -117,29 +120,39 @@ def accept_disjoint(
         accepted = newly if accepted is None else accepted.unionByName(newly)
 
 
-def _greedy(ranges: DataFrame) -> DataFrame:
-    """The accepted rows of (grp, start, end, arrival), one Python call per group."""
-    columns = ["grp", "start", "end", "arrival"]
-    schema = ranges.select(*columns).schema
-    days = ranges.select(*columns, F.unix_date("start").alias("_from"), F.unix_date("end").alias("_to"))
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("arrival", kind="stable")
-        return group.loc[_first_fit(group["_from"], group["_to"]), columns]
-
-    return days.groupBy("grp").applyInPandas(settle, schema=schema)
-
-
-def _first_fit(first: pd.Series, last: pd.Series) -> list[bool]:
-    """For day ranges in arrival order: which stay clear of the accepted ones before."""
-    starts: list[int] = []
-    end_of: dict[int, int] = {}
-    fits = []
-    for a, b in zip(first.tolist(), last.tolist()):
-        i = bisect_left(starts, a)
-        clear = (i == len(starts) or starts[i] > b) and (i == 0 or end_of[starts[i - 1]] < a)
-        if clear:
-            insort(starts, a)
-            end_of[a] = b
-        fits.append(clear)
-    return fits
+def _greedy(ranges: DataFrame, calls: int) -> DataFrame:
+    """The accepted rows of (grp, start, end, arrival).
+
+    Whole groups are dealt to ``calls`` Python calls, which get plain numbers for days.
+    """
+    days = ranges.select(
+        "grp",
+        F.unix_date("start").alias("first"),
+        F.unix_date("end").alias("last"),
+        "arrival",
+        F.pmod(F.xxhash64("grp"), F.lit(calls)).alias("call"),
+    )
+    schema = days.drop("call").schema
+
+    # Nested, so that it travels to the workers whole; they need not have this package.
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("arrival", kind="stable")
+        held: dict = {}
+        fits = []
+        for group, first, last in zip(rows["grp"], rows["first"].tolist(), rows["last"].tolist()):
+            starts, end_of = held.setdefault(group, ([], {}))
+            i = bisect_left(starts, first)
+            clear_after = i == len(starts) or starts[i] > last
+            clear_before = i == 0 or end_of[starts[i - 1]] < first
+            fits.append(clear_after and clear_before)
+            if fits[-1]:
+                starts.insert(i, first)
+                end_of[first] = last
+        return rows.loc[fits, ["grp", "first", "last", "arrival"]]
+
+    return days.groupBy("call").applyInPandas(settle, schema=schema).select(
+        "grp",
+        F.date_from_unix_date("first").alias("start"),
+        F.date_from_unix_date("last").alias("end"),
+        "arrival",
+    )
