@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from fleetframe.operators.intake import REASON
 from fleetframe.plans.first_come import accept_disjoint
 from fleetframe.plans.intervals import with_overlap_count
-from fleetframe.plans.lookups import pinned_small
+from fleetframe.plans.lookups import measured
 from fleetframe.session import pin
 from fleetframe.sources.tables import RentalTables
 
@@ -31,10 +31,10 @@ def booked_ranges(tables: RentalTables, requests: DataFrame) -> DataFrame:
     )
     payment = tables.transaction.select("transaction_id", "booking_booking_id")
     paid = payment.join(
-        pinned_small(near), F.col("booking_booking_id") == F.col("booking_id")
+        measured(near).hinted(), F.col("booking_booking_id") == F.col("booking_id")
     ).select("transaction_id", "start_date", "end_date")
     return tables.car_transaction.join(
-        pinned_small(paid), F.col("transaction_transaction_id") == F.col("transaction_id")
+        measured(paid).hinted(), F.col("transaction_transaction_id") == F.col("transaction_id")
     ).select("car_car_id", "start_date", "end_date", F.lit(1).alias("weight"))
 
 

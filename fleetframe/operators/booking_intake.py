@@ -19,7 +19,7 @@ from fleetframe.operators.intake import (
     held_values,
     unique_reason,
 )
-from fleetframe.plans.lookups import pinned_small
+from fleetframe.plans.lookups import measured
 from fleetframe.plans.paging import with_positions
 from fleetframe.session import pin
 from fleetframe.sources.tables import MONEY, SCHEMAS, RentalTables
@@ -118,14 +118,15 @@ def resolve_booking_customer(validated: DataFrame, customer: DataFrame) -> DataF
     decided = unique_reason(
         checked, customer, _NEW_CUSTOMER_RULES, F.col("_new") & F.col(REASON).isNull()
     )
-    decided = pin(decided.withColumn(REASON, F.coalesce(REASON, "_taken")).drop("_taken"))
+    outcome = measured(decided.withColumn(REASON, F.coalesce(REASON, "_taken")).drop("_taken"))
+    decided = outcome.frame
 
     added = decided.filter(F.col("_new") & F.col(REASON).isNull()).select(
         F.col("id_card").alias("_added_id"),
         F.col("license_number").alias("_added_licence"),
         F.col("arrival").alias("_added_at"),
     )
-    chosen = decided.filter(~F.col("_new") & F.col(REASON).isNull())
+    chosen = outcome.where(~F.col("_new") & F.col(REASON).isNull())
     on_file = held_values(
         customer, "id_card", chosen, "customer_selection", "drivers_license"
     ).select(F.col("_held").alias("_filed_id"), F.col("drivers_license").alias("_filed_licence"))
@@ -173,7 +174,8 @@ def assign_staff(requests: DataFrame, staff: DataFrame, seed: int = 0) -> DataFr
 
     The pick depends on nothing else, so a retried task picks the same person.
     """
-    places = pinned_small(with_positions(staff.select("staff_id"), [F.asc("staff_id")], "_place"))
+    numbered = with_positions(staff.select("staff_id"), [F.asc("staff_id")], "_place")
+    places = measured(numbered).hinted()
     size = staff.agg(F.count("*")).scalar()
     digest = F.md5(F.concat_ws(":", F.col("arrival").cast("string"), F.lit(str(seed))))
     drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")

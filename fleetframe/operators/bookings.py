@@ -15,9 +15,8 @@ from fleetframe.functions import (
     same_day,
     wildcard_match,
 )
-from fleetframe.plans.lookups import fits_broadcast, matching_rows, pinned_small
+from fleetframe.plans.lookups import Measured, matching_rows, measured
 from fleetframe.plans.paging import SHALLOW_ROWS, page_rows, top_rows
-from fleetframe.session import pin
 from fleetframe.sources.tables import RentalTables
 
 _BOOKING = ["booking_id", "date_preserved", "start_date", "end_date", "customer_id_card", "staff_staff_id"]
@@ -116,11 +115,11 @@ def _rentals_of(bridge: DataFrame, car: DataFrame, *labels: Column) -> DataFrame
 
 def today_bookings(tables: RentalTables, as_of: dt.date) -> DataFrame:
     """Bookings that start, end or run on the day, with every car listed as "name (type)"."""
-    bookings = pin(tables.booking.select(*_BOOKING).filter(_is_today(as_of)))
+    bookings = measured(tables.booking.select(*_BOOKING).filter(_is_today(as_of)))
     nearby = _tables_around(tables, bookings)
     label = F.concat("car_name", F.lit(" ("), "car_type", F.lit(")")).alias("car_label")
     details = _details(
-        bookings,
+        bookings.frame,
         nearby.transaction,
         _rentals_of(nearby.car_transaction, tables.car, label),
         "car_label",
@@ -132,30 +131,29 @@ def today_bookings(tables: RentalTables, as_of: dt.date) -> DataFrame:
     return shown.orderBy(F.desc("Start_Date"), "Booking_ID", "Total_Amount", "Payment_Method")
 
 
-def _tables_around(tables: RentalTables, bookings: DataFrame) -> RentalTables:
-    """The tables cut down to what the pinned ``bookings`` refer to.
+def _tables_around(tables: RentalTables, bookings: Measured) -> RentalTables:
+    """The tables cut down to what the ``bookings`` refer to.
 
     Few bookings are sent to the scans of the large tables, and so are their
     payments if those are few as well. With many bookings nothing is cut.
     """
-    if not fits_broadcast(bookings.select("booking_id", "customer_id_card", "staff_staff_id")):
+    if not bookings.fits_broadcast("booking_id", "customer_id_card", "staff_staff_id"):
         return tables
-    payments = pin(
+    payments = measured(
         matching_rows(
             tables.transaction.select("transaction_id", "booking_booking_id", *_PAYMENT),
             "booking_booking_id",
             bookings,
             "booking_id",
-            fits=True,
         )
     )
     return tables.with_tables(
-        transaction=payments,
+        transaction=payments.frame,
         car_transaction=matching_rows(
             tables.car_transaction, "transaction_transaction_id", payments, "transaction_id"
         ),
-        customer=matching_rows(tables.customer, "id_card", bookings, "customer_id_card", fits=True),
-        staff=matching_rows(tables.staff, "staff_id", bookings, "staff_staff_id", fits=True),
+        customer=matching_rows(tables.customer, "id_card", bookings, "customer_id_card"),
+        staff=matching_rows(tables.staff, "staff_id", bookings, "staff_staff_id"),
     )
 
 
@@ -175,9 +173,9 @@ def booking_list(tables: RentalTables, as_of: dt.date, k: int = 50) -> DataFrame
     Every booking has at least one detail row and the rows are ordered by
     booking first, so the k newest bookings contain all of them.
     """
-    newest = pin(top_rows(tables.booking.select(*_BOOKING), _newest_bookings(), k))
+    newest = measured(top_rows(tables.booking.select(*_BOOKING), _newest_bookings(), k))
     nearby = _tables_around(tables, newest)
-    details = _details_with_car_names(nearby, newest, as_of, None, F.col("car_name"))
+    details = _details_with_car_names(nearby, newest.frame, as_of, None, F.col("car_name"))
     return top_rows(details, newest_first(), k)
 
 
@@ -218,18 +216,18 @@ def _matching_bookings(tables: RentalTables, query: str) -> DataFrame:
     booking = tables.booking.select(*_BOOKING)
     if query == "":
         return booking.withColumn("_self", F.lit(True))
-    customers = pinned_small(
+    customers = measured(
         tables.customer.filter(wildcard_match(query, F.col("name"), F.col("phone_number"))).select(
             F.col("id_card").alias("_customer")
         )
     )
-    members = pinned_small(
+    members = measured(
         tables.staff.filter(wildcard_match(query, F.col("name"))).select(
             F.col("staff_id").alias("_member")
         )
     )
-    cars = pin(tables.car.filter(wildcard_match(query, F.col("car_name"))).select("car_id"))
-    rentals = pin(
+    cars = measured(tables.car.filter(wildcard_match(query, F.col("car_name"))).select("car_id"))
+    rentals = measured(
         matching_rows(tables.car_transaction, "car_car_id", cars, "car_id").select(
             "transaction_transaction_id"
         )
@@ -237,16 +235,16 @@ def _matching_bookings(tables: RentalTables, query: str) -> DataFrame:
     payments = matching_rows(
         tables.transaction, "transaction_id", rentals, "transaction_transaction_id"
     )
-    by_car = pinned_small(payments.select(F.col("booking_booking_id").alias("_by_car")).distinct())
+    by_car = measured(payments.select(F.col("booking_booking_id").alias("_by_car")).distinct())
     own = (
         F.col("_customer").isNotNull()
         | F.col("_member").isNotNull()
         | wildcard_match(query, F.col("booking_id"))
     )
     return (
-        booking.join(customers, F.col("customer_id_card") == F.col("_customer"), "left")
-        .join(members, F.col("staff_staff_id") == F.col("_member"), "left")
-        .join(by_car, F.col("booking_id") == F.col("_by_car"), "left")
+        booking.join(customers.hinted(), F.col("customer_id_card") == F.col("_customer"), "left")
+        .join(members.hinted(), F.col("staff_staff_id") == F.col("_member"), "left")
+        .join(by_car.hinted(), F.col("booking_id") == F.col("_by_car"), "left")
         .withColumn("_self", own)
         .filter(F.col("_self") | F.col("_by_car").isNotNull())
         .select(*_BOOKING, "_self")
@@ -268,8 +266,8 @@ def search_bookings(
     last = max(page, 1) * per_page
     nearby = tables
     if last <= SHALLOW_ROWS:
-        matches = pin(top_rows(matches, _newest_bookings(), last))
-        nearby = _tables_around(tables, matches)
+        newest = measured(top_rows(matches, _newest_bookings(), last))
+        nearby, matches = _tables_around(tables, newest), newest.frame
     details = _details_with_car_names(nearby, matches, as_of, keep, F.col("car_name"), car_hit)
     return page_rows(details, newest_first(), page, per_page)
 

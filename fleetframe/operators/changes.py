@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetframe.plans.lookups import pinned_small
+from fleetframe.plans.lookups import measured
 
 
 def _apply(table: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -23,7 +23,7 @@ def _apply(table: DataFrame, changes: DataFrame, key: str, fields: list[str]) ->
             F.max_by(F.when(updated, F.struct(*fields)), F.when(updated, F.col("arrival"))).alias("_last"),
         )
     )
-    joined = table.join(pinned_small(folded), F.col(key) == F.col("_key"), "left")
+    joined = table.join(measured(folded).hinted(), F.col(key) == F.col("_key"), "left")
     kept = joined.filter(~F.coalesce(F.col("_deleted"), F.lit(False)))
     return kept.select(
         *[

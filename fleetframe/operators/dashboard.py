@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from fleetframe.functions import percent_of
 from fleetframe.operators.bookings import booking_list
 from fleetframe.operators.payments import today_stats
-from fleetframe.plans.lookups import matching_rows
+from fleetframe.plans.lookups import matching_rows, measured
 from fleetframe.plans.paging import top_rows
-from fleetframe.session import pin
 from fleetframe.sources.tables import RentalTables
 
 
@@ -23,8 +22,8 @@ def dashboard_stats(tables: RentalTables, as_of: dt.date) -> DataFrame:
     """
     today = F.lit(as_of)
     is_running = (F.col("start_date") <= today) & (F.col("end_date") >= today)
-    running = pin(tables.booking.filter(is_running).select("booking_id"))
-    paid = pin(
+    running = measured(tables.booking.filter(is_running).select("booking_id"))
+    paid = measured(
         matching_rows(tables.transaction, "booking_booking_id", running, "booking_id").select(
             "transaction_id"
         )

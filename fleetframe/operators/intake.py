@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetframe.functions import is_missing, form_trim
 from fleetframe.plans.first_come import accept_unique
-from fleetframe.plans.lookups import matching_rows
+from fleetframe.plans.lookups import Measured, matching_rows, measured
 from fleetframe.plans.paging import with_positions
 from fleetframe.session import pin
 from fleetframe.sources.tables import MONEY, SCHEMAS
@@ -37,10 +37,10 @@ def any_missing(*names: str) -> Column:
 
 
 def held_values(
-    master: DataFrame, column: str, requests: DataFrame, asked: str, *extra: str
+    master: DataFrame, column: str, requests: Measured, asked: str, *extra: str
 ) -> DataFrame:
-    """The values asked for by the pinned ``requests`` that the master table
-    already holds. A small batch is sent to the scan of the master."""
+    """The values asked for by the requests that the master table already holds.
+    A small batch is sent to the scan of the master."""
     held = master.select(F.col(column).alias("_held"), *extra)
     return matching_rows(held, "_held", requests, asked).dropDuplicates(["_held"])
 
@@ -54,8 +54,9 @@ def unique_reason(
     the batch. Rows that are not open are passed through and take nothing. Adds
     ``_taken``, the message of the first rule broken.
     """
-    marked = pin(requests.withColumn("_open", open_rows))
-    asking = marked.filter("_open")
+    batch = measured(requests.withColumn("_open", open_rows))
+    asking = batch.where(F.col("_open"))
+    marked = batch.frame
     for i, (column, master_column, _) in enumerate(rules):
         held = held_values(master, master_column, asking, column)
         marked = marked.join(

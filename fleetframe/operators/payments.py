@@ -7,9 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetframe.functions import half_up_ratio, or_default, percent_of, rupiah, same_day
-from fleetframe.plans.lookups import matching_rows
+from fleetframe.plans.lookups import matching_rows, measured
 from fleetframe.plans.paging import top_rows
-from fleetframe.session import pin
 from fleetframe.sources.tables import RentalTables
 
 
@@ -20,8 +19,8 @@ def recent_transactions(tables: RentalTables, k: int = 50) -> DataFrame:
     can be cut first. The k rows then go to the large tables, not the reverse.
     """
     order = [F.desc("payment_date"), F.asc("transaction_id")]
-    latest = pin(top_rows(tables.transaction, order, k))
-    booking = pin(
+    latest = measured(top_rows(tables.transaction, order, k))
+    booking = measured(
         matching_rows(
             tables.booking.select("booking_id", "customer_id_card"),
             "booking_id",
@@ -42,7 +41,7 @@ def recent_transactions(tables: RentalTables, k: int = 50) -> DataFrame:
         "staff_staff_id",
     )
     joined = (
-        latest.join(booking, F.col("booking_booking_id") == F.col("booking_id"), "left")
+        latest.frame.join(booking.frame, F.col("booking_booking_id") == F.col("booking_id"), "left")
         .join(customer, F.col("customer_id_card") == F.col("id_card"), "left")
         .join(staff, F.col("staff_staff_id") == F.col("staff_id"), "left")
     )

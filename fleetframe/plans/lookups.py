@@ -2,13 +2,16 @@
 
 The optimizer cannot know how few rows survive a search, a date filter or a
 top-k cut, and would shuffle the large table to be safe. Here the few rows are
-pinned and measured first: up to BROADCAST_BYTES they are sent to the tasks that
-scan the large table, beyond that the join is left to the optimizer.
+pinned, and measured while they are written: up to BROADCAST_BYTES they are sent
+to the tasks that scan the large table, beyond that the join is left to the
+optimizer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from fleetframe.session import pin
 
@@ -18,33 +21,41 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 _VALUE_BYTES = 16
 
 
-def fits_broadcast(pinned: DataFrame) -> bool:
-    """Whether the text and fixed parts of all rows stay within BROADCAST_BYTES."""
-    size = F.lit(0).cast("long")
-    for column in pinned.columns:
-        text = F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0))
-        size = size + text + F.lit(_VALUE_BYTES)
-    total = pinned.agg(F.sum(size)).first()[0]
-    return (total or 0) <= BROADCAST_BYTES
+@dataclass(frozen=True)
+class Measured:
+    """A pinned frame and the bytes that each of its columns holds."""
+
+    frame: DataFrame
+    column_bytes: dict[str, int]
 
+    def fits_broadcast(self, *columns: str) -> bool:
+        wanted = columns or self.column_bytes
+        return sum(self.column_bytes[c] for c in wanted) <= BROADCAST_BYTES
 
-def sized(pinned: DataFrame) -> DataFrame:
-    """``pinned`` with a broadcast hint when it is small enough."""
-    return F.broadcast(pinned) if fits_broadcast(pinned) else pinned
+    def hinted(self) -> DataFrame:
+        """The frame, with a broadcast hint if it is small enough."""
+        return F.broadcast(self.frame) if self.fits_broadcast() else self.frame
 
+    def where(self, condition: Column) -> Measured:
+        """The rows that meet a condition; the sizes stay an upper bound."""
+        return Measured(self.frame.filter(condition), self.column_bytes)
 
-def pinned_small(df: DataFrame) -> DataFrame:
-    return sized(pin(df))
 
+def measured(df: DataFrame) -> Measured:
+    """Pin a frame and add up its values in the same job."""
+    seen = Observation()
+    sizes = [
+        F.sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + F.lit(_VALUE_BYTES)).alias(c)
+        for c in df.columns
+    ]
+    frame = pin(df.observe(seen, *sizes))
+    totals = seen.get
+    return Measured(frame, {c: totals[c] or 0 for c in df.columns})
 
-def matching_rows(
-    big: DataFrame, key: str, few: DataFrame, few_key: str, fits: bool | None = None
-) -> DataFrame:
-    """Rows of ``big`` whose key occurs in the pinned frame ``few``.
 
-    ``fits`` gives the outcome of ``fits_broadcast`` where the caller knows it.
-    """
-    keys = few.select(F.col(few_key).alias("_wanted"))
-    if fits is None:
-        fits = fits_broadcast(keys)
-    return big.join(F.broadcast(keys) if fits else keys, F.col(key) == F.col("_wanted"), "left_semi")
+def matching_rows(big: DataFrame, key: str, few: Measured, few_key: str) -> DataFrame:
+    """Rows of ``big`` whose key occurs in ``few``."""
+    keys = few.frame.select(F.col(few_key).alias("_wanted"))
+    if few.fits_broadcast(few_key):
+        keys = F.broadcast(keys)
+    return big.join(keys, F.col(key) == F.col("_wanted"), "left_semi")

@@ -101,9 +101,7 @@ def load_tables(spark: SparkSession, folder: str) -> RentalTables:
     # Customers whose key ends in 0 have no bookings; their orders carry no customer.
     known = F.col("o_custkey") % 10 != 0
 
-    classes = part.select("p_type").distinct().union(
-        spark.createDataFrame([("UNUSED",)], "p_type string")
-    )
+    classes = part.select("p_type").distinct().union(spark.range(1).select(F.lit("UNUSED")))
     # Whole cents and character codes keep the aggregation buffers fixed-width.
     cents = (F.col("l_extendedprice").cast(MONEY) * 100).cast("long")
     payments = lineitem.groupBy("l_orderkey", "l_linenumber").agg(

@@ -86,8 +86,13 @@ def _read_all(read: Callable[[str, T.StructType], DataFrame]) -> RentalTables:
 
 
 def read_parquet_tables(spark: SparkSession, folder: str) -> RentalTables:
-    """Read ``folder/<table>`` for every table with the declared schema."""
-    return _read_all(lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}"))
+    """Read ``folder/<table>`` for every table with the declared schema.
+
+    Columns that come from a partitioned folder layout are left out.
+    """
+    return _read_all(
+        lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}").select(*schema.names)
+    )
 
 
 def read_jdbc_tables(
