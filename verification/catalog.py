@@ -49,18 +49,9 @@ def comparable(df: DataFrame) -> DataFrame:
     )
 
 
-def _on_tables(run: Callable[[RentalTables], DataFrame]) -> Query:
-    return lambda spark, folder: comparable(run(load_tables(spark, folder)))
-
-
-def _on_requests(
-    read: Callable[[SparkSession, str], DataFrame], run: Callable[[DataFrame, RentalTables], DataFrame]
-) -> Query:
-    return lambda spark, folder: comparable(run(read(spark, folder), load_tables(spark, folder)))
-
-
-def _report_queries() -> dict[str, Query]:
-    runs: dict[str, Callable[[RentalTables], DataFrame]] = {
+def report_runs() -> dict[str, Callable[[RentalTables], DataFrame]]:
+    """Queries over the rental tables."""
+    return {
         # reports per month
         "monthly_bookings": lambda t: months.monthly_bookings(t, AS_OF),
         "revenue_growth": lambda t: months.revenue_growth(t, AS_OF),
@@ -132,7 +123,6 @@ def _report_queries() -> dict[str, Query]:
         "booking_labels": _booking_labels,
         "car_labels": _car_labels,
     }
-    return {name: _on_tables(run) for name, run in runs.items()}
 
 
 def _customer_answer(tables: RentalTables) -> DataFrame:
@@ -176,11 +166,12 @@ def _dated(requests: DataFrame) -> DataFrame:
     return booking_intake.validate_bookings(requests, AS_OF)
 
 
-def _intake_queries() -> dict[str, Query]:
-    queries: dict[str, Query] = {}
+def intake_runs() -> dict[str, tuple[Query, Callable[[DataFrame, RentalTables], DataFrame]]]:
+    """Queries over a batch of requests and the rental tables: (reader, query)."""
+    queries: dict[str, tuple[Query, Callable[[DataFrame, RentalTables], DataFrame]]] = {}
 
-    def on(read: Callable[[SparkSession, str], DataFrame], **runs: Callable[..., DataFrame]) -> None:
-        queries.update({name: _on_requests(read, run) for name, run in runs.items()})
+    def on(read: Query, **runs: Callable[[DataFrame, RentalTables], DataFrame]) -> None:
+        queries.update({name: (read, run) for name, run in runs.items()})
 
     on(
         fixtures.customer_requests,
@@ -237,5 +228,15 @@ def _intake_queries() -> dict[str, Query]:
     return queries
 
 
+def _report_query(run: Callable[[RentalTables], DataFrame]) -> Query:
+    return lambda spark, folder: comparable(run(load_tables(spark, folder)))
+
+
+def _intake_query(read: Query, run: Callable[[DataFrame, RentalTables], DataFrame]) -> Query:
+    return lambda spark, folder: comparable(run(read(spark, folder), load_tables(spark, folder)))
+
+
 def all_queries() -> dict[str, Query]:
-    return {**_report_queries(), **_intake_queries()}
+    """Every query by name, as a function of (session, folder of the bundled files)."""
+    reports = {name: _report_query(run) for name, run in report_runs().items()}
+    return {**reports, **{name: _intake_query(*parts) for name, parts in intake_runs().items()}}
