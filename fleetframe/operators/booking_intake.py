@@ -12,6 +12,7 @@ from fleetframe.operators.availability import admit_bookings
 from fleetframe.operators.intake import (
     REASON,
     SIXTEEN_DIGITS,
+    IdSeries,
     UniqueRule,
     any_missing,
     assign_ids,
@@ -223,8 +224,13 @@ def post_bookings(accepted: DataFrame, tables: RentalTables, now: dt.datetime) -
 
     Everything is cut from one pinned frame, so the three outputs agree.
     """
-    numbered = assign_ids(accepted, tables.booking, "booking_id", "BK", 10)
-    numbered = pin(assign_ids(numbered, tables.transaction, "transaction_id", "TX", 12))
+    numbered = pin(
+        assign_ids(
+            accepted,
+            IdSeries(tables.booking, "booking_id", "BK", 10),
+            IdSeries(tables.transaction, "transaction_id", "TX", 12),
+        )
+    )
     moment = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
     booking = numbered.select(
         "booking_id",

@@ -7,6 +7,7 @@ Requests carry a unique ``arrival`` that orders them. A check adds
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -175,7 +176,7 @@ def validate_cars(requests: DataFrame, car_class: DataFrame, as_of: dt.date) ->
 def new_cars(validated: DataFrame, car: DataFrame) -> DataFrame:
     """Car rows of the accepted requests, with ids in order of arrival."""
     accepted = validated.filter(F.col(REASON).isNull())
-    numbered = assign_ids(accepted, car, "car_id", "CAR", 8)
+    numbered = assign_ids(accepted, IdSeries(car, "car_id", "CAR", 8))
     return numbered.select(
         "car_id",
         "car_name",
@@ -194,18 +195,32 @@ def ingest_cars(requests: DataFrame, car: DataFrame, car_class: DataFrame, as_of
 # ---------------------------------------------------------------------- ids
 
 
-def assign_ids(rows: DataFrame, table: DataFrame, column: str, prefix: str, width: int) -> DataFrame:
-    """Append fresh ids that continue after the highest number in use.
+@dataclass(frozen=True)
+class IdSeries:
+    """Ids of a table: the column, and a prefix with a zero-padded number."""
+
+    table: DataFrame
+    column: str
+    prefix: str
+    width: int
+
+    def after_highest(self, position: Column) -> Column:
+        """The id for a 0-based position, counted on from the highest number in use."""
+        suffix = F.regexp_extract(F.col(self.column), r"([0-9]+)\z", 1).try_cast("long")
+        highest = self.table.agg(F.coalesce(F.max(suffix), F.lit(0).cast("long"))).scalar()
+        number = (position + highest + 1).cast("string")
+        padded = F.lpad(number, self.width, "0")
+        return F.concat(
+            F.lit(self.prefix), F.when(F.char_length(number) >= self.width, number).otherwise(padded)
+        )
+
+
+def assign_ids(rows: DataFrame, *series: IdSeries) -> DataFrame:
+    """Append fresh ids of each series, in order of ``arrival``.
 
-    Ids are the prefix and a zero-padded number, in order of ``arrival``.
     Numbering works on row positions; no task sees all rows.
     """
-    suffix = F.regexp_extract(F.col(column), r"([0-9]+)\z", 1).try_cast("long")
-    highest = table.agg(F.coalesce(F.max(suffix), F.lit(0).cast("long"))).scalar()
-    number = (F.col("_position") + highest + 1).cast("string")
-    padded = F.when(F.char_length(number) >= width, number).otherwise(F.lpad(number, width, "0"))
-    return (
-        with_positions(rows, [F.asc("arrival")], "_position")
-        .withColumn(column, F.concat(F.lit(prefix), padded))
-        .drop("_position")
-    )
+    placed = with_positions(rows, [F.asc("arrival")], "_position")
+    for ids in series:
+        placed = placed.withColumn(ids.column, ids.after_highest(F.col("_position")))
+    return placed.drop("_position")

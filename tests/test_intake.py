@@ -147,7 +147,7 @@ def test_car_rules_names_and_ids(spark, make_tables):
 def test_ids_grow_past_their_padding(spark):
     table = spark.createDataFrame([("X98",), (None,), ("odd",)], "id string")
     rows = spark.createDataFrame([(3,), (1,), (2,)], "arrival long")
-    got = intake.assign_ids(rows, table, "id", "X", 2).collect()
+    got = intake.assign_ids(rows, intake.IdSeries(table, "id", "X", 2)).collect()
     assert {r.arrival: r.id for r in got} == {1: "X99", 2: "X100", 3: "X101"}
 
 

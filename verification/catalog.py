@@ -208,7 +208,7 @@ def intake_runs() -> dict[str, tuple[Query, Callable[[DataFrame, RentalTables],
         post_transactions=lambda r, t: _batch(r, t).transaction,
         post_car_transactions=lambda r, t: _batch(r, t).car_transaction,
         assign_ids=lambda r, t: intake.assign_ids(
-            r.select("arrival"), t.booking, "booking_id", "BK", 10
+            r.select("arrival"), intake.IdSeries(t.booking, "booking_id", "BK", 10)
         ),
     )
     on(
