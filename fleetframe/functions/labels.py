@@ -6,31 +6,25 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
+from fleetframe import fixed
+
 
 def booking_status(start: Column, end: Column, as_of: dt.date) -> Column:
     """Active on both end days, else Upcoming or Completed; Unknown without dates."""
     today = F.lit(as_of)
     return (
-        F.when((start <= today) & (end >= today), "Active")
-        .when(start > today, "Upcoming")
-        .when(end < today, "Completed")
-        .otherwise("Unknown")
+        F.when((start <= today) & (end >= today), fixed.ACTIVE)
+        .when(start > today, fixed.UPCOMING)
+        .when(end < today, fixed.COMPLETED)
+        .otherwise(fixed.UNKNOWN)
     )
 
 
 def customer_tier(bookings: Column) -> Column:
-    return (
-        F.when(bookings >= 5, "VIP Customer")
-        .when(bookings >= 3, "Regular Customer")
-        .when(bookings >= 1, "New Customer")
-        .otherwise("Prospect")
-    )
+    tiers = [F.when(bookings >= fewest, tier) for fewest, tier in fixed.CUSTOMER_TIERS]
+    return F.coalesce(*tiers, F.lit(fixed.NO_BOOKINGS_TIER))
 
 
 def usage_status(rentals: Column) -> Column:
-    return (
-        F.when(rentals == 0, "Never Rented")
-        .when(rentals < 3, "Low Usage")
-        .when(rentals < 8, "Medium Usage")
-        .otherwise("High Usage")
-    )
+    levels = [F.when(rentals < below, level) for below, level in fixed.USAGE_LEVELS]
+    return F.coalesce(*levels, F.lit(fixed.TOP_USAGE_LEVEL))

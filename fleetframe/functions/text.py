@@ -6,18 +6,16 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-# The characters that form input is trimmed of
-# (space, tab, newline, carriage return, NUL, vertical tab).
-_FORM_BLANKS = " \t\n\r\0\x0b"
+from fleetframe import fixed
 
 
 def form_trim(value: Column) -> Column:
-    return F.btrim(value, F.lit(_FORM_BLANKS))
+    return F.btrim(value, F.lit(fixed.BLANKS))
 
 
 def is_missing(value: Column) -> Column:
     """A form field counts as missing when absent, empty or the text "0"."""
-    return F.coalesce(value.isin("", "0"), F.lit(True))
+    return F.coalesce(value.isin(*fixed.MISSING_TEXTS), F.lit(True))
 
 
 def wildcard_pattern(query: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fleetframe import fixed
 from fleetframe.operators.intake import REASON
 from fleetframe.plans.first_come import accept_disjoint
 from fleetframe.plans.intervals import with_overlap_count
@@ -11,9 +12,6 @@ from fleetframe.plans.lookups import measured
 from fleetframe.session import pin
 from fleetframe.sources.tables import RentalTables
 
-UNAVAILABLE = "Car is not available for the selected dates"
-
-
 def booked_ranges(tables: RentalTables, requests: DataFrame) -> DataFrame:
     """(car, start, end) of bookings that have a payment for a car, one row per
     payment and car, limited to dates the requests can touch.
@@ -71,6 +69,6 @@ def admit_bookings(requests: DataFrame, tables: RentalTables) -> DataFrame:
     turned_away = is_open & F.col("_accepted").isNull()
     return (
         pinned.join(accepted, F.col("arrival") == F.col("_accepted"), "left")
-        .withColumn(REASON, F.when(turned_away, UNAVAILABLE).otherwise(F.col(REASON)))
+        .withColumn(REASON, F.when(turned_away, fixed.CAR_UNAVAILABLE).otherwise(F.col(REASON)))
         .drop("_accepted")
     )

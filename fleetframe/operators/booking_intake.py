@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from fleetframe import fixed
 from fleetframe.functions import inclusive_days, form_trim
 from fleetframe.operators.availability import admit_bookings
 from fleetframe.operators.intake import (
     REASON,
-    SIXTEEN_DIGITS,
     IdSeries,
     UniqueRule,
     any_missing,
@@ -25,9 +25,6 @@ from fleetframe.plans.paging import with_positions
 from fleetframe.session import pin
 from fleetframe.sources.tables import MONEY, SCHEMAS, RentalTables
 
-_NEW = "new_customer"
-
-
 def validate_bookings(requests: DataFrame, as_of: dt.date) -> DataFrame:
     """Apply the form rules and parse the dates into ``start`` and ``end``.
 
@@ -45,15 +42,15 @@ def validate_bookings(requests: DataFrame, as_of: dt.date) -> DataFrame:
             first_reason(
                 (
                     any_missing("customer_search", "car_id", "start_date", "end_date"),
-                    "All fields are required",
+                    fixed.FIELDS_REQUIRED,
                 ),
                 (
                     F.col("end").isNull() | (F.col("start") >= F.col("end")),
-                    "End date must be after start date",
+                    fixed.END_BEFORE_START,
                 ),
                 (
                     F.col("start").isNull() | (F.col("start") < F.lit(as_of)),
-                    "Start date cannot be in the past",
+                    fixed.START_IN_PAST,
                 ),
             ),
         )
@@ -79,9 +76,9 @@ def price_bookings(requests: DataFrame, car: DataFrame) -> DataFrame:
 
 
 _NEW_CUSTOMER_RULES: list[UniqueRule] = [
-    ("customer_phone", "phone_number", "Phone number already exists"),
-    ("id_card", "id_card", "ID Card already exists"),
-    ("license_number", "drivers_license", "Driver license already exists"),
+    ("customer_phone", "phone_number", fixed.GUEST_PHONE_TAKEN),
+    ("id_card", "id_card", fixed.GUEST_CARD_TAKEN),
+    ("license_number", "drivers_license", fixed.GUEST_LICENCE_TAKEN),
 ]
 _NEW_FIELDS = ["customer_phone", "id_card", "license_number", "address"]
 
@@ -93,7 +90,7 @@ def resolve_booking_customer(validated: DataFrame, customer: DataFrame) -> DataF
     file may also have been added by an earlier request of the same batch.
     Adds customer_id_card, customer_drivers_license and ``is_new_customer``.
     """
-    is_new = F.coalesce(F.col("customer_selection") == _NEW, F.lit(False))
+    is_new = F.coalesce(F.col("customer_selection") == fixed.NEW_CUSTOMER, F.lit(False))
     trimmed = validated.select(
         *[
             form_trim(F.coalesce(F.col(c), F.lit(""))).alias(c) if c in _NEW_FIELDS else F.col(c)
@@ -109,9 +106,9 @@ def resolve_booking_customer(validated: DataFrame, customer: DataFrame) -> DataF
                 first_reason(
                     (
                         any_missing("customer_search", *_NEW_FIELDS),
-                        "All customer fields are required for new customer",
+                        fixed.GUEST_FIELDS_REQUIRED,
                     ),
-                    (~F.col("id_card").rlike(SIXTEEN_DIGITS), "ID Card must be exactly 16 digits"),
+                    (~F.col("id_card").rlike(fixed.SIXTEEN_DIGITS), fixed.CARD_FORMAT),
                 ),
             ),
         ),
@@ -149,7 +146,7 @@ def resolve_booking_customer(validated: DataFrame, customer: DataFrame) -> DataF
     return joined.select(
         *[c for c in validated.columns if c != REASON],
         F.coalesce(
-            F.col(REASON), F.when(selects & found_id.isNull(), "Selected customer not found")
+            F.col(REASON), F.when(selects & found_id.isNull(), fixed.CUSTOMER_UNKNOWN)
         ).alias(REASON),
         F.when(accepted_new, F.col("id_card")).otherwise(found_id).alias("customer_id_card"),
         F.when(accepted_new, F.col("license_number"))
@@ -186,7 +183,7 @@ def assign_staff(requests: DataFrame, staff: DataFrame, seed: int = 0) -> DataFr
         .withColumn(
             REASON,
             F.coalesce(
-                REASON, F.when(F.col("staff_id").isNull(), "No staff available to process booking")
+                REASON, F.when(F.col("staff_id").isNull(), fixed.NO_STAFF)
             ),
         )
         .drop("_draw", "_place")
@@ -243,7 +240,7 @@ def post_bookings(accepted: DataFrame, tables: RentalTables, now: dt.datetime) -
     )
     transaction = numbered.select(
         "transaction_id",
-        F.lit("Cash").alias("payment_method"),
+        F.lit(fixed.FIRST_PAYMENT_METHOD).alias("payment_method"),
         F.col("total_amount").alias("amount"),
         moment.alias("payment_date"),
         F.col("staff_id").alias("staff_staff_id"),
@@ -266,7 +263,7 @@ def decide_bookings(requests: DataFrame, tables: RentalTables, as_of: dt.date, s
     resolved = resolve_booking_customer(validate_bookings(requests, as_of), tables.customer)
     staffed = assign_staff(resolved, tables.staff, seed)
     priced = price_bookings(staffed, tables.car)
-    too_much = F.when(F.col("total_amount").isNull(), "Total amount is out of range")
+    too_much = F.when(F.col("total_amount").isNull(), fixed.AMOUNT_TOO_LARGE)
     return admit_bookings(priced.withColumn(REASON, F.coalesce(REASON, too_much)), tables)
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetframe import fixed
 from fleetframe.functions import (
     booking_status,
     half_up_ratio,
@@ -183,9 +184,9 @@ def booking_cards(tables: RentalTables, as_of: dt.date, k: int = 50) -> DataFram
     """``booking_list`` as shown on screen: amounts, dates and fallbacks as text."""
     return booking_list(tables, as_of, k).select(
         "Booking_ID",
-        or_default(F.col("Customer_Name"), "Unknown").alias("Customer"),
-        or_default(F.col("Customer_Phone"), "N/A").alias("Phone"),
-        or_default(F.col("Cars_Rented"), "No cars", falsy=True).alias("Cars"),
+        or_default(F.col("Customer_Name"), fixed.UNKNOWN).alias("Customer"),
+        or_default(F.col("Customer_Phone"), fixed.NOT_AVAILABLE).alias("Phone"),
+        or_default(F.col("Cars_Rented"), fixed.NO_CARS, falsy=True).alias("Cars"),
         F.date_format("Start_Date", "MMM dd").alias("From"),
         F.date_format("End_Date", "MMM dd, yyyy").alias("To"),
         rupiah(F.col("Total_Amount")).alias("Amount"),

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetframe import fixed
 from fleetframe.functions import is_missing, form_trim
 from fleetframe.plans.first_come import accept_unique
 from fleetframe.plans.lookups import Measured, matching_rows, measured
@@ -19,7 +20,6 @@ from fleetframe.session import pin
 from fleetframe.sources.tables import MONEY, SCHEMAS
 
 REASON = "reject_reason"
-SIXTEEN_DIGITS = r"^[0-9]{16}\z"
 
 # A rule that a value may occur once: request column, master column, message.
 UniqueRule = tuple[str, str, str]
@@ -91,17 +91,17 @@ def validate_customers(requests: DataFrame) -> DataFrame:
     return trimmed.withColumn(
         REASON,
         first_reason(
-            (any_missing(*fields), "All fields are required"),
-            (~F.col("id_card").rlike(SIXTEEN_DIGITS), "ID Card must be exactly 16 digits"),
-            (F.octet_length("phone") < 10, "Phone number must be at least 10 digits"),
+            (any_missing(*fields), fixed.FIELDS_REQUIRED),
+            (~F.col("id_card").rlike(fixed.SIXTEEN_DIGITS), fixed.CARD_FORMAT),
+            (F.octet_length("phone") < fixed.PHONE_BYTES, fixed.PHONE_FORMAT),
         ),
     )
 
 
 _CUSTOMER_RULES: list[UniqueRule] = [
-    ("phone", "phone_number", "Phone number already exists in our system"),
-    ("license_number", "drivers_license", "Driver license number already exists in our system"),
-    ("id_card", "id_card", "ID Card number already exists in our system"),
+    ("phone", "phone_number", fixed.PHONE_TAKEN),
+    ("license_number", "drivers_license", fixed.LICENCE_TAKEN),
+    ("id_card", "id_card", fixed.CARD_TAKEN),
 ]
 
 
@@ -158,14 +158,14 @@ def validate_cars(requests: DataFrame, car_class: DataFrame, as_of: dt.date) ->
         .withColumn(
             REASON,
             first_reason(
-                (any_missing(*fields), "All fields are required"),
+                (any_missing(*fields), fixed.FIELDS_REQUIRED),
                 (
-                    ~F.coalesce(year.between(1990, newest), F.lit(False)),
-                    f"Invalid year. Must be between 1990 and {newest}",
+                    ~F.coalesce(year.between(fixed.FIRST_MODEL_YEAR, newest), F.lit(False)),
+                    fixed.YEAR_RANGE.format(newest),
                 ),
-                (~F.coalesce(rate > 0, F.lit(False)), "Daily rate must be greater than 0"),
-                (F.col("_class").isNull(), "Invalid car class selected"),
-                (F.col("daily_rate").try_cast(MONEY).isNull(), "Daily rate is out of range"),
+                (~F.coalesce(rate > 0, F.lit(False)), fixed.RATE_POSITIVE),
+                (F.col("_class").isNull(), fixed.CLASS_UNKNOWN),
+                (F.col("daily_rate").try_cast(MONEY).isNull(), fixed.RATE_TOO_LARGE),
             ),
         )
         .withColumn("car_name", F.concat_ws(" ", "brand", "model", "year"))

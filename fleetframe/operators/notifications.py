@@ -6,14 +6,10 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetframe import fixed
 from fleetframe.plans.paging import top_rows
 from fleetframe.sources.tables import SCHEMAS, RentalTables
 
-# Links stored with notifications.
-_USERS_LINK = "/pages/users.php"
-_CUSTOMER_LINK = "/pages/users.php?customer_id="
-_STAFF_LINK = "/pages/users.php?staff_id="
-
 
 def notification_feed(tables: RentalTables, k: int = 50) -> DataFrame:
     """The newest notifications, all columns."""
@@ -46,35 +42,38 @@ def _entries(rows: DataFrame, message: Column, kind: Column, link: Column, now:
     ).select(*SCHEMAS["notification"].names)
 
 
+def _filled(template: str, value: Column) -> Column:
+    """The template with the value, or nothing if it is NULL, in place of ``{}``."""
+    before, after = template.split("{}")
+    return F.concat(F.lit(before), F.coalesce(value, F.lit("")), F.lit(after))
+
+
 def _change_entries(
-    changes: DataFrame, key: str, subject: str, updated_kind: str, link: str, now: dt.datetime
+    changes: DataFrame, key: str, texts: tuple[str, str], updated_kind: str, link: str, now: dt.datetime
 ) -> DataFrame:
     updated = F.col("action") == "update"
-    known = changes.filter(F.col("action").isin("update", "delete"))
-    id_text = F.coalesce(F.col(key), F.lit(""))
     return _entries(
-        known,
-        F.when(
-            updated,
-            F.concat(F.lit(f"{subject} '"), F.coalesce("name", F.lit("")), F.lit("' updated successfully!")),
-        ).otherwise(F.concat(F.lit(f"{subject} ID '"), id_text, F.lit("' deleted!"))),
+        changes.filter(F.col("action").isin("update", "delete")),
+        F.when(updated, _filled(texts[0], F.col("name"))).otherwise(_filled(texts[1], F.col(key))),
         F.when(updated, updated_kind).otherwise("danger"),
-        F.when(updated, F.concat(F.lit(link), id_text)).otherwise(_USERS_LINK),
+        F.when(updated, _filled(link, F.col(key))).otherwise(fixed.USERS_LINK),
         now,
     )
 
 
 def customer_change_notifications(changes: DataFrame, now: dt.datetime) -> DataFrame:
     """One log entry per update or delete, whether or not a customer was hit."""
-    return _change_entries(changes, "id_card", "Customer", "success", _CUSTOMER_LINK, now)
+    texts = (fixed.CUSTOMER_UPDATED, fixed.CUSTOMER_DELETED)
+    return _change_entries(changes, "id_card", texts, "success", fixed.CUSTOMER_LINK, now)
 
 
 def staff_change_notifications(changes: DataFrame, now: dt.datetime) -> DataFrame:
     """One log entry per update or delete, whether or not a staff member was hit."""
-    return _change_entries(changes, "staff_id", "Staff", "info", _STAFF_LINK, now)
+    texts = (fixed.STAFF_UPDATED, fixed.STAFF_DELETED)
+    return _change_entries(changes, "staff_id", texts, "info", fixed.STAFF_LINK, now)
 
 
 def failure_notifications(failures: DataFrame, now: dt.datetime) -> DataFrame:
     """One log entry per failed staff edit, from its ``error`` text."""
-    message = F.concat(F.lit("Database error: "), "error")
-    return _entries(failures, message, F.lit("danger"), F.lit(_USERS_LINK), now)
+    message = _filled(fixed.WRITE_FAILED, F.col("error"))
+    return _entries(failures, message, F.lit("danger"), F.lit(fixed.USERS_LINK), now)

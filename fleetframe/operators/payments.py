@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetframe import fixed
 from fleetframe.functions import half_up_ratio, or_default, percent_of, rupiah, same_day
 from fleetframe.plans.lookups import matching_rows, measured
 from fleetframe.plans.paging import top_rows
@@ -61,7 +62,7 @@ def transaction_cards(tables: RentalTables, k: int = 50) -> DataFrame:
     """``recent_transactions`` as shown on screen: amounts, dates and fallbacks as text."""
     return recent_transactions(tables, k).select(
         "Transaction_ID",
-        or_default(F.col("Customer_Name"), "N/A").alias("Customer"),
+        or_default(F.col("Customer_Name"), fixed.NOT_AVAILABLE).alias("Customer"),
         or_default(F.col("Staff_Name"), F.col("Staff_Staff_ID")).alias("Staff"),
         "Payment_Method",
         rupiah(F.col("Amount")).alias("Amount"),

@@ -3,6 +3,7 @@ import random
 from decimal import Decimal as D
 
 from conftest import day, money
+from fleetframe import fixed
 from fleetframe.operators import availability, booking_intake as intake_b, intake
 
 NOW = dt.datetime(2024, 3, 10, 8, 30)
@@ -268,11 +269,11 @@ def test_batch_blocks_itself(spark, small):
     batch = intake_b.process_booking_requests(frame, small, NOW)
     assert reasons(batch.decisions) == {
         1: None,
-        2: availability.UNAVAILABLE,
+        2: fixed.CAR_UNAVAILABLE,
         3: None,
         4: None,
-        5: availability.UNAVAILABLE,
-        6: availability.UNAVAILABLE,
+        5: fixed.CAR_UNAVAILABLE,
+        6: fixed.CAR_UNAVAILABLE,
         7: "Total amount is out of range",
     }
     # The customer of a booking that fails later is kept.
@@ -288,7 +289,7 @@ def test_batch_blocks_itself(spark, small):
     }
     # A second batch sees the bookings of the first.
     again = intake_b.process_booking_requests(frame.filter("arrival = 1"), after, NOW)
-    assert reasons(again.decisions) == {1: availability.UNAVAILABLE}
+    assert reasons(again.decisions) == {1: fixed.CAR_UNAVAILABLE}
 
 
 def test_empty_batch(spark, small):
