@@ -109,7 +109,7 @@ def load_tables(spark: SparkSession, folder: str) -> RentalTables:
         (F.sum(cents).cast("decimal(16,0)") / 100).cast(MONEY).alias("amount"),
         F.min("l_shipdate").alias("payment_date"),
     )
-    # Cars whose key ends in 0 or 20, 40, ... pass their rentals to the next car.
+    # Cars whose key is divisible by 20 pass their rentals to the next car.
     rented = F.when(F.col("l_partkey") % 20 == 0, F.col("l_partkey") + 1).otherwise(F.col("l_partkey"))
 
     return RentalTables(
