@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetframe.llm import byte_bpe, packing
+from fleetframe.llm import byte_bpe, packing, pii
 from fleetframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.found(docs, pii.train(docs))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = byte_bpe.encoded(table(spark, folder, "documents"), keep_ids=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -23,6 +28,7 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_pii": op1_pii,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_packing": op5_packing,
     }
