@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetframe.llm import byte_bpe, packing, pii
+from fleetframe.llm import byte_bpe, embedding_dedup, kneser_ney, packing, pii
 from fleetframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,11 +26,21 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.grouped(table(spark, folder, "embeddings"))
+
+
+def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.train_and_score(table(spark, folder, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_packing": op5_packing,
+        "op6_embedding_dedup": op6_embedding_dedup,
+        "op8_lm_scores": op8_lm_scores,
     }
 
 
