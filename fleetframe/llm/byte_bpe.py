@@ -44,8 +44,8 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.halves = self._halves()
         self.shorter = self._shorter()
-        self.pairs = Memo(PAIRS_KEPT)
-        self.pieces = Memo(PIECES_KEPT)
+        self.pairs: dict[int, bool] = {}
+        self.pieces = Memo(self.encode_piece, PIECES_KEPT, PIECE_KEPT_CHARS)
 
     def _halves(self) -> dict[int, tuple[int, int]]:
         """The two tokens whose merge makes a token; single bytes have none.
@@ -88,8 +88,9 @@ class ByteBpe:
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            known = self._compatible(left, right)
-            self.pairs.put(key, known)
+            if len(self.pairs) >= PAIRS_KEPT:
+                self.pairs.clear()
+            known = self.pairs[key] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -155,20 +156,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        pieces = pieces_of(text)
-        found = list(map(self.pieces.young.get, pieces))
-        if None in found:
-            memo = self.pieces
-            for i, ids in enumerate(found):
-                if ids is None:
-                    piece = pieces[i]
-                    ids = memo.get(piece)
-                    if ids is None:
-                        ids = self.encode_piece(piece)
-                        if len(piece) <= PIECE_KEPT_CHARS:
-                            memo.put(piece, ids)
-                    found[i] = ids
-        return b"".join(found)
+        return b"".join(self.pieces.all(pieces_of(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

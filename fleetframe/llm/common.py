@@ -75,23 +75,36 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 class Memo:
-    """A cache of bounded size: the older half of its keys goes when the younger one is full."""
+    """Values of a function by key, of bounded number: the older half goes when the younger one is full.
 
-    def __init__(self, size: int) -> None:
-        self.size, self.young, self.old = size // 2, {}, {}
+    Keys longer than ``longest`` are computed each time.
+    """
 
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
+    def __init__(self, value_of: Callable, size: int, longest: int) -> None:
+        self.value_of, self.size, self.longest = value_of, size // 2, longest
+        self.young, self.old = _Kept(self), {}
 
-    def put(self, key, value) -> None:
+    def all(self, keys: Iterable) -> list:
         if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+            self.old, self.young = dict(self.young), _Kept(self)
+        return list(map(self.young.__getitem__, keys))
+
+
+class _Kept(dict):
+    """The younger half; asks for what it does not have."""
+
+    def __init__(self, memo: Memo) -> None:
+        super().__init__()
+        self.memo = memo
+
+    def __missing__(self, key):
+        memo = self.memo
+        value = memo.old.get(key)
+        if value is None:
+            value = memo.value_of(key)
+        if len(key) <= memo.longest:
+            self[key] = value
+        return value
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:

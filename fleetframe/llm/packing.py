@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -33,9 +34,20 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 
 
-# A word that ends in a letter or digit of Latin script, and marks after it. Letters, single digits and
-# runs of other marks are tokenized apart from each other, so both parts can be looked up on their own.
-_CORE_AND_MARKS = re.compile("(.*[a-z0-9\u00df-\u00f6\u00f8-\u00ff])([.,!$%&*#]+)", re.DOTALL)
+# Marks at the end of a word. After a letter or digit they are tokenized apart from it, so the word
+# and its marks can be looked up on their own.
+_MARKS = b".,!$%&*#"
+_ENDS_PLAIN = re.compile(rb"(?:[a-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf])\Z")
+# Words of lower-case Latin letters alone: already normal, and one piece for the merges.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in the vocabulary: itself where it is printable in
+    Latin-1, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
 class WordTokenizer:
@@ -49,51 +61,29 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Memo(WORDS_KEPT)
+        self.merges = self.tokenizer.model
+        self.letters = dict(enumerate(_byte_letters()))
+        self.words = Memo(self._word, WORDS_KEPT, WORD_KEPT_BYTES)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def ids(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        raw = text.encode("utf-8")
         # The vocabulary has no upper case; only the names of special tokens tell the cases apart.
-        raw = [t.encode("utf-8") for t in texts]
-        split = [(t if b"<|" in t else t.lower()).split() for t in raw]
-        found = [list(map(self.words.young.get, words)) for words in split]
-        missing = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
-        if missing:
-            fresh = self._fresh(missing)
-            for words, ids in zip(split, found):
-                if None in ids:
-                    ids[:] = [fresh[w] if i is None else i for w, i in zip(words, ids)]
-        return [b"".join(ids) for ids in found]
-
-    def _fresh(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        known, halves, parts = {}, {}, set()
-        for word in missing:
-            ids = self.words.get(word)
-            if ids is not None:
-                known[word] = ids
-                continue
-            match = _CORE_AND_MARKS.fullmatch(word.decode("utf-8"))
-            halves[word] = (match[1].encode("utf-8"), match[2].encode("utf-8")) if match else (word,)
-            parts.update(halves[word])
-        ids_of = {p: self.words.get(p) for p in parts}
-        new = [p for p, ids in ids_of.items() if ids is None]
-        if new:
-            ids_of.update(zip(new, self._tokenized(new)))
-        for word, of in halves.items():
-            known[word] = b"".join([ids_of[p] for p in of])
-        for word in (*new, *halves):
-            if len(word) <= WORD_KEPT_BYTES:
-                self.words.put(word, ids_of.get(word) or known[word])
-        return known
-
-    def _tokenized(self, words: list[bytes]) -> list[bytes]:
-        coded = self.tokenizer.encode(
-            [w.decode("utf-8") for w in words], is_pretokenized=True, add_special_tokens=False
-        )
-        ids = np.array(coded.ids, dtype="<u4").tobytes()
-        ends = np.searchsorted(np.array(coded.word_ids, dtype=np.int64), np.arange(len(words)), side="right")
-        ends = (4 * ends).tolist()
-        return [ids[low:high] for low, high in zip([0, *ends], ends)]
+        words = (raw if b"<|" in raw else raw.lower()).split()
+        return b"".join(self.words.all(words))
+
+    def _word(self, word: bytes) -> bytes:
+        core = word.rstrip(_MARKS)
+        if len(core) == len(word) or not _ENDS_PLAIN.search(core):
+            return self._tokenized(word)
+        return b"".join(self.words.all((core, word[len(core) :])))
+
+    def _tokenized(self, word: bytes) -> bytes:
+        if _LETTERS.fullmatch(word):
+            ids = [t.id for t in self.merges.tokenize(word.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @functools.cache
@@ -164,8 +154,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW)
 
         def step(columns):
             rows = []
-            for doc_id, ids in zip(columns["doc_id"], coder.ids(columns["text"])):
-                ids += end_id
+            for doc_id, text in zip(columns["doc_id"], columns["text"]):
+                ids = coder.ids(text) + end_id
                 total = len(ids) // 4
                 for low in range(0, total, window):
                     part = ids[4 * low : 4 * (low + window)]
@@ -185,7 +175,7 @@ def packed(
     groups = max(1, -(-cut.count() // group_pieces))
     dealt = cut.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
-    def pack(key, part: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "start"], ascending=[False, True, True])
         numbers, offsets = best_fit_decreasing(part["length"].tolist(), window)
         # Numbers of different groups never meet: the group is the remainder.
