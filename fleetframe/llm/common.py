@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -114,3 +115,68 @@ def vocabulary_path(name: str, folder: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def map_groups(
+    df: DataFrame, keys: list[str], start: Callable[[], Callable[[tuple, dict[str, list]], dict | None]], ddl: str
+) -> DataFrame:
+    """Apply a function to all rows of a key together; for many small groups of bounded size.
+
+    The rows are dealt by the keys and sorted by them, and a task walks through its groups in order.
+    """
+    schema = T.StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        made: list[dict] = []
+
+        def result(key: tuple, rows: dict[str, list]) -> None:
+            out = work(key, rows)
+            if out is not None and len(next(iter(out.values()))):
+                made.append(out)
+
+        key, held = None, {n: [] for n in names}
+        for batch in batches:
+            columns = batch.to_pydict()
+            row_keys = list(zip(*(columns[k] for k in keys)))
+            low = 0
+            for i in range(len(row_keys) + 1):
+                if i < len(row_keys) and row_keys[i] == key:
+                    continue
+                for n in names:
+                    held[n] += columns[n][low:i]
+                low = i
+                if i < len(row_keys):
+                    if held[keys[0]]:
+                        result(key, held)
+                    key, held = row_keys[i], {n: [] for n in names}
+            if made:
+                yield _joined(made, arrow)
+                made.clear()
+        if held[keys[0]]:
+            result(key, held)
+        if made:
+            yield _joined(made, arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _joined(made: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x for part in made for x in part[f.name]], type=f.type) for f in arrow], schema=arrow
+    )
+
+
+def roots_of(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For items 0 .. count - 1 and links between them, the smallest item each hangs together with."""
+    roots = np.arange(count)
+    while len(left):
+        a, b = roots[left], roots[right]
+        if (a == b).all():
+            break
+        np.minimum.at(roots, np.maximum(a, b), np.minimum(a, b))
+        while (roots != roots[roots]).any():
+            roots = roots[roots]
+    return roots

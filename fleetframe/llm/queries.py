@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetframe.llm import byte_bpe, embedding_dedup, kneser_ney, packing, pii
+from fleetframe.llm import byte_bpe, embedding_dedup, kneser_ney, ngram_join, packing, pii
 from fleetframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.train_and_score(table(spark, folder, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.joined(table(spark, folder, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -41,6 +45,7 @@ def all_queries() -> dict[str, Query]:
         "op5_packing": op5_packing,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op8_lm_scores": op8_lm_scores,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
