@@ -75,6 +75,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fields_of(df: DataFrame) -> str:
+    """The columns of a frame as DDL."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 class Memo:
     """Values of a function by key, of bounded number: the older half goes when the younger one is full.
 

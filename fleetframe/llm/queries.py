@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetframe.llm import byte_bpe, embedding_dedup, kneser_ney, ngram_join, packing, pii
+from fleetframe.llm import byte_bpe, embedding_dedup, kneser_ney, ngram_join, packing, pii, toxicity
 from fleetframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.found(docs, pii.train(docs))
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.train_and_score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = byte_bpe.encoded(table(spark, folder, "documents"), keep_ids=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -41,6 +45,7 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
+        "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_packing": op5_packing,
         "op6_embedding_dedup": op6_embedding_dedup,
