@@ -26,7 +26,7 @@ from fleetframe.session import pin
 
 THRESHOLD = 0.9
 # Bounds of the fit: vectors in the sample, centres, passes.
-SAMPLE_VECTORS = 40_000
+SAMPLE_VECTORS = 16_000
 MOST_CENTRES = 2_048
 PASSES = 8
 # Cells that a vector belongs to: its own and the next nearest.

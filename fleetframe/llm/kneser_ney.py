@@ -54,8 +54,9 @@ RESULT = (
 PARTS = "bucket int, keys binary, counts binary"
 
 
-def hash_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def hash_of(word: bytes) -> bytes:
+    """A hash of 64 bits, the highest byte first."""
+    return xxhash.xxh3_64_digest(word)
 
 
 # No word holds a line break.
@@ -78,11 +79,12 @@ def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     found, stops, total = [], [], 0
     for text in texts:
         tokens = memo.all(words_of(text))
-        tokens.append(END)
-        found.append(np.array(tokens, dtype=np.uint64))
-        total += len(tokens)
+        found += tokens
+        found.append(END)
+        total += len(tokens) + 1
         stops.append(total)
-    return np.concatenate(found) if found else np.zeros(0, np.uint64), np.array(stops, dtype=np.int64)
+    hashes = np.frombuffer(b"".join(found), dtype=">u8").astype(np.uint64)
+    return hashes, np.array(stops, dtype=np.int64)
 
 
 # --- Sorted keys and counts as compact bytes ---------------------------------------------------

@@ -328,8 +328,8 @@ def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The same columns, one row of each class: the one with the smallest id.
 
-    Rows with that id are taken once each; rows with a null id stay.
+    Of rows with one id those with equal texts are taken once. Rows with a null id stay.
     """
-    kept = joined(docs, threshold).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    kept = joined(docs, threshold).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.filter(docs["doc_id"].isNull()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetframe.llm import byte_bpe, embedding_dedup, kneser_ney, ngram_join, packing, pii, toxicity
+from fleetframe.llm import byte_bpe, embedding_dedup, fingerprints, kneser_ney, ngram_join, packing, pii, quality, toxicity
 from fleetframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +34,19 @@ def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.grouped(table(spark, folder, "embeddings"))
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, folder, "documents"))
+
+
 def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.train_and_score(table(spark, folder, "documents"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
 def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.joined(table(spark, folder, "documents"))
 
@@ -49,7 +58,9 @@ def all_queries() -> dict[str, Query]:
         "op3_byte_bpe": op3_byte_bpe,
         "op5_packing": op5_packing,
         "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_fingerprints": op7_fingerprints,
         "op8_lm_scores": op8_lm_scores,
+        "op9_quality": op9_quality,
         "op10_ngram_join": op10_ngram_join,
     }
 
