@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetframe.llm import byte_bpe, embedding_dedup, fingerprints, kneser_ney, ngram_join, packing, pii, quality, toxicity
+from fleetframe.llm import byte_bpe, embedding_dedup, fingerprints, kneser_ney, ngram_join, packing, pii, quality, secrets, toxicity
 from fleetframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secrets.found(docs, secrets.train(docs))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"))
 
@@ -56,6 +61,7 @@ def all_queries() -> dict[str, Query]:
         "op1_pii": op1_pii,
         "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_secrets": op4_secrets,
         "op5_packing": op5_packing,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_fingerprints": op7_fingerprints,
