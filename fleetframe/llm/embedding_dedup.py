@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetframe.llm.common import SAMPLE_SEED
 from fleetframe.plans.components import components
-from fleetframe.session import pin
+from fleetframe.session import stored
 
 THRESHOLD = 0.9
 # Bounds of the fit: vectors in the sample, centres, passes.
@@ -181,7 +181,7 @@ def grouped(
         "vec_id",
         F.when(F.coalesce(fit, F.lit(False)), value).alias("embedding"),
     ).withColumn("class", F.when(F.col("embedding").isNotNull(), F.xxhash64(F.transform("embedding", lambda x: x + F.lit(0).cast(kind)))))
-    classes = pin(
+    classes = stored(
         keyed.filter("class IS NOT NULL")
         .groupBy("class")
         .agg(F.min("embedding").alias("embedding"), F.count(F.lit(1)).alias("weight"))
@@ -192,7 +192,7 @@ def grouped(
     if not total:
         return _result(members, None)
     centres = fit_centres(classes, total)
-    in_cells = pin(placed(classes, centres, visits)).withColumn("cell", F.explode("cells"))
+    in_cells = stored(placed(classes, centres, visits)).withColumn("cell", F.explode("cells"))
     # One row per cell: at most the centres and one more per vector length.
     sizes = in_cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
     numbered = in_cells.join(sizes, "cell").withColumn(
@@ -212,7 +212,7 @@ def grouped(
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return compare_blocks(part, int(key[0]), int(key[1]), int(key[2]), threshold)
 
-    found = pin(
+    found = stored(
         units.groupBy("cell", "first", "second").applyInPandas(compare, "class bigint, links bigint, root bigint")
     )
     links = found.groupBy("class").agg(F.sum("links").alias("links"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetframe.llm.common import Memo, map_chunks, map_groups, roots_of, texts_of
 from fleetframe.plans.components import components
-from fleetframe.session import pin
+from fleetframe.session import stored
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -257,8 +257,8 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Links count other documents with a similarity of at least ``threshold``, equal texts included.
     """
     texts = texts_of(docs)
-    rows = pin(described(docs))
-    classes = pin(
+    rows = stored(described(docs))
+    classes = stored(
         rows.filter("class IS NOT NULL")
         .groupBy("class")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("values").alias("values"))
@@ -271,7 +271,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .join(classes.select("class", "rep", "weight"), "class")
     )
     groups = _with_texts(wanted, texts)
-    found = pin(verified_links(groups, threshold))
+    found = stored(verified_links(groups, threshold))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     whole = components(found.filter("class <> root"), "class", "root").withColumnRenamed("node", "class")
     linked = (
