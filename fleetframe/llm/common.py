@@ -83,14 +83,21 @@ def fields_of(df: DataFrame) -> str:
 class Memo:
     """Values of a function by key, of bounded number: the older half goes when the younger one is full.
 
-    Keys longer than ``longest`` are computed each time.
+    Keys longer than ``longest`` are computed each time. A worker serves one operator after another, so
+    only the memo used last keeps its values.
     """
 
+    _last: Memo | None = None
+
     def __init__(self, value_of: Callable, size: int, longest: int) -> None:
         self.value_of, self.size, self.longest = value_of, size // 2, longest
         self.young, self.old = _Kept(self), {}
 
     def all(self, keys: Iterable) -> list:
+        if Memo._last is not self:
+            if Memo._last is not None:
+                Memo._last.young, Memo._last.old = _Kept(Memo._last), {}
+            Memo._last = self
         if len(self.young) >= self.size:
             self.old, self.young = dict(self.young), _Kept(self)
         return list(map(self.young.__getitem__, keys))

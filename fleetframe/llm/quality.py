@@ -24,7 +24,7 @@ from fleetframe.llm.common import Memo, fields_of, map_chunks, sampled_ids, text
 
 BITS = 16
 # Bound of the labelled texts that are learned from: so many of each grade.
-EXAMPLES_OF_A_GRADE = 3_000
+EXAMPLES_OF_A_GRADE = 2_000
 GRADES = 3
 # Of the good texts set aside, at most this share may fall below the limit.
 GOOD_LOST = 0.002
@@ -112,8 +112,8 @@ def fit_ordinal(
 
     The thresholds are a first one and positive gaps, so they stay in order.
     """
-    slots = np.concatenate([s for s, _ in rows])
-    values = np.concatenate([v for _, v in rows])
+    slots = np.concatenate([s for s, _ in rows]).astype(np.int32)
+    values = np.concatenate([v for _, v in rows]).astype(np.float32)
     owner = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
     starts = np.searchsorted(owner, np.arange(len(rows)))
     weights = np.zeros(1 << BITS)
