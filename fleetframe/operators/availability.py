@@ -13,8 +13,8 @@ from fleetframe.session import pin
 from fleetframe.sources.tables import RentalTables
 
 def booked_ranges(tables: RentalTables, requests: DataFrame) -> DataFrame:
-    """(car, start, end) of bookings that have a payment for a car, one row per
-    payment and car, limited to dates the requests can touch.
+    """(car, start, end, weight) of bookings that have a payment for a car; the
+    weight counts payments. Limited to dates the requests can touch.
 
     Bookings wholly before the first or after the last requested day cannot
     change any count, so they are filtered out at the scan. The rest, usually
@@ -33,7 +33,7 @@ def booked_ranges(tables: RentalTables, requests: DataFrame) -> DataFrame:
     ).select("transaction_id", "start_date", "end_date")
     return tables.car_transaction.join(
         measured(paid).hinted(), F.col("transaction_transaction_id") == F.col("transaction_id")
-    ).select("car_car_id", "start_date", "end_date", F.lit(1).alias("weight"))
+    ).groupBy("car_car_id", "start_date", "end_date").agg(F.count("*").alias("weight"))
 
 
 def availability_conflicts(requests: DataFrame, tables: RentalTables) -> DataFrame:

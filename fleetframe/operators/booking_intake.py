@@ -23,6 +23,7 @@ from fleetframe.operators.intake import (
 from fleetframe.plans.lookups import measured
 from fleetframe.plans.paging import with_positions
 from fleetframe.session import pin
+from fleetframe.sources.batches import write_batch
 from fleetframe.sources.tables import MONEY, SCHEMAS, RentalTables
 
 def validate_bookings(requests: DataFrame, as_of: dt.date) -> DataFrame:
@@ -116,7 +117,7 @@ def resolve_booking_customer(validated: DataFrame, customer: DataFrame) -> DataF
     decided = unique_reason(
         checked, customer, _NEW_CUSTOMER_RULES, F.col("_new") & F.col(REASON).isNull()
     )
-    outcome = measured(decided.withColumn(REASON, F.coalesce(REASON, "_taken")).drop("_taken"))
+    outcome = measured(decided.withColumn(REASON, F.coalesce(REASON, "_taken")).drop("_taken"), keep=True)
     decided = outcome.frame
 
     added = decided.filter(F.col("_new") & F.col(REASON).isNull()).select(
@@ -199,6 +200,8 @@ class BookingBatch:
     booking: DataFrame
     transaction: DataFrame
     car_transaction: DataFrame
+    # One row: the highest number of each id series after the batch.
+    highest: DataFrame
 
     def applied_to(self, tables: RentalTables) -> RentalTables:
         """The snapshot after the batch."""
@@ -207,27 +210,44 @@ class BookingBatch:
             **{name: getattr(tables, name).unionByName(getattr(self, name)) for name in names}
         )
 
-    def append_to(self, folder: str) -> None:
-        """Append the new rows under ``folder``, bookings last.
+    def parts(self) -> dict[str, DataFrame]:
+        """What a batch writes, by table."""
+        names = ("customer", "car_transaction", "transaction", "booking")
+        return {**{name: getattr(self, name) for name in names}, "decision": self.decisions}
 
-        A booking becomes visible only once its payment rows are written.
+    def append_to(self, folder: str, batch_id: int) -> bool:
+        """Write the new rows and decisions as one batch, all or nothing.
+
+        The batch is visible to ``read_parquet_tables`` once all of it is written. After a failure it
+        can be processed and written again under its number. False if it is already there.
         """
-        for name in ("customer", "car_transaction", "transaction", "booking"):
-            getattr(self, name).write.mode("append").parquet(f"{folder}/{name}")
+        spark = self.decisions.sparkSession
+        return write_batch(spark, folder, batch_id, self.parts(), self.highest.first().asDict())
+
+
+def booking_series(tables: RentalTables, highest: dict[str, int] | None = None) -> list[IdSeries]:
+    known = highest or {}
+    return [
+        IdSeries(tables.booking, "booking_id", "BK", 10, known.get("booking_id")),
+        IdSeries(tables.transaction, "transaction_id", "TX", 12, known.get("transaction_id")),
+    ]
 
 
-def post_bookings(accepted: DataFrame, tables: RentalTables, now: dt.datetime) -> dict[str, DataFrame]:
+def post_bookings(
+    accepted: DataFrame, tables: RentalTables, now: dt.datetime, highest: dict[str, int] | None = None
+) -> dict[str, DataFrame]:
     """Booking, payment and car rows of accepted, priced requests.
 
-    Everything is cut from one pinned frame, so the three outputs agree.
+    Everything is cut from one pinned frame, so the three outputs agree. ``highest`` gives the highest
+    numbers in use; without it the tables' ids are looked at.
     """
-    numbered = pin(
-        assign_ids(
-            accepted,
-            IdSeries(tables.booking, "booking_id", "BK", 10),
-            IdSeries(tables.transaction, "transaction_id", "TX", 12),
-        )
-    )
+    series = booking_series(tables, highest)
+    numbered = pin(assign_ids(accepted, *series))
+    added = numbered.agg(F.count("*").alias("added"))
+    after = [
+        (F.lit(s.highest).cast("long") if s.highest is not None else s.highest_in_use().scalar()) + F.col("added")
+        for s in series
+    ]
     moment = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
     booking = numbered.select(
         "booking_id",
@@ -255,6 +275,7 @@ def post_bookings(accepted: DataFrame, tables: RentalTables, now: dt.datetime) -
         "transaction": transaction.select(*SCHEMAS["transaction"].names),
         "car_transaction": bridge,
         "ids": numbered.select("arrival", "booking_id", "transaction_id"),
+        "highest": added.select(*[a.alias(s.column) for a, s in zip(after, series)]),
     }
 
 
@@ -268,10 +289,14 @@ def decide_bookings(requests: DataFrame, tables: RentalTables, as_of: dt.date, s
 
 
 def process_booking_requests(
-    requests: DataFrame, tables: RentalTables, now: dt.datetime, seed: int = 0
+    requests: DataFrame,
+    tables: RentalTables,
+    now: dt.datetime,
+    seed: int = 0,
+    highest: dict[str, int] | None = None,
 ) -> BookingBatch:
     """Run a batch of requests as if they came one after another at ``now``."""
     decided = pin(decide_bookings(requests, tables, now.date(), seed))
-    posted = post_bookings(decided.filter(F.col(REASON).isNull()), tables, now)
+    posted = post_bookings(decided.filter(F.col(REASON).isNull()), tables, now, highest)
     decisions = decided.select("arrival", REASON).join(posted.pop("ids"), "arrival", "left")
     return BookingBatch(decisions=decisions, customer=customers_from_bookings(decided), **posted)

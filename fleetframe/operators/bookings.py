@@ -17,7 +17,8 @@ from fleetframe.functions import (
     wildcard_match,
 )
 from fleetframe.plans.lookups import Measured, matching_rows, measured
-from fleetframe.plans.paging import SHALLOW_ROWS, page_rows, top_rows
+from fleetframe.plans.paging import is_deep, page_keys, page_rows, top_rows, with_page_keys
+from fleetframe.sources.sinks import json_answer
 from fleetframe.sources.tables import RentalTables
 
 _BOOKING = ["booking_id", "date_preserved", "start_date", "end_date", "customer_id_card", "staff_staff_id"]
@@ -44,6 +45,19 @@ def _is_today(as_of: dt.date) -> Column:
     return same_day(start, as_of) | same_day(end, as_of) | ((start <= today) & (end >= today))
 
 
+def _paid(bookings: DataFrame, payments: DataFrame) -> DataFrame:
+    """Bookings with each of their payments, or with none.
+
+    An inner join and the bookings without a match: adaptive execution splits a booking with very
+    many payments in an inner join, but not on the right side of an outer one.
+    """
+    payment = payments.select("transaction_id", "booking_booking_id", *_PAYMENT)
+    same = F.col("booking_id") == F.col("booking_booking_id")
+    with_payment = bookings.join(payment, same).drop("booking_booking_id")
+    without = bookings.join(payment.select("booking_booking_id"), same, "left_anti")
+    return with_payment.unionByName(without, allowMissingColumns=True)
+
+
 def _details(
     bookings: DataFrame,
     payments: DataFrame,
@@ -55,19 +69,26 @@ def _details(
     """Bookings per (booking, amount, method) with the list of their cars.
 
     Two different payments of a booking give two rows, two equal ones give one.
-    ``rentals`` holds (rental_payment, car columns). Cars are counted per group
-    and label before the lists are built, so repeated cars are merged on the map
-    side; with ``repeat`` a label is listed once per occurrence, else once.
-    ``keep`` filters the joined rows before they are grouped.
+    ``rentals`` holds (rental_payment, car columns). Cars are counted per payment
+    before they meet the payments, and per group before the lists are built, each
+    time partly on the map side; with ``repeat`` a label is listed once per
+    occurrence, else once. ``keep`` filters the joined rows before they are grouped.
     """
-    payment = payments.select("transaction_id", "booking_booking_id", *_PAYMENT)
-    rows = bookings.join(payment, F.col("booking_id") == F.col("booking_booking_id"), "left").join(
-        rentals, F.col("transaction_id") == F.col("rental_payment"), "left"
+    columns = [c for c in rentals.columns if c != "rental_payment"]
+    counted = (
+        rentals.filter(F.col("rental_payment").isNotNull())
+        .groupBy("rental_payment", *columns)
+        .agg(F.count("*").alias("times"))
     )
+    paid = _paid(bookings, payments)
+    same = F.col("transaction_id") == F.col("rental_payment")
+    with_car = paid.join(counted, same).drop("rental_payment")
+    without = paid.join(counted.select("rental_payment"), same, "left_anti").withColumn("times", F.lit(1).cast("long"))
+    rows = with_car.unionByName(without, allowMissingColumns=True)
     if keep is not None:
         rows = rows.filter(keep)
     group = [*_BOOKING, *_PAYMENT]
-    labelled = rows.groupBy(*group, F.col(label).alias("label")).agg(F.count("*").alias("times"))
+    labelled = rows.groupBy(*group, F.col(label).alias("label")).agg(F.sum("times").alias("times"))
     entry = "label"
     if repeat:
         entry = "concat(repeat(concat(label, ', '), cast(times - 1 as int)), label)"
@@ -258,17 +279,55 @@ def search_bookings(
     Rows are filtered before they are grouped: a booking found by a car name
     only lists the matching cars. A page past the end is empty.
     """
-    matches = _matching_bookings(tables, query)
+    return _search_page(tables, query, _matching_bookings(tables, query), as_of, page, per_page)
+
+
+def _search_page(
+    tables: RentalTables, query: str, matches: DataFrame, as_of: dt.date, page: int, per_page: int
+) -> DataFrame:
     car_hit = wildcard_match(query, F.col("car_name")).alias("_car_hit")
     # A booking that matches by itself keeps all its rows.
     keep = F.col("_self") | F.coalesce(F.col("_car_hit"), F.lit(False))
-    last = max(page, 1) * per_page
-    nearby = tables
-    if last <= SHALLOW_ROWS:
-        newest = measured(top_rows(matches, _newest_bookings(), last))
-        nearby, matches = _tables_around(tables, newest), newest.frame
-    details = _details_with_car_names(nearby, matches, as_of, keep, F.col("car_name"), car_hit)
-    return page_rows(details, newest_first(), page, per_page)
+
+    def details(few: Measured) -> DataFrame:
+        nearby = _tables_around(tables, few)
+        return _details_with_car_names(nearby, few.frame, as_of, keep, F.col("car_name"), car_hit)
+
+    keys = ["Date_Preserved", "Booking_ID", "Total_Amount", "Payment_Method"]
+    if not is_deep(page, per_page):
+        newest = measured(top_rows(matches, _newest_bookings(), max(page, 1) * per_page))
+        return page_rows(details(newest), newest_first(), page, per_page, keys)
+    # Only keys are sorted; the details are built for the bookings of the page.
+    wanted = page_keys(_detail_keys(tables, query, matches).toDF(*keys), newest_first(), page, per_page)
+    wanted = measured(wanted).hinted()
+    on_page = wanted.select(F.col("Booking_ID").alias("_wanted")).distinct()
+    few = measured(matches.join(F.broadcast(on_page), F.col("booking_id") == F.col("_wanted"), "left_semi"))
+    return with_page_keys(details(few), wanted, keys).orderBy("position").drop("position")
+
+
+def _detail_keys(tables: RentalTables, query: str, matches: DataFrame) -> DataFrame:
+    """(date, booking, amount, method) of the detail rows that match, without their lists."""
+    keys = ["date_preserved", "booking_id", *_PAYMENT]
+    by_self = _paid(matches.filter("_self"), tables.transaction).select(*keys)
+    hits = tables.car.filter(wildcard_match(query, F.col("car_name"))).select("car_id")
+    rented = tables.car_transaction.join(hits, F.col("car_car_id") == F.col("car_id"), "left_semi")
+    payment = tables.transaction.join(
+        rented.select("transaction_transaction_id"),
+        F.col("transaction_id") == F.col("transaction_transaction_id"),
+        "left_semi",
+    ).select("booking_booking_id", *_PAYMENT)
+    by_car = matches.filter(~F.col("_self")).join(payment, F.col("booking_id") == F.col("booking_booking_id"))
+    return by_self.unionByName(by_car.select(*keys)).distinct()
+
+
+def search_bookings_answer(
+    tables: RentalTables, query: str, as_of: dt.date, page: int = 1, per_page: int = 100
+) -> DataFrame:
+    """``search_bookings`` and its totals as one JSON answer, from one evaluation of the matches."""
+    matches = measured(_matching_bookings(tables, query)).frame
+    rows = _search_page(tables, query, matches, as_of, page, per_page)
+    meta = search_meta(matches.agg(F.count("*").alias("total")), page, per_page)
+    return json_answer(rows, meta, newest_first(), per_page)
 
 
 def search_meta(total: DataFrame, page: int, per_page: int) -> DataFrame:

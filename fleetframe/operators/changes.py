@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
+from fleetframe.operators.notifications import (
+    customer_change_notifications,
+    failure_notifications,
+    staff_change_notifications,
+)
 from fleetframe.plans.lookups import measured
+from fleetframe.session import pin
+from fleetframe.sources.batches import write_batch
 
 
 def _apply(table: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -41,3 +51,33 @@ def apply_customer_changes(customer: DataFrame, changes: DataFrame) -> DataFrame
 
 def apply_staff_changes(staff: DataFrame, changes: DataFrame) -> DataFrame:
     return _apply(staff, changes, "staff_id", ["name", "position", "contact"])
+
+
+@dataclass(frozen=True)
+class EditBatch:
+    """Outcome of a batch of edits: the changed table and the log entries of the same edits."""
+
+    table: str
+    snapshot: DataFrame
+    notification: DataFrame
+
+    def write_to(self, folder: str, batch_id: int) -> bool:
+        """Write the new snapshot and the log entries, visible together or not at all."""
+        parts = {self.table: self.snapshot, "notification": self.notification}
+        return write_batch(self.snapshot.sparkSession, folder, batch_id, parts, {})
+
+
+def process_customer_changes(customer: DataFrame, changes: DataFrame, now: dt.datetime) -> EditBatch:
+    edits = pin(changes)
+    return EditBatch("customer", apply_customer_changes(customer, edits), customer_change_notifications(edits, now))
+
+
+def process_staff_changes(
+    staff: DataFrame, changes: DataFrame, now: dt.datetime, failures: DataFrame | None = None
+) -> EditBatch:
+    """``failures`` are edits that could not be written, with their ``error``; they are logged too."""
+    edits = pin(changes)
+    log = staff_change_notifications(edits, now)
+    if failures is not None:
+        log = log.unionByName(failure_notifications(failures, now))
+    return EditBatch("staff", apply_staff_changes(staff, edits), log)

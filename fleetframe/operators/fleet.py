@@ -48,15 +48,16 @@ def popular_classes(tables: RentalTables) -> DataFrame:
 
     A car counts once per rental in the mean rate, and once if never rented.
     """
+    bridge_rows = F.coalesce(F.col("bridge_rows"), F.lit(0))
     rentals = F.coalesce(F.col("rentals"), F.lit(0))
-    weight = F.greatest(rentals, F.lit(1))
+    weight = F.greatest(bridge_rows, F.lit(1))
     per_class = (
         tables.car.select("car_id", "car_price", "car_class_cc_id")
         .join(rentals_per_car(tables), F.col("car_id") == F.col("rented_car_id"), "left")
         .groupBy("car_class_cc_id")
         .agg(
             F.count("car_id").alias("cars"),
-            F.sum(rentals).alias("rentals"),
+            F.sum(bridge_rows).alias("rentals"),
             F.sum("revenue").alias("revenue"),
             F.sum(F.col("car_price") * weight.cast("decimal(15,0)")).alias("rates"),
             F.sum(F.when(F.col("car_price").isNotNull(), weight)).alias("rated"),

@@ -55,7 +55,7 @@ def unique_reason(
     the batch. Rows that are not open are passed through and take nothing. Adds
     ``_taken``, the message of the first rule broken.
     """
-    batch = measured(requests.withColumn("_open", open_rows))
+    batch = measured(requests.withColumn("_open", open_rows), keep=True)
     asking = batch.where(F.col("_open"))
     marked = batch.frame
     for i, (column, master_column, _) in enumerate(rules):
@@ -197,17 +197,26 @@ def ingest_cars(requests: DataFrame, car: DataFrame, car_class: DataFrame, as_of
 
 @dataclass(frozen=True)
 class IdSeries:
-    """Ids of a table: the column, and a prefix with a zero-padded number."""
+    """Ids of a table: the column, and a prefix with a zero-padded number.
+
+    ``highest`` is the highest number in use, where it is known; else all ids are looked at.
+    """
 
     table: DataFrame
     column: str
     prefix: str
     width: int
+    highest: int | None = None
+
+    def highest_in_use(self) -> DataFrame:
+        """One row with the highest number."""
+        suffix = F.regexp_extract(F.col(self.column), r"([0-9]+)\z", 1).try_cast("long")
+        return self.table.agg(F.coalesce(F.max(suffix), F.lit(0).cast("long")).alias("highest"))
 
     def after_highest(self, position: Column) -> Column:
         """The id for a 0-based position, counted on from the highest number in use."""
-        suffix = F.regexp_extract(F.col(self.column), r"([0-9]+)\z", 1).try_cast("long")
-        highest = self.table.agg(F.coalesce(F.max(suffix), F.lit(0).cast("long"))).scalar()
+        known = self.highest is not None
+        highest = F.lit(self.highest).cast("long") if known else self.highest_in_use().scalar()
         number = (position + highest + 1).cast("string")
         padded = F.lpad(number, self.width, "0")
         return F.concat(

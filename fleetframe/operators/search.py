@@ -21,7 +21,7 @@ def search_customers(
 ) -> DataFrame:
     """One page of the customers with a match in any column, by name."""
     found = customer_columns(_matching_customers(tables, query))
-    return page_rows(found, [F.asc("Name"), F.asc("ID_Card")], page, per_page)
+    return page_rows(found, [F.asc("Name"), F.asc("ID_Card")], page, per_page, ["Name", "ID_Card"])
 
 
 def search_customers_meta(

@@ -8,33 +8,42 @@ from bisect import bisect_left
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from fleetframe.plans.components import LAST_LINKS, components
 from fleetframe.plans.intervals import with_overlap_count
-from fleetframe.session import pin
+from fleetframe.session import pin, stored
 
 
-# After so many rounds the accepted rows are written out as one frame, which
-# keeps the plan short.
-FOLD_EVERY = 32
+# Rounds of "earliest claim wins" before what is left is settled by components.
+SIMPLE_ROUNDS = 2
+
+# Rows handed to one Python call, about. A larger component or group is handled
+# in further rounds.
+GROUP_ROWS = 50_000
 
 
-def accept_unique(rows: DataFrame, arrival: str, keys: list[str]) -> DataFrame:
+def accept_unique(
+    rows: DataFrame, arrival: str, keys: list[str], group_rows: int | None = None, last_links: int = LAST_LINKS
+) -> DataFrame:
     """Arrivals accepted when each key value may be taken once.
 
     Rows are handled as if one after another: a row is turned away when an
     earlier *accepted* row already took one of its key values; values of rows
     turned away stay free. ``arrival`` must be unique. NULL keys never collide.
 
-    Each round accepts every undecided row that arrived first for all its key
-    values, then drops the rows that share a value with one of those. At least
-    the earliest undecided row is settled per round; the number of rounds is
-    the length of the longest chain of collisions, not the number of rows.
-    Only (arrival, key kind, key value) travels, and minima per key value are
-    combined before the shuffle, so a value shared by very many rows is cheap.
+    A simple round accepts every undecided row that arrived first for all its key
+    values, then drops the rows that share a value with one of those; minima per
+    key value are combined before the shuffle, so a value shared by very many rows
+    is cheap. That settles all but chains of collisions. What is left falls into
+    components that share no value; they are found in rounds that grow with the
+    logarithm of the longest chain, and each is settled in order of arrival by one
+    pandas call. Of a component above ``group_rows`` claims, about so many of the
+    earliest are settled at a time.
 
     Returns one column, ``arrival``.
     """
+    group_rows = GROUP_ROWS if group_rows is None else group_rows
     pairs = F.array(
-        *[F.struct(F.lit(i).alias("kind"), F.col(key).alias("value")) for i, key in enumerate(keys)]
+        *[F.struct(F.lit(i).alias("kind"), F.col(key).cast("string").alias("value")) for i, key in enumerate(keys)]
     )
     claims = (
         rows.select(F.col(arrival).alias("arrival"), F.explode(pairs).alias("_claim"))
@@ -45,33 +54,86 @@ def accept_unique(rows: DataFrame, arrival: str, keys: list[str]) -> DataFrame:
     accepted = free.filter(~F.col("bound")).select("arrival")
     open_claims = claims.filter(F.col("value").isNotNull())
 
-    rounds = 0
-    while not open_claims.isEmpty():
-        rounds += 1
+    for _ in range(SIMPLE_ROUNDS):
         first = open_claims.groupBy("kind", "value").agg(F.min("arrival").alias("first_arrival"))
-        winners = pin(
+        winners = stored(
             open_claims.join(first, ["kind", "value"])
             .groupBy("arrival")
             .agg(F.min(F.col("arrival") == F.col("first_arrival")).alias("wins"))
             .filter("wins")
             .select("arrival")
         )
-        taken = open_claims.join(winners, "arrival", "left_semi").select("kind", "value")
-        settled = open_claims.join(taken, ["kind", "value"], "left_semi").select("arrival").distinct()
-        open_claims = pin(open_claims.join(settled, "arrival", "left_anti"))
         accepted = accepted.unionByName(winners)
-        if rounds % FOLD_EVERY == 0:
-            accepted = pin(accepted)
-    return accepted
+        open_claims = _without_taken(open_claims, winners)
+        if open_claims.isEmpty():
+            return accepted
+
+    value_node = F.concat(F.lit("v"), F.col("kind").cast("string"), F.lit(":"), F.col("value"))
+    ends = open_claims.select(F.concat(F.lit("a"), F.col("arrival").cast("string")).alias("row"), value_node.alias("held"))
+    labels = components(ends, "row", "held", last_links).filter("node LIKE 'a%'")
+    named = labels.select(
+        F.substring("node", 2, 20).cast("bigint").alias("arrival"), F.xxhash64("component").alias("part")
+    )
+    waiting = stored(open_claims.join(named, "arrival"))
+    while True:
+        sizes = waiting.groupBy("part").count()
+        largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
+        if not total:
+            return accepted
+        calls = _calls(waiting, total, group_rows)
+        if largest <= group_rows:
+            return accepted.unionByName(_settled(waiting, calls))
+        cut = waiting.groupBy("part").agg(
+            F.count("*").alias("_size"),
+            F.percentile_approx("arrival", group_rows / largest, 100_000).alias("_cut"),
+        )
+        turn = (F.col("_size") <= group_rows) | (F.col("arrival") <= F.col("_cut"))
+        marked = stored(waiting.join(cut, "part").select(*waiting.columns, turn.alias("_turn")))
+        newly = stored(_settled(marked.filter("_turn").drop("_turn"), calls))
+        accepted = accepted.unionByName(newly)
+        taken = marked.join(newly, "arrival", "left_semi").select("kind", "value")
+        later = marked.filter(~F.col("_turn")).drop("_turn")
+        hit = later.join(taken, ["kind", "value"], "left_semi").select("arrival").distinct()
+        waiting = stored(later.join(hit, "arrival", "left_anti"))
 
 
-# Rows handed to one Python call, about. A group with more distinct date ranges
-# than this is handled in further rounds.
-GROUP_ROWS = 50_000
+def _without_taken(open_claims: DataFrame, winners: DataFrame) -> DataFrame:
+    """Claims of rows that share no value with a winner."""
+    taken = open_claims.join(winners, "arrival", "left_semi").select("kind", "value")
+    settled = open_claims.join(taken, ["kind", "value"], "left_semi").select("arrival").distinct()
+    return stored(open_claims.join(settled, "arrival", "left_anti"))
+
+
+def _calls(rows: DataFrame, total: int, group_rows: int) -> int:
+    """Python calls for so many rows: enough for all cores, and for the bound on a call."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // group_rows))
+
+
+def _settled(claims: DataFrame, calls: int) -> DataFrame:
+    """Accepted arrivals of (arrival, kind, value, part); parts share no values.
+
+    Whole parts are dealt to ``calls`` Python calls.
+    """
+
+    # Nested, so that it travels to the workers whole; they need not have this package.
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        taken: set = set()
+        fits = []
+        rows = rows.sort_values("arrival", kind="stable")
+        for arrival, own in rows.groupby("arrival", sort=False):
+            values = set(zip(own["kind"], own["value"]))
+            if not values & taken:
+                taken |= values
+                fits.append(arrival)
+        return pd.DataFrame({"arrival": fits}, dtype="int64")
+
+    dealt = claims.withColumn("call", F.pmod(F.xxhash64("part"), F.lit(calls)))
+    kind = claims.schema["arrival"].dataType.simpleString()
+    return dealt.groupBy("call").applyInPandas(settle, schema=f"arrival {kind}")
 
 
 def accept_disjoint(
-    rows: DataFrame, arrival: str, group: str, start: str, end: str, group_rows: int = GROUP_ROWS
+    rows: DataFrame, arrival: str, group: str, start: str, end: str, group_rows: int | None = None
 ) -> DataFrame:
     """Arrivals accepted when the accepted date ranges of a group may not touch.
 
@@ -88,6 +150,7 @@ def accept_disjoint(
 
     Returns one column, ``arrival``.
     """
+    group_rows = GROUP_ROWS if group_rows is None else group_rows
     waiting = pin(
         rows.groupBy(
             F.col(group).alias("grp"), F.col(start).alias("start"), F.col(end).alias("end")
@@ -97,7 +160,7 @@ def accept_disjoint(
     while True:
         sizes = waiting.groupBy("grp").count()
         largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
-        calls = max(1, -(-(total or 0) // group_rows))
+        calls = _calls(waiting, total or 0, group_rows)
         if (largest or 0) <= group_rows:
             newly = _greedy(waiting, calls).select("arrival")
             return newly if accepted is None else accepted.unionByName(newly)

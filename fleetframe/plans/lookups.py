@@ -1,17 +1,17 @@
 """Meeting a small frame with large tables.
 
 The optimizer cannot know how few rows survive a search, a date filter or a
-top-k cut, and would shuffle the large table to be safe. Here the few rows are
-pinned, and measured while they are written: up to BROADCAST_BYTES they are sent
-to the tasks that scan the large table, beyond that the join is left to the
-optimizer.
+top-k cut, and would shuffle the large table to be safe. Here at most as many
+rows are pinned as can be broadcast. If these are all, their size is known and
+they are sent to the tasks that scan the large table. If there are more, nothing
+else is written, and the join is left to the optimizer.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetframe.session import pin
 
@@ -23,12 +23,14 @@ _VALUE_BYTES = 16
 
 @dataclass(frozen=True)
 class Measured:
-    """A pinned frame and the bytes that each of its columns holds."""
+    """A frame and the bytes that each of its columns holds; None if they are too many to send."""
 
     frame: DataFrame
-    column_bytes: dict[str, int]
+    column_bytes: dict[str, int] | None
 
     def fits_broadcast(self, *columns: str) -> bool:
+        if self.column_bytes is None:
+            return False
         wanted = columns or self.column_bytes
         return sum(self.column_bytes[c] for c in wanted) <= BROADCAST_BYTES
 
@@ -41,16 +43,26 @@ class Measured:
         return Measured(self.frame.filter(condition), self.column_bytes)
 
 
-def measured(df: DataFrame) -> Measured:
-    """Pin a frame and add up its values in the same job."""
-    seen = Observation()
+def measured(df: DataFrame, keep: bool = False) -> Measured:
+    """Pin a frame that may be small enough to send, and add up its values.
+
+    With ``keep`` the frame is pinned whatever its size, for one that feeds several branches anyway.
+    """
+    most = max(0, BROADCAST_BYTES // (_VALUE_BYTES * len(df.columns)))
+    if keep:
+        frame = pin(df)
+    elif most:
+        frame = pin(df.limit(most + 1))
+    else:
+        return Measured(df, None)
     sizes = [
-        F.sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + F.lit(_VALUE_BYTES)).alias(c)
-        for c in df.columns
+        F.sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + F.lit(_VALUE_BYTES)).alias(f"size{i}")
+        for i, c in enumerate(df.columns)
     ]
-    frame = pin(df.observe(seen, *sizes))
-    totals = seen.get
-    return Measured(frame, {c: totals[c] or 0 for c in df.columns})
+    found = frame.agg(F.count("*").alias("rows"), *sizes).first()
+    if found["rows"] > most:
+        return Measured(frame if keep else df, None)
+    return Measured(frame, {c: found[f"size{i}"] or 0 for i, c in enumerate(df.columns)})
 
 
 def matching_rows(big: DataFrame, key: str, few: Measured, few_key: str) -> DataFrame:

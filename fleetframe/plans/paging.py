@@ -44,11 +44,34 @@ def top_rows(df: DataFrame, order: list[Column], k: int | None) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
-def page_rows(df: DataFrame, order: list[Column], page: int, per_page: int) -> DataFrame:
-    """Rows of the given 1-based page, in order."""
+def is_deep(page: int, per_page: int) -> bool:
+    """Whether a page is cut by position."""
+    return max(page, 1) * per_page > SHALLOW_ROWS
+
+
+def page_keys(keys: DataFrame, order: list[Column], page: int, per_page: int) -> DataFrame:
+    """The keys of a 1-based page with their ``position``; at most ``per_page`` rows."""
     offset = (max(page, 1) - 1) * per_page
-    if offset + per_page <= SHALLOW_ROWS:
-        return df.orderBy(*order).offset(offset).limit(per_page)
-    numbered = with_positions(df, order)
-    wanted = F.col("position").between(offset, offset + per_page - 1)
-    return numbered.filter(wanted).orderBy("position").drop("position")
+    return with_positions(keys, order).filter(F.col("position").between(offset, offset + per_page - 1))
+
+
+def page_rows(df: DataFrame, order: list[Column], page: int, per_page: int, keys: list[str]) -> DataFrame:
+    """Rows of the given 1-based page, in order.
+
+    ``keys`` are the columns that ``order`` is made of; together they are unique. For a deep page only
+    they are sorted and pinned; the page's few keys are then sent to the rows.
+    """
+    if not is_deep(page, per_page):
+        return df.orderBy(*order).offset((max(page, 1) - 1) * per_page).limit(per_page)
+    wanted = page_keys(df.select(*keys), order, page, per_page)
+    return with_page_keys(df, wanted, keys).orderBy("position").drop("position")
+
+
+def with_page_keys(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with the keys of a page, and their ``position``."""
+    few = wanted.select(*[F.col(k).alias(f"_at_{k}") for k in keys], "position")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_at_{k}"))
+    # One page of keys.
+    return df.join(F.broadcast(few), same).select(*df.columns, "position")

@@ -28,7 +28,8 @@ def payments_per_booking(tables: RentalTables) -> DataFrame:
 
 
 def rentals_per_car(tables: RentalTables) -> DataFrame:
-    """One row per rented car: rentals, amounts counted, revenue.
+    """One row per rented car: rentals, bridge rows (also those without a payment
+    id), amounts counted, revenue.
 
     A payment that covers several cars counts in full for each of them.
     """
@@ -40,6 +41,7 @@ def rentals_per_car(tables: RentalTables) -> DataFrame:
         .groupBy(F.col("car_car_id").alias("rented_car_id"))
         .agg(
             F.count("transaction_transaction_id").alias("rentals"),
+            F.count("*").alias("bridge_rows"),
             F.count("amount").alias("amounts"),
             F.sum("amount").alias("revenue"),
         )

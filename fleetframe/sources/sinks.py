@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
@@ -26,16 +26,15 @@ def json_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def json_answer(page: DataFrame, meta: DataFrame, order_by: list[str]) -> DataFrame:
+def json_answer(page: DataFrame, meta: DataFrame, order: list[Column], per_page: int) -> DataFrame:
     """The search answer ``{data, total, per_page, page, total_pages}`` as one row.
 
-    ``page`` holds at most one page of rows, which bounds the collected list.
-    ``order_by`` names the columns the page is sorted on; prefix "-" for
-    descending.
+    Of ``page`` the first ``per_page`` rows in ``order`` are taken, so no more than a page is ever
+    gathered, whatever is passed in.
     """
-    listed = page.withColumn("_row", F.struct(*page.columns))
-    ordered = _numbered(listed, order_by)
-    data = ordered.agg(
+    first = page.orderBy(*order).limit(per_page)
+    listed = first.select(F.monotonically_increasing_id().alias("_n"), F.struct(*page.columns).alias("_row"))
+    data = listed.agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_n", "_row"))), lambda item: item["_row"]
         ).alias("data")
@@ -46,8 +45,3 @@ def json_answer(page: DataFrame, meta: DataFrame, order_by: list[str]) -> DataFr
             F.struct(data.alias("data"), *fields), {"ignoreNullFields": "false"}
         ).alias("json")
     )
-
-
-def _numbered(page: DataFrame, order_by: list[str]) -> DataFrame:
-    keys = [F.desc(name[1:]) if name.startswith("-") else F.asc(name) for name in order_by]
-    return page.withColumn("_n", F.row_number().over(Window.orderBy(*keys)))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from fleetframe.sources.batches import marked_batches
+
 MONEY = T.DecimalType(12, 2)
 
 
@@ -85,32 +87,67 @@ def _read_all(read: Callable[[str, T.StructType], DataFrame]) -> RentalTables:
     return RentalTables(**{name: read(name, schema) for name, schema in SCHEMAS.items()})
 
 
-def read_parquet_tables(spark: SparkSession, folder: str) -> RentalTables:
+def read_parquet_tables(spark: SparkSession, folder: str, before: int | None = None) -> RentalTables:
     """Read ``folder/<table>`` for every table with the declared schema.
 
-    Columns that come from a partitioned folder layout are left out.
+    Of a folder written in batches (``sources.batches``) only whole batches are read, and only those
+    with numbers below ``before`` if that is given; the others' files are not opened.
     """
-    return _read_all(
-        lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}").select(*schema.names)
-    )
+    whole = marked_batches(spark, folder)
+    if whole is None:
+        return _read_all(
+            lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}").select(*schema.names)
+        )
+    wanted = [n for n in whole if before is None or n < before]
+
+    def read(name: str, schema: T.StructType) -> DataFrame:
+        full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+        rows = spark.read.schema(full).parquet(f"{folder}/{name}")
+        return rows.filter(F.col("batch_id").isin(wanted)).select(*schema.names)
+
+    return _read_all(read)
 
 
-def read_jdbc_tables(
-    spark: SparkSession,
+# The tables' names in the database, where upper and lower case may differ.
+DATABASE_NAMES = {
+    "customer": "Customer",
+    "staff": "Staff",
+    "car_class": "Car_Class",
+    "car": "Car",
+    "booking": "Booking",
+    "transaction": "Transaction",
+    "car_transaction": "Car_Transaction",
+    "notification": "Notification",
+}
+SPLIT_OPTIONS = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
+def jdbc_options(
     url: str,
     properties: dict[str, str],
+    names: dict[str, str] | None = None,
     split_on: dict[str, dict[str, str]] | None = None,
-) -> RentalTables:
-    """Read the tables of a relational database over JDBC.
+    large: tuple[str, ...] = (),
+) -> dict[str, dict[str, str]]:
+    """The reader options of every table.
 
-    ``split_on`` gives, per table, the ``partitionColumn`` / ``lowerBound`` /
-    ``upperBound`` / ``numPartitions`` options with which large tables are read
-    by many tasks at once.
+    ``names`` replaces names of ``DATABASE_NAMES``. A table of ``large`` must have all SPLIT_OPTIONS
+    in ``split_on``, since without them a single task reads a table.
     """
+    options = {}
+    for table in SCHEMAS:
+        split = (split_on or {}).get(table, {})
+        if table in large and set(split) < set(SPLIT_OPTIONS):
+            raise ValueError(f"large table {table} needs {', '.join(SPLIT_OPTIONS)}")
+        options[table] = {**properties, "url": url, "dbtable": (names or {}).get(table, DATABASE_NAMES[table]), **split}
+    return options
+
+
+def read_jdbc_tables(spark: SparkSession, options: dict[str, dict[str, str]]) -> RentalTables:
+    """Read the tables of a relational database with the options of ``jdbc_options``."""
 
     def read(name: str, schema: T.StructType) -> DataFrame:
-        reader = spark.read.format("jdbc").options(url=url, dbtable=name, **properties)
-        raw = reader.options(**(split_on or {}).get(name, {})).load()
+        raw = spark.read.format("jdbc").options(**options[name]).load()
         return raw.select([raw[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
 
     return _read_all(read)

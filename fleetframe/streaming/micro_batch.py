@@ -1,8 +1,8 @@
 """Booking requests taken from a stream, one batch at a time.
 
-The tables lie in one folder, each split by ``batch_id``. Batch n reads only
-what earlier batches wrote and overwrites its own partition, so a batch that is
-run again after a failure leaves the same rows once.
+The tables lie in one folder, written in batches (``sources.batches``). Batch n reads only whole batches
+before it and becomes visible as a whole, so a batch that is run again after a failure leaves the same
+rows once. Id numbers continue from the marks of the batches; the tables' ids are not looked at again.
 """
 
 from __future__ import annotations
@@ -10,45 +10,46 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetframe.operators.booking_intake import process_booking_requests
-from fleetframe.sources.tables import SCHEMAS, RentalTables
+from fleetframe.operators.booking_intake import booking_series, process_booking_requests
+from fleetframe.sources.batches import BASE_BATCH, highest_numbers, marked_batches, write_batch
+from fleetframe.sources.tables import SCHEMAS, RentalTables, read_parquet_tables
 
-BASE_BATCH = -1
-_WRITTEN = ("customer", "car_transaction", "transaction", "booking")
 
-
-def write_base(tables: RentalTables, folder: str) -> None:
-    """Write the starting snapshot as the batch before the first."""
-    for name in SCHEMAS:
-        _write(getattr(tables, name), folder, name, BASE_BATCH)
+def write_base(tables: RentalTables, folder: str, batch_id: int = BASE_BATCH) -> None:
+    """Write a snapshot as the batch before all others."""
+    highest = {s.column: s.highest_in_use().first()["highest"] for s in booking_series(tables)}
+    write_batch(tables.spark, folder, batch_id, {n: getattr(tables, n) for n in SCHEMAS}, highest)
 
 
 def read_before(spark: SparkSession, folder: str, batch_id: int) -> RentalTables:
-    """The tables as they were before a batch; later partitions are not read."""
-
-    def read(name: str) -> DataFrame:
-        schema = T.StructType([*SCHEMAS[name].fields, T.StructField("batch_id", T.LongType())])
-        rows = spark.read.schema(schema).parquet(f"{folder}/{name}")
-        return rows.filter(F.col("batch_id") < batch_id).drop("batch_id")
-
-    return RentalTables(**{name: read(name) for name in SCHEMAS})
+    """The tables as they were before a batch; other batches are not read."""
+    return read_parquet_tables(spark, folder, before=batch_id)
 
 
-def _write(rows: DataFrame, folder: str, name: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
+def compact(spark: SparkSession, folder: str, into: str) -> int:
+    """Write all whole batches as one into a new folder; later batches go on there.
 
-
-def book_batch(requests: DataFrame, batch_id: int, folder: str, now: dt.datetime, seed: int = 0) -> None:
-    """Decide one batch of requests and write its rows and decisions."""
-    tables = read_before(requests.sparkSession, folder, batch_id)
-    batch = process_booking_requests(requests, tables, now, seed)
-    for name in _WRITTEN:
-        _write(getattr(batch, name), folder, name, batch_id)
-    _write(batch.decisions, folder, "decision", batch_id)
+    Returns the number of the last batch, under which the new folder has its snapshot. Decisions stay
+    in the old folder.
+    """
+    last = max(marked_batches(spark, folder) or [BASE_BATCH])
+    highest = highest_numbers(spark, folder, last + 1)
+    tables = read_parquet_tables(spark, folder)
+    write_batch(spark, into, last, {n: getattr(tables, n) for n in SCHEMAS}, highest)
+    return last
+
+
+def book_batch(requests: DataFrame, batch_id: int, folder: str, now: dt.datetime, seed: int = 0) -> bool:
+    """Decide one batch of requests and write its rows and decisions; False if that was done before."""
+    spark = requests.sparkSession
+    if batch_id in (marked_batches(spark, folder) or []):
+        return False
+    tables = read_before(spark, folder, batch_id)
+    highest = highest_numbers(spark, folder, batch_id)
+    return process_booking_requests(requests, tables, now, seed, highest).append_to(folder, batch_id)
 
 
 def start_booking_stream(

@@ -95,6 +95,29 @@ def test_accept_unique_with_a_third_of_rows_on_one_key(spark):
     assert got == {0} | {i for i in range(3000) if i % 3}
 
 
+@pytest.mark.parametrize("last_links", [50_000, 0])
+def test_accept_unique_with_small_calls(spark, last_links):
+    """Components above the bound of a call are settled a part at a time."""
+    rng = random.Random(7)
+    rows = [(i, *(f"{rng.randrange(90)}" for _ in range(2))) for i in rng.sample(range(10_000), 200)]
+    rows += [(20_000 + i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "n long, a string, b string")
+    got = [r[0] for r in accept_unique(frame, "n", ["a", "b"], group_rows=9, last_links=last_links).collect()]
+    assert len(got) == len(set(got)) and set(got) == sequential_unique([(*r,) for r in rows])
+
+
+def test_accept_unique_needs_few_jobs_for_long_chains(spark):
+    rows = [(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(5000)]
+    frame = spark.createDataFrame(rows, "n long, a string, b string")
+    context = spark.sparkContext
+    context.setJobGroup("chains", "chains")
+    got = sorted(r[0] for r in accept_unique(frame, "n", ["a", "b"]).collect())
+    jobs = len(context.statusTracker().getJobIdsForGroup("chains"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == list(range(0, 5000, 2))
+    assert 0 < jobs < 100
+
+
 def test_accept_unique_follows_long_chains(spark):
     """Each row shares one value with the next, so every second row is accepted."""
     rows = [(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(24)]
@@ -134,8 +157,8 @@ def test_positions_and_deep_pages_equal_the_sorted_list(spark, monkeypatch):
     numbered = paging.with_positions(frame, order()).collect()
     assert [(r.name, r.id) for r in sorted(numbered, key=lambda r: r.position)] == expected
     assert sorted(r.position for r in numbered) == list(range(1500))
-    shallow = [tuple(r) for r in paging.page_rows(frame, order(), 9, 100).collect()]
+    shallow = [tuple(r) for r in paging.page_rows(frame, order(), 9, 100, ["name", "id"]).collect()]
     monkeypatch.setattr(paging, "SHALLOW_ROWS", 10)
-    deep = [tuple(r) for r in paging.page_rows(frame, order(), 9, 100).collect()]
+    deep = [tuple(r) for r in paging.page_rows(frame, order(), 9, 100, ["name", "id"]).collect()]
     assert shallow == deep == expected[800:900]
-    assert paging.page_rows(frame, order(), 99, 100).count() == 0
+    assert paging.page_rows(frame, order(), 99, 100, ["name", "id"]).count() == 0

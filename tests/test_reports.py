@@ -140,16 +140,67 @@ def test_today_lists_every_car_occurrence(small):
     ]
 
 
-def test_lists_are_the_same_beyond_the_broadcast_bound(small, monkeypatch):
-    usual = rows(bookings.today_bookings(small, TODAY)), rows(bookings.search_bookings(small, "swift", TODAY))
+def test_hot_booking_is_split_in_the_payment_join(spark, make_tables, monkeypatch):
+    """With a third of the payments on one booking, their join is split. Cars of a payment are counted
+    per label before they meet it, so that join has one row per payment and label."""
     from fleetframe.plans import lookups
 
     monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(bookings, "SHALLOW_ROWS", 0)
-    assert usual == (
-        rows(bookings.today_bookings(small, TODAY)),
-        rows(bookings.search_bookings(small, "swift", TODAY)),
+    n = 30_000
+    tables = make_tables(
+        customer=[("1", None, "Hot", None, None)],
+        car=[("K", "Swift", "Manual", money("1.00"), None)],
+        booking=[(f"B{i}", TODAY, TODAY, TODAY, None, "1", None) for i in range(2000)],
+    )
+    numbers = spark.range(n)
+    payment = numbers.selectExpr(
+        "concat('T', id) transaction_id", "'Cash' payment_method", "cast(1 as decimal(12,2)) amount",
+        "cast(null as timestamp_ntz) payment_date", "cast(null as string) staff_staff_id",
+        "concat('B', if(id % 3 = 0, 0, id % 2000)) booking_booking_id",
+    )
+    bridge = numbers.selectExpr("'K' car_car_id", "concat('T', id) transaction_transaction_id")
+    # A payment with very many cars of different names.
+    cars = spark.range(20_000).selectExpr(
+        "concat('C', id) car_id", "concat('Car ', id) car_name", "'Manual' car_type",
+        "cast(1 as decimal(12,2)) car_price", "cast(null as string) car_class_cc_id",
+    )
+    bridge = bridge.union(cars.selectExpr("car_id", "'T5'"))
+    tables = tables.with_tables(transaction=payment, car_transaction=bridge, car=tables.car.union(cars))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = bookings.today_bookings(tables, TODAY)
+        rows = got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 2000
+    split = [line for line in plan.split("Initial Plan")[0].splitlines() if "skew=true" in line]
+    assert any("booking_booking_id" in line for line in split)
+    counted = plan.split("Initial Plan")[0]
+    assert "partial_count(1)" in counted and "rental_payment" in counted
+
+
+def test_a_bridge_row_without_payment_counts_for_its_class(make_tables):
+    tables = make_tables(
+        car_class=[("C", "City")],
+        car=[("K", "Swift", "Manual", money("10.00"), "C"), ("L", "Jazz", "Manual", money("40.00"), "C")],
+        transaction=[("T1", "Cash", money("5.00"), None, None, None)],
+        car_transaction=[("K", "T1"), ("K", None), ("K", None)],
     )
+    got = fleet.popular_classes(tables).first()
+    assert tuple(got) == ("City", 2, 3, D("5.00"), D("17.50"), D("100.00"))
+    assert fleet.class_utilization(tables).first().rental_count == 3
 
 
 def test_booking_stats(small):

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 from fleetframe.operators import bookings, customers, search
 from fleetframe.sources import sinks
 
@@ -43,7 +45,7 @@ def test_wildcards_in_customer_search(small):
 def test_json_answer(small):
     page = search.search_customers(small, "", page=1, per_page=2)
     meta = search.search_customers_meta(small, "", page=1, per_page=2)
-    answer = json.loads(sinks.json_answer(page, meta, ["Name", "ID_Card"]).first().json)
+    answer = json.loads(sinks.json_answer(page, meta, [F.asc("Name"), F.asc("ID_Card")], 2).first().json)
     assert [row["Name"] for row in answer["data"]] == ["Ana", "Budi"]
     assert {k: v for k, v in answer.items() if k != "data"} == {
         "total": 3,
@@ -52,10 +54,54 @@ def test_json_answer(small):
         "total_pages": 2,
     }
     empty = search.search_customers(small, "nobody")
-    nothing = json.loads(sinks.json_answer(empty, search.search_customers_meta(small, "nobody"), ["Name"]).first().json)
+    nothing = json.loads(sinks.json_answer(empty, search.search_customers_meta(small, "nobody"), [F.asc("Name")], 100).first().json)
     assert nothing["data"] == [] and nothing["total"] == 0 and nothing["total_pages"] == 0
 
 
+def test_booking_answer_with_nulls_and_past_the_end(small):
+    def answer(**page):
+        return json.loads(bookings.search_bookings_answer(small, "", TODAY, **page).first().json)
+
+    got = answer(per_page=3)
+    assert [r["Booking_ID"] for r in got["data"]] == ["B2", "B2", "B1"]
+    assert (got["total"], got["per_page"], got["page"], got["total_pages"]) == (4, 3, 1, 2)
+    last = answer(page=2, per_page=3)["data"]
+    assert [r["Booking_ID"] for r in last] == ["B3", "B4"]
+    assert last[1]["Customer_Name"] is None and last[1]["Cars_Rented"] is None and last[0]["Staff_Name"] is None
+    assert "Total_Amount" in last[0] and last[0]["Total_Amount"] is None
+    assert answer(page=9)["data"] == []
+
+
+def test_an_answer_never_gathers_more_than_a_page(spark, small):
+    frame = spark.range(500)
+    meta = frame.selectExpr("count(*) total")
+    answer = json.loads(sinks.json_answer(frame, meta, [F.desc("id")], 7).first().json)
+    assert [r["id"] for r in answer["data"]] == list(range(499, 492, -1))
+
+
+def test_a_common_term_writes_no_copy_of_the_tables(spark, small, make_tables, monkeypatch):
+    """What a search pins stays within the bound of a broadcast, however many rows match."""
+    import os
+
+    from fleetframe.plans import lookups
+
+    n = 4000
+    tables = make_tables(
+        customer=[("1", None, "Ana", None, None)],
+        car=[(f"K{i}", "Swift", "Manual", None, None) for i in range(50)],
+        booking=[(f"B{i}", TODAY, TODAY, TODAY, None, "1", None) for i in range(n)],
+        transaction=[(f"T{i}", "Cash", None, None, None, f"B{i}") for i in range(n)],
+        car_transaction=[(f"K{i % 50}", f"T{i}") for i in range(n)],
+    )
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 8_000)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+    before = size()
+    assert bookings.search_bookings_meta(tables, "swift").first().total == n
+    # Four candidate frames at most, each cut off at the bound.
+    assert size() - before < 4 * 8 * lookups.BROADCAST_BYTES < n * 40
+
+
 def test_customer_pages_are_clamped(small, make_tables):
     assert [r.Name for r in customers.customer_page(small, 9, 2).collect()] == ["Citra 100%"]
     assert tuple(customers.customer_page_meta(small, 9, 2).first()) == (3, 2, 2, 3, 3)

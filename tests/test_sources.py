@@ -2,9 +2,12 @@ import datetime as dt
 
 import pytest
 
-from fleetframe.sources import sinks
-from fleetframe.sources.tables import SCHEMAS, empty_tables, read_parquet_tables
-from fleetframe.streaming.micro_batch import book_batch, read_before, start_booking_stream, write_base
+from fleetframe.operators.booking_intake import process_booking_requests
+from fleetframe.operators.changes import process_customer_changes
+from fleetframe.operators.intake import IdSeries
+from fleetframe.sources import batches, sinks
+from fleetframe.sources.tables import SCHEMAS, empty_tables, jdbc_options, read_parquet_tables
+from fleetframe.streaming.micro_batch import book_batch, compact, read_before, start_booking_stream, write_base
 from test_intake import BOOKING_REQUEST, booking
 
 NOW = dt.datetime(2024, 3, 10, 8, 30)
@@ -33,14 +36,74 @@ def test_json_rows_keep_nulls(spark):
     assert sinks.json_rows(frame).first().json == '{"a":1,"b":null}'
 
 
-def test_a_batch_run_twice_leaves_its_rows_once(spark, small, tmp_path):
+PARTS = ("customer", "car_transaction", "transaction", "booking")
+
+
+@pytest.mark.parametrize("written", range(5))
+def test_a_batch_that_broke_off_leaves_no_trace(spark, small, tmp_path, written):
+    """The write stops after some of the four tables; nothing shows, and the next run leaves all rows once."""
     folder = str(tmp_path)
     write_base(small, folder)
-    frame = spark.createDataFrame([booking(1, start="2024-05-10", end="2024-05-12")], BOOKING_REQUEST)
-    for _ in range(2):
-        book_batch(frame, 0, folder, NOW)
-    assert read_before(spark, folder, 1).booking.count() == 5
-    assert spark.read.parquet(f"{folder}/decision").filter("reject_reason is null").count() == 1
+    rows = [booking(1, start="2024-05-10", end="2024-05-12"), booking(2, start="2024-06-10", end="2024-06-12")]
+    frame = spark.createDataFrame(rows, BOOKING_REQUEST)
+    broken = process_booking_requests(frame, read_before(spark, folder, 0), NOW)
+    for name in PARTS[:written]:
+        batches.write_part(getattr(broken, name), folder, name, 0)
+    between = read_parquet_tables(spark, folder)
+    assert {n: getattr(between, n).count() for n in PARTS} == {n: getattr(small, n).count() for n in PARTS}
+    assert book_batch(frame, 0, folder, NOW)
+    after = read_parquet_tables(spark, folder)
+    new = after.booking.join(small.booking, "booking_id", "left_anti")
+    assert new.count() == 2
+    paid = new.join(after.transaction, new.booking_id == after.transaction.booking_booking_id)
+    bridged = paid.join(
+        after.car_transaction, paid.transaction_id == after.car_transaction.transaction_transaction_id
+    )
+    assert paid.groupBy("booking_id").count().collect() and paid.count() == 2 and bridged.count() == 2
+    assert not book_batch(frame, 0, folder, NOW)
+    assert read_parquet_tables(spark, folder).transaction.count() == small.transaction.count() + 2
+
+
+def test_ids_continue_from_the_marks(spark, small, tmp_path, monkeypatch):
+    """Three batches: numbers go on, and only the first look reads ids."""
+    folder = f"{tmp_path}/a"
+    write_base(small, folder)
+    monkeypatch.setattr(IdSeries, "highest_in_use", lambda self: pytest.fail("looked at all ids"))
+    seen = []
+    for n in range(3):
+        rows = [booking(k, start=f"2024-0{5 + n}-0{k}", end=f"2024-0{5 + n}-0{k + 1}") for k in (1, 4)]
+        assert book_batch(spark.createDataFrame(rows, BOOKING_REQUEST), n, folder, NOW)
+        seen.append(batches.highest_numbers(spark, folder, n + 1))
+    assert [s["booking_id"] - seen[0]["booking_id"] for s in seen] == [0, 2, 4]
+    ids = [r.booking_id for r in read_parquet_tables(spark, folder).booking.collect()]
+    assert len(ids) == len(set(ids)) == 10
+    into = f"{tmp_path}/b"
+    assert compact(spark, folder, into) == 2
+    assert batches.marked_batches(spark, into) == [2]
+    rows = [booking(1, start="2024-09-01", end="2024-09-02")]
+    assert book_batch(spark.createDataFrame(rows, BOOKING_REQUEST), 3, into, NOW)
+    after = read_parquet_tables(spark, into)
+    assert after.booking.count() == 11 and after.booking.select("booking_id").distinct().count() == 11
+    assert batches.highest_numbers(spark, into, 4)["booking_id"] == seen[2]["booking_id"] + 1
+
+
+def test_edits_and_their_log_come_together(spark, small, tmp_path):
+    schema = "arrival bigint, action string, id_card string, name string, phone_number string, address string, drivers_license string"
+    rows = [(1, "update", "1111", "Ana B", "0811", "New 1", "L1"), (2, "delete", "3333", None, None, None, None)]
+    edits = process_customer_changes(small.customer, spark.createDataFrame(rows, schema), NOW)
+    assert edits.write_to(str(tmp_path), 0) and not edits.write_to(str(tmp_path), 0)
+    assert spark.read.parquet(f"{tmp_path}/customer").count() == 2
+    assert sorted(r.type for r in spark.read.parquet(f"{tmp_path}/notification").collect()) == ["danger", "success"]
+
+
+def test_jdbc_options():
+    split = {"transaction": {"partitionColumn": "n", "lowerBound": "0", "upperBound": "9", "numPartitions": "3"}}
+    made = jdbc_options("jdbc:x", {"user": "u"}, {"staff": "Crew"}, split, large=("transaction",))
+    assert made["car_transaction"] == {"user": "u", "url": "jdbc:x", "dbtable": "Car_Transaction"}
+    assert made["staff"]["dbtable"] == "Crew" and made["transaction"]["numPartitions"] == "3"
+    assert set(made) == set(SCHEMAS)
+    with pytest.raises(ValueError, match="booking"):
+        jdbc_options("jdbc:x", {}, large=("booking",))
 
 
 def test_a_stream_of_requests_sees_earlier_batches(spark, small, tmp_path):

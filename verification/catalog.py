@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,9 +31,11 @@ from fleetframe.operators import (
     payments,
     search,
 )
-from fleetframe.sources import fixtures, sinks
+from fleetframe.session import ensure_checkpoint_dir
+from fleetframe.sources import batches, fixtures, sinks
 from fleetframe.sources.fixtures import AS_OF, load_tables
-from fleetframe.sources.tables import RentalTables
+from fleetframe.sources.tables import RentalTables, read_parquet_tables
+from fleetframe.streaming import micro_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,11 +103,16 @@ def report_runs() -> dict[str, Callable[[RentalTables], DataFrame]]:
         "search_bookings_wildcard": lambda t: bookings.search_bookings(t, "bk%7_3", AS_OF),
         "search_bookings_everything": lambda t: bookings.search_bookings(t, "", AS_OF, page=2),
         "search_bookings_deep_page": lambda t: bookings.search_bookings(t, "0", AS_OF, page=130),
+        "search_bookings_common_term": lambda t: bookings.search_bookings(t, "e", AS_OF),
+        "search_bookings_common_term_meta": lambda t: bookings.search_bookings_meta(t, "e"),
+        "search_bookings_json": lambda t: bookings.search_bookings_answer(t, "bk%7_3", AS_OF, per_page=40),
+        "search_bookings_json_past_end": lambda t: bookings.search_bookings_answer(t, "hot bolt", AS_OF, page=900),
         "search_bookings_meta": lambda t: bookings.search_bookings_meta(t, "hot bolt"),
         "search_bookings_people_meta": lambda t: bookings.search_bookings_meta(
             t, "#00000001", page=3, per_page=40
         ),
         "search_customers": lambda t: search.search_customers(t, "machinery", page=2, per_page=50),
+        "search_customers_deep_page": lambda t: search.search_customers(t, "0", page=1200, per_page=9),
         "search_customers_wildcard": lambda t: search.search_customers(t, "fur%e 1_"),
         "search_customers_meta": lambda t: search.search_customers_meta(t, "machinery", page=2, per_page=50),
         "search_customers_json": _customer_answer,
@@ -129,7 +137,37 @@ def _customer_answer(tables: RentalTables) -> DataFrame:
     return sinks.json_answer(
         search.search_customers(tables, "machinery", page=2, per_page=50),
         search.search_customers_meta(tables, "machinery", page=2, per_page=50),
-        ["Name", "ID_Card"],
+        [F.asc("Name"), F.asc("ID_Card")],
+        50,
+    )
+
+
+def _retried_batch(requests: DataFrame, tables: RentalTables) -> DataFrame:
+    """Payments and bridge rows of each new booking after a batch that broke off and ran again."""
+    spark = tables.spark
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/retried-{uuid.uuid4().hex}"
+    micro_batch.write_base(tables, folder)
+    highest = batches.highest_numbers(spark, folder, 0)
+    broken = booking_intake.process_booking_requests(
+        requests, read_parquet_tables(spark, folder), NOW, highest=highest
+    )
+    for name in ("customer", "car_transaction", "transaction"):
+        batches.write_part(getattr(broken, name), folder, name, 0)
+    micro_batch.book_batch(requests, 0, folder, NOW)
+    after = read_parquet_tables(spark, folder)
+    new = after.booking.filter(F.col("date_preserved") == F.lit(NOW.date())).join(
+        tables.booking.select("booking_id"), "booking_id", "left_anti"
+    )
+    return (
+        new.join(after.transaction, F.col("booking_id") == F.col("booking_booking_id"), "left")
+        .join(after.car_transaction, F.col("transaction_id") == F.col("transaction_transaction_id"), "left")
+        .groupBy("booking_id")
+        .agg(
+            F.countDistinct("transaction_id").alias("payments"),
+            F.count("car_car_id").alias("bridge_rows"),
+            F.sum("amount").alias("amount"),
+        )
     )
 
 
@@ -203,6 +241,7 @@ def intake_runs() -> dict[str, tuple[Query, Callable[[DataFrame, RentalTables],
         admit_bookings=lambda r, t: availability.admit_bookings(
             _dated(r).select("arrival", "car_id", "start", "end", "reject_reason"), t
         ),
+        booking_batch_retried=_retried_batch,
         process_booking_requests=lambda r, t: _batch(r, t).decisions,
         post_bookings=lambda r, t: _batch(r, t).booking,
         post_transactions=lambda r, t: _batch(r, t).transaction,

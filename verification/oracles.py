@@ -290,6 +290,27 @@ def _search(query: str, page: int = 1, per_page: int = 100) -> str:
     )
 
 
+def _search_json(query: str, page: int = 1, per_page: int = 100) -> str:
+    """The search answer, written field by field."""
+    texts = "Booking_ID Date_Preserved Start_Date End_Date Customer_Name Customer_Phone Staff_Name Cars_Rented"
+    texts += " Payment_Method Booking_Status"
+    fields = "Booking_ID Date_Preserved Start_Date End_Date Rental_Days Customer_Name Customer_Phone Staff_Name"
+    fields += " Cars_Rented Total_Amount Payment_Method Booking_Status"
+    shown = " || ',' || ".join(
+        f"""'"{f}":' || coalesce({'' if f not in texts.split() else "'\"' || "}"{f}"::VARCHAR{'' if f not in texts.split() else " || '\"'"}, 'null')"""
+        for f in fields.split()
+    )
+    rows = _details(_search_condition(query)).replace("CAST(t.amount AS DOUBLE)", "t.amount")
+    rows = f"{rows} ORDER BY {_NEWEST} LIMIT {per_page} OFFSET {(page - 1) * per_page}"
+    total = f"SELECT count(DISTINCT b.booking_id) AS n {_FIVE_JOINS} {_search_condition(query)}"
+    return _with(
+        _DETAIL_TABLES,
+        f"""SELECT '{{"data":[' || coalesce((SELECT string_agg('{{' || {shown} || '}}', ',' ORDER BY {_NEWEST})
+            FROM ({rows})), '') || '],"total":' || total || ',"per_page":' || per_page || ',"page":' || page
+            || ',"total_pages":' || total_pages || '}}' AS json FROM ({_meta(total, page, per_page)})""",
+    )
+
+
 def _meta(total: str, page: int, per_page: int) -> str:
     return f"""SELECT n AS total, {per_page}::BIGINT AS per_page, {page}::BIGINT AS page,
                CAST(ceil(n / {per_page}) AS BIGINT) AS total_pages FROM ({total})"""
@@ -579,6 +600,10 @@ def _bookings() -> dict[str, str]:
         "search_bookings_wildcard": _search("bk%7_3"),
         "search_bookings_everything": _search("", 2),
         "search_bookings_deep_page": _search("0", 130),
+        "search_bookings_common_term": _search("e"),
+        "search_bookings_common_term_meta": _search_meta("e"),
+        "search_bookings_json": _search_json("bk%7_3", 1, 40),
+        "search_bookings_json_past_end": _search_json("hot bolt", 900),
         "search_bookings_meta": _search_meta("hot bolt"),
         "search_bookings_people_meta": _search_meta("#00000001", 3, 40),
         "recent_bookings_dashboard": _with(
@@ -608,6 +633,7 @@ def _search_and_feed() -> dict[str, str]:
         ORDER BY activity_time DESC, activity_type, activity_message LIMIT 5"""
     return {
         "search_customers": _with("r_customer", rows),
+        "search_customers_deep_page": _with("r_customer", _customer_search("0", 1200, 9)),
         "search_customers_wildcard": _with("r_customer", _customer_search("fur%e 1_")),
         "search_customers_meta": _with("r_customer", _meta(matching, 2, 50)),
         "search_customers_json": _with(
@@ -728,6 +754,10 @@ def _intake() -> dict[str, str]:
             """SELECT d.arrival, d.reject_reason, p.booking_id, p.transaction_id
                FROM d_booking d LEFT JOIN p_booking p ON p.arrival = d.arrival"""
         ),
+        "booking_batch_retried": processed(
+            """SELECT booking_id, 1::BIGINT AS payments, 1::BIGINT AS bridge_rows,
+               CAST(total_amount AS DOUBLE) AS amount FROM p_booking"""
+        ),
         "post_bookings": processed(
             f"""SELECT booking_id, {TODAY} AS date_preserved, start AS start_date, "end" AS end_date,
                 customer_drivers_license, customer_id_card, staff_id AS staff_staff_id FROM p_booking"""
