@@ -39,9 +39,9 @@ WORD_BUCKET_CHARS = 50_000_000
 PAIR_BUCKET_CHARS = 10_000_000
 # Tokens counted in memory before they are passed on.
 TOKENS_AT_ONCE = 2_000_000
-WORDS_KEPT = 600_000
+WORDS_KEPT = 900_000
 WORD_KEPT_BYTES = 64
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 1_024
 
 # An odd factor and what undoes it modulo 2 ** 64.
 SCATTER = np.uint64(0x9E3779B97F4A7C15)
