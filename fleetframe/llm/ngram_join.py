@@ -39,7 +39,7 @@ TOLERANCE = 1e-6
 # Classes that are compared with as many others at once, in a bucket and on whole sets.
 BUCKET_BLOCK = 1_000
 EXACT_BLOCK = 400
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
 WORD_KEPT_CHARS = 64
 
 RESULT = "doc_id bigint, class_id bigint, n_links bigint, kept boolean"

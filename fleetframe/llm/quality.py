@@ -29,7 +29,7 @@ GRADES = 3
 # Of the good texts set aside, at most this share may fall below the limit.
 GOOD_LOST = 0.002
 STEPS, RIDGE = 250, 2e-5
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
 WORD_KEPT_CHARS = 64
 LATELY = 8
 

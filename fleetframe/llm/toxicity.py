@@ -37,7 +37,7 @@ NEIGHBOURS = 15
 BLOCK = 32
 # Score from which on a text counts as toxic.
 TOXIC_FROM = 0.3
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
 WORD_KEPT_CHARS = 64
 
 RESULT = (
