@@ -79,13 +79,11 @@ def test_an_answer_never_gathers_more_than_a_page(spark, small):
     assert [r["id"] for r in answer["data"]] == list(range(499, 492, -1))
 
 
-def test_a_common_term_writes_no_copy_of_the_tables(spark, small, make_tables, monkeypatch):
+def test_a_common_term_writes_no_copy_of_the_tables(make_tables, monkeypatch):
     """What a search pins stays within the bound of a broadcast, however many rows match."""
-    import os
-
     from fleetframe.plans import lookups
 
-    n = 4000
+    n, bound = 3_000, 8_000
     tables = make_tables(
         customer=[("1", None, "Ana", None, None)],
         car=[(f"K{i}", "Swift", "Manual", None, None) for i in range(50)],
@@ -93,13 +91,17 @@ def test_a_common_term_writes_no_copy_of_the_tables(spark, small, make_tables, m
         transaction=[(f"T{i}", "Cash", None, None, None, f"B{i}") for i in range(n)],
         car_transaction=[(f"K{i % 50}", f"T{i}") for i in range(n)],
     )
-    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 8_000)
-    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
-    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
-    before = size()
+    pinned, pin = [], lookups.pin
+
+    def counting(df):
+        frame = pin(df)
+        pinned.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(lookups, "pin", counting)
     assert bookings.search_bookings_meta(tables, "swift").first().total == n
-    # Four candidate frames at most, each cut off at the bound.
-    assert size() - before < 4 * 8 * lookups.BROADCAST_BYTES < n * 40
+    assert len(pinned) == 4 and max(pinned) == bound // 16 + 1
 
 
 def test_customer_pages_are_clamped(small, make_tables):
