@@ -33,10 +33,11 @@ def accept_unique(
     A simple round accepts every undecided row that arrived first for all its key
     values, then drops the rows that share a value with one of those; minima per
     key value are combined before the shuffle, so a value shared by very many rows
-    is cheap. That settles all but chains of collisions. What is left falls into
+    is cheap. That settles all but chains of collisions. At most ``group_rows`` open
+    claims are settled in order of arrival by one pandas call; more of them fall into
     components that share no value; they are found in rounds that grow with the
-    logarithm of the longest chain, and each is settled in order of arrival by one
-    pandas call. Of a component above ``group_rows`` claims, about so many of the
+    logarithm of the longest chain, and each is settled by one pandas call. Of a
+    component above ``group_rows`` claims, about so many of the
     earliest are settled at a time.
 
     Returns one column, ``arrival``.
@@ -54,7 +55,11 @@ def accept_unique(
     accepted = free.filter(~F.col("bound")).select("arrival")
     open_claims = claims.filter(F.col("value").isNotNull())
 
-    for _ in range(SIMPLE_ROUNDS):
+    for turn in range(SIMPLE_ROUNDS + 1):
+        if open_claims.count() <= group_rows:
+            return accepted.unionByName(_settled(open_claims.withColumn("part", F.lit(0).cast("bigint")), 1))
+        if turn == SIMPLE_ROUNDS:
+            break
         first = open_claims.groupBy("kind", "value").agg(F.min("arrival").alias("first_arrival"))
         winners = stored(
             open_claims.join(first, ["kind", "value"])
@@ -65,8 +70,6 @@ def accept_unique(
         )
         accepted = accepted.unionByName(winners)
         open_claims = _without_taken(open_claims, winners)
-        if open_claims.isEmpty():
-            return accepted
 
     value_node = F.concat(F.lit("v"), F.col("kind").cast("string"), F.lit(":"), F.col("value"))
     ends = open_claims.select(F.concat(F.lit("a"), F.col("arrival").cast("string")).alias("row"), value_node.alias("held"))
@@ -117,13 +120,14 @@ def _settled(claims: DataFrame, calls: int) -> DataFrame:
 
     # Nested, so that it travels to the workers whole; they need not have this package.
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        asked: dict = {}
+        for arrival, kind, value in zip(rows["arrival"].tolist(), rows["kind"], rows["value"]):
+            asked.setdefault(arrival, []).append((kind, value))
         taken: set = set()
         fits = []
-        rows = rows.sort_values("arrival", kind="stable")
-        for arrival, own in rows.groupby("arrival", sort=False):
-            values = set(zip(own["kind"], own["value"]))
-            if not values & taken:
-                taken |= values
+        for arrival in sorted(asked):
+            if taken.isdisjoint(asked[arrival]):
+                taken.update(asked[arrival])
                 fits.append(arrival)
         return pd.DataFrame({"arrival": fits}, dtype="int64")
 

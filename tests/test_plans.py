@@ -111,7 +111,7 @@ def test_accept_unique_needs_few_jobs_for_long_chains(spark):
     frame = spark.createDataFrame(rows, "n long, a string, b string")
     context = spark.sparkContext
     context.setJobGroup("chains", "chains")
-    got = sorted(r[0] for r in accept_unique(frame, "n", ["a", "b"]).collect())
+    got = sorted(r[0] for r in accept_unique(frame, "n", ["a", "b"], group_rows=6_000).collect())
     jobs = len(context.statusTracker().getJobIdsForGroup("chains"))
     context.setLocalProperty("spark.jobGroup.id", None)
     assert got == list(range(0, 5000, 2))
