@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -51,12 +52,26 @@ def build_session(
     return builder.getOrCreate()
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    That is enough for workers on this machine, whatever folder the driver was started in. Elsewhere
+    the package comes with ``--py-files``, and the folder is passed over.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a temporary folder; on a cluster such
     a folder would vanish with the machine, so the setting is required there.
     """
+    reach_workers(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
