@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from fleetframe.session import ensure_checkpoint_dir, reach_workers
+
 # Rows that a task turns into Python objects at a time.
 ROWS_AT_ONCE = 256
 
-# Sums of prime powers in a fixed order decide ties between equal hashes.
 SAMPLE_SEED = 20_240_310
 
 
@@ -24,6 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def texts_of(docs: DataFrame, *columns: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) and the further columns asked for; a null text counts as empty."""
+    reach_workers(docs.sparkSession)
     return docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *columns
     )
@@ -43,6 +46,7 @@ def map_chunks(df: DataFrame, start: Callable[[], Step], ddl: str, rows: int = R
     ``start`` runs once per task and returns the function, so models are opened once.
     Memory follows ``rows`` rows, not the partition.
     """
+    reach_workers(df.sparkSession)
     schema = T.StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
 
@@ -67,10 +71,6 @@ def sampled_ids(docs: DataFrame, size: int, where: Column | None = None, seed: i
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below spark.checkpoint.dir."""
-    import uuid
-
-    from fleetframe.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -136,6 +136,7 @@ def map_groups(
 
     The rows are dealt by the keys and sorted by them, and a task walks through its groups in order.
     """
+    reach_workers(df.sparkSession)
     schema = T.StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
     names = df.columns
