@@ -6,8 +6,10 @@ many documents hold each of them is counted over all documents. The examples' te
 blocks of similar examples, each with the largest weight of every term in it. A text's nearest
 examples are exact: a block is skipped only if its largest weights cannot beat what was found.
 
-The votes of the nearest examples, weighted by their cosine and by how common their label is, are turned
-into a probability by the labelled examples themselves, each judged by the others with other texts.
+Examples with the same text are one, which votes as often as it was drawn. The votes of the nearest
+examples, weighted by their cosine and by how common their label is, are turned into a probability by the
+labelled texts themselves, each judged by all others; there a text counts once for each of its labels,
+however many copies it has, as rows equal to an example find that example.
 
 A text without any of the terms (also null or empty) gets the share of toxic ones among such texts.
 Without labels of both kinds all texts get the share of toxic labels, or 0. Repeated rows get equal
@@ -19,7 +21,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -109,18 +111,23 @@ class ToxicityModel:
     terms: dict[str, int]
     idf: np.ndarray
     index: Index
+    # Of each distinct text: its smallest doc_id with the label, and the clean and toxic examples drawn.
     doc_ids: np.ndarray
     toxic: np.ndarray
-    label_weights: np.ndarray
+    drawn: np.ndarray
+    # Labelled texts that a drawn one stands for, clean and toxic.
+    kind_weights: np.ndarray
     levels: tuple[np.ndarray, np.ndarray]
     without_terms: float
 
     def votes(self, cosines: np.ndarray, who: np.ndarray) -> np.ndarray:
-        """Share of toxic votes; -1 where there is no neighbour."""
-        weight = np.where(who >= 0, cosines * self.label_weights[who], 0.0)
-        total = weight.sum(axis=1)
-        share = (weight * self.toxic[who]).sum(axis=1)
-        return np.where(total > 0, share / np.maximum(total, 1e-300), -1.0)
+        """Share of toxic votes among the nearest examples; -1 where there is no neighbour."""
+        size = np.where(who >= 0, self.drawn.sum(axis=1)[who], 0)
+        used = np.clip(NEIGHBOURS - (np.cumsum(size, axis=1) - size), 0, size)
+        weight = cosines * used / np.maximum(size, 1)
+        clean, toxic = (weight * (self.drawn[:, kind] * self.kind_weights[kind])[who] for kind in (0, 1))
+        total = (clean + toxic).sum(axis=1)
+        return np.where(total > 0, toxic.sum(axis=1) / np.maximum(total, 1e-300), -1.0)
 
     def scores(self, votes: np.ndarray) -> np.ndarray:
         return np.where(votes < 0, self.without_terms, calibrated(self.levels, votes))
@@ -247,53 +254,52 @@ def train(
 
     named = sample.withColumn("text_hash", F.xxhash64("text"))
     ddl = "doc_id bigint, toxic int, text_hash bigint, at array<int>, counts array<double>"
-    drawn = map_chunks(named, vectors, ddl).orderBy("doc_id").toPandas()
-    counts = np.zeros((len(drawn), len(known)))
-    for i, (at, values) in enumerate(zip(drawn["at"], drawn["counts"])):
-        counts[i, np.asarray(at, dtype=np.int64)] = values
+    found = map_chunks(named, vectors, ddl).orderBy("doc_id").toPandas()
+    # Texts in the order of their smallest ids.
+    _, first, text = np.unique(found["text_hash"].to_numpy(), return_index=True, return_inverse=True)
+    place = np.argsort(np.argsort(first))
+    first, text = np.sort(first), place[text]
+    drawn = np.zeros((len(first), 2))
+    np.add.at(drawn, (text, found["toxic"].to_numpy()), 1)
+    counts = np.zeros((len(first), len(known)))
+    for i, row in enumerate(first.tolist()):
+        counts[i, np.asarray(found["at"][row], dtype=np.int64)] = found["counts"][row]
     rows = weighted(counts, idf)
-    toxic = drawn["toxic"].to_numpy(dtype=np.float64)
     # Each example stands for as many labelled texts as its kind has for each one drawn.
-    label_weights = np.where(toxic == 1, total[1] / n1, total[0] / n0)
-    index = Index.of(rows)
+    kind_weights = np.array([total[0] / n0, total[1] / n1])
+    toxic = found["toxic"].to_numpy()[first]
     model = ToxicityModel(
-        key, known, idf, index, drawn["doc_id"].to_numpy(), toxic, label_weights, (np.zeros(1), np.zeros(1)), share
+        key, known, idf, Index.of(rows), found["doc_id"].to_numpy()[first], toxic, drawn, kind_weights,
+        (np.zeros(1), np.zeros(1)), share,
     )
-    return _calibrated(model, rows, drawn["text_hash"].to_numpy())
+    return _calibrated(model, rows)
 
 
-def _calibrated(model: ToxicityModel, rows: np.ndarray, text_hash: np.ndarray) -> ToxicityModel:
-    """Levels from the examples, each judged by examples with other texts."""
+def _calibrated(model: ToxicityModel, rows: np.ndarray) -> ToxicityModel:
+    """Levels from the distinct texts, each judged by the others."""
     votes = np.full(len(rows), -1.0)
     for low in range(0, len(rows), 512):
-        # Some more neighbours than needed, as equal texts are passed over.
-        cosines, who = model.index.nearest(rows[low : low + 512], 3 * NEIGHBOURS)
-        other = (who >= 0) & (text_hash[who] != text_hash[low : low + 512, None])
+        # One more neighbour than needed, as a text is passed over itself.
+        cosines, who = model.index.nearest(rows[low : low + 512], NEIGHBOURS + 1)
+        other = (who >= 0) & (who != np.arange(low, low + len(who))[:, None])
         order = np.argsort(~other, axis=1, kind="stable")[:, :NEIGHBOURS]
         who = np.where(np.take_along_axis(other, order, axis=1), np.take_along_axis(who, order, axis=1), -1)
         votes[low : low + 512] = model.votes(np.take_along_axis(cosines, order, axis=1), who)
-    seen = votes >= 0
-    weight = model.label_weights
+    weight = model.kind_weights
     # Whole repetitions stand for the weights of the kinds.
     times = np.maximum(1, np.round(weight / weight.min())).astype(np.int64)
+    once = model.drawn > 0
+    at, kind = np.nonzero(once & (votes >= 0)[:, None])
     levels = (
-        monotone_levels(np.repeat(votes[seen], times[seen]), np.repeat(model.toxic[seen], times[seen]))
-        if seen.any()
+        monotone_levels(np.repeat(votes[at], times[kind]), np.repeat(kind, times[kind]))
+        if len(at)
         else (np.zeros(1), np.array([model.without_terms]))
     )
-    blank = weight[~seen]
-    without = ((blank * model.toxic[~seen]).sum() + 0.5) / (blank.sum() + 1.0) if len(blank) else model.without_terms
-    return ToxicityModel(
-        model.key,
-        model.terms,
-        model.idf,
-        model.index,
-        model.doc_ids,
-        model.toxic,
-        model.label_weights,
-        levels,
-        float(without),
-    )
+    # Texts without terms look alike, so all that were drawn count; without any, each distinct text does.
+    blank = ~rows.any(axis=1)
+    clean, toxic = (model.drawn[blank].sum(axis=0) if blank.any() else once.sum(axis=0)) * weight
+    without = (toxic + 0.5) / (clean + toxic + 1.0) if blank.any() else toxic / (clean + toxic)
+    return replace(model, levels=levels, without_terms=float(without))
 
 
 def judged(texts: list[str], model: ToxicityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -65,6 +65,23 @@ def test_index_is_exact():
         assert np.allclose(sorted(cosines[q][w[: len(want)]]), sorted(-c for c, _ in want))
 
 
+def test_copies_of_a_toxic_text_do_not_speak_for_texts_without_terms(make_docs, make_labels):
+    rows, labels = corpus(400)
+    hot = "idiot scum of the river and the house " * 3
+    rows += [(1000 + i, hot) for i in range(250)] + [(3000 + i, "qq zz") for i in range(20)] + [(4000, ""), (4001, None)]
+    labels += [(1000 + i, 1, 1) for i in range(250)] + [(3000 + i, 1, 0) for i in range(20)]
+    docs, marks = make_docs(rows), make_labels(labels)
+    model = toxicity.train(docs, marks, toxicity.learnable())
+    assert model.without_terms < 0.1
+    # One of the distinct texts, with all its copies.
+    assert len(model.doc_ids) < 400 and model.drawn.max() > 150
+    got = by_id(toxicity.scored(docs, model, ~toxicity.learnable()))
+    assert all(got[1000 + i]["predicted"] == 1 and got[1000 + i]["score"] > 0.9 for i in range(250))
+    assert all(got[i]["predicted"] == 0 for i in [*range(3000, 3020), 4000, 4001])
+    clean = [i for i, _, t in labels if i < 400 and not t]
+    assert sum(got[i]["predicted"] for i in clean) < 0.05 * len(clean)
+
+
 def test_odd_rows(make_docs, make_labels, odd_rows):
     rows, labels = corpus(200)
     odd = [(None if i is None else 1000 + i, t) for i, t in odd_rows]
