@@ -1,10 +1,13 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, one vector kept per group.
 
 Equal vectors are first reduced to one with a weight. Centres come from a bounded sample. Every vector
-lives in the cell of its nearest centre and visits the next nearest ones; within a cell, residents are
-compared with each other and with visitors by products of blocks in double precision. Two vectors may
-meet in two cells, and the link counts in one of them only. A cell of any size is split into blocks,
-and each pair of blocks is a task's work, of which only counts and a spanning forest leave the task.
+lives in the cell of its nearest centre. The angles of two vectors with the plane between their two
+centres add up to no more than the angle between them, so one of both angles is at most half the angle of
+the threshold: a vector visits all cells for which its own is, and no link is missed. Within a cell,
+residents are compared with each other and with visitors by products of blocks in double precision. Two
+vectors may meet in two cells, and the link counts in one of them only. A cell of any size is split into
+blocks, and each pair of blocks that has residents is a task's work, of which only counts and a spanning
+forest leave the task.
 
 A vector that is null, zero, or holds a null or a number that is not finite, is linked with nothing,
 and vectors of different lengths are not linked. Repeated rows are vectors of their own and linked
@@ -29,10 +32,12 @@ THRESHOLD = 0.9
 SAMPLE_VECTORS = 16_000
 MOST_CENTRES = 2_048
 PASSES = 8
-# Cells that a vector belongs to: its own and the next nearest.
-VISITS = 8
 # Vectors of a cell that are compared with as many others at once.
 BLOCK = 2_000
+# Vectors that are held against all centres at once.
+PLACED_AT_ONCE = 1_024
+# Distance from a plane within which rounding could hide a link.
+ROUNDING = 1e-9
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -79,27 +84,37 @@ def fit_centres(
     return {n: spherical_kmeans(unit(np.array(rows, dtype=np.float64)), centres) for n, rows in by_length.items()}
 
 
-def placed(classes: DataFrame, centres: dict[int, np.ndarray], visits: int = VISITS) -> DataFrame:
+def visited(rows: np.ndarray, centres: np.ndarray, apart: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The own cell of each vector, and whether it belongs to each cell; ``apart`` holds distances of centres."""
+    near = rows @ centres.T
+    own = near.argmax(axis=1)
+    # Sine of half the angle of the threshold.
+    half = math.sqrt(max(0.0, (1 - threshold) / 2))
+    return own, near[np.arange(len(rows)), own][:, None] - near <= half * apart[own] + ROUNDING
+
+
+def placed(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
     """(class, weight, embedding, cells): the own cell first, then those visited."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        apart = {n: np.sqrt(np.maximum(0, 2 * (1 - c @ c.T))) for n, c in centres.items()}
         for batch in batches:
             cells: list = [None] * len(batch)
             lengths = batch["embedding"].map(len).to_numpy()
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
                 # A length outside the sample has a single cell of its own.
-                if length in centres:
-                    rows = unit(np.array([batch["embedding"].iat[i] for i in at], dtype=np.float64))
-                    near = rows @ centres[length].T
-                    m = min(visits, near.shape[1])
-                    top = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                    order = np.take_along_axis(near, top, axis=1).argsort(axis=1)[:, ::-1]
-                    chosen = np.take_along_axis(top, order, axis=1)
-                else:
-                    chosen = np.zeros((len(at), 1), dtype=np.int64)
-                for i, row in zip(at.tolist(), chosen.tolist()):
-                    cells[i] = [int(length) << 32 | c for c in row]
+                if length not in centres:
+                    for i in at.tolist():
+                        cells[i] = [int(length) << 32]
+                    continue
+                for low in range(0, len(at), PLACED_AT_ONCE):
+                    part = at[low : low + PLACED_AT_ONCE]
+                    rows = unit(np.array([batch["embedding"].iat[i] for i in part], dtype=np.float64))
+                    own, there = visited(rows, centres[length], apart[length], threshold)
+                    there[np.arange(len(part)), own] = False
+                    for i, home, row in zip(part.tolist(), own.tolist(), there):
+                        cells[i] = [int(length) << 32 | c for c in (home, *np.flatnonzero(row).tolist())]
             yield batch.assign(cells=cells)
 
     kind = classes.schema["embedding"].dataType.simpleString()
@@ -110,7 +125,7 @@ def _linked(left: pd.DataFrame, right: pd.DataFrame, cell: int, threshold: float
     """Which vectors of two blocks are linked in this cell."""
     a, b = (unit(np.array(x["embedding"].tolist(), dtype=np.float64)) for x in (left, right))
     close = a @ b.T >= threshold
-    home_a, home_b = (np.array([c[0] for c in x["cells"]]) for x in (left, right))
+    home_a, home_b = (x["home"].to_numpy() for x in (left, right))
     # Of two visitors, or two that also meet in a lower cell, this cell says nothing.
     close &= (home_a == cell)[:, None] | (home_b == cell)[None, :]
     for block, homes, others, turned in ((left, home_a, home_b, False), (right, home_b, home_a, True)):
@@ -162,7 +177,6 @@ def grouped(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = THRESHOLD,
-    visits: int = VISITS,
     block: int = BLOCK,
 ) -> DataFrame:
     """One row per vector: id, number of vectors linked directly, component, whether it is kept."""
@@ -192,13 +206,30 @@ def grouped(
     if not total:
         return _result(members, None)
     centres = fit_centres(classes, total)
-    in_cells = stored(placed(classes, centres, visits)).withColumn("cell", F.explode("cells"))
-    # One row per cell: at most the centres and one more per vector length.
-    sizes = in_cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
-    numbered = in_cells.join(sizes, "cell").withColumn(
-        "block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int")
+    # Only residents are asked for their cells.
+    in_cells = (
+        stored(placed(classes, centres, threshold))
+        .select("class", "embedding", "weight", "cells", F.col("cells")[0].alias("home"), F.explode("cells").alias("cell"))
+        .withColumn("resident", F.col("cell") == F.col("home"))
+        .withColumn("cells", F.when(F.col("resident"), F.col("cells")))
+    )
+    # One row per cell: at most the centres and one more per vector length. Blocks of residents, then of visitors.
+    sizes = in_cells.groupBy("cell").agg(
+        F.ceil(F.count_if("resident") / F.lit(block)).cast("int").alias("own_blocks"),
+        F.ceil(F.count_if(~F.col("resident")) / F.lit(block)).cast("int").alias("guest_blocks"),
+    )
+    dealt = F.xxhash64("class", F.lit(1))
+    numbered = (
+        in_cells.join(sizes.filter("own_blocks > 0"), "cell")
+        .withColumn(
+            "block",
+            F.when(F.col("resident"), F.pmod(dealt, F.col("own_blocks")))
+            .otherwise(F.col("own_blocks") + F.pmod(dealt, F.greatest("guest_blocks", F.lit(1))))
+            .cast("int"),
+        )
+        .withColumn("partners", F.col("own_blocks") + F.when(F.col("resident"), F.col("guest_blocks")).otherwise(0))
     )
-    units = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select(
+    units = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("partners") - 1))).select(
         "cell",
         F.least("block", "other").alias("first"),
         F.greatest("block", "other").alias("second"),
@@ -206,6 +237,7 @@ def grouped(
         "class",
         "embedding",
         "weight",
+        "home",
         "cells",
     )
 

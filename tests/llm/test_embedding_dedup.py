@@ -64,6 +64,23 @@ def test_bundled_vectors(spark, bundled):
     assert run(spark, rows) == brute(rows)
 
 
+def test_close_vectors_meet_among_many_cells(spark):
+    rng = np.random.default_rng(11)
+    one = embedding_dedup.unit(rng.normal(size=(1_500, 64)))
+    aside = rng.normal(size=one.shape)
+    aside = embedding_dedup.unit(aside - (aside * one).sum(axis=1, keepdims=True) * one)
+    other = 0.9001 * one + np.sqrt(1 - 0.9001**2) * aside
+    # Centres of other vectors, as in a table much larger than its sample.
+    centres = embedding_dedup.spherical_kmeans(embedding_dedup.unit(rng.normal(size=(6_000, 64))), 1_000, passes=2)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([one, other]))]
+    df = spark.createDataFrame(rows, "class bigint, embedding array<double>, weight bigint")
+    cells = {r["class"]: r["cells"] for r in embedding_dedup.placed(df, {64: centres}).select("class", "cells").collect()}
+    apart = [i for i in range(1_500) if cells[i][0] not in cells[1_500 + i] and cells[1_500 + i][0] not in cells[i]]
+    assert apart == []
+    # Far from all cells.
+    assert np.mean([len(c) for c in cells.values()]) < 500
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [("1", 0, "1")]
