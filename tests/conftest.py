@@ -1,7 +1,6 @@
 import datetime as dt
 import os
 import sys
-from decimal import Decimal
 
 import pytest
 
@@ -9,6 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from fleetframe.session import build_session  # noqa: E402
 from fleetframe.sources.tables import SCHEMAS, RentalTables  # noqa: E402
+from values import day, money  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -21,14 +21,6 @@ def spark():
     session.stop()
 
 
-def day(text):
-    return None if text is None else dt.date.fromisoformat(text)
-
-
-def money(text):
-    return None if text is None else Decimal(text)
-
-
 @pytest.fixture(scope="session")
 def make_tables(spark):
     """Build RentalTables from lists of tuples; tables not given are empty."""

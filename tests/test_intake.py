@@ -2,7 +2,7 @@ import datetime as dt
 import random
 from decimal import Decimal as D
 
-from conftest import day, money
+from values import day, money
 from fleetframe import fixed
 from fleetframe.operators import availability, booking_intake as intake_b, intake
 

@@ -1,7 +1,7 @@
 import datetime as dt
 from decimal import Decimal as D
 
-from conftest import day, money
+from values import day, money
 from fleetframe.operators import bookings, customers, dashboard, fleet, months, payments
 
 TODAY = dt.date(2024, 3, 10)
