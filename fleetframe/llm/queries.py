@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetframe.llm import byte_bpe, embedding_dedup, fingerprints, kneser_ney, ngram_join, packing, pii, quality, secrets, toxicity
+from fleetframe.llm import (
+    byte_bpe,
+    embedding_dedup,
+    fingerprints,
+    kneser_ney,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+    runs,
+    secrets,
+    toxicity,
+)
 from fleetframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +68,10 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.joined(table(spark, folder, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digested(table(spark, folder, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -68,6 +84,7 @@ def all_queries() -> dict[str, Query]:
         "op8_lm_scores": op8_lm_scores,
         "op9_quality": op9_quality,
         "op10_ngram_join": op10_ngram_join,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
