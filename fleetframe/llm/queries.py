@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetframe.llm import (
     byte_bpe,
     embedding_dedup,
     fingerprints,
+    hard_negatives,
     kneser_ney,
+    nearest,
     ngram_join,
     packing,
     pii,
@@ -20,6 +22,7 @@ from fleetframe.llm import (
     toxicity,
 )
 from fleetframe.llm.common import table
+from fleetframe.llm.oracles import HARD_NEGATIVES, NEAREST
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +75,16 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.digested(table(spark, folder, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -85,8 +98,10 @@ def all_queries() -> dict[str, Query]:
         "op9_quality": op9_quality,
         "op10_ngram_join": op10_ngram_join,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_nearest": op13_nearest,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return {"op12_hard_negatives": HARD_NEGATIVES, "op13_nearest": NEAREST}
