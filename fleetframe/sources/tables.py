@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from fleetframe.sources.batches import marked_batches
+from fleetframe.sources.batches import contents, current_rows, edited_part
 
 MONEY = T.DecimalType(12, 2)
 
@@ -56,6 +56,10 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+# Key columns of the tables whose rows can be replaced or deleted.
+EDITABLE = {"customer": "id_card", "staff": "staff_id"}
+
+
 @dataclass(frozen=True)
 class RentalTables:
     """One snapshot of the rental data, as lazily evaluated DataFrames."""
@@ -91,19 +95,30 @@ def read_parquet_tables(spark: SparkSession, folder: str, before: int | None = N
     """Read ``folder/<table>`` for every table with the declared schema.
 
     Of a folder written in batches (``sources.batches``) only whole batches are read, and only those
-    with numbers below ``before`` if that is given; the others' files are not opened.
+    with numbers below ``before`` if that is given; the others' files are not opened. Of a key that was edited
+    the newest state counts. A table no batch edited is read as it is, without a join.
     """
-    whole = marked_batches(spark, folder)
-    if whole is None:
+    held = contents(spark, folder, before)
+    if held is None:
         return _read_all(
             lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}").select(*schema.names)
         )
-    wanted = [n for n in whole if before is None or n < before]
 
-    def read(name: str, schema: T.StructType) -> DataFrame:
-        full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    def part(name: str, fields: list[T.StructField]) -> DataFrame:
+        full = T.StructType([*fields, T.StructField("batch_id", T.LongType())])
         rows = spark.read.schema(full).parquet(f"{folder}/{name}")
-        return rows.filter(F.col("batch_id").isin(wanted)).select(*schema.names)
+        return rows.filter(F.col("batch_id").isin(held.batches))
+
+    def read(name: str, schema: T.StructType) -> DataFrame:
+        rows = part(name, schema.fields)
+        if name in held.edited:
+            key = EDITABLE[name]
+            rows = current_rows(rows, part(edited_part(name), [schema[key]]), key)
+        if name in held.read:
+            # Entries of earlier batches were marked as read.
+            unread = (F.col("is_read") == 0) & (F.col("batch_id") < held.read[name])
+            rows = rows.withColumn("is_read", F.when(unread, F.lit(1)).otherwise(F.col("is_read")).cast("int"))
+        return rows.select(*schema.names)
 
     return _read_all(read)
 

@@ -1,4 +1,4 @@
-"""Booking requests taken from a stream, one batch at a time.
+"""Booking requests and edits taken batch by batch, and booking requests from a stream.
 
 The tables lie in one folder, written in batches (``sources.batches``). Batch n reads only whole batches
 before it and becomes visible as a whole, so a batch that is run again after a failure leaves the same
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetframe.operators.booking_intake import booking_series, process_booking_requests
+from fleetframe.operators.changes import process_customer_changes, process_staff_changes
 from fleetframe.sources.batches import BASE_BATCH, highest_numbers, marked_batches, write_batch
 from fleetframe.sources.tables import SCHEMAS, RentalTables, read_parquet_tables
 
@@ -32,8 +33,9 @@ def read_before(spark: SparkSession, folder: str, batch_id: int) -> RentalTables
 def compact(spark: SparkSession, folder: str, into: str) -> int:
     """Write all whole batches as one into a new folder; later batches go on there.
 
-    Returns the number of the last batch, under which the new folder has its snapshot. Decisions stay
-    in the old folder.
+    Of an edited key only its newest state is written, so the new folder has no edits to resolve.
+    Returns the number of the last batch, under which the new folder has its snapshot. Decisions stay in
+    the old folder.
     """
     last = max(marked_batches(spark, folder) or [BASE_BATCH])
     highest = highest_numbers(spark, folder, last + 1)
@@ -52,6 +54,20 @@ def book_batch(requests: DataFrame, batch_id: int, folder: str, now: dt.datetime
     return process_booking_requests(requests, tables, now, seed, highest).append_to(folder, batch_id)
 
 
+def edit_batch(table: str, changes: DataFrame, batch_id: int, folder: str, now: dt.datetime) -> bool:
+    """Apply one batch of edits to customers or staff and log them; False if that was done before."""
+    spark = changes.sparkSession
+    if batch_id in (marked_batches(spark, folder) or []):
+        return False
+    process = {"customer": process_customer_changes, "staff": process_staff_changes}[table]
+    return process(getattr(read_before(spark, folder, batch_id), table), changes, now).write_to(folder, batch_id)
+
+
+def read_mark_batch(spark: SparkSession, batch_id: int, folder: str) -> bool:
+    """Mark all log entries of earlier batches as read; no entry is written again."""
+    return write_batch(spark, folder, batch_id, {}, {}, read=("notification",))
+
+
 def start_booking_stream(
     requests: DataFrame,
     folder: str,

@@ -3,14 +3,23 @@ import datetime as dt
 import pytest
 
 from fleetframe.operators.booking_intake import process_booking_requests
-from fleetframe.operators.changes import process_customer_changes
+from fleetframe.operators.changes import apply_customer_changes, process_customer_changes
 from fleetframe.operators.intake import IdSeries
 from fleetframe.sources import batches, sinks
 from fleetframe.sources.tables import SCHEMAS, empty_tables, jdbc_options, read_parquet_tables
-from fleetframe.streaming.micro_batch import book_batch, compact, read_before, start_booking_stream, write_base
+from fleetframe.streaming.micro_batch import (
+    book_batch,
+    compact,
+    edit_batch,
+    read_before,
+    read_mark_batch,
+    start_booking_stream,
+    write_base,
+)
 from test_intake import BOOKING_REQUEST, booking
 
 NOW = dt.datetime(2024, 3, 10, 8, 30)
+STAFF_EDIT = "arrival bigint, action string, staff_id string, name string, position string, contact string"
 
 
 def test_tables_round_trip(spark, small, tmp_path):
@@ -87,13 +96,87 @@ def test_ids_continue_from_the_marks(spark, small, tmp_path, monkeypatch):
     assert batches.highest_numbers(spark, into, 4)["booking_id"] == seen[2]["booking_id"] + 1
 
 
+EDIT = "arrival bigint, action string, id_card string, name string, phone_number string, address string, drivers_license string"
+EDITS = [(1, "update", "1111", "Ana B", "0811", "New 1", "L1"), (2, "delete", "3333", None, None, None, None)]
+
+
+def names(tables):
+    return sorted((r.id_card, r.name) for r in tables.customer.collect())
+
+
 def test_edits_and_their_log_come_together(spark, small, tmp_path):
-    schema = "arrival bigint, action string, id_card string, name string, phone_number string, address string, drivers_license string"
-    rows = [(1, "update", "1111", "Ana B", "0811", "New 1", "L1"), (2, "delete", "3333", None, None, None, None)]
-    edits = process_customer_changes(small.customer, spark.createDataFrame(rows, schema), NOW)
-    assert edits.write_to(str(tmp_path), 0) and not edits.write_to(str(tmp_path), 0)
-    assert spark.read.parquet(f"{tmp_path}/customer").count() == 2
-    assert sorted(r.type for r in spark.read.parquet(f"{tmp_path}/notification").collect()) == ["danger", "success"]
+    """The case of an update of customers and their log: handlers of edits change the one table that all reports read."""
+    folder = str(tmp_path)
+    write_base(small, folder)
+    edits = spark.createDataFrame(EDITS, EDIT)
+    assert edit_batch("customer", edits, 0, folder, NOW) and not edit_batch("customer", edits, 0, folder, NOW)
+    after = read_parquet_tables(spark, folder)
+    assert names(after) == [("1111", "Ana B"), ("2222", "Budi")]
+    assert sorted(r.type for r in after.notification.collect()) == ["danger", "success"]
+    # Only the changed row is written, not the table.
+    assert spark.read.parquet(f"{folder}/customer/batch_id=0").count() == 1
+    assert names(read_before(spark, folder, 0)) == names(small)
+
+
+def test_deleted_and_booked_again(spark, small, tmp_path):
+    """A deleted customer who comes back with a booking is there once; later edits reach the new row."""
+    folder, into = f"{tmp_path}/a", f"{tmp_path}/b"
+    write_base(small, folder)
+    edit_batch("customer", spark.createDataFrame([(1, "delete", "3333", *[None] * 4)], EDIT), 0, folder, NOW)
+    back = (1, "Citra", "new_customer", "0844000000", "3" * 16, "L9", "x", "K1", "2024-05-10", "2024-05-12")
+    assert book_batch(spark.createDataFrame([back], BOOKING_REQUEST), 1, folder, NOW)
+    for n, edits in ((2, [(1, "update", "3" * 16, "Twice", "1", "y", "z")]), (3, [(1, "update", "3" * 16, "Thrice", "1", "y", "z")])):
+        assert edit_batch("customer", spark.createDataFrame(edits, EDIT), n, folder, NOW)
+    expected = [("1111", "Ana"), ("2222", "Budi"), ("3" * 16, "Thrice")]
+    assert names(read_parquet_tables(spark, folder)) == expected
+    assert compact(spark, folder, into) == 3
+    assert names(read_parquet_tables(spark, into)) == expected
+    assert edit_batch("customer", spark.createDataFrame([(1, "delete", "1111", *[None] * 4)], EDIT), 4, into, NOW)
+    assert names(read_parquet_tables(spark, into)) == expected[1:]
+
+
+@pytest.mark.parametrize("written", range(3))
+def test_an_edit_batch_that_broke_off(spark, small, tmp_path, written):
+    """Between two booking batches the write of an edit batch stops after some parts; then it runs again."""
+    folder = str(tmp_path)
+    write_base(small, folder)
+    first = [booking(1, start="2024-05-10", end="2024-05-12")]
+    assert book_batch(spark.createDataFrame(first, BOOKING_REQUEST), 0, folder, NOW)
+    edits = spark.createDataFrame(EDITS, EDIT)
+    broken = process_customer_changes(read_before(spark, folder, 1).customer, edits, NOW)
+    parts = {**broken.parts(), batches.edited_part("customer"): broken.ended}
+    for name in list(parts)[:written]:
+        batches.write_part(parts[name], folder, name, 1)
+    between = read_parquet_tables(spark, folder)
+    assert names(between) == names(small) and between.notification.count() == 0
+    assert edit_batch("customer", edits, 1, folder, NOW)
+    second = [booking(2, start="2024-06-10", end="2024-06-12")]
+    assert book_batch(spark.createDataFrame(second, BOOKING_REQUEST), 2, folder, NOW)
+    after = read_parquet_tables(spark, folder)
+    assert names(after) == [("1111", "Ana B"), ("2222", "Budi")]
+    assert after.booking.count() == 6 and after.notification.count() == 2
+
+
+def test_log_marked_as_read(spark, small, tmp_path):
+    folder, into = f"{tmp_path}/a", f"{tmp_path}/b"
+    write_base(small, folder)
+    edit_batch("customer", spark.createDataFrame(EDITS, EDIT), 0, folder, NOW)
+    assert read_mark_batch(spark, 1, folder) and not read_mark_batch(spark, 1, folder)
+    edit_batch("staff", spark.createDataFrame([(1, "delete", "S1", *[None] * 3)], STAFF_EDIT), 2, folder, NOW)
+    compact(spark, folder, into)
+    for tables in (read_parquet_tables(spark, folder), read_parquet_tables(spark, into)):
+        assert sorted((r.is_read, r.type) for r in tables.notification.collect()) == [(0, "danger"), (1, "danger"), (1, "success")]
+        assert [r.staff_id for r in tables.staff.collect()] == ["S2"]
+    assert batches.contents(spark, into).edited == frozenset()
+
+
+def test_edits_give_the_same_table_either_way(spark, small):
+    """Rows replaced and ended add up to the table that applying the edits gives."""
+    edits = spark.createDataFrame([*EDITS, (3, "update", "3333", "Late", *[None] * 3), (4, "update", "9", "Ghost", *[None] * 3)], EDIT)
+    made = process_customer_changes(small.customer, edits, NOW)
+    expected = sorted(map(str, apply_customer_changes(small.customer, edits).collect()))
+    assert sorted(map(str, made.applied_to(small.customer).collect())) == expected
+    assert sorted(r.id_card for r in made.ended.collect()) == ["1111", "3333"]
 
 
 def test_jdbc_options():

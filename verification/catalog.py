@@ -145,8 +145,7 @@ def _customer_answer(tables: RentalTables) -> DataFrame:
 def _retried_batch(requests: DataFrame, tables: RentalTables) -> DataFrame:
     """Payments and bridge rows of each new booking after a batch that broke off and ran again."""
     spark = tables.spark
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/retried-{uuid.uuid4().hex}"
+    folder = _work_folder(spark, "retried")
     micro_batch.write_base(tables, folder)
     highest = batches.highest_numbers(spark, folder, 0)
     broken = booking_intake.process_booking_requests(
@@ -171,6 +170,39 @@ def _retried_batch(requests: DataFrame, tables: RentalTables) -> DataFrame:
     )
 
 
+def _work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that a query writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _halves(requests: DataFrame) -> list[DataFrame]:
+    """All requests in two batches."""
+    return [requests.filter(F.pmod("arrival", F.lit(2)) == n) for n in (0, 1)]
+
+
+def _edited_after_bookings(spark: SparkSession, source: str) -> DataFrame:
+    """Customers read back after a batch of bookings that adds some, and two batches of edits."""
+    tables = load_tables(spark, source)
+    folder = _work_folder(spark, "edited")
+    micro_batch.write_base(tables, folder)
+    micro_batch.book_batch(fixtures.booking_requests(spark, source), 0, folder, NOW)
+    for n, edits in enumerate(_halves(fixtures.customer_changes(spark, source)), 1):
+        micro_batch.edit_batch("customer", edits, n, folder, NOW)
+    return read_parquet_tables(spark, folder).customer
+
+
+def _staff_edited_twice(requests: DataFrame, tables: RentalTables) -> DataFrame:
+    """Staff read back from a compacted folder after two batches of edits."""
+    spark = tables.spark
+    folder, into = _work_folder(spark, "staff"), _work_folder(spark, "staff-compact")
+    micro_batch.write_base(tables, folder)
+    for n, edits in enumerate(_halves(requests)):
+        micro_batch.edit_batch("staff", edits, n, folder, NOW)
+    micro_batch.compact(spark, folder, into)
+    return read_parquet_tables(spark, into).staff
+
+
 def _booking_labels(tables: RentalTables) -> DataFrame:
     start, end = F.col("start_date"), F.col("end_date")
     return tables.booking.select(
@@ -259,6 +291,7 @@ def intake_runs() -> dict[str, tuple[Query, Callable[[DataFrame, RentalTables],
         fixtures.staff_changes,
         apply_staff_changes=lambda r, t: changes.apply_staff_changes(t.staff, r),
         staff_change_notifications=lambda r, t: notifications.staff_change_notifications(r, NOW),
+        staff_edits_read_back=_staff_edited_twice,
     )
     on(
         fixtures.edit_failures,
@@ -267,6 +300,11 @@ def intake_runs() -> dict[str, tuple[Query, Callable[[DataFrame, RentalTables],
     return queries
 
 
+def stored_runs() -> dict[str, Query]:
+    """Queries that write tables to the shared folder and read them back."""
+    return {"edit_batches_read_back": _edited_after_bookings}
+
+
 def _report_query(run: Callable[[RentalTables], DataFrame]) -> Query:
     return lambda spark, folder: comparable(run(load_tables(spark, folder)))
 
@@ -278,4 +316,5 @@ def _intake_query(read: Query, run: Callable[[DataFrame, RentalTables], DataFram
 def all_queries() -> dict[str, Query]:
     """Every query by name, as a function of (session, folder of the bundled files)."""
     reports = {name: _report_query(run) for name, run in report_runs().items()}
-    return {**reports, **{name: _intake_query(*parts) for name, parts in intake_runs().items()}}
+    intake = {name: _intake_query(*parts) for name, parts in intake_runs().items()}
+    return {**reports, **intake, **stored_runs()}

@@ -787,16 +787,28 @@ def _changes() -> dict[str, str]:
                c_mktsegment AS position, '04' || lpad(c_custkey::VARCHAR, 10, '0') AS contact
         FROM customer"""
 
-    def applied(table: str, edits: str, key: str, fields: list[str]) -> str:
+    def after(table: str, key: str, fields: list[str], edits: str = "edits") -> str:
+        """The rows of a table after edits."""
         columns = ", ".join(f"CASE WHEN e.{key} IS NULL THEN t.{f} ELSE e.{f} END AS {f}" for f in fields)
-        return _with(
-            table,
-            f"""SELECT t.{key}, {columns} FROM {table} t
-                LEFT JOIN (SELECT * FROM edits WHERE action = 'update'
+        return f"""SELECT t.{key}, {columns} FROM {table} t
+                LEFT JOIN (SELECT * FROM {edits} WHERE action = 'update'
                            QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY arrival DESC) = 1) e ON e.{key} = t.{key}
-                WHERE t.{key} NOT IN (SELECT {key} FROM edits WHERE action = 'delete')""",
-            f"edits AS ({edits})",
-        )
+                WHERE t.{key} NOT IN (SELECT {key} FROM {edits} WHERE action = 'delete')"""
+
+    def applied(table: str, edits: str, key: str, fields: list[str]) -> str:
+        return _with(table, after(table, key, fields), f"edits AS ({edits})")
+
+    def halves(edits: str) -> list[str]:
+        return [f"edits_{n} AS (SELECT * FROM ({edits}) WHERE arrival % 2 = {n})" for n in (0, 1)]
+
+    customer_fields = ["name", "phone_number", "address", "drivers_license"]
+    staff_fields = ["name", "position", "contact"]
+    booked = """n_customer AS (
+        SELECT * FROM r_customer UNION ALL BY NAME
+        SELECT id_card, license_number AS drivers_license, customer_search AS name, customer_phone AS phone_number,
+               address FROM s_booking WHERE is_new_customer)"""
+    customer_once = "(" + after("n_customer", "id_card", customer_fields, "edits_0") + ")"
+    staff_twice = after("(" + after("r_staff", "staff_id", staff_fields, "edits_0") + ")", "staff_id", staff_fields, "edits_1")
 
     def log(edits: str, key: str, subject: str, kind: str, link: str) -> str:
         return f"""SELECT NULL::VARCHAR AS user_id,
@@ -808,10 +820,15 @@ def _changes() -> dict[str, str]:
             FROM ({edits}) WHERE action IN ('update', 'delete')"""
 
     return {
-        "apply_customer_changes": applied(
-            "r_customer", customer_edits, "id_card", ["name", "phone_number", "address", "drivers_license"]
+        "apply_customer_changes": applied("r_customer", customer_edits, "id_card", customer_fields),
+        "apply_staff_changes": applied("r_staff", staff_edits, "staff_id", staff_fields),
+        "edit_batches_read_back": _with(
+            "r_customer q_booking v_booking w_booking s_booking",
+            after(customer_once, "id_card", customer_fields, "edits_1"),
+            booked,
+            *halves(customer_edits),
         ),
-        "apply_staff_changes": applied("r_staff", staff_edits, "staff_id", ["name", "position", "contact"]),
+        "staff_edits_read_back": _with("r_staff", staff_twice, *halves(staff_edits)),
         "customer_change_notifications": log(customer_edits, "id_card", "Customer", "success", "customer_id"),
         "staff_change_notifications": log(staff_edits, "staff_id", "Staff", "info", "staff_id"),
         "failure_notifications": f"""SELECT NULL::VARCHAR AS user_id, 'Database error: event ' || event_id AS message,
