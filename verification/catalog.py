@@ -32,9 +32,9 @@ from fleetframe.operators import (
     search,
 )
 from fleetframe.session import ensure_checkpoint_dir
-from fleetframe.sources import batches, fixtures, sinks
+from fleetframe.sources import batches, dump, fixtures, sinks
 from fleetframe.sources.fixtures import AS_OF, load_tables
-from fleetframe.sources.tables import RentalTables, read_parquet_tables
+from fleetframe.sources.tables import DATABASE_NAMES, RentalTables, read_parquet_tables
 from fleetframe.streaming import micro_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,6 +203,18 @@ def _staff_edited_twice(requests: DataFrame, tables: RentalTables) -> DataFrame:
     return read_parquet_tables(spark, into).staff
 
 
+def _dumped(name: str, split_bytes: int) -> Query:
+    """A table written as statements of a dump and read back in byte ranges."""
+
+    def query(spark: SparkSession, source: str) -> DataFrame:
+        rows = getattr(load_tables(spark, source), name)
+        folder = _work_folder(spark, f"dump-{name}")
+        dump.write_dump(rows, folder, DATABASE_NAMES[name])
+        return comparable(dump.read_dump(spark, folder, DATABASE_NAMES[name], rows.schema, split_bytes))
+
+    return query
+
+
 def _booking_labels(tables: RentalTables) -> DataFrame:
     start, end = F.col("start_date"), F.col("end_date")
     return tables.booking.select(
@@ -302,7 +314,11 @@ def intake_runs() -> dict[str, tuple[Query, Callable[[DataFrame, RentalTables],
 
 def stored_runs() -> dict[str, Query]:
     """Queries that write tables to the shared folder and read them back."""
-    return {"edit_batches_read_back": _edited_after_bookings}
+    return {
+        "edit_batches_read_back": _edited_after_bookings,
+        "dump_bookings_read_back": _dumped("booking", 1 << 18),
+        "dump_payments_read_back": _dumped("transaction", 1 << 20),
+    }
 
 
 def _report_query(run: Callable[[RentalTables], DataFrame]) -> Query:

@@ -837,6 +837,13 @@ def _changes() -> dict[str, str]:
     }
 
 
+def _stored() -> dict[str, str]:
+    return {
+        "dump_bookings_read_back": _with("r_booking", "SELECT * FROM r_booking"),
+        "dump_payments_read_back": _with("r_tx", "SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM r_tx"),
+    }
+
+
 def all_oracles() -> dict[str, str]:
-    groups = (_months, _customers, _fleet, _payments, _bookings, _search_and_feed, _intake, _changes)
+    groups = (_months, _customers, _fleet, _payments, _bookings, _search_and_feed, _intake, _changes, _stored)
     return {name: sql for group in groups for name, sql in group().items()}
