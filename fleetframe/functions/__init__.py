@@ -10,6 +10,7 @@ from fleetframe.functions.labels import booking_status, customer_tier, usage_sta
 from fleetframe.functions.numbers import half_up_ratio, percent_of
 from fleetframe.functions.text import (
     is_missing,
+    literal_runs,
     or_default,
     form_trim,
     rupiah,
@@ -25,6 +26,7 @@ __all__ = [
     "half_up_ratio",
     "inclusive_days",
     "is_missing",
+    "literal_runs",
     "months_before",
     "or_default",
     "percent_of",

@@ -35,6 +35,20 @@ def wildcard_pattern(query: str) -> str:
     return "".join(pattern)
 
 
+def literal_runs(query: str) -> list[str]:
+    """The runs of characters between the wildcards of a search; every match holds all of them."""
+    runs, escaped = [""], False
+    for char in query:
+        if escaped or char not in "%_\\":
+            runs[-1] += char
+            escaped = False
+        elif char == "\\":
+            escaped = True
+        else:
+            runs.append("")
+    return [run for run in runs if run]
+
+
 def wildcard_match(query: str, *columns: Column) -> Column:
     """Case-insensitive substring match on any column; NULL columns never match."""
     pattern = wildcard_pattern(query)

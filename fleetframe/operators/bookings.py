@@ -10,6 +10,7 @@ from fleetframe import fixed
 from fleetframe.functions import (
     booking_status,
     half_up_ratio,
+    literal_runs,
     or_default,
     rental_days,
     rupiah,
@@ -238,15 +239,16 @@ def _matching_bookings(tables: RentalTables, query: str) -> DataFrame:
     booking = tables.booking.select(*_BOOKING)
     if query == "":
         return booking.withColumn("_self", F.lit(True))
+    runs = literal_runs(query)
     customers = measured(
-        tables.customer.filter(wildcard_match(query, F.col("name"), F.col("phone_number"))).select(
+        tables.narrowed("customer", runs).filter(wildcard_match(query, F.col("name"), F.col("phone_number"))).select(
             F.col("id_card").alias("_customer")
         )
     )
-    members = tables.staff.filter(wildcard_match(query, F.col("name"))).select(
+    members = tables.narrowed("staff", runs).filter(wildcard_match(query, F.col("name"))).select(
         F.col("staff_id").alias("_member")
     )
-    cars = measured(tables.car.filter(wildcard_match(query, F.col("car_name"))).select("car_id"))
+    cars = measured(tables.narrowed("car", runs).filter(wildcard_match(query, F.col("car_name"))).select("car_id"))
     rentals = measured(
         matching_rows(tables.car_transaction, "car_car_id", cars, "car_id").select(
             "transaction_transaction_id"
@@ -309,7 +311,8 @@ def _detail_keys(tables: RentalTables, query: str, matches: DataFrame) -> DataFr
     """(date, booking, amount, method) of the detail rows that match, without their lists."""
     keys = ["date_preserved", "booking_id", *_PAYMENT]
     by_self = _paid(matches.filter("_self"), tables.transaction).select(*keys)
-    hits = tables.car.filter(wildcard_match(query, F.col("car_name"))).select("car_id")
+    cars = tables.narrowed("car", literal_runs(query))
+    hits = cars.filter(wildcard_match(query, F.col("car_name"))).select("car_id")
     rented = tables.car_transaction.join(hits, F.col("car_car_id") == F.col("car_id"), "left_semi")
     payment = tables.transaction.join(
         rented.select("transaction_transaction_id"),

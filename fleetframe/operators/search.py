@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fleetframe.functions import wildcard_match
-from fleetframe.functions.text import literal_contains
+from fleetframe.functions.text import literal_contains, literal_runs
 from fleetframe.operators.bookings import search_meta
 from fleetframe.operators.customers import CUSTOMER_COLUMNS, customer_columns, staff_list
 from fleetframe.plans.paging import page_rows
@@ -13,7 +13,8 @@ from fleetframe.sources.tables import RentalTables
 
 
 def _matching_customers(tables: RentalTables, query: str) -> DataFrame:
-    return tables.customer.filter(wildcard_match(query, *[F.col(c) for c in CUSTOMER_COLUMNS]))
+    rows = tables.narrowed("customer", literal_runs(query))
+    return rows.filter(wildcard_match(query, *[F.col(c) for c in CUSTOMER_COLUMNS]))
 
 
 def search_customers(
@@ -38,15 +39,15 @@ def quick_filter(rows: DataFrame, query: str, columns: list[str] | None = None)
 
 def staff_search(tables: RentalTables, query: str) -> DataFrame:
     """Staff with a match anywhere in the listed row."""
-    return quick_filter(staff_list(tables), query)
+    return quick_filter(staff_list(tables.with_tables(staff=tables.narrowed("staff", [query]))), query)
 
 
 def customer_quick_search(tables: RentalTables, query: str) -> DataFrame:
     """Customers with a match anywhere in the listed row."""
-    return quick_filter(customer_columns(tables.customer), query).orderBy("Name", "ID_Card")
+    return quick_filter(customer_columns(tables.narrowed("customer", [query])), query).orderBy("Name", "ID_Card")
 
 
 def customer_picker(tables: RentalTables, query: str) -> DataFrame:
     """Customers whose name contains the query, as offered when booking."""
-    listed = customer_columns(tables.customer).select("ID_Card", "Name", "Phone_Number")
+    listed = customer_columns(tables.narrowed("customer", [query])).select("ID_Card", "Name", "Phone_Number")
     return quick_filter(listed, query, ["Name"]).orderBy("Name", "ID_Card")

@@ -35,9 +35,10 @@ _MARK = T.StructType(
 )
 
 
-def _marks(spark: SparkSession, folder: str) -> DataFrame | None:
+def read_marks(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """A table written by batches; None if no batch wrote it."""
     try:
-        return spark.read.schema(_MARK).parquet(f"{folder}/{MARKS}")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -62,7 +63,7 @@ def contents(spark: SparkSession, folder: str, before: int | None = None) -> Con
 
     Reads marks only: a few rows per batch.
     """
-    marks = _marks(spark, folder)
+    marks = read_marks(spark, f"{folder}/{MARKS}", _MARK)
     if marks is None:
         return None
     wanted = marks if before is None else marks.filter(F.col("batch_id") < before)

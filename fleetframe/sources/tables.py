@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -81,10 +81,17 @@ class RentalTables:
     def spark(self) -> SparkSession:
         return self.booking.sparkSession
 
+    def narrowed(self, table: str, runs: list[str]) -> DataFrame:
+        """Rows of a table among which are all that hold the given runs of characters, ignoring case.
+
+        Without an index these are all rows.
+        """
+        return getattr(self, table)
+
     def create_views(self, prefix: str = "") -> None:
         """Register every table as a temporary view for ``spark.sql``."""
-        for field in fields(self):
-            getattr(self, field.name).createOrReplaceTempView(prefix + field.name)
+        for name in SCHEMAS:
+            getattr(self, name).createOrReplaceTempView(prefix + name)
 
 
 def _read_all(read: Callable[[str, T.StructType], DataFrame]) -> RentalTables:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ from fleetframe.operators import (
     search,
 )
 from fleetframe.session import ensure_checkpoint_dir
-from fleetframe.sources import batches, dump, fixtures, sinks
+from fleetframe.sources import batches, dump, fixtures, sinks, trigrams
 from fleetframe.sources.fixtures import AS_OF, load_tables
 from fleetframe.sources.tables import DATABASE_NAMES, RentalTables, read_parquet_tables
 from fleetframe.streaming import micro_batch
@@ -203,6 +204,37 @@ def _staff_edited_twice(requests: DataFrame, tables: RentalTables) -> DataFrame:
     return read_parquet_tables(spark, into).staff
 
 
+@lru_cache(maxsize=2)
+def _indexed_folder(spark: SparkSession, source: str) -> str:
+    """The rental tables in two batches, both indexed."""
+    tables = load_tables(spark, source)
+    folder = _work_folder(spark, "indexed")
+    later = F.pmod(F.crc32("id_card"), F.lit(4)) == 0
+    micro_batch.write_base(tables.with_tables(customer=tables.customer.filter(~later)), folder)
+    trigrams.update_index(spark, folder)
+    batches.write_batch(spark, folder, 0, {"customer": tables.customer.filter(later)}, {})
+    trigrams.update_index(spark, folder)
+    return folder
+
+
+def indexed_runs() -> dict[str, Callable[[RentalTables], DataFrame]]:
+    """Searches that look in posting lists before they look at rows."""
+    return {
+        "search_bookings_indexed": lambda t: bookings.search_bookings(t, "hot bolt", AS_OF),
+        "search_bookings_people_indexed": lambda t: bookings.search_bookings(t, "#00000001", AS_OF, page=3, per_page=40),
+        "search_bookings_meta_indexed": lambda t: bookings.search_bookings_meta(t, "hot bolt"),
+        "search_customers_indexed": lambda t: search.search_customers(t, "machinery", page=2, per_page=50),
+        "search_customers_wildcard_indexed": lambda t: search.search_customers(t, "fur%e 1_"),
+        "staff_search_indexed": lambda t: search.staff_search(t, "desk 1"),
+        "customer_quick_search_indexed": lambda t: search.customer_quick_search(t, "ERY 2"),
+        "customer_picker_indexed": lambda t: search.customer_picker(t, "#00000003"),
+    }
+
+
+def _indexed_query(run: Callable[[RentalTables], DataFrame]) -> Query:
+    return lambda spark, source: comparable(run(trigrams.read_indexed_tables(spark, _indexed_folder(spark, source))))
+
+
 def _dumped(name: str, split_bytes: int) -> Query:
     """A table written as statements of a dump and read back in byte ranges."""
 
@@ -333,4 +365,5 @@ def all_queries() -> dict[str, Query]:
     """Every query by name, as a function of (session, folder of the bundled files)."""
     reports = {name: _report_query(run) for name, run in report_runs().items()}
     intake = {name: _intake_query(*parts) for name, parts in intake_runs().items()}
-    return {**reports, **intake, **stored_runs()}
+    indexed = {name: _indexed_query(run) for name, run in indexed_runs().items()}
+    return {**reports, **intake, **stored_runs(), **indexed}

@@ -846,4 +846,8 @@ def _stored() -> dict[str, str]:
 
 def all_oracles() -> dict[str, str]:
     groups = (_months, _customers, _fleet, _payments, _bookings, _search_and_feed, _intake, _changes, _stored)
-    return {name: sql for group in groups for name, sql in group().items()}
+    found = {name: sql for group in groups for name, sql in group().items()}
+    # The same searches by posting lists.
+    lists = "search_bookings search_bookings_people search_bookings_meta search_customers search_customers_wildcard"
+    lists += " staff_search customer_quick_search customer_picker"
+    return found | {f"{name}_indexed": found[name] for name in lists.split()}
