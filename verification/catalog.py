@@ -36,6 +36,7 @@ from fleetframe.session import ensure_checkpoint_dir
 from fleetframe.sources import batches, dump, fixtures, sinks, trigrams
 from fleetframe.sources.fixtures import AS_OF, load_tables
 from fleetframe.sources.tables import DATABASE_NAMES, RentalTables, read_parquet_tables
+from fleetframe.streaming import availability as availability_stream
 from fleetframe.streaming import micro_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +205,23 @@ def _staff_edited_twice(requests: DataFrame, tables: RentalTables) -> DataFrame:
     return read_parquet_tables(spark, into).staff
 
 
+def _admitted_by_stream(requests: DataFrame, tables: RentalTables) -> DataFrame:
+    """Requests decided by a stream that is stopped and started again after each third of the arrivals."""
+    spark = tables.spark
+    asked = _dated(requests).select("arrival", "car_id", "start", "end", "reject_reason")
+    folder = _work_folder(spark, "admission")
+    last = asked.agg(F.max("arrival")).first()[0] or 0
+    taken = availability_stream.taken_ranges(tables, AS_OF)
+    for third in range(3):
+        inside = (F.col("arrival") > last * third // 3) & (F.col("arrival") <= last * (third + 1) // 3)
+        now = asked.filter(inside if third else F.col("arrival") <= last // 3)
+        now.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(asked.schema).parquet(f"{folder}/in")
+        run = availability_stream.start_admission(stream, taken, f"{folder}/out", f"{folder}/progress", until_caught_up=True)
+        run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @lru_cache(maxsize=2)
 def _indexed_folder(spark: SparkSession, source: str) -> str:
     """The rental tables in two batches, both indexed."""
@@ -317,6 +335,7 @@ def intake_runs() -> dict[str, tuple[Query, Callable[[DataFrame, RentalTables],
         admit_bookings=lambda r, t: availability.admit_bookings(
             _dated(r).select("arrival", "car_id", "start", "end", "reject_reason"), t
         ),
+        admit_bookings_stream=_admitted_by_stream,
         booking_batch_retried=_retried_batch,
         process_booking_requests=lambda r, t: _batch(r, t).decisions,
         post_bookings=lambda r, t: _batch(r, t).booking,

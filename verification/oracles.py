@@ -750,6 +750,12 @@ def _intake() -> dict[str, str]:
             WALK_DATED,
             recursive=True,
         ),
+        "admit_bookings_stream": _with(
+            "r_booking r_tx r_ct q_booking v_booking c_booking",
+            "SELECT arrival, car_id, reject_reason FROM d_dated",
+            WALK_DATED,
+            recursive=True,
+        ),
         "process_booking_requests": processed(
             """SELECT d.arrival, d.reject_reason, p.booking_id, p.transaction_id
                FROM d_booking d LEFT JOIN p_booking p ON p.arrival = d.arrival"""
