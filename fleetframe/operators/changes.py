@@ -74,21 +74,21 @@ class EditBatch:
     """Outcome of a batch of edits: what changes in the table, and the log entries of the same edits."""
 
     table: str
-    # Rows in their new state, and the keys of these and of the deleted rows.
+    # Rows in their new state, and the older state of these and of the deleted rows.
     replaced: DataFrame
     ended: DataFrame
     notification: DataFrame
 
     def applied_to(self, rows: DataFrame) -> DataFrame:
         """The table after the batch."""
-        return rows.join(self.ended, EDITABLE[self.table], "left_anti").unionByName(self.replaced)
+        return rows.join(self.ended.select(EDITABLE[self.table]), EDITABLE[self.table], "left_anti").unionByName(self.replaced)
 
     def parts(self) -> dict[str, DataFrame]:
         """What the batch adds, by table."""
         return {self.table: self.replaced, "notification": self.notification}
 
     def write_to(self, folder: str, batch_id: int) -> bool:
-        """Write the changed rows, the ended keys and the log entries, visible together or not at all.
+        """Write the changed rows, the ended rows and the log entries, visible together or not at all.
 
         Rows without an edit are not written again. False if the batch is already there.
         """
@@ -102,7 +102,7 @@ def _edit_batch(table: str, rows: DataFrame, edits: DataFrame, log: DataFrame) -
     # Few against the table; pinned, as three outputs are cut from it.
     hit = pin(rows.join(folded, F.col(key) == F.col("_key")))
     replaced = hit.filter(~F.col("_deleted")).select(*_edited_columns(rows, fields))
-    return EditBatch(table, replaced, hit.select(key).distinct(), log)
+    return EditBatch(table, replaced, hit.select(*rows.columns), log)
 
 
 def process_customer_changes(customer: DataFrame, changes: DataFrame, now: dt.datetime) -> EditBatch:

@@ -1,8 +1,8 @@
 """Tables written batch by batch, each batch whole or not at all.
 
 ``folder/<table>/batch_id=<n>`` holds the rows that batch n adds to a table or puts in the place of older
-ones. ``folder/<table>_edited/batch_id=<n>`` names the keys whose older rows end with batch n: those replaced
-and those deleted. A row counts until a later batch names its key, so the newest state of a key is its row
+ones. ``folder/<table>_edited/batch_id=<n>`` holds the older rows that end with batch n, as they were: those replaced
+and those deleted. A row counts until a later batch ends its key, so the newest state of a key is its row
 of the last batch that has one, unless a batch since then deleted it.
 
 When all of a batch is written, the mark ``folder/batch/batch_id=<n>`` follows. It holds the highest number
@@ -91,7 +91,7 @@ def highest_numbers(spark: SparkSession, folder: str, before: int) -> dict[str,
 
 
 def edited_part(table: str) -> str:
-    """The part of a batch that names the keys whose older rows end."""
+    """The part of a batch that holds the older rows it ends."""
     return f"{table}_edited"
 
 
@@ -118,7 +118,7 @@ def write_batch(
 ) -> bool:
     """Write all tables of a batch and then its mark; False if the batch is there already.
 
-    ``ended`` has for a table the keys (in its key column) whose rows of earlier batches no longer count;
+    ``ended`` has for a table the rows of earlier batches that no longer count, as they were;
     ``read`` names logs whose entries of earlier batches are read.
     """
     if batch_id in (marked_batches(spark, folder) or []):

@@ -57,7 +57,13 @@ SCHEMAS: dict[str, T.StructType] = {
 
 
 # Key columns of the tables whose rows can be replaced or deleted.
-EDITABLE = {"customer": "id_card", "staff": "staff_id"}
+EDITABLE = {
+    "customer": "id_card",
+    "staff": "staff_id",
+    "car": "car_id",
+    "booking": "booking_id",
+    "transaction": "transaction_id",
+}
 
 
 @dataclass(frozen=True)
