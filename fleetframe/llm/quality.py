@@ -30,6 +30,7 @@ GRADES = 3
 GOOD_LOST = 0.002
 STEPS, RIDGE = 250, 2e-5
 WORDS_KEPT = 400_000
+# Longer words are looked at anew each time.
 WORD_KEPT_CHARS = 64
 LATELY = 8
 
@@ -43,9 +44,9 @@ def _slot(name: str) -> int:
 
 
 def shape_of(word: str) -> str:
-    """Runs of capitals, small letters and digits as one character each; other characters stay."""
+    """Runs of capitals, small letters and digits as one character each; other characters stay, repeated ones once."""
     shape = []
-    for c in word[:WORD_KEPT_CHARS]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not shape or shape[-1] != kind:
             shape.append(kind)

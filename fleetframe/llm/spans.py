@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 Span = tuple[str, int, int]
 
@@ -118,13 +119,42 @@ def digest(spans: list[Span]) -> str:
     return hashlib.sha256(written(spans).encode()).hexdigest()
 
 
+class Taken:
+    """Parts of a text that are taken, as sorted ranges without overlap."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in sorted(spans, key=lambda s: s[1]):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def is_free(self, span: Span) -> bool:
+        """Whether a span shares no character with what is taken."""
+        at = bisect_left(self.starts, span[2])
+        return not at or self.ends[at - 1] <= span[1]
+
+    def take(self, span: Span) -> None:
+        """Add a free span."""
+        at = bisect_left(self.starts, span[1])
+        self.starts.insert(at, span[1])
+        self.ends.insert(at, span[2])
+
+
 def without_overlap(base: list[Span], scored: list[tuple[float, Span]], kinds: tuple[str, ...]) -> list[Span]:
-    """The base spans, and further ones by falling score that overlap none taken before."""
-    taken = list(base)
+    """The base spans, and further ones by falling score that overlap none taken before.
+
+    Of equal scores the one that starts first goes first, then the longer one, then the kind listed first.
+    """
+    taken, kept = Taken(base), list(base)
     for _, span in sorted(scored, key=lambda x: (-x[0], x[1][1], -x[1][2], kinds.index(x[1][0]))):
-        if all(span[2] <= s[1] or span[1] >= s[2] for s in taken):
-            taken.append(span)
-    return in_order(taken, kinds)
+        if taken.is_free(span):
+            taken.take(span)
+            kept.append(span)
+    return in_order(kept, kinds)
 
 
 def redacted(text: str, spans: list[Span]) -> str:

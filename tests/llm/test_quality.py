@@ -66,3 +66,11 @@ def test_nothing_to_learn_from(spark, make_docs, odd_rows):
         assert model is None
         assert all(r["selected"] and r["expected_grade"] is None for r in quality.scored(docs, model).collect())
         assert quality.selected(docs, model).count() == docs.count()
+
+
+def test_shape_reads_the_whole_word():
+    word = "a" * 90
+    assert quality.shape_of(word + "7") == "a0" and quality.shape_of(word) == "a"
+    assert quality.shape_of("-" * 70 + "B" + "-" * 5) == "-A-"
+    one, other = (quality.features(word + tail + " plain words")[0] for tail in ("1", "?"))
+    assert set(one.tolist()) != set(other.tolist())

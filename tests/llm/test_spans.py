@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings, strategies as st
@@ -69,3 +70,18 @@ def test_written_form_and_redaction():
     assert spans.written(found) == "email:0:3,card:2:6,ip:8:9"
     assert spans.digest([]) == hashlib.sha256(b"").hexdigest()
     assert spans.redacted("0123456789", found) == "[EMAIL]67[IP]9"
+
+
+def test_taken_ranges_against_all_pairs():
+    rng = random.Random(6)
+    for _ in range(300):
+        made = lambda: [("hex", a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(9)))]  # noqa: B023, E731
+        base, more = made(), [(rng.random(), s) for s in made()]
+        taken = spans.Taken(base)
+        for _, s in more:
+            assert taken.is_free(s) == all(s[2] <= b[1] or s[1] >= b[2] for b in base)
+        kept = list(base)
+        for _, s in sorted(more, key=lambda x: (-x[0], x[1][1], -x[1][2])):
+            if all(s[2] <= b[1] or s[1] >= b[2] for b in kept):
+                kept.append(s)
+        assert spans.without_overlap(base, more, spans.SECRET_KINDS) == spans.in_order(kept, spans.SECRET_KINDS)
