@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetframe.llm.common import Memo, map_chunks, map_groups, roots_of, texts_of
 from fleetframe.plans.components import components
+from fleetframe.plans.lookups import measured
 from fleetframe.session import stored
 
 WORDS = 5
@@ -132,20 +133,26 @@ def _pairs(blocks: list[int], first: int, second: int) -> tuple[np.ndarray, np.n
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, class, size, values) of every text."""
+    """(doc_id, text_hash, class, values) of every text."""
 
     def start():
         def step(columns):
             sets = [shingles(t) for t in columns["text"]]
             return {
                 "doc_id": columns["doc_id"],
+                "text_hash": columns["text_hash"],
                 "class": [class_of(s) for s in sets],
                 "values": [minhash(s).tobytes() if len(s) else None for s in sets],
             }
 
         return step
 
-    return map_chunks(texts_of(docs), start, "doc_id bigint, class bigint, values binary")
+    texts = _with_hash(texts_of(docs))
+    return map_chunks(texts, start, "doc_id bigint, text_hash bigint, class bigint, values binary")
+
+
+def _with_hash(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("text_hash", F.xxhash64("text"))
 
 
 def _blocked(members: DataFrame, group: str, size: str, block: int) -> DataFrame:
@@ -258,17 +265,34 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     texts = texts_of(docs)
     rows = stored(described(docs))
+    # A class is represented by a row with its smallest id, or without ids by one of its texts.
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
     classes = stored(
         rows.filter("class IS NOT NULL")
         .groupBy("class")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("values").alias("values"))
+        .agg(
+            named.alias("named"),
+            F.min("text_hash").alias("any_hash"),
+            F.count(F.lit(1)).alias("weight"),
+            F.min("values").alias("values"),
+        )
+        .select(
+            "class",
+            F.col("named.doc_id").alias("rep"),
+            F.coalesce("named.text_hash", "any_hash").alias("rep_hash"),
+            "weight",
+            "values",
+        )
     )
     parts = components(candidate_links(classes, threshold), "class", "root")
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    # Only the size of a component of several blocks matters. There are fewer of these than blocks, so they
+    # are sent to the parts, and no component meets in one task.
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > EXACT_BLOCK)
     wanted = (
-        parts.join(sizes, "component")
+        parts.join(measured(sizes).hinted(), "component", "left")
+        .withColumn("n", F.coalesce("n", F.lit(1)))
         .withColumnRenamed("node", "class")
-        .join(classes.select("class", "rep", "weight"), "class")
+        .join(classes.select("class", "rep", "rep_hash", "weight"), "class")
     )
     groups = _with_texts(wanted, texts)
     found = stored(verified_links(groups, threshold))
@@ -300,8 +324,19 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """Adds the text of each class: of the rows with its smallest id, one whose shingles are the class."""
-    read = texts.join(wanted.select(F.col("class").alias("sought"), "rep"), F.col("doc_id").eqNullSafe(F.col("rep")))
+    """Adds the text of each class: that of its representative, checked by its shingles.
+
+    Rows without an id are reduced to distinct texts first, so a join on a null id brings a class no more than
+    the texts that share its hash.
+    """
+    hashed = _with_hash(texts)
+    nameless = hashed.filter("doc_id IS NULL").groupBy("doc_id", "text_hash").agg(F.min("text").alias("text"))
+    of_class = wanted.select(F.col("class").alias("sought"), "rep", "rep_hash")
+    read = (
+        hashed.filter("doc_id IS NOT NULL")
+        .join(of_class.filter("rep IS NOT NULL"), (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))
+        .unionByName(nameless.join(of_class.filter("rep IS NULL"), F.col("text_hash") == F.col("rep_hash")))
+    )
 
     def start():
         def step(columns):
@@ -328,7 +363,8 @@ def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The same columns, one row of each class: the one with the smallest id.
 
-    Of rows with one id those with equal texts are taken once. Rows with a null id stay.
+    Of rows with one id those with equal texts are taken once; if one of its texts stays, so do its others. Rows
+    with a null id stay.
     """
     kept = joined(docs, threshold).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])

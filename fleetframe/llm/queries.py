@@ -22,7 +22,7 @@ from fleetframe.llm import (
     toxicity,
 )
 from fleetframe.llm.common import table
-from fleetframe.llm.oracles import HARD_NEGATIVES, NEAREST
+from fleetframe.llm.oracles import EMBEDDING_DEDUP, HARD_NEGATIVES, NEAREST, NGRAM_JOIN
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,4 +104,9 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op12_hard_negatives": HARD_NEGATIVES, "op13_nearest": NEAREST}
+    return {
+        "op6_embedding_dedup": EMBEDDING_DEDUP,
+        "op10_ngram_join": NGRAM_JOIN,
+        "op12_hard_negatives": HARD_NEGATIVES,
+        "op13_nearest": NEAREST,
+    }

@@ -60,6 +60,7 @@ def corpus():
 @pytest.mark.parametrize("block", [1_000, 8])
 def test_against_brute_force(monkeypatch, make_docs, block):
     if block < 1_000:
+        monkeypatch.setattr(ngram_join, "EXACT_BLOCK", block)
         for f in (ngram_join.candidate_links, ngram_join.verified_links):
             monkeypatch.setattr(f, "__defaults__", (ngram_join.THRESHOLD, block))
     rows = corpus()
@@ -75,6 +76,22 @@ def test_bundled_documents(bundled):
     assert {str(i) for i in kept} == {d for d, c, _ in want if d == c}
 
 
+def test_rows_without_ids(make_docs):
+    """Many of them in many classes, near copies of each other and of rows with ids, and copies that are equal."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(60):
+        base = [word() for _ in range(60)]
+        near = base[:-1] + [word()]
+        rows += [(None, " ".join(base)), (None, " ".join(near)), (None, " ".join(base))]
+        if i % 3 == 0:
+            rows.append((i, " ".join(base[:-1] + [word()])))
+    rows += [(None, "the same text in very many rows without any id at all")] * 80
+    rows += [(7, rows[0][1]), (7, rows[3][1])]
+    assert run(make_docs(rows)) == brute(rows)
+
+
 def test_odd_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows, clashing=True)
     assert run(docs) == brute(odd_rows)
