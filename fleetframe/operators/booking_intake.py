@@ -20,6 +20,7 @@ from fleetframe.operators.intake import (
     held_values,
     unique_reason,
 )
+from fleetframe.plans.collations import under
 from fleetframe.plans.lookups import measured
 from fleetframe.plans.paging import with_positions
 from fleetframe.session import pin
@@ -84,12 +85,15 @@ _NEW_CUSTOMER_RULES: list[UniqueRule] = [
 _NEW_FIELDS = ["customer_phone", "id_card", "license_number", "address"]
 
 
-def resolve_booking_customer(validated: DataFrame, customer: DataFrame) -> DataFrame:
+def resolve_booking_customer(
+    validated: DataFrame, customer: DataFrame, collation: str | None = None
+) -> DataFrame:
     """Append the customer of each open request: one on file, or a new one.
 
     A new customer must be complete and take no value already in use. One on
     file may also have been added by an earlier request of the same batch.
-    Adds customer_id_card, customer_drivers_license and ``is_new_customer``.
+    Adds customer_id_card, customer_drivers_license and ``is_new_customer``. Values are compared by their
+    bytes, or under a collation; the identity card of a customer on file is given as it is on file.
     """
     is_new = F.coalesce(F.col("customer_selection") == fixed.NEW_CUSTOMER, F.lit(False))
     trimmed = validated.select(
@@ -115,7 +119,7 @@ def resolve_booking_customer(validated: DataFrame, customer: DataFrame) -> DataF
         ),
     )
     decided = unique_reason(
-        checked, customer, _NEW_CUSTOMER_RULES, F.col("_new") & F.col(REASON).isNull()
+        checked, customer, _NEW_CUSTOMER_RULES, F.col("_new") & F.col(REASON).isNull(), collation
     )
     outcome = measured(decided.withColumn(REASON, F.coalesce(REASON, "_taken")).drop("_taken"), keep=True)
     decided = outcome.frame
@@ -127,19 +131,21 @@ def resolve_booking_customer(validated: DataFrame, customer: DataFrame) -> DataF
     )
     chosen = outcome.where(~F.col("_new") & F.col(REASON).isNull())
     on_file = held_values(
-        customer, "id_card", chosen, "customer_selection", "drivers_license"
+        customer, "id_card", chosen, "customer_selection", "drivers_license", collation=collation
     ).select(F.col("_held").alias("_filed_id"), F.col("drivers_license").alias("_filed_licence"))
+    chosen_id = under(F.col("customer_selection"), collation)
     selects = ~F.col("_new") & F.col(REASON).isNull()
     joined = decided.join(
-        on_file, selects & (F.col("customer_selection") == F.col("_filed_id")), "left"
+        on_file, selects & (chosen_id == F.col("_filed_id")), "left"
     ).join(
         added,
         selects
-        & (F.col("customer_selection") == F.col("_added_id"))
+        & (chosen_id == under(F.col("_added_id"), collation))
         & (F.col("_added_at") < F.col("arrival")),
         "left",
     )
-    found_id = F.coalesce("_filed_id", "_added_id")
+    # Both as plain texts again.
+    found_id = F.coalesce(F.col("_filed_id").cast("string"), F.col("_added_id"))
     found_licence = F.when(F.col("_filed_id").isNotNull(), F.col("_filed_licence")).otherwise(
         F.col("_added_licence")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetframe import fixed
 from fleetframe.functions import is_missing, form_trim
+from fleetframe.plans.collations import under, with_canonical
 from fleetframe.plans.first_come import accept_unique
 from fleetframe.plans.lookups import Measured, matching_rows, measured
 from fleetframe.plans.paging import with_positions
@@ -38,40 +39,49 @@ def any_missing(*names: str) -> Column:
 
 
 def held_values(
-    master: DataFrame, column: str, requests: Measured, asked: str, *extra: str
+    master: DataFrame, column: str, requests: Measured, asked: str, *extra: str, collation: str | None = None
 ) -> DataFrame:
-    """The values asked for by the requests that the master table already holds.
+    """The values asked for by the requests that the master table already holds, one of those that are equal.
     A small batch is sent to the scan of the master."""
     held = master.select(F.col(column).alias("_held"), *extra)
-    return matching_rows(held, "_held", requests, asked).dropDuplicates(["_held"])
+    found = matching_rows(held, "_held", requests, asked, collation)
+    return found.withColumn("_held", under(F.col("_held"), collation)).dropDuplicates(["_held"])
 
 
 def unique_reason(
-    requests: DataFrame, master: DataFrame, rules: list[UniqueRule], open_rows: Column
+    requests: DataFrame,
+    master: DataFrame,
+    rules: list[UniqueRule],
+    open_rows: Column,
+    collation: str | None = None,
 ) -> DataFrame:
     """Apply "value not yet taken" rules to the open rows, in order of arrival.
 
     A value is taken by the master table or by an earlier accepted request of
     the batch. Rows that are not open are passed through and take nothing. Adds
-    ``_taken``, the message of the first rule broken.
+    ``_taken``, the message of the first rule broken. Values are compared by their bytes, or under
+    a collation, where values that are equal under it are one value.
     """
     batch = measured(requests.withColumn("_open", open_rows), keep=True)
     asking = batch.where(F.col("_open"))
     marked = batch.frame
     for i, (column, master_column, _) in enumerate(rules):
-        held = held_values(master, master_column, asking, column)
-        marked = marked.join(
-            held.withColumnRenamed("_held", f"_held{i}"), F.col(column) == F.col(f"_held{i}"), "left"
-        )
-    marked = pin(marked)
+        held = held_values(master, master_column, asking, column, collation=collation)
+        same = under(F.col(column), collation) == F.col(f"_held{i}")
+        marked = marked.join(held.withColumnRenamed("_held", f"_held{i}"), same, "left")
     keys = [column for column, _, _ in rules]
+    if collation is not None:
+        # From here on equal values are written alike.
+        marked = with_canonical(marked, keys, collation)
+        keys = [f"_as_{column}" for column in keys]
+    marked = pin(marked)
     clear = F.col("_open")
     for i in range(len(rules)):
         clear = clear & F.col(f"_held{i}").isNull()
     accepted = accept_unique(marked.filter(clear), "arrival", keys)
     holders = pin(marked.select("arrival", *keys).join(accepted, "arrival", "left_semi"))
     reasons = []
-    for i, (column, _, message) in enumerate(rules):
+    for i, (column, (_, _, message)) in enumerate(zip(keys, rules)):
         holder = holders.select(F.col(column).alias(f"_key{i}"), F.col("arrival").alias(f"_by{i}"))
         marked = marked.join(holder, F.col(column) == F.col(f"_key{i}"), "left")
         earlier = F.coalesce(F.col(f"_by{i}") < F.col("arrival"), F.lit(False))
@@ -105,15 +115,15 @@ _CUSTOMER_RULES: list[UniqueRule] = [
 ]
 
 
-def dedupe_against_master(validated: DataFrame, customer: DataFrame) -> DataFrame:
-    """Turn away phones, licences and identity cards that are already in use."""
-    checked = unique_reason(validated, customer, _CUSTOMER_RULES, F.col(REASON).isNull())
+def dedupe_against_master(validated: DataFrame, customer: DataFrame, collation: str | None = None) -> DataFrame:
+    """Turn away phones, licences and identity cards that are already in use, by bytes or under a collation."""
+    checked = unique_reason(validated, customer, _CUSTOMER_RULES, F.col(REASON).isNull(), collation)
     return checked.withColumn(REASON, F.coalesce(REASON, "_taken")).drop("_taken")
 
 
-def admit_customers(requests: DataFrame, customer: DataFrame) -> DataFrame:
+def admit_customers(requests: DataFrame, customer: DataFrame, collation: str | None = None) -> DataFrame:
     """All sign-ups with their ``reject_reason``."""
-    return dedupe_against_master(validate_customers(requests), customer)
+    return dedupe_against_master(validate_customers(requests), customer, collation)
 
 
 def new_customers(admitted: DataFrame) -> DataFrame:

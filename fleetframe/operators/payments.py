@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetframe import fixed
 from fleetframe.functions import half_up_ratio, or_default, percent_of, rupiah, same_day
+from fleetframe.plans.collations import under
 from fleetframe.plans.lookups import matching_rows, measured
 from fleetframe.plans.paging import top_rows
 from fleetframe.sources.tables import RentalTables
@@ -70,9 +71,11 @@ def transaction_cards(tables: RentalTables, k: int = 50) -> DataFrame:
     )
 
 
-def payment_method_analysis(tables: RentalTables) -> DataFrame:
+def payment_method_analysis(tables: RentalTables, collation: str | None = None) -> DataFrame:
     """Per method: payments that have a booking, with shares of all payments.
 
+    Methods are told apart by their bytes, or under a collation, where the smallest spelling by bytes is shown.
+
     One pass over the payments gives numerators and denominators: every payment
     is kept with a marker telling whether its booking exists, the measures count
     the marked ones, and the totals are windows over the few method rows. Both
@@ -85,7 +88,8 @@ def payment_method_analysis(tables: RentalTables) -> DataFrame:
     joined = payment.join(booking, F.col("booking_booking_id") == F.col("booking_id"), "left")
     booked = F.col("booking_id").isNotNull()
     amount = F.when(booked, F.col("amount"))
-    per_method = joined.groupBy("payment_method").agg(
+    per_method = joined.groupBy(under(F.col("payment_method"), collation).alias("method")).agg(
+        F.min("payment_method").alias("payment_method"),
         F.count("*").alias("every_payment"),
         F.sum("amount").alias("every_paid"),
         F.count("booking_id").alias("payments"),

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetframe.plans.collations import under
 from fleetframe.session import pin
 
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -65,9 +66,9 @@ def measured(df: DataFrame, keep: bool = False) -> Measured:
     return Measured(frame, {c: found[f"size{i}"] or 0 for i, c in enumerate(df.columns)})
 
 
-def matching_rows(big: DataFrame, key: str, few: Measured, few_key: str) -> DataFrame:
-    """Rows of ``big`` whose key occurs in ``few``."""
+def matching_rows(big: DataFrame, key: str, few: Measured, few_key: str, collation: str | None = None) -> DataFrame:
+    """Rows of ``big`` whose key occurs in ``few``, compared by bytes or under a collation."""
     keys = few.frame.select(F.col(few_key).alias("_wanted"))
     if few.fits_broadcast(few_key):
         keys = F.broadcast(keys)
-    return big.join(keys, F.col(key) == F.col("_wanted"), "left_semi")
+    return big.join(keys, under(F.col(key), collation) == under(F.col("_wanted"), collation), "left_semi")

@@ -35,7 +35,7 @@ from fleetframe.operators import (
     search,
 )
 from fleetframe.session import ensure_checkpoint_dir
-from fleetframe.sources import batches, dump, fixtures, sinks, trigrams
+from fleetframe.sources import batches, dump, fixtures, sinks, sql_functions, trigrams
 from fleetframe.sources.fixtures import AS_OF, load_tables
 from fleetframe.sources.tables import DATABASE_NAMES, MONEY, RentalTables, read_parquet_tables
 from fleetframe.streaming import availability as availability_stream
@@ -93,6 +93,9 @@ def report_runs() -> dict[str, Callable[[RentalTables], DataFrame]]:
         "recent_transactions": payments.recent_transactions,
         "transaction_cards": payments.transaction_cards,
         "payment_method_analysis": payments.payment_method_analysis,
+        "payment_method_analysis_collated": lambda t: payments.payment_method_analysis(
+            t.with_tables(transaction=_in_lower_case(t.transaction, "payment_method", "transaction_id")), COLLATION
+        ),
         "today_stats": lambda t: payments.today_stats(t, AS_OF),
         # bookings
         "today_bookings": lambda t: bookings.today_bookings(t, AS_OF),
@@ -116,7 +119,7 @@ def report_runs() -> dict[str, Callable[[RentalTables], DataFrame]]:
             t, "#00000001", page=3, per_page=40
         ),
         "search_customers": lambda t: search.search_customers(t, "machinery", page=2, per_page=50),
-        "search_customers_deep_page": lambda t: search.search_customers(t, "0", page=1200, per_page=9),
+        "search_customers_deep_page": lambda t: search.search_customers(t, "0", page=15, per_page=9),
         "search_customers_wildcard": lambda t: search.search_customers(t, "fur%e 1_"),
         "search_customers_meta": lambda t: search.search_customers_meta(t, "machinery", page=2, per_page=50),
         "search_customers_json": _customer_answer,
@@ -180,6 +183,20 @@ def _work_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+# Upper and lower case are one letter, as in the database's own comparisons.
+COLLATION = "UTF8_LCASE"
+
+
+def _in_lower_case(rows: DataFrame, column: str, key: str) -> DataFrame:
+    """About half of the values in lower case."""
+    return rows.withColumn(column, F.when(F.crc32(F.col(key).cast("string")) % 2 == 0, F.lower(column)).otherwise(F.col(column)))
+
+
+def _admitted_collated(requests: DataFrame, tables: RentalTables) -> DataFrame:
+    asked = requests.withColumn("license_number", F.when(F.col("arrival") % 2 == 0, F.lower("license_number")).otherwise(F.col("license_number")))
+    return intake.admit_customers(asked, tables.customer, COLLATION)
+
+
 def _halves(requests: DataFrame) -> list[DataFrame]:
     """All requests in two batches."""
     return [requests.filter(F.pmod("arrival", F.lit(2)) == n) for n in (0, 1)]
@@ -334,6 +351,32 @@ def _indexed_query(run: Callable[[RentalTables], DataFrame]) -> Query:
     return lambda spark, source: comparable(run(trigrams.read_indexed_tables(spark, _indexed_folder(spark, source))))
 
 
+def sql_texts() -> dict[str, str]:
+    """Queries in SQL over the functions of ``sql_functions``; ``fleet_`` stands before their names."""
+    day = f"DATE '{AS_OF}'"
+    return {
+        "top_customers_sql": "SELECT * FROM fleet_top_customers(10)",
+        "monthly_bookings_sql": f"SELECT * FROM fleet_monthly_bookings({day}, 12)",
+        "revenue_growth_sql": f"SELECT * FROM fleet_revenue_growth({day}, 12)",
+        "monthly_revenue_report_sql": f"SELECT * FROM fleet_monthly_revenue_report({day}, 12)",
+        "today_stats_sql": f"SELECT * FROM fleet_today_stats({day})",
+        "class_utilization_sql": "SELECT * FROM fleet_class_utilization()",
+        "booking_labels_sql": f"""SELECT booking_id, fleet_booking_status(start_date, end_date, {day}) AS status,
+            fleet_inclusive_days(start_date, end_date) AS charged_days, fleet_or_default(customer_id_card, 'Unknown') AS customer
+            FROM fleet_booking""",
+        "car_labels_sql": """SELECT car_id, fleet_rupiah(car_price * 1234) AS price, fleet_truncate_text(car_name, 8) AS short_name,
+            fleet_usage_status(char_length(car_name)) AS label FROM fleet_car""",
+    }
+
+
+def _sql_query(text: str) -> Query:
+    def query(spark: SparkSession, source: str) -> DataFrame:
+        sql_functions.create_functions(load_tables(spark, source), "fleet_")
+        return comparable(spark.sql(text))
+
+    return query
+
+
 def _dumped(name: str, split_bytes: int) -> Query:
     """A table written as statements of a dump and read back in byte ranges."""
 
@@ -390,6 +433,7 @@ def intake_runs() -> dict[str, tuple[Query, Callable[[DataFrame, RentalTables],
         fixtures.customer_requests,
         validate_customers=lambda r, t: intake.validate_customers(r),
         dedupe_against_master=lambda r, t: intake.admit_customers(r, t.customer),
+        dedupe_against_master_collated=_admitted_collated,
         ingest_customers=lambda r, t: intake.ingest_customers(r, t.customer),
     )
     on(
@@ -468,4 +512,5 @@ def all_queries() -> dict[str, Query]:
     indexed = {name: _indexed_query(run) for name, run in indexed_runs().items()}
     kept = {name: _maintained_query(run) for name, run in maintained_runs().items()}
     merged = {name: _distinct_query(run) for name, run in distinct_runs().items()}
-    return {**reports, **intake, **stored_runs(), **indexed, **kept, **merged}
+    written = {name: _sql_query(text) for name, text in sql_texts().items()}
+    return {**reports, **intake, **stored_runs(), **indexed, **kept, **merged, **written}

@@ -633,7 +633,7 @@ def _search_and_feed() -> dict[str, str]:
         ORDER BY activity_time DESC, activity_type, activity_message LIMIT 5"""
     return {
         "search_customers": _with("r_customer", rows),
-        "search_customers_deep_page": _with("r_customer", _customer_search("0", 1200, 9)),
+        "search_customers_deep_page": _with("r_customer", _customer_search("0", 15, 9)),
         "search_customers_wildcard": _with("r_customer", _customer_search("fur%e 1_")),
         "search_customers_meta": _with("r_customer", _meta(matching, 2, 50)),
         "search_customers_json": _with(
@@ -706,6 +706,12 @@ def _intake() -> dict[str, str]:
     return {
         "validate_customers": _with("q_customer v_customer", "SELECT * FROM v_customer"),
         "dedupe_against_master": _with(customer_walk, "SELECT * FROM d_customer", recursive=True),
+        "dedupe_against_master_collated": _with(
+            customer_walk,
+            """SELECT * REPLACE (CASE WHEN arrival % 2 = 0 THEN lower(license_number) ELSE license_number END AS license_number)
+               FROM d_customer""",
+            recursive=True,
+        ),
         "ingest_customers": _with(
             customer_walk, f"SELECT * FROM r_customer UNION ALL BY NAME {accepted_customers}", recursive=True
         ),
@@ -876,8 +882,12 @@ def all_oracles() -> dict[str, str]:
     lists = "search_bookings search_bookings_people search_bookings_meta search_customers search_customers_wildcard"
     lists += " staff_search customer_quick_search customer_picker"
     kept = "monthly_bookings revenue_growth monthly_revenue_report monthly_revenue_recent today_stats dashboard_stats"
+    functions = "top_customers monthly_bookings revenue_growth monthly_revenue_report today_stats class_utilization"
+    functions += " booking_labels car_labels"
     return (
         found
         | {f"{name}_indexed": found[name] for name in lists.split()}
         | {f"{name}_maintained": found[name] for name in kept.split()}
+        | {f"{name}_sql": found[name] for name in functions.split()}
+        | {"payment_method_analysis_collated": found["payment_method_analysis"]}
     )
