@@ -18,7 +18,6 @@ Other columns are ignored. Without training texts, all tokens are unseen.
 from __future__ import annotations
 
 import functools
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -130,12 +129,18 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def ranges_of(sorted_groups: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(group, low, high) of each group that occurs in a sorted array; others cost nothing."""
+    if len(sorted_groups):
+        lows = np.flatnonzero(np.concatenate([[True], sorted_groups[1:] != sorted_groups[:-1]]))
+        highs = np.append(lows[1:], len(sorted_groups))
+        yield from zip(sorted_groups[lows].tolist(), lows.tolist(), highs.tolist())
+
+
 def in_buckets(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Sorted keys cut where the bucket changes."""
-    ends = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-    for b in range(buckets):
-        if ends[b] < ends[b + 1]:
-            yield b, keys[ends[b] : ends[b + 1]], counts[ends[b] : ends[b + 1]]
+    for b, low, high in ranges_of(bucket_of(keys, buckets)):
+        yield b, keys[low:high], counts[low:high]
 
 
 def _part_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -212,13 +217,27 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
     info = files.get_file_info(path)
     if info.type == pyarrow.fs.FileType.NotFound or not info.size:
         return np.zeros(0, dtype=kind)
-    if not isinstance(files, pyarrow.fs.LocalFileSystem):
-        local = os.path.join(tempfile.mkdtemp(), name)
-        with files.open_input_stream(path) as source, open(local, "wb") as out:
+    if isinstance(files, pyarrow.fs.LocalFileSystem):
+        return np.memmap(path, dtype=kind, mode="r")
+    # The copy has no name any more once it is mapped, so it goes with the worker.
+    with tempfile.TemporaryFile() as local:
+        with files.open_input_stream(path) as source:
             while chunk := source.read(1 << 24):
-                out.write(chunk)
-        path = local
-    return np.memmap(path, dtype=kind, mode="r")
+                local.write(chunk)
+        local.flush()
+        return np.memmap(local, dtype=kind, mode="r")
+
+
+def write_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """Counts in 32 bits each, or in 64 where one of them needs more."""
+    wide = counts.size and int(counts.max()) >> 32
+    write_array(folder, name, counts.astype("<u8" if wide else "<u4"))
+
+
+def mapped_counts(folder: str, name: str, size: int) -> np.ndarray:
+    """Counts written by ``write_counts``, of which there are ``size``."""
+    held = mapped(folder, name, "u1")
+    return held.view("<u8" if size and len(held) == 8 * size else "<u4")
 
 
 # --- The model ---------------------------------------------------------------------------------
@@ -264,38 +283,35 @@ class Model:
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of sorted distinct hashes; -1 for words not seen."""
         found = np.full(len(hashes), -1, dtype=np.int64)
-        buckets = len(self.word_starts) - 1
-        ends = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-        for b in range(buckets):
-            low, high = ends[b], ends[b + 1]
-            if low < high:
-                places = _places(mapped(self.folder, f"words-{b}", "<u8"), hashes[low:high])
-                found[low:high] = np.where(places < 0, -1, places + self.word_starts[b])
+        for b, low, high in ranges_of(bucket_of(hashes, len(self.word_starts) - 1)):
+            places = _places(mapped(self.folder, f"words-{b}", "<u8"), hashes[low:high])
+            found[low:high] = np.where(places < 0, -1, places + self.word_starts[b])
         return found
 
     def of_words(self, name: str, numbers: np.ndarray, columns: int = 1) -> np.ndarray:
         """Stored values of sorted distinct word numbers."""
         found = np.zeros((len(numbers), columns), dtype=np.int64)
-        starts = np.append(self.word_starts[:-1], self.words + 1)
-        ends = np.searchsorted(numbers, starts)
-        for b in range(len(starts) - 1):
-            low, high = ends[b], ends[b + 1]
-            values = mapped(self.folder, f"{name}-{b}", "<u4")
-            if low < high and len(values):
-                found[low:high] = values.reshape(-1, columns)[numbers[low:high] - starts[b]]
+        limits = np.append(self.word_starts[:-1], self.words + 1)
+        for b, low, high in ranges_of(np.searchsorted(limits, numbers, side="right") - 1):
+            values = mapped_counts(self.folder, f"{name}-{b}", columns * self.rows_of(name, b))
+            if len(values):
+                found[low:high] = values.reshape(-1, columns)[numbers[low:high] - limits[b]]
         return found
 
+    def rows_of(self, name: str, bucket: int) -> int:
+        """Entries of an array of words; the statistics have a row more, for the start of a text."""
+        last = bucket == len(self.word_starts) - 2
+        return int(self.word_starts[bucket + 1] - self.word_starts[bucket]) + (1 if last and name == "stats" else 0)
+
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct scattered keys."""
         found = np.zeros(len(keys), dtype=np.int64)
-        ends = np.searchsorted(bucket_of(keys, self.pair_buckets), np.arange(self.pair_buckets + 1))
-        for b in range(self.pair_buckets):
-            low, high = ends[b], ends[b + 1]
-            if low < high:
-                places = _places(mapped(self.folder, f"pairs-{b}", "<u8"), keys[low:high])
-                counts = mapped(self.folder, f"pair-counts-{b}", "<u4")
-                hit = places >= 0
-                found[low:high][hit] = counts[places[hit]]
+        for b, low, high in ranges_of(bucket_of(keys, self.pair_buckets)):
+            stored = mapped(self.folder, f"pairs-{b}", "<u8")
+            places = _places(stored, keys[low:high])
+            counts = mapped_counts(self.folder, f"pair-counts-{b}", len(stored))
+            hit = places >= 0
+            found[low:high][hit] = counts[places[hit]]
         return found
 
 
@@ -339,7 +355,7 @@ def train(texts: DataFrame) -> Model:
         b = int(key[0])
         keys, counts = merged(part)
         write_array(folder, f"words-{b}", keys.astype("<u8"))
-        write_array(folder, f"word-counts-{b}", counts.astype("<u4"))
+        write_counts(folder, f"word-counts-{b}", counts)
         return pd.DataFrame({"bucket": [b], "words": [len(keys)], "tokens": [int(counts.sum())]})
 
     # One small row per bucket comes to the driver.
@@ -374,7 +390,7 @@ def train(texts: DataFrame) -> Model:
         b = int(key[0])
         keys, counts = merged(part)
         write_array(folder, f"pairs-{b}", keys.astype("<u8"))
-        write_array(folder, f"pair-counts-{b}", counts.astype("<u4"))
+        write_counts(folder, f"pair-counts-{b}", counts)
         first, second = split_keys(keys, words)
         # For each word: pairs it starts that were seen once, twice, more often, and pairs it ends.
         seen = [first[counts == 1], first[counts == 2], first[counts > 2], second]
@@ -382,11 +398,9 @@ def train(texts: DataFrame) -> Model:
         rows.append((-1, 4, np.int64(len(keys)), b""))
         for column, ids in enumerate(seen):
             ids, sums = summed(ids.astype(np.uint64))
-            ends = np.searchsorted(ids, limits.astype(np.uint64))
-            for w in range(len(limits) - 1):
-                if ends[w] < ends[w + 1]:
-                    part_ids, part_sums = ids[ends[w] : ends[w + 1]], sums[ends[w] : ends[w + 1]]
-                    rows.append((w, column, np.int64(0), packed(part_ids, True) + b"|split|" + packed(part_sums, False)))
+            for w, low, high in ranges_of(np.searchsorted(limits, ids.astype(np.int64), side="right") - 1):
+                data = packed(ids[low:high], True) + b"|split|" + packed(sums[low:high], False)
+                rows.append((w, column, np.int64(0), data))
         return pd.DataFrame(rows, columns=["bucket", "column", "n", "data"])
 
     found = pin(
@@ -403,7 +417,7 @@ def train(texts: DataFrame) -> Model:
             ids, sums = data.split(b"|split|", 1)
             at = unpacked(ids, True).astype(np.int64) - int(limits[b])
             values[at, column] += unpacked(sums, False).astype(np.int64)
-        write_array(folder, f"stats-{b}", values.astype("<u4"))
+        write_counts(folder, f"stats-{b}", values)
         ends = values[:, 3]
         return pd.DataFrame([[*(int((ends == k).sum()) for k in (1, 2, 3, 4)), int((ends > 0).sum())]], columns=list("abcde"))
 

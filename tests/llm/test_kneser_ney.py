@@ -120,3 +120,22 @@ def test_seen_texts_score_better(bundled):
     rows = kneser_ney.train_and_score(bundled("documents")).collect()
     aside = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in aside) > sum(r["base_score"] for r in aside)
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    """One wide count widens its file; what is read is what was written."""
+    folder = str(tmp_path)
+    for name, counts in (
+        ("narrow", np.array([0, 1, 2**32 - 1])),
+        ("wide", np.array([5, 2**32, 2**40 + 7])),
+        ("rows", np.array([[1, 2], [3, 2**33]])),
+        ("none", np.zeros(0, dtype=np.int64)),
+    ):
+        kneser_ney.write_counts(folder, name, counts)
+        read = kneser_ney.mapped_counts(folder, name, counts.size)
+        assert read.reshape(counts.shape).astype(np.int64).tolist() == counts.tolist()
+
+
+def test_ranges_of_sorted_groups():
+    assert list(kneser_ney.ranges_of(np.array([2, 2, 5, 9, 9, 9]))) == [(2, 0, 2), (5, 2, 3), (9, 3, 6)]
+    assert list(kneser_ney.ranges_of(np.zeros(0, dtype=np.int64))) == []
