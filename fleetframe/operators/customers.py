@@ -12,7 +12,7 @@ from fleetframe.sources.tables import RentalTables
 CUSTOMER_COLUMNS = ["id_card", "name", "phone_number", "address", "drivers_license"]
 
 
-def _per_customer(bookings: DataFrame, weight: Column) -> DataFrame:
+def per_customer(bookings: DataFrame, weight: Column) -> DataFrame:
     """Booking rows with payment rollup, summed per customer.
 
     ``weight`` is how many rows the booking has after joining its payments.
@@ -49,7 +49,7 @@ def top_customers(tables: RentalTables, k: int | None = 10) -> DataFrame:
         payments_per_booking(tables), F.col("booking_id") == F.col("paid_booking_id")
     )
     ranked = top_rows(
-        _named(tables, _per_customer(paid, F.col("payments"))), [F.desc("spent"), F.asc("id_card")], k
+        _named(tables, per_customer(paid, F.col("payments"))), [F.desc("spent"), F.asc("id_card")], k
     )
     return ranked.select(
         F.col("name").alias("Customer_Name"),
@@ -69,7 +69,7 @@ def customer_history(tables: RentalTables, k: int | None = 10) -> DataFrame:
     )
     weight = F.coalesce(F.col("payments"), F.lit(1))
     ranked = top_rows(
-        _named(tables, _per_customer(bookings, weight)),
+        _named(tables, per_customer(bookings, weight)),
         [F.desc("booking_rows"), F.asc("id_card")],
         k,
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from fleetframe.sources.batches import contents, current_rows, edited_part
+from fleetframe.sources.batches import contents, current_rows, edited_part, read_marks
 
 MONEY = T.DecimalType(12, 2)
 
@@ -109,7 +109,7 @@ def read_parquet_tables(spark: SparkSession, folder: str, before: int | None = N
 
     Of a folder written in batches (``sources.batches``) only whole batches are read, and only those
     with numbers below ``before`` if that is given; the others' files are not opened. Of a key that was edited
-    the newest state counts. A table no batch edited is read as it is, without a join.
+    the newest state counts. A table no batch edited is read as it is, without a join; one no batch wrote is empty.
     """
     held = contents(spark, folder, before)
     if held is None:
@@ -119,7 +119,8 @@ def read_parquet_tables(spark: SparkSession, folder: str, before: int | None = N
 
     def part(name: str, fields: list[T.StructField]) -> DataFrame:
         full = T.StructType([*fields, T.StructField("batch_id", T.LongType())])
-        rows = spark.read.schema(full).parquet(f"{folder}/{name}")
+        rows = read_marks(spark, f"{folder}/{name}", full)
+        rows = spark.createDataFrame([], full) if rows is None else rows
         return rows.filter(F.col("batch_id").isin(held.batches))
 
     def read(name: str, schema: T.StructType) -> DataFrame:

@@ -889,5 +889,6 @@ def all_oracles() -> dict[str, str]:
         | {f"{name}_indexed": found[name] for name in lists.split()}
         | {f"{name}_maintained": found[name] for name in kept.split()}
         | {f"{name}_sql": found[name] for name in functions.split()}
+        | {"top_customers_by_bounds": found["top_customers"]}
         | {"payment_method_analysis_collated": found["payment_method_analysis"]}
     )
