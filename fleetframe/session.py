@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -98,11 +100,39 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the checkpoint folder and read it back.
 
     For loops: a pinned frame keeps the estimated size of the plan it came from, and estimates of joins
-    multiply from round to round, while a table has the size of its files. The files stay with the
-    other files of the checkpoint folder.
+    multiply from round to round, while a table has the size of its files. The files stay in the
+    checkpoint folder until the ``scratch_tables`` block ends in which they were written.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "table")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+# Folders of tables written by operators, in the order in which they were named.
+_scratch: list[str] = []
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    return folder
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the tables that operators called in it wrote to the checkpoint folder.
+
+    Frames are lazy, so results have to be written or collected within the block. Without a block the tables
+    stay for as long as the checkpoint folder does.
+    """
+    first = len(_scratch)
+    try:
+        yield
+    finally:
+        configuration = spark.sparkContext._jsc.hadoopConfiguration()
+        while len(_scratch) > first:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+            path.getFileSystem(configuration).delete(path, True)

@@ -162,3 +162,20 @@ def test_positions_and_deep_pages_equal_the_sorted_list(spark, monkeypatch):
     deep = [tuple(r) for r in paging.page_rows(frame, order(), 9, 100, ["name", "id"]).collect()]
     assert shallow == deep == expected[800:900]
     assert paging.page_rows(frame, order(), 99, 100, ["name", "id"]).count() == 0
+
+
+def test_tables_of_a_block_are_deleted(spark, tmp_path):
+    """Tables that operators wrote within the block go, those written before and results stay."""
+    import os
+
+    from fleetframe.session import scratch_folder, scratch_tables, stored
+
+    before = scratch_folder(spark, "kept")
+    spark.range(3).write.parquet(before)
+    with scratch_tables(spark):
+        made = stored(spark.range(5))
+        inside = made.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        made.write.parquet(f"{tmp_path}/result")
+        assert os.path.exists(inside)
+    assert not os.path.exists(os.path.dirname(inside))
+    assert spark.read.parquet(before).count() == 3 and spark.read.parquet(f"{tmp_path}/result").count() == 5

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -35,7 +34,7 @@ from fleetframe.operators import (
     search,
     top_by_bounds,
 )
-from fleetframe.session import ensure_checkpoint_dir
+from fleetframe.session import scratch_folder
 from fleetframe.sources import batches, dump, fixtures, sinks, sql_functions, trigrams
 from fleetframe.sources.fixtures import AS_OF, load_tables
 from fleetframe.sources.tables import DATABASE_NAMES, MONEY, RentalTables, read_parquet_tables
@@ -181,8 +180,7 @@ def _retried_batch(requests: DataFrame, tables: RentalTables) -> DataFrame:
 
 def _work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables that a query writes and reads again."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, name)
 
 
 # Upper and lower case are one letter, as in the database's own comparisons.
