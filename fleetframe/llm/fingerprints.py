@@ -41,6 +41,8 @@ RANGES = 40
 SEED = 20_240_310
 # Text characters for each range of ids that is read in order.
 ORDERED_CHARS = 8_000_000
+# Most ranges of ids; their cuts are known to the driver. Beyond, ranges get longer: a task reads its range in order.
+MOST_RANGES = 50_000
 
 BANDS, BAND_SAMPLES = 16, 6
 ALIKE = 0.8
@@ -169,7 +171,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     """
     keyed = texts_of(docs).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
     size = keyed.agg(F.sum(F.length("text")).alias("chars"), F.min("k").alias("least")).first()
-    parts = max(1, -(-(size["chars"] or 0) // ORDERED_CHARS))
+    parts = min(MOST_RANGES, max(1, -(-(size["chars"] or 0) // ORDERED_CHARS)))
     cuts = np.zeros(0, dtype=np.int64)
     if parts > 1:
         shares = [i / parts for i in range(1, parts)]
@@ -192,7 +194,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     )
     return (
         spread.select("to.part", "to.look", "k", "doc_id", "text")
-        .repartition("part")
+        .repartitionById(last + 1, "part")
         .sortWithinPartitions("part", "look", "k", "text")
         .select("part", "look", "doc_id", "text")
     )
@@ -244,13 +246,13 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
 
 def _band_keys(print_: Fingerprint) -> list[str]:
-    """Bands of samples from the last two ranges that the embedding fills, so that texts on both sides
-    of a doubling still meet."""
+    """Bands of samples from every range that the embedding fills: texts on both sides of a doubling share
+    some, and where most of the difference falls into one range, the others still agree."""
     full = len(print_.samples) // SAMPLES
     if not full:
         return ["short:" + print_.written()]
     keys = []
-    for k in range(max(0, full - 2), full):
+    for k in range(full):
         own = print_.samples[k * SAMPLES : (k + 1) * SAMPLES]
         chosen = np.random.default_rng(SEED + 2 + k).integers(0, SAMPLES, (BANDS, BAND_SAMPLES))
         keys += [f"{k}:{b}:{own[row].tobytes().hex()}" for b, row in enumerate(chosen)]

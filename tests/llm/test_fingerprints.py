@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from fleetframe.llm import fingerprints
@@ -84,3 +85,56 @@ def test_near_duplicates(make_docs, odd_rows):
     assert got == {i: (i - 100 if 100 <= i < 200 else 0 if i == 200 else i) for i, _ in rows}
     assert fingerprints.near_duplicates(make_docs(odd_rows, clashing=True)).count() == len(odd_rows)
     assert fingerprints.near_duplicates(make_docs([])).count() == 0
+
+
+def test_fingerprint_against_a_walk_step_by_step():
+    """One step after another: a text stands at a character until the random bit of the step moves it on."""
+    period = 1 << fingerprints.PERIOD_BITS
+    moves = np.random.default_rng(fingerprints.SEED).integers(0, 2, (fingerprints.KINDS, period), dtype=np.uint8)
+    moves[:, ::64] = 1
+    sampled, _ = fingerprints._samples()
+    rng = random.Random(31)
+    for n in (0, 1, 2, 30, 400, 3_000):
+        text = "".join(rng.choice("abc défg 漢") for _ in range(n))
+        kinds = fingerprints.kinds_of(text)
+        assert [kinds[i] == kinds[j] for i in range(min(n, 20)) for j in range(i)] == [
+            text[i] == text[j] for i in range(min(n, 20)) for j in range(i)
+        ]
+        at, embedding = 0, []
+        while at < n:
+            embedding.append(kinds[at])
+            at += int(moves[kinds[at], (len(embedding) - 1) % period])
+        found = fingerprint(text)
+        assert found.length == len(embedding)
+        assert found.samples.tolist() == [embedding[step] & 15 for step in sampled.tolist() if step < len(embedding)]
+
+
+def test_recall_of_the_bands(make_docs):
+    """Pairs of likeness 0.8 and more, most of them far from equal, against comparing all fingerprints."""
+    rng = random.Random(32)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    texts = []
+    for _ in range(60):
+        base = " ".join(word() for _ in range(rng.randint(8, 500)))
+        texts.append(base)
+        for _ in range(3):
+            changed = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 40))):
+                at = rng.randrange(len(changed))
+                changed[at : at + 1] = rng.choice([[], [changed[at], "z"], ["y"]])
+            texts.append("".join(changed))
+        # A difference that lies in the last part only, and lengths on both sides of a doubling.
+        texts.append(base + base[: len(base) // 8])
+    prints = [fingerprint(t) for t in texts]
+    alike = [
+        (i, j) for i in range(len(texts)) for j in range(i) if prints[i].likeness(prints[j]) >= fingerprints.ALIKE
+    ]
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicates(make_docs(list(enumerate(texts)))).collect()}
+    met = sum(got[i] == got[j] for i, j in alike)
+    assert len(alike) > 120 and met >= 0.95 * len(alike)
+    # Nothing is linked that does not hang together through pairs so alike.
+    root = list(range(len(texts)))
+    for i, j in sorted(alike):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    assert all(root[i] == root[got[i]] for i in range(len(texts)))
