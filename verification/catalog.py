@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ from fleetframe.operators import (
     search,
     top_by_bounds,
 )
-from fleetframe.session import scratch_folder
+from fleetframe.session import ensure_checkpoint_dir, scratch_folder
 from fleetframe.sources import batches, dump, fixtures, sinks, sql_functions, trigrams
 from fleetframe.sources.fixtures import AS_OF, load_tables
 from fleetframe.sources.tables import DATABASE_NAMES, MONEY, RentalTables, read_parquet_tables
@@ -197,6 +198,12 @@ def _admitted_collated(requests: DataFrame, tables: RentalTables) -> DataFrame:
     return intake.admit_customers(asked, tables.customer, COLLATION)
 
 
+def _kept_folder(spark: SparkSession, name: str) -> str:
+    """A folder that several queries read, so that no block of scratch tables may delete it."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def _halves(requests: DataFrame) -> list[DataFrame]:
     """All requests in two batches."""
     return [requests.filter(F.pmod("arrival", F.lit(2)) == n) for n in (0, 1)]
@@ -245,7 +252,7 @@ def _admitted_by_stream(requests: DataFrame, tables: RentalTables) -> DataFrame:
 def _indexed_folder(spark: SparkSession, source: str) -> str:
     """The rental tables in two batches, both indexed."""
     tables = load_tables(spark, source)
-    folder = _work_folder(spark, "indexed")
+    folder = _kept_folder(spark, "indexed")
     later = F.pmod(F.crc32("id_card"), F.lit(4)) == 0
     micro_batch.write_base(tables.with_tables(customer=tables.customer.filter(~later)), folder)
     trigrams.update_index(spark, folder)
@@ -262,7 +269,7 @@ def _maintained_folder(spark: SparkSession, source: str) -> str:
     of a rental may come in different batches. Reports are brought up to date after every batch.
     """
     tables = load_tables(spark, source)
-    folder = _work_folder(spark, "maintained")
+    folder = _kept_folder(spark, "maintained")
 
     def dealt(key: str) -> Column:
         return F.pmod(F.crc32(key), F.lit(4)).cast("int") - 1
