@@ -16,7 +16,8 @@ QUERIES = """
     ingest_customers post_transactions process_booking_requests recent_bookings_dashboard recent_transactions
     resolve_booking_customer search_bookings search_bookings_common_term search_bookings_common_term_meta
     search_bookings_deep_page search_bookings_everything search_bookings_json search_bookings_json_past_end
-    search_bookings_meta search_bookings_people search_customers search_customers_json today_bookings transaction_cards
+    search_bookings_meta search_bookings_people search_customers search_customers_deep_page search_customers_json
+    search_customers_indexed dedupe_against_master_collated today_bookings transaction_cards
 """.split()
 
 
