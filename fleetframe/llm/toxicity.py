@@ -1,46 +1,52 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max index, weighted votes.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes.
 
-Terms are words and runs of four or five letters within words, so that forms of one stem meet. From a
-bounded sample of labelled texts, the terms that tell toxic texts from others best are taken; how
-many documents hold each of them is counted over all documents. The examples' term weights are kept in
-blocks of similar examples, each with the largest weight of every term in it. A text's nearest
-examples are exact: a block is skipped only if its largest weights cannot beat what was found.
+Terms are all words of the examples, a bounded sample of labelled texts. How many documents hold each word is
+counted over all documents. A word's weight is its inverse document frequency times how well it tells
+toxic examples from others, a factor that is never zero: no word of an example is ignored.
+
+The index keeps, of each word, the examples that hold it with their weights, cut where blocks of similar
+examples end, and the largest weight of each piece. A text's nearest examples are exact: a block is passed
+over only if the largest weights of the text's words in it cannot beat what was found.
 
 Examples with the same text are one, which votes as often as it was drawn. The votes of the nearest
 examples, weighted by their cosine and by how common their label is, are turned into a probability by the
 labelled texts themselves, each judged by all others; there a text counts once for each of its labels,
 however many copies it has, as rows equal to an example find that example.
 
-A text without any of the terms (also null or empty) gets the share of toxic ones among such texts.
+A text without any word of the examples (also null or empty) gets the share of toxic ones among such labelled
+texts, or, if none was drawn, the probability of a text without toxic votes.
 Without labels of both kinds all texts get the share of toxic labels, or 0. Repeated rows get equal
 scores; other columns, labels included, are ignored when scoring.
 """
 
 from __future__ import annotations
 
-import functools
-import itertools
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetframe.llm.boosted_trees import calibrated, monotone_levels
-from fleetframe.llm.common import Memo, fields_of, id_remainder, map_chunks, sampled_ids, texts_of
+from fleetframe.llm.common import ROWS_AT_ONCE, SAMPLE_SEED, fields_of, id_remainder, map_chunks, sampled_ids, texts_of
 
-# Bounds of what is learned from: labelled texts of each kind, and terms.
+# Bounds of what is learned from, for each kind: labelled texts, and their characters together. They also
+# bound the index that is sent to the workers.
 EXAMPLES_OF_A_KIND = 2_500
-TERMS = 1_024
-# Terms must be this far from chance (chi-squared) and occur in this many of the sampled texts.
-LEAST_CHI = 24.0
-LEAST_TEXTS = 5
+EXAMPLE_CHARS = 32_000_000
+# At this chi-squared a word that tells the kinds apart has a quarter of the largest factor.
+HALF_CHI = 100.0
+LEAST_FACTOR = 0.001
 NEIGHBOURS = 15
 BLOCK = 32
+# Blocks that are looked at before the others are held against what they gave.
+FIRST_BLOCKS = 4
 # Score from which on a text counts as toxic.
 TOXIC_FROM = 0.3
-WORDS_KEPT = 400_000
-WORD_KEPT_CHARS = 64
 
 RESULT = (
     "doc_id bigint, held_out boolean, score double, predicted int, nearest_doc_id bigint, "
@@ -54,62 +60,122 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def terms_of(word: str) -> set[str]:
-    """The word itself, and its runs of four and five letters with marks at both ends."""
-    marked = f"^{word}$"
-    found = {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)}
-    found.add(f"={word}")
-    return found
+@dataclass(frozen=True)
+class Rows:
+    """Sparse rows: row i holds ``values`` at ``terms`` from ``starts[i]`` up to ``starts[i + 1]``."""
+
+    starts: np.ndarray
+    terms: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of_texts(cls, texts: list[str], known: dict[str, int]) -> Rows:
+        """How often each known word occurs in each text, words in the order of their numbers."""
+        starts, terms, values = [0], [], []
+        for text in texts:
+            counts = Counter(words_of(text))
+            found = sorted((known[w], n) for w, n in counts.items() if w in known)
+            terms += [t for t, _ in found]
+            values += [n for _, n in found]
+            starts.append(len(terms))
+        return cls(np.array(starts), np.array(terms, dtype=np.int64), np.array(values, dtype=np.float64))
+
+    @property
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.starts))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.starts[i], self.starts[i + 1])
+        return self.terms[part], self.values[part]
+
+    def weighted(self, weights: np.ndarray) -> Rows:
+        """Counts as rows of length one, or without entries."""
+        values = (1 + np.log(self.values)) * weights[self.terms]
+        size = np.sqrt(np.bincount(self.row_of, values * values, minlength=len(self)))
+        return Rows(self.starts, self.terms, values / size[self.row_of])
+
+
+def _spans(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers low, low + 1, ... of each span, one span after the other."""
+    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 @dataclass(frozen=True)
 class Index:
-    """Examples by blocks; ``tops`` holds the largest weight of each term (row) in each block (column)."""
+    """Postings by word, then by place of the example; a piece is the part of them in one block of places."""
 
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # examples, their terms, weights (term, example)
-    tops: np.ndarray
+    members: np.ndarray  # example at each place
+    places: np.ndarray  # postings
+    weights: np.ndarray
+    piece_starts: np.ndarray
+    piece_blocks: np.ndarray
+    piece_tops: np.ndarray
+    term_pieces: np.ndarray  # first piece of each word, and the end
 
     @classmethod
-    def of(cls, rows: np.ndarray) -> Index:
-        """Rows of length one (or zero); rows with the same strongest term stand together."""
-        order = np.lexsort((rows.max(axis=1), rows.argmax(axis=1)))
-        order = order[rows[order].any(axis=1)]
-        blocks, tops = [], np.zeros((rows.shape[1], -(-len(order) // BLOCK)))
-        for b, low in enumerate(range(0, len(order), BLOCK)):
-            members = np.sort(order[low : low + BLOCK])
-            part = rows[members]
-            terms = np.flatnonzero(part.any(axis=0))
-            blocks.append((members, terms, np.ascontiguousarray(part[:, terms].T)))
-            tops[:, b] = part.max(axis=0)
-        return cls(blocks, tops)
-
-    def nearest(self, queries: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def of(cls, rows: Rows, n_terms: int) -> Index:
+        """Examples with the same strongest word stand together."""
+        row_of = rows.row_of
+        order = np.lexsort((rows.terms, -rows.values, row_of))
+        some = np.flatnonzero(np.diff(rows.starts))
+        strongest = order[rows.starts[some]]
+        members = some[np.lexsort((rows.values[strongest], rows.terms[strongest]))]
+        place = np.full(len(rows), -1)
+        place[members] = np.arange(len(members))
+        order = np.lexsort((place[row_of], rows.terms))
+        terms, places, weights = rows.terms[order], place[row_of][order], rows.values[order]
+        blocks = places // BLOCK
+        changes = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
+        starts = np.flatnonzero(np.concatenate([[len(terms) > 0], changes]))
+        tops = np.maximum.reduceat(weights, starts) if len(starts) else np.zeros(0)
+        return cls(
+            members, places.astype(np.int32), weights, np.append(starts, len(terms)), blocks[starts].astype(np.int32),
+            tops, np.searchsorted(terms[starts], np.arange(n_terms + 1)),
+        )
+
+    def nearest(self, queries: Rows, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and numbers of the k nearest examples, best first, ties by number; -1 where there are fewer."""
-        n = len(queries)
-        best = np.zeros((n, k))
-        who = np.full((n, k), -1, dtype=np.int64)
-        bounds = queries @ self.tops
-        for b in np.argsort(-bounds.sum(axis=0), kind="stable").tolist():
-            members, terms, weights = self.blocks[b]
-            # A rounding error must not hide a tie.
-            rows = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= best[:, -1] - 1e-12))
-            if not len(rows):
-                continue
-            cosines = queries[np.ix_(rows, terms)] @ weights
-            values = np.concatenate([best[rows], cosines], axis=1)
-            names = np.concatenate([who[rows], np.broadcast_to(members, cosines.shape)], axis=1)
-            names = np.where(values > 0, names, -1)
-            order = np.lexsort((names, -values), axis=1)[:, :k]
-            best[rows] = np.take_along_axis(values, order, axis=1)
-            who[rows] = np.take_along_axis(names, order, axis=1)
+        best = np.zeros((len(queries), k))
+        who = np.full((len(queries), k), -1, dtype=np.int64)
+        for i in range(len(queries)):
+            values, names = self._nearest(*queries.row(i), k)
+            best[i, : len(values)], who[i, : len(names)] = values, names
         return best, who
 
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        low = self.term_pieces[terms]
+        size = self.term_pieces[terms + 1] - low
+        pieces, by = _spans(low, size), np.repeat(weights, size)
+        blocks = self.piece_blocks[pieces]
+        bounds = np.bincount(blocks, by * self.piece_tops[pieces], minlength=-(-len(self.members) // BLOCK))
+        taken = np.zeros(len(bounds), dtype=bool)
+        taken[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        cosines = self._cosines(pieces[taken[blocks]], by[taken[blocks]])
+        least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
+        # A rounding error must not hide a tie.
+        rest = ~taken & (bounds > 0) & (bounds >= least - 1e-12)
+        if rest.any():
+            cosines += self._cosines(pieces[rest[blocks]], by[rest[blocks]])
+            least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
+        at = np.flatnonzero((cosines > 0) & (cosines >= least))
+        at = at[np.lexsort((self.members[at], -cosines[at]))[:k]]
+        return cosines[at], self.members[at]
+
+    def _cosines(self, pieces: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Sums of the pieces' postings by place, in the order of the words."""
+        low = self.piece_starts[pieces]
+        size = self.piece_starts[pieces + 1] - low
+        at = _spans(low, size)
+        return np.bincount(self.places[at], np.repeat(by, size) * self.weights[at], minlength=len(self.members))
+
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    key: int
-    terms: dict[str, int]
-    idf: np.ndarray
+    words: dict[str, int]
+    weights: np.ndarray
     index: Index
     # Of each distinct text: its smallest doc_id with the label, and the clean and toxic examples drawn.
     doc_ids: np.ndarray
@@ -133,37 +199,41 @@ class ToxicityModel:
         return np.where(votes < 0, self.without_terms, calibrated(self.levels, votes))
 
 
-@functools.lru_cache(maxsize=2)
-def _memo(key: int) -> tuple[Memo, dict]:
-    """Terms of words that a worker keeps for one model."""
-    terms: dict[str, int] = {}
-    return Memo(
-        lambda w: tuple(i for i in map(terms.get, terms_of(w)) if i is not None), WORDS_KEPT, WORD_KEPT_CHARS
-    ), terms
+def _document_counts(texts: DataFrame, known: dict[str, int]) -> np.ndarray:
+    """How many texts hold each known word; a task gives one row for each word that it met."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(known), dtype=np.int64)
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                found: list[int] = []
+                for text in batch.column("text").slice(low, ROWS_AT_ONCE).to_pylist():
+                    found += [known[w] for w in set(words_of(text)) if w in known]
+                counts += np.bincount(np.array(found, dtype=np.int64), minlength=len(known))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["term", "n"])
 
-def term_counts(texts: list[str], key: int, terms: dict[str, int]) -> np.ndarray:
-    """How often each term occurs in each text."""
-    memo, known = _memo(key)
-    if not known:
-        known.update(terms)
-    counts = np.zeros((len(texts), len(terms)), dtype=np.float64)
-    for i, text in enumerate(texts):
-        found = list(itertools.chain.from_iterable(memo.all(words_of(text))))
-        if found:
-            counts[i] = np.bincount(found, minlength=len(terms))
-    return counts
+    held = np.zeros(len(known))
+    rows = texts.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = rows.toPandas()
+    held[counted["term"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy()
+    return held
 
 
-def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Rows of length one, or of zeros."""
-    rows = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
-    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return rows / np.where(size > 0, size, 1)
+def telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Factor of words that so many toxic and clean examples hold, from their chi-squared; never zero."""
+    held = toxic + clean
+    apart = (toxic * (n_clean - clean) - clean * (n_toxic - toxic)) ** 2 * (n_toxic + n_clean)
+    chi = apart / (float(n_clean) * n_toxic * held * (n_toxic + n_clean - held + 1))
+    return (chi / (chi + HALF_CHI)) ** 2 + LEAST_FACTOR
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, learn_from: Column, examples: int = EXAMPLES_OF_A_KIND, terms: int = TERMS
+    docs: DataFrame,
+    labels: DataFrame,
+    learn_from: Column,
+    examples: int = EXAMPLES_OF_A_KIND,
+    example_chars: int = EXAMPLE_CHARS,
 ) -> ToxicityModel | float:
     """Learn from labelled rows that meet ``learn_from`` (a condition on doc_id).
 
@@ -183,108 +253,70 @@ def train(
     # At most twice ``examples`` ids; one text for each.
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
-    def grams():
-        memo = Memo(terms_of, WORDS_KEPT // 4, WORD_KEPT_CHARS)
+    # Those that come first while the bound on characters lasts; at most ``examples`` rows a kind.
+    first_drawn = (F.xxhash64("doc_id", F.lit(SAMPLE_SEED)), "doc_id")
+    so_far = Window.partitionBy("toxic").orderBy(*first_drawn).rowsBetween(Window.unboundedPreceding, 0)
+    sample = sample.withColumn("chars", F.sum(F.length("text")).over(so_far)).filter(F.col("chars") <= example_chars)
 
+    def counting():
         def step(columns):
-            seen: dict[str, list[int]] = {}
-            for text, toxic in zip(columns["text"], columns["toxic"]):
-                for term in set().union(*memo.all(set(words_of(text)))):
-                    seen.setdefault(term, [0, 0])[toxic] += 1
-            return {
-                "term": list(seen),
-                "clean": [c for c, _ in seen.values()],
-                "toxic": [t for _, t in seen.values()],
-            }
-
-        return step
-
-    n1, n0 = min(examples, total[1]), min(examples, total[0])
-    a, b = F.col("toxic"), F.col("clean")
-    chi = (a * (n0 - b) - b * (n1 - a)).cast("double")
-    chi = chi * chi * (n0 + n1) / (F.lit(float(n0)) * n1 * (a + b) * (n0 + n1 - a - b + 1))
-    picked = (
-        map_chunks(sample, grams, "term string, clean bigint, toxic bigint")
-        .groupBy("term")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .withColumn("chi", chi)
-        .filter((a + b >= LEAST_TEXTS) & (F.col("chi") >= LEAST_CHI))
-        .orderBy(F.desc("chi"), "term")
-        .limit(terms)
-        .collect()
-    )
-    share = total[1] / (total[0] + total[1])
-    if not picked:
-        return share
-    known = {row["term"]: i for i, row in enumerate(picked)}
-    key = hash((tuple(known), total[0], total[1]))
-
-    def holding():
-        def step(columns):
-            counts = (term_counts(columns["text"], key, known) > 0).sum(axis=0)
-            at = np.flatnonzero(counts)
-            return {"term": at, "n": counts[at]}
-
-        return step
-
-    n_docs = texts.count()
-    held = np.zeros(len(known))
-    for row in (
-        map_chunks(texts.select("text"), holding, "term int, n bigint", rows=1024)
-        .groupBy("term")
-        .agg(F.sum("n").alias("n"))
-        .collect()
-    ):
-        held[row["term"]] = row["n"]
-    idf = np.log((1 + n_docs) / (1 + held)) + 1
-
-    def vectors():
-        def step(columns):
-            counts = term_counts(columns["text"], key, known)
-            at = [np.flatnonzero(c) for c in counts]
+            counts = [Counter(words_of(t)) for t in columns["text"]]
             return {
                 "doc_id": columns["doc_id"],
                 "toxic": columns["toxic"],
                 "text_hash": columns["text_hash"],
-                "at": at,
-                "counts": [c[i] for c, i in zip(counts, at)],
+                "words": [list(c) for c in counts],
+                "counts": [list(c.values()) for c in counts],
             }
 
         return step
 
     named = sample.withColumn("text_hash", F.xxhash64("text"))
-    ddl = "doc_id bigint, toxic int, text_hash bigint, at array<int>, counts array<double>"
-    found = map_chunks(named, vectors, ddl).orderBy("doc_id").toPandas()
+    ddl = "doc_id bigint, toxic int, text_hash bigint, words array<string>, counts array<int>"
+    found = map_chunks(named, counting, ddl).orderBy("doc_id").toArrow().combine_chunks()
+    share = total[1] / (total[0] + total[1])
+    ids, kinds, hashes = (found[name].to_numpy() for name in ("doc_id", "toxic", "text_hash"))
+    if len(np.unique(kinds)) < 2:
+        return share
     # Texts in the order of their smallest ids.
-    _, first, text = np.unique(found["text_hash"].to_numpy(), return_index=True, return_inverse=True)
+    _, first, text = np.unique(hashes, return_index=True, return_inverse=True)
     place = np.argsort(np.argsort(first))
     first, text = np.sort(first), place[text]
     drawn = np.zeros((len(first), 2))
-    np.add.at(drawn, (text, found["toxic"].to_numpy()), 1)
-    counts = np.zeros((len(first), len(known)))
-    for i, row in enumerate(first.tolist()):
-        counts[i, np.asarray(found["at"][row], dtype=np.int64)] = found["counts"][row]
-    rows = weighted(counts, idf)
+    np.add.at(drawn, (text, kinds), 1)
+    held_words, counts = (pc.take(found[name].combine_chunks(), pa.array(first)) for name in ("words", "counts"))
+    coded = pc.dictionary_encode(held_words.flatten())
+    if not len(coded.dictionary):
+        return share
+    by_name = pc.array_sort_indices(coded.dictionary).to_numpy()
+    known = {w: i for i, w in enumerate(coded.dictionary.take(pa.array(by_name)).to_pylist())}
+    number = np.argsort(by_name)[coded.indices.to_numpy()]
+    sizes = pc.list_value_length(held_words).to_numpy()
+    row_of = np.repeat(np.arange(len(first)), sizes)
+    order = np.lexsort((number, row_of))
+    rows = Rows(np.append(0, np.cumsum(sizes)), number[order], counts.flatten().to_numpy()[order].astype(np.float64))
+    once = drawn > 0
+    clean, toxic = (np.bincount(rows.terms, once[row_of, kind], minlength=len(known)) for kind in (0, 1))
+    idf = np.log((1 + texts.count()) / (1 + _document_counts(texts, known))) + 1
+    weights = idf * telling(toxic, clean, int(once[:, 1].sum()), int(once[:, 0].sum()))
+    rows = rows.weighted(weights)
     # Each example stands for as many labelled texts as its kind has for each one drawn.
-    kind_weights = np.array([total[0] / n0, total[1] / n1])
-    toxic = found["toxic"].to_numpy()[first]
+    kind_weights = np.array([total[0], total[1]]) / drawn.sum(axis=0)
     model = ToxicityModel(
-        key, known, idf, Index.of(rows), found["doc_id"].to_numpy()[first], toxic, drawn, kind_weights,
+        known, weights, Index.of(rows, len(known)), ids[first], kinds[first], drawn, kind_weights,
         (np.zeros(1), np.zeros(1)), share,
     )
     return _calibrated(model, rows)
 
 
-def _calibrated(model: ToxicityModel, rows: np.ndarray) -> ToxicityModel:
+def _calibrated(model: ToxicityModel, rows: Rows) -> ToxicityModel:
     """Levels from the distinct texts, each judged by the others."""
-    votes = np.full(len(rows), -1.0)
-    for low in range(0, len(rows), 512):
-        # One more neighbour than needed, as a text is passed over itself.
-        cosines, who = model.index.nearest(rows[low : low + 512], NEIGHBOURS + 1)
-        other = (who >= 0) & (who != np.arange(low, low + len(who))[:, None])
-        order = np.argsort(~other, axis=1, kind="stable")[:, :NEIGHBOURS]
-        who = np.where(np.take_along_axis(other, order, axis=1), np.take_along_axis(who, order, axis=1), -1)
-        votes[low : low + 512] = model.votes(np.take_along_axis(cosines, order, axis=1), who)
+    # One more neighbour than needed, as a text is passed over itself.
+    cosines, who = model.index.nearest(rows, NEIGHBOURS + 1)
+    other = (who >= 0) & (who != np.arange(len(who))[:, None])
+    order = np.argsort(~other, axis=1, kind="stable")[:, :NEIGHBOURS]
+    who = np.where(np.take_along_axis(other, order, axis=1), np.take_along_axis(who, order, axis=1), -1)
+    votes = model.votes(np.take_along_axis(cosines, order, axis=1), who)
     weight = model.kind_weights
     # Whole repetitions stand for the weights of the kinds.
     times = np.maximum(1, np.round(weight / weight.min())).astype(np.int64)
@@ -295,23 +327,20 @@ def _calibrated(model: ToxicityModel, rows: np.ndarray) -> ToxicityModel:
         if len(at)
         else (np.zeros(1), np.array([model.without_terms]))
     )
-    # Texts without terms look alike, so all that were drawn count; without any, each distinct text does.
-    blank = ~rows.any(axis=1)
-    clean, toxic = (model.drawn[blank].sum(axis=0) if blank.any() else once.sum(axis=0)) * weight
-    without = (toxic + 0.5) / (clean + toxic + 1.0) if blank.any() else toxic / (clean + toxic)
+    # Texts without words look alike, so all that were drawn count.
+    blank = np.diff(rows.starts) == 0
+    clean, toxic = model.drawn[blank].sum(axis=0) * weight
+    without = (toxic + 0.5) / (clean + toxic + 1.0) if blank.any() else calibrated(levels, np.zeros(1))[0]
     return replace(model, levels=levels, without_terms=float(without))
 
 
 def judged(texts: list[str], model: ToxicityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Score of each text, and its nearest example with the cosine (-1 where there is none)."""
-    rows = weighted(term_counts(texts, model.key, model.terms), model.idf)
-    scores = np.full(len(texts), model.without_terms)
-    nearest, cosine = np.full(len(texts), -1), np.zeros(len(texts))
-    some = np.flatnonzero(rows.any(axis=1))
-    if len(some):
-        cosines, who = model.index.nearest(rows[some])
-        scores[some] = model.scores(model.votes(cosines, who))
-        nearest[some], cosine[some] = who[:, 0], cosines[:, 0]
+    rows = Rows.of_texts(texts, model.words).weighted(model.weights)
+    cosines, who = model.index.nearest(rows)
+    scores = model.scores(model.votes(cosines, who))
+    nearest = who[:, 0]
+    cosine = np.where(nearest >= 0, cosines[:, 0], 0)
     return scores, nearest, cosine
 
 

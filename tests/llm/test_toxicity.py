@@ -48,15 +48,27 @@ def test_labels_of_held_out_rows_do_not_matter(make_docs, make_labels):
     assert a == b
 
 
+def sparse(dense):
+    row, term = np.nonzero(dense)
+    return toxicity.Rows(np.append(0, np.cumsum((dense > 0).sum(axis=1))), term, dense[row, term])
+
+
+def dense(rows, n_terms):
+    full = np.zeros((len(rows), n_terms))
+    full[rows.row_of, rows.terms] = rows.values
+    return full
+
+
 def test_index_is_exact():
     rng = np.random.default_rng(4)
-    rows = np.where(rng.random((300, 40)) < 0.1, rng.random((300, 40)), 0)
-    rows[50:80] = rows[20]
-    rows = toxicity.weighted(np.ceil(rows * 5), np.linspace(1, 3, 40))
-    queries = np.concatenate([rows[::9], toxicity.weighted((rng.random((40, 40)) < 0.1) * 1.0, np.ones(40))])
-    queries = queries[queries.any(axis=1)]
-    best, who = toxicity.Index.of(rows).nearest(queries, 7)
-    cosines = queries @ rows.T
+    counts = np.where(rng.random((300, 40)) < 0.1, np.ceil(rng.random((300, 40)) * 5), 0)
+    counts[50:80] = counts[20]
+    counts[90] = 0
+    examples = sparse(counts).weighted(np.linspace(1, 3, 40))
+    queries = sparse(np.concatenate([counts[::9], rng.random((40, 40)) < 0.1, np.zeros((1, 40))]) * 1.0)
+    queries = queries.weighted(np.linspace(1, 3, 40))
+    best, who = toxicity.Index.of(examples, 40).nearest(queries, 7)
+    cosines = dense(queries, 40) @ dense(examples, 40).T
     for q, (b, w) in enumerate(zip(best, who)):
         want = sorted((-c, i) for i, c in enumerate(cosines[q]) if c > 0)[:7]
         assert np.allclose(b[: len(want)], [-c for c, _ in want])
@@ -65,6 +77,82 @@ def test_index_is_exact():
         assert np.allclose(sorted(cosines[q][w[: len(want)]]), sorted(-c for c, _ in want))
 
 
+def test_blocks_are_passed_over_and_nothing_is_lost():
+    rng = np.random.default_rng(5)
+    # A strong word for each of 40 groups and many weak ones.
+    counts = (rng.random((1280, 340)) < 0.05) * 1.0
+    counts[:, :40] = 0
+    counts[np.arange(1280), np.arange(1280) % 40] = 1
+    weights = np.concatenate([np.full(40, 5.0), np.full(300, 0.05)])
+    rows = sparse(counts).weighted(weights)
+    index = toxicity.Index.of(rows, 340)
+    read = []
+    inner = toxicity.Index._cosines
+    try:
+        toxicity.Index._cosines = lambda self, pieces, by: (
+            read.append(len(set(self.piece_blocks[pieces].tolist()))), inner(self, pieces, by)
+        )[1]
+        best, _ = index.nearest(rows, 15)
+    finally:
+        toxicity.Index._cosines = inner
+    full = dense(rows, 340)
+    assert np.allclose(best, -np.sort(-(full @ full.T), axis=1)[:, :15])
+    assert sum(read) / len(rows) < 10
+
+
+def test_a_word_of_a_single_example_counts(make_docs, make_labels):
+    rows, labels = corpus(300)
+    rows = [(i, t + " zyzzyva") if i == 6 else (i, t) for i, t in rows] + [(900, "zyzzyva"), (901, "unheard")]
+    model = toxicity.train(make_docs(rows), make_labels(labels), toxicity.learnable())
+    learned = {i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert 6 in learned
+    assert set(model.words) == {w for i, t in rows if i in learned for w in t.split()}
+    assert (model.weights > 0).all()
+    got = by_id(toxicity.scored(make_docs(rows), model, ~toxicity.learnable()))
+    assert got[900]["nearest_doc_id"] == 6 and got[900]["nearest_cosine"] > 0
+    assert got[901]["nearest_doc_id"] is None
+
+
+def test_against_plain_search(make_docs, make_labels):
+    """Weights, neighbours and votes by plain loops."""
+    rows, labels = corpus(240)
+    model = toxicity.train(make_docs(rows), make_labels(labels), toxicity.learnable())
+    texts = dict(rows)
+    learned = [(i, t) for i, _, t in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    n = [sum(1 for _, t in learned if t == kind) for kind in (0, 1)]
+    weight = {}
+    for word in model.words:
+        a, b = (sum(1 for i, t in learned if t == kind and word in texts[i].split()) for kind in (1, 0))
+        chi = (a * (n[0] - b) - b * (n[1] - a)) ** 2 * sum(n) / (n[0] * n[1] * (a + b) * (sum(n) - a - b + 1))
+        held = sum(1 for _, t in rows if word in t.split())
+        weight[word] = (np.log((1 + len(rows)) / (1 + held)) + 1) * ((chi / (chi + 100)) ** 2 + 0.001)
+
+    def vector(text):
+        words = [w for w in text.split() if w in weight]
+        v = {w: (1 + np.log(words.count(w))) * weight[w] for w in words}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    examples = [(i, t, vector(texts[i])) for i, t in learned]
+    got = by_id(toxicity.scored(make_docs(rows), model, ~toxicity.learnable()))
+    for i, text in rows:
+        mine = vector(text)
+        near = sorted(
+            (-round(sum(x * v.get(w, 0) for w, x in mine.items()), 12), j, t) for j, t, v in examples
+        )[:15]
+        votes = sum(-c for c, _, t in near if t) / sum(-c for c, _, _ in near)
+        assert got[i]["nearest_cosine"] == pytest.approx(-near[0][0], abs=1e-9)
+        assert got[i]["score"] == pytest.approx(model.scores(np.array([votes]))[0], abs=0.05)
+
+
+def test_bound_on_characters(make_docs, make_labels):
+    rows, labels = corpus(200)
+    docs, marks = make_docs(rows), make_labels(labels)
+    few = toxicity.train(docs, marks, toxicity.learnable(), example_chars=4_000)
+    assert 0 < few.drawn.sum() < toxicity.train(docs, marks, toxicity.learnable()).drawn.sum()
+    assert toxicity.scored(docs, few, ~toxicity.learnable()).count() == len(rows)
+
+
 def test_copies_of_a_toxic_text_do_not_speak_for_texts_without_terms(make_docs, make_labels):
     rows, labels = corpus(400)
     hot = "idiot scum of the river and the house " * 3
