@@ -43,8 +43,9 @@ HALF_CHI = 100.0
 LEAST_FACTOR = 0.001
 NEIGHBOURS = 15
 BLOCK = 32
-# Blocks that are looked at before the others are held against what they gave.
-FIRST_BLOCKS = 4
+# Words whose weights are kept for each example, strong and common ones, and texts that meet them at a time.
+COMMON_WORDS = 512
+QUERIES_AT_ONCE = 64
 # Score from which on a text counts as toxic.
 TOXIC_FROM = 0.3
 
@@ -53,7 +54,7 @@ RESULT = (
     "nearest_cosine double, nearest_toxic int"
 )
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\w+")
 
 
 def words_of(text: str) -> list[str]:
@@ -71,14 +72,13 @@ class Rows:
     @classmethod
     def of_texts(cls, texts: list[str], known: dict[str, int]) -> Rows:
         """How often each known word occurs in each text, words in the order of their numbers."""
-        starts, terms, values = [0], [], []
-        for text in texts:
-            counts = Counter(words_of(text))
-            found = sorted((known[w], n) for w, n in counts.items() if w in known)
-            terms += [t for t, _ in found]
-            values += [n for _, n in found]
-            starts.append(len(terms))
-        return cls(np.array(starts), np.array(terms, dtype=np.int64), np.array(values, dtype=np.float64))
+        ids = [[i for i in map(known.get, words_of(text)) if i is not None] for text in texts]
+        row_of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, ids), np.int64, len(ids)))
+        keys, counts = np.unique(
+            row_of * len(known) + np.array([i for found in ids for i in found], dtype=np.int64), return_counts=True
+        )
+        starts = np.searchsorted(keys, np.arange(len(texts) + 1) * len(known))
+        return cls(starts, keys % max(len(known), 1), counts.astype(np.float64))
 
     @property
     def row_of(self) -> np.ndarray:
@@ -105,18 +105,25 @@ def _spans(low: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings by word, then by place of the example; a piece is the part of them in one block of places."""
+    """Postings by word, then by place of the example; a piece is the part of them in one block of places.
+
+    The words with the greatest weights together are kept as full rows instead. A list shorter than a block
+    has no pieces and is read whole.
+    """
 
     members: np.ndarray  # example at each place
     places: np.ndarray  # postings
     weights: np.ndarray
+    term_starts: np.ndarray  # first posting of each word, and the end
     piece_starts: np.ndarray
     piece_blocks: np.ndarray
     piece_tops: np.ndarray
     term_pieces: np.ndarray  # first piece of each word, and the end
+    common: np.ndarray  # row of each word in ``full``, or -1
+    full: np.ndarray
 
     @classmethod
-    def of(cls, rows: Rows, n_terms: int) -> Index:
+    def of(cls, rows: Rows, n_terms: int, common_words: int = COMMON_WORDS) -> Index:
         """Examples with the same strongest word stand together."""
         row_of = rows.row_of
         order = np.lexsort((rows.terms, -rows.values, row_of))
@@ -127,49 +134,75 @@ class Index:
         place[members] = np.arange(len(members))
         order = np.lexsort((place[row_of], rows.terms))
         terms, places, weights = rows.terms[order], place[row_of][order], rows.values[order]
+        heaviest = np.argsort(-np.bincount(terms, weights, minlength=n_terms), kind="stable")[:common_words]
+        common = np.full(n_terms, -1)
+        common[heaviest] = np.arange(len(heaviest))
+        in_full = common[terms] >= 0
+        full = np.zeros((len(heaviest), -(-len(members) // BLOCK) * BLOCK))
+        full[common[terms[in_full]], places[in_full]] = weights[in_full]
+        terms, places, weights = terms[~in_full], places[~in_full], weights[~in_full]
+        term_starts = np.searchsorted(terms, np.arange(n_terms + 1))
         blocks = places // BLOCK
         changes = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
         starts = np.flatnonzero(np.concatenate([[len(terms) > 0], changes]))
         tops = np.maximum.reduceat(weights, starts) if len(starts) else np.zeros(0)
         return cls(
-            members, places.astype(np.int32), weights, np.append(starts, len(terms)), blocks[starts].astype(np.int32),
-            tops, np.searchsorted(terms[starts], np.arange(n_terms + 1)),
+            members, places.astype(np.int32), weights, term_starts, np.append(starts, len(terms)), blocks[starts].astype(np.int32),
+            tops, np.searchsorted(terms[starts], np.arange(n_terms + 1)), common, full,
         )
 
     def nearest(self, queries: Rows, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and numbers of the k nearest examples, best first, ties by number; -1 where there are fewer."""
         best = np.zeros((len(queries), k))
         who = np.full((len(queries), k), -1, dtype=np.int64)
-        for i in range(len(queries)):
-            values, names = self._nearest(*queries.row(i), k)
-            best[i, : len(values)], who[i, : len(names)] = values, names
+        if not len(self.members):
+            return best, who
+        in_full, row_of = self.common[queries.terms] >= 0, queries.row_of
+        for low in range(0, len(queries), QUERIES_AT_ONCE):
+            high = min(low + QUERIES_AT_ONCE, len(queries))
+            part = slice(queries.starts[low], queries.starts[high])
+            known, terms, weights = in_full[part], queries.terms[part], queries.values[part]
+            rows = np.zeros((high - low, len(self.full)))
+            rows[row_of[part][known] - low, self.common[terms[known]]] = weights[known]
+            for i, cosines in enumerate(rows @ self.full, low):
+                terms, weights = queries.row(i)
+                rare = ~in_full[queries.starts[i] : queries.starts[i + 1]]
+                values, names = self._nearest(terms[rare], weights[rare], cosines, k)
+                best[i, : len(values)], who[i, : len(names)] = values, names
         return best, who
 
-    def _nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _nearest(
+        self, terms: np.ndarray, weights: np.ndarray, cosines: np.ndarray, k: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Best of one query; ``cosines`` holds what the words with full rows gave to each place."""
+        low = self.term_starts[terms]
+        size = self.term_starts[terms + 1] - low
+        short = size < BLOCK
+        cosines = cosines + self._cosines(low[short], size[short], weights[short])
+        terms, weights = terms[~short], weights[~short]
         low = self.term_pieces[terms]
         size = self.term_pieces[terms + 1] - low
         pieces, by = _spans(low, size), np.repeat(weights, size)
         blocks = self.piece_blocks[pieces]
-        bounds = np.bincount(blocks, by * self.piece_tops[pieces], minlength=-(-len(self.members) // BLOCK))
-        taken = np.zeros(len(bounds), dtype=bool)
-        taken[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
-        cosines = self._cosines(pieces[taken[blocks]], by[taken[blocks]])
+        highest = cosines.reshape(-1, BLOCK).max(axis=1)
+        bounds = highest + np.bincount(blocks, by * self.piece_tops[pieces], minlength=len(highest))
+        # What is still to come only adds. A rounding error must not hide a tie.
+        least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
+        chosen = (bounds > 0) & (bounds >= least - 1e-12)
+        taken = chosen[blocks]
+        low = self.piece_starts[pieces[taken]]
+        size = self.piece_starts[pieces[taken] + 1] - low
+        cosines += self._cosines(low, size, by[taken])
+        cosines[~np.repeat(chosen, BLOCK)] = 0
         least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
-        # A rounding error must not hide a tie.
-        rest = ~taken & (bounds > 0) & (bounds >= least - 1e-12)
-        if rest.any():
-            cosines += self._cosines(pieces[rest[blocks]], by[rest[blocks]])
-            least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
         at = np.flatnonzero((cosines > 0) & (cosines >= least))
         at = at[np.lexsort((self.members[at], -cosines[at]))[:k]]
         return cosines[at], self.members[at]
 
-    def _cosines(self, pieces: np.ndarray, by: np.ndarray) -> np.ndarray:
-        """Sums of the pieces' postings by place, in the order of the words."""
-        low = self.piece_starts[pieces]
-        size = self.piece_starts[pieces + 1] - low
+    def _cosines(self, low: np.ndarray, size: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Sums by place of the postings in these spans, in the order of the words."""
         at = _spans(low, size)
-        return np.bincount(self.places[at], np.repeat(by, size) * self.weights[at], minlength=len(self.members))
+        return np.bincount(self.places[at], np.repeat(by, size) * self.weights[at], minlength=self.full.shape[1])
 
 
 @dataclass(frozen=True)
