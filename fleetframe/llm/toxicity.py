@@ -115,7 +115,8 @@ class Index:
     places: np.ndarray  # postings
     weights: np.ndarray
     term_starts: np.ndarray  # first posting of each word, and the end
-    piece_starts: np.ndarray
+    piece_starts: np.ndarray  # of lists that are not short
+    piece_sizes: np.ndarray
     piece_blocks: np.ndarray
     piece_tops: np.ndarray
     term_pieces: np.ndarray  # first piece of each word, and the end
@@ -142,13 +143,16 @@ class Index:
         full[common[terms[in_full]], places[in_full]] = weights[in_full]
         terms, places, weights = terms[~in_full], places[~in_full], weights[~in_full]
         term_starts = np.searchsorted(terms, np.arange(n_terms + 1))
+        long = np.repeat(np.diff(term_starts) >= BLOCK, np.diff(term_starts))
         blocks = places // BLOCK
         changes = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
-        starts = np.flatnonzero(np.concatenate([[len(terms) > 0], changes]))
-        tops = np.maximum.reduceat(weights, starts) if len(starts) else np.zeros(0)
+        cuts = np.flatnonzero(np.concatenate([[len(terms) > 0], changes, [len(terms) > 0]]))
+        tops = np.maximum.reduceat(weights, cuts[:-1]) if len(cuts) else np.zeros(0)
+        kept = np.flatnonzero(long[cuts[:-1]])
+        starts, ends, tops = cuts[kept], cuts[kept + 1], tops[kept]
         return cls(
-            members, places.astype(np.int32), weights, term_starts, np.append(starts, len(terms)), blocks[starts].astype(np.int32),
-            tops, np.searchsorted(terms[starts], np.arange(n_terms + 1)), common, full,
+            members, places.astype(np.int32), weights, term_starts, starts, (ends - starts).astype(np.int32),
+            blocks[starts].astype(np.int32), tops, np.searchsorted(terms[starts], np.arange(n_terms + 1)), common, full,
         )
 
     def nearest(self, queries: Rows, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
@@ -190,9 +194,8 @@ class Index:
         least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
         chosen = (bounds > 0) & (bounds >= least - 1e-12)
         taken = chosen[blocks]
-        low = self.piece_starts[pieces[taken]]
-        size = self.piece_starts[pieces[taken] + 1] - low
-        cosines += self._cosines(low, size, by[taken])
+        pieces = pieces[taken]
+        cosines += self._cosines(self.piece_starts[pieces], self.piece_sizes[pieces], by[taken])
         cosines[~np.repeat(chosen, BLOCK)] = 0
         least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
         at = np.flatnonzero((cosines > 0) & (cosines >= least))
@@ -261,6 +264,26 @@ def telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) ->
     return (chi / (chi + HALF_CHI)) ** 2 + LEAST_FACTOR
 
 
+def _examples(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int], Rows]:
+    """Of the distinct texts: smallest doc_id, its label, rows drawn of each kind; the words, and their counts."""
+    ids, kinds, hashes = (found[name].to_numpy() for name in ("doc_id", "toxic", "text_hash"))
+    # Texts in the order of their smallest ids.
+    _, first, text = np.unique(hashes, return_index=True, return_inverse=True)
+    place = np.argsort(np.argsort(first))
+    first, text = np.sort(first), place[text]
+    drawn = np.zeros((len(first), 2))
+    np.add.at(drawn, (text, kinds), 1)
+    words, counts = (pc.take(found[name].combine_chunks(), pa.array(first)) for name in ("words", "counts"))
+    coded = pc.dictionary_encode(words.flatten())
+    by_name = pc.array_sort_indices(coded.dictionary).to_numpy()
+    known = {w: i for i, w in enumerate(coded.dictionary.take(pa.array(by_name)).to_pylist())}
+    number = np.argsort(by_name)[coded.indices.to_numpy()]
+    sizes = pc.list_value_length(words).to_numpy()
+    order = np.lexsort((number, np.repeat(np.arange(len(first)), sizes)))
+    rows = Rows(np.append(0, np.cumsum(sizes)), number[order], counts.flatten().to_numpy()[order].astype(np.float64))
+    return ids[first], kinds[first], drawn, known, rows
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -308,35 +331,21 @@ def train(
     ddl = "doc_id bigint, toxic int, text_hash bigint, words array<string>, counts array<int>"
     found = map_chunks(named, counting, ddl).orderBy("doc_id").toArrow().combine_chunks()
     share = total[1] / (total[0] + total[1])
-    ids, kinds, hashes = (found[name].to_numpy() for name in ("doc_id", "toxic", "text_hash"))
-    if len(np.unique(kinds)) < 2:
+    if len(np.unique(found["toxic"].to_numpy())) < 2:
         return share
-    # Texts in the order of their smallest ids.
-    _, first, text = np.unique(hashes, return_index=True, return_inverse=True)
-    place = np.argsort(np.argsort(first))
-    first, text = np.sort(first), place[text]
-    drawn = np.zeros((len(first), 2))
-    np.add.at(drawn, (text, kinds), 1)
-    held_words, counts = (pc.take(found[name].combine_chunks(), pa.array(first)) for name in ("words", "counts"))
-    coded = pc.dictionary_encode(held_words.flatten())
-    if not len(coded.dictionary):
+    doc_ids, toxic_of, drawn, known, rows = _examples(found)
+    del found
+    if not known:
         return share
-    by_name = pc.array_sort_indices(coded.dictionary).to_numpy()
-    known = {w: i for i, w in enumerate(coded.dictionary.take(pa.array(by_name)).to_pylist())}
-    number = np.argsort(by_name)[coded.indices.to_numpy()]
-    sizes = pc.list_value_length(held_words).to_numpy()
-    row_of = np.repeat(np.arange(len(first)), sizes)
-    order = np.lexsort((number, row_of))
-    rows = Rows(np.append(0, np.cumsum(sizes)), number[order], counts.flatten().to_numpy()[order].astype(np.float64))
     once = drawn > 0
-    clean, toxic = (np.bincount(rows.terms, once[row_of, kind], minlength=len(known)) for kind in (0, 1))
+    clean, toxic = (np.bincount(rows.terms, once[rows.row_of, kind], minlength=len(known)) for kind in (0, 1))
     idf = np.log((1 + texts.count()) / (1 + _document_counts(texts, known))) + 1
     weights = idf * telling(toxic, clean, int(once[:, 1].sum()), int(once[:, 0].sum()))
     rows = rows.weighted(weights)
     # Each example stands for as many labelled texts as its kind has for each one drawn.
     kind_weights = np.array([total[0], total[1]]) / drawn.sum(axis=0)
     model = ToxicityModel(
-        known, weights, Index.of(rows, len(known)), ids[first], kinds[first], drawn, kind_weights,
+        known, weights, Index.of(rows, len(known)), doc_ids, toxic_of, drawn, kind_weights,
         (np.zeros(1), np.zeros(1)), share,
     )
     return _calibrated(model, rows)
