@@ -11,7 +11,7 @@ def test_stages_and_queries():
         "packing",
     ]
     names = list(queries.all_queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
 
 
 def test_each_stage_works_on_what_was_kept(spark, bundled, tmp_path):
