@@ -1,5 +1,6 @@
 """Availability kept as state; a booking handler looks at the bookings of a car before it adds one."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -82,3 +83,25 @@ def test_stream_decides_as_one_batch_and_goes_on_after_a_restart(spark, small, r
     expected = {r.arrival: r.reject_reason for r in availability.admit_bookings(whole, small).collect()}
     assert got == expected and spark.read.parquet(out).count() == 90
     assert len({v for v in got.values()}) == 4
+
+
+def test_state_that_is_handed_over_in_parts_is_kept_whole(spark, tmp_path):
+    inbox, batch_rows = f"{tmp_path}/in", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    first_day = 19_783
+    initial = spark.createDataFrame(
+        [(f"K{c}", first_day + 3 * i, first_day + 3 * i + 1) for c in range(3) for i in range(7)], f"car_id string, {stream.RANGE}"
+    )
+    # One request for each day of three weeks; every third day is free.
+    asked = [(c * 100 + i, f"K{c}", dt.date.fromordinal(day("2024-03-01").toordinal() + i)) for c in range(3) for i in range(21)]
+    spark.createDataFrame([(n, car, d, d, None) for n, car, d in asked], REQUEST).write.parquet(inbox)
+    before = {k: spark.conf.get(k) for k in (batch_rows, "spark.sql.shuffle.partitions")}
+    spark.conf.set(batch_rows, "3")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        requests = spark.readStream.schema(REQUEST).parquet(inbox)
+        stream.start_admission(requests, initial, f"{tmp_path}/out", f"{tmp_path}/progress", until_caught_up=True).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = spark.read.parquet(f"{tmp_path}/out").filter("reject_reason IS NULL")
+    assert sorted(r.arrival for r in got.collect()) == [c * 100 + i for c in range(3) for i in range(2, 21, 3)]
