@@ -4,7 +4,9 @@ import json
 from pyspark.sql import functions as F
 
 from fleetframe.operators import bookings, customers, search
+from fleetframe.plans import paging
 from fleetframe.sources import sinks
+from verification import catalog
 
 TODAY = dt.date(2024, 3, 10)
 
@@ -111,3 +113,10 @@ def test_customer_pages_are_clamped(small, make_tables):
     empty = make_tables()
     assert customers.customer_page(empty, 3).collect() == []
     assert tuple(customers.customer_page_meta(empty, 3).first()) == (0, 0, 1, 1, 0)
+
+
+def test_the_deep_page_query_asks_for_a_page_cut_by_position(monkeypatch):
+    asked = []
+    monkeypatch.setattr(catalog.search, "search_customers", lambda tables, query, **page: asked.append(page))
+    catalog.report_runs()["search_customers_deep_page"](None)
+    assert asked == [{"page": 1200, "per_page": 9}] and paging.is_deep(**asked[0])
