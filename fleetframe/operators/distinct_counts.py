@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from fleetframe.functions import full_month_name, months_before
 from fleetframe.operators.maintained import partners
 from fleetframe.plans.paging import with_positions
-from fleetframe.session import pin
+from fleetframe.session import pin, scratch_tables, stored
 from fleetframe.sources.batches import contents, edited_part, read_marks, write_part
 from fleetframe.sources.tables import SCHEMAS, read_parquet_tables
 
@@ -41,12 +41,12 @@ def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame | None:
 def bitmaps(rows: DataFrame, numbers: DataFrame, *groups: str) -> DataFrame:
     """(groups, bucket, bits) of the keys in ``rows``: 32,768 numbers to a bitmap of 4 KB.
 
-    A key is looked up once per group, however many rows it has there.
+    Rows that come twice are looked up twice. The numbers of a bitmap meet before it is made, as a task that holds a
+    few of them would send a whole bitmap for these.
     """
-    numbered = rows.filter("key IS NOT NULL").distinct().join(numbers, "key")
-    return numbered.groupBy(*groups, F.bitmap_bucket_number("number").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
-    )
+    numbered = rows.filter("key IS NOT NULL").join(numbers, "key").withColumn("bucket", F.bitmap_bucket_number("number"))
+    dealt = numbered.select(*groups, "bucket", "number").repartition(*groups, "bucket")
+    return dealt.groupBy(*groups, "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
 
 
 def merged_count(bits: DataFrame, *groups: str) -> DataFrame:
@@ -90,29 +90,35 @@ def update_counts(spark: SparkSession, folder: str) -> list[int]:
     done = {n for n, _ in _counted(spark, folder)}
     new = [n for n in held.batches if n not in done]
     for n in new:
-        part = {t: read_marks(spark, f"{folder}/{t}/batch_id={n}", SCHEMAS[t]) for t in ("booking", "transaction", "car_transaction")}
-        ended = [t for t in ("booking", "transaction") if read_marks(spark, f"{folder}/{edited_part(t)}/batch_id={n}", SCHEMAS[t]) is not None]
-        tables = read_parquet_tables(spark, folder, before=n + 1)
-        if ended:
-            payments, inside, bridge = tables.transaction, None, tables.car_transaction
-        else:
-            payments, bridge = part["transaction"], part["car_transaction"]
-            inside = None if part["booking"] is None else part["booking"].select(*_BOOKING)
-        rows = {
-            CUSTOMER_BITS: None if payments is None else _paid(payments, inside, tables.booking),
-            CAR_BITS: None if bridge is None else bridge.select(F.col("car_car_id").alias("key")),
-        }
-        for name, found in rows.items():
-            if found is not None:
-                found = pin(found.filter("key IS NOT NULL").distinct())
-                numbers = _numbered(spark, folder, NUMBERS[name], found, n)
-                groups = [c for c in found.columns if c != "key"]
-                write_part(bitmaps(found, numbers, *groups), folder, name, n)
-        marked = spark.createDataFrame([(bool(ended),)], "anew boolean").coalesce(1)
-        marked.write.mode("overwrite").parquet(f"{folder}/{COUNTED}/batch_id={n}")
+        with scratch_tables(spark):
+            _count(spark, folder, n)
     return new
 
 
+def _count(spark: SparkSession, folder: str, n: int) -> None:
+    """Write the bitmaps of one batch and its mark."""
+    part = {t: read_marks(spark, f"{folder}/{t}/batch_id={n}", SCHEMAS[t]) for t in ("booking", "transaction", "car_transaction")}
+    ended = [t for t in ("booking", "transaction") if read_marks(spark, f"{folder}/{edited_part(t)}/batch_id={n}", SCHEMAS[t]) is not None]
+    tables = read_parquet_tables(spark, folder, before=n + 1)
+    if ended:
+        payments, inside, bridge = tables.transaction, None, tables.car_transaction
+    else:
+        payments, bridge = part["transaction"], part["car_transaction"]
+        inside = None if part["booking"] is None else part["booking"].select(*_BOOKING)
+    rows = {
+        CUSTOMER_BITS: None if payments is None else _paid(payments, inside, tables.booking),
+        CAR_BITS: None if bridge is None else bridge.select(F.col("car_car_id").alias("key")),
+    }
+    for name, found in rows.items():
+        if found is not None:
+            found = stored(found.filter("key IS NOT NULL").distinct())
+            numbers = _numbered(spark, folder, NUMBERS[name], found, n)
+            groups = [c for c in found.columns if c != "key"]
+            write_part(bitmaps(found, numbers, *groups), folder, name, n)
+    marked = spark.createDataFrame([(bool(ended),)], "anew boolean").coalesce(1)
+    marked.write.mode("overwrite").parquet(f"{folder}/{COUNTED}/batch_id={n}")
+
+
 def _counted(spark: SparkSession, folder: str) -> list[tuple[int, bool]]:
     """The batches counted so far, and whether each began anew."""
     marks = _read(spark, f"{folder}/{COUNTED}", "anew boolean")

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from fleetframe.functions import full_month_name, half_up_ratio, months_before, percent_of
 from fleetframe.plans.lookups import matching_rows, measured
+from fleetframe.session import scratch_tables, stored
 from fleetframe.sources.batches import contents, edited_part, read_marks, write_part
 from fleetframe.sources.tables import EDITABLE, SCHEMAS, read_parquet_tables
 
@@ -76,15 +77,18 @@ def _payment_days(changes: DataFrame) -> DataFrame:
 def partners(rows: DataFrame, key: str, found_in: DataFrame | None, before: DataFrame) -> DataFrame:
     """Rows with the row of another table that ``key`` names, from the same batch or, if need be, from earlier ones."""
     name = found_in.columns[0] if found_in is not None else before.columns[0]
+    same = F.col(key) == F.col(name)
     if found_in is None:
-        return rows.join(before, F.col(key) == F.col(name)).drop(name)
-    inside = rows.join(found_in, F.col(key) == F.col(name)).drop(name)
-    missing = rows.join(found_in, F.col(key) == F.col(name), "left_anti")
+        return rows.join(before, same).drop(name)
+    # Rows meet those of their batch once; what either side below needs is read from the result.
+    met = stored(rows.filter(F.col(key).isNotNull()).join(found_in.withColumn("_met", F.lit(True)), same, "left"))
+    inside = met.filter("_met").drop(name, "_met")
+    missing = met.filter("_met IS NULL").select(*rows.columns)
     if missing.isEmpty():
         return inside
     few = measured(missing)
-    wanted = matching_rows(before, name, few, key)
-    return inside.unionByName(few.frame.join(wanted, F.col(key) == F.col(name)).drop(name))
+    wanted = matching_rows(before, name, few, key) if few.fits_broadcast(key) else before
+    return inside.unionByName(few.frame.join(wanted, same).drop(name))
 
 
 _PAYMENT = ["transaction_id", "booking_booking_id"]
@@ -142,27 +146,33 @@ def update_reports(spark: SparkSession, folder: str) -> list[int]:
     done = _maintained(spark, folder)
     new = [n for n in held.batches if n not in done]
     for n in new:
-        changed = {table: changes_of(spark, folder, table, n) for table in ("booking", "transaction", *COUNTED)}
-        if changed["booking"] is not None:
-            write_part(_booking_days(changed["booking"]), folder, BOOKING_DAYS, n)
-        if changed["transaction"] is not None:
-            write_part(_payment_days(changed["transaction"]), folder, PAYMENT_DAYS, n)
-        sizes = [
-            rows.agg(F.lit(table).alias("table"), _weighed(F.lit(True)).alias("rows"))
-            for table, rows in changed.items()
-            if table in COUNTED and rows is not None
-        ]
-        ranges = _rented_ranges(spark, folder, n)
-        for name, parts in ((SIZES, sizes), (RENTED, ranges)):
-            if parts:
-                rows = parts[0]
-                for part in parts[1:]:
-                    rows = rows.unionByName(part)
-                write_part(rows if name == SIZES else _per_range(rows), folder, name, n)
-        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{MAINTAINED}/batch_id={n}")
+        with scratch_tables(spark):
+            _add_up(spark, folder, n)
     return new
 
 
+def _add_up(spark: SparkSession, folder: str, n: int) -> None:
+    """Write the sums of one batch and its mark."""
+    changed = {table: changes_of(spark, folder, table, n) for table in ("booking", "transaction", *COUNTED)}
+    if changed["booking"] is not None:
+        write_part(_booking_days(changed["booking"]), folder, BOOKING_DAYS, n)
+    if changed["transaction"] is not None:
+        write_part(_payment_days(changed["transaction"]), folder, PAYMENT_DAYS, n)
+    sizes = [
+        rows.agg(F.lit(table).alias("table"), _weighed(F.lit(True)).alias("rows"))
+        for table, rows in changed.items()
+        if table in COUNTED and rows is not None
+    ]
+    ranges = _rented_ranges(spark, folder, n)
+    for name, parts in ((SIZES, sizes), (RENTED, ranges)):
+        if parts:
+            rows = parts[0]
+            for part in parts[1:]:
+                rows = rows.unionByName(part)
+            write_part(rows if name == SIZES else _per_range(rows), folder, name, n)
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{MAINTAINED}/batch_id={n}")
+
+
 def _per_range(rows: DataFrame) -> DataFrame:
     rented = rows.filter("car_id IS NOT NULL AND start_date <= end_date")
     grouped = rented.groupBy("car_id", F.col("start_date").alias("first"), F.col("end_date").alias("last"))

@@ -9,8 +9,8 @@ import glob
 import pytest
 
 from fleetframe.operators import dashboard, months, payments
-from fleetframe.operators.distinct_counts import DistinctCounts, update_counts
-from fleetframe.operators.maintained import MaintainedReports, update_reports
+from fleetframe.operators.distinct_counts import DistinctCounts, bitmaps, update_counts
+from fleetframe.operators.maintained import MaintainedReports, partners, update_reports
 from fleetframe.sources import batches
 from fleetframe.sources.tables import read_parquet_tables
 from fleetframe.streaming.micro_batch import edit_batch, write_base
@@ -117,3 +117,34 @@ def test_only_new_batches_are_read(spark, make_tables, folder):
     # K2 is out already.
     assert rows(kept.dashboard_stats(TODAY))[0][2] == before["dashboard_stats"][0][2]
     assert rows(DistinctCounts(spark, folder).cars_ever_rented()) == [(3,)]
+
+
+def test_bitmaps_are_made_after_the_last_shuffle(spark, capsys):
+    found = spark.range(100).selectExpr("cast(id AS string) AS key", "id % 2 = 0 AS even")
+    numbers = spark.range(100).selectExpr("cast(id AS string) AS key", "id * 1000 + 1 AS number")
+    bits = bitmaps(found, numbers, "even")
+    bits.explain()
+    plan = capsys.readouterr().out
+    assert "partial_bitmap_construct_agg" in plan
+    assert plan.rindex("partial_bitmap_construct_agg") < plan.index("Exchange")
+    assert bits.selectExpr("sum(bitmap_count(bits))").first()[0] == 100
+
+
+@pytest.mark.parametrize("most_bytes", [None, 0])
+def test_rows_are_joined_with_their_batch_once(spark, monkeypatch, most_bytes):
+    if most_bytes is not None:
+        monkeypatch.setattr("fleetframe.plans.lookups.BROADCAST_BYTES", most_bytes)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    asked = [(n, k) for n, k in enumerate(["a", "a", "b", "c", "d", None])]
+    rows = spark.createDataFrame(asked, "n int, wanted string").mapInArrow(counted, "n int, wanted string")
+    inside = spark.createDataFrame([("a", 1), ("a", 2), (None, 9)], "key string, x int")
+    before = spark.createDataFrame([("b", 3), ("c", 4), ("c", 5), ("z", 6), (None, 8)], "key string, x int")
+    got = sorted(tuple(r) for r in partners(rows, "wanted", inside, before).collect())
+    assert got == [(0, "a", 1), (0, "a", 2), (1, "a", 1), (1, "a", 2), (2, "b", 3), (3, "c", 4), (3, "c", 5)]
+    assert read.value == 6
