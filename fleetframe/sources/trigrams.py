@@ -35,8 +35,8 @@ LENGTH = 3
 BUCKETS = 16
 # Keys of one list; a trigram with more of them has several lists.
 LIST_KEYS = 32_768
-# Rows of an index file, about.
-FILE_ROWS = 1_000_000
+# Rows of the table to an index file, about; the trigrams of as many are sorted by one task.
+FILE_ROWS = 100_000
 # Trigrams whose lists are intersected.
 MOST_GRAMS = 4
 # Share of the rows from which a scan is cheaper.
@@ -67,19 +67,27 @@ def grams_of(text: Column) -> Column:
 
 
 def posting_lists(rows: DataFrame, table: str) -> tuple[DataFrame, int]:
-    """(gram, part, rows, keys, bucket) of the rows of a table, and their number."""
+    """(gram, part, rows, keys, bucket) of the rows of a table, sorted file by file, and the number of rows.
+
+    The keys of a list meet once: they are dealt by ranges of (bucket, gram, part), and lists are made where they lie.
+    """
     key, columns = SEARCHED[table]
     total = rows.count()
     parts = max(1, -(-total // LIST_KEYS))
+    files = max(BUCKETS, -(-total // FILE_ROWS))
+    order = ["bucket", "gram", "part"]
     listed = (
         rows.select(F.col(key).alias("key"), F.lower(F.concat_ws(" ", *columns)).alias("text"))
         .filter("key IS NOT NULL")
         .select("key", F.explode(grams_of(F.col("text"))).alias("gram"))
-        .groupBy("gram", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"))
+        .withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+        .withColumn("bucket", F.pmod(F.crc32(F.encode("gram", "utf-8")), F.lit(BUCKETS)).cast("int"))
+        .repartitionByRange(files, *order)
+        .groupBy(*order)
         .agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        .sortWithinPartitions(*order)
     )
-    bucket = F.pmod(F.crc32(F.encode("gram", "utf-8")), F.lit(BUCKETS)).cast("int")
-    return listed.select("gram", "part", F.size("keys").cast("long").alias("rows"), "keys", bucket.alias("bucket")), total
+    return listed.select("gram", "part", F.size("keys").cast("long").alias("rows"), "keys", "bucket"), total
 
 
 def update_index(spark: SparkSession, folder: str) -> list[int]:
@@ -99,9 +107,7 @@ def update_index(spark: SparkSession, folder: str) -> list[int]:
             if rows is None:
                 continue
             lists, total = posting_lists(rows, table)
-            files = max(BUCKETS, -(-total // FILE_ROWS))
-            ordered = lists.repartitionByRange(files, "bucket", "gram", "part").sortWithinPartitions("bucket", "gram", "part")
-            ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{lists_part(table)}/batch_id={n}")
+            lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{lists_part(table)}/batch_id={n}")
             marks.append((table, total))
         made = spark.createDataFrame(marks, T.StructType(_MARK.fields[:2])).coalesce(1)
         made.write.mode("overwrite").parquet(f"{folder}/{INDEXED}/batch_id={n}")

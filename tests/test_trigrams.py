@@ -78,3 +78,11 @@ def test_index_that_broke_off_is_made_anew(spark, folder):
     assert trigrams.update_index(spark, folder) == [2]
     found = search.search_customers(trigrams.read_indexed_tables(spark, folder), "zacharias").collect()
     assert [r.ID_Card for r in found] == ["8000"]
+
+
+def test_keys_of_lists_are_shuffled_once(spark, small, capsys):
+    lists, total = trigrams.posting_lists(small.customer, "customer")
+    capsys.readouterr()
+    lists.explain()
+    plan = capsys.readouterr().out
+    assert total == 3 and plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1
