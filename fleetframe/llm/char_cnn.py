@@ -135,25 +135,54 @@ class CharCnn:
         return [tables, shift, active.T @ to_hidden, to_hidden.sum(axis=0), hidden.T @ out, out.sum(keepdims=True)]
 
 
-def fit_cnn(
+EPOCHS, BATCH, LEAST_STEPS, SEED = 10, 256, 400, 3
+
+
+def epochs_for(cases: int) -> int:
+    """Small samples are gone over more often."""
+    return max(EPOCHS, -(-LEAST_STEPS // -(-cases // BATCH)))
+
+
+def fresh_state(seed: int = SEED) -> np.ndarray:
+    """Parameters and both moments of each, in one row."""
+    start = np.concatenate([p.ravel() for p in CharCnn.fresh(seed).parameters()])
+    return np.concatenate([start, np.zeros(2 * len(start), np.float32)])
+
+
+def _opened(state: np.ndarray) -> tuple[CharCnn, list[list[np.ndarray]]]:
+    """The network and the moments, as views of a state."""
+    shapes = [p.shape for p in CharCnn.fresh(0).parameters()]
+    cuts = np.cumsum([int(np.prod(shape)) for shape in shapes])
+    thirds = [
+        [part.reshape(shape) for part, shape in zip(np.split(third, cuts[:-1]), shapes)] for third in np.split(state, 3)
+    ]
+    return CharCnn(*thirds[0]), thirds[1:]
+
+
+def net_of(state: np.ndarray) -> CharCnn:
+    return _opened(state)[0]
+
+
+def trained(
+    state: np.ndarray,
     codes: np.ndarray,
     labels: np.ndarray,
     weights: np.ndarray,
-    counts: np.ndarray | None = None,
-    epochs: int = 10,
-    batch: int = 256,
-    least_steps: int = 400,
-    seed: int = 3,
-) -> CharCnn:
-    """Gradient steps of adaptive size over shuffled batches; small samples are gone over more often."""
-    counts = np.ones(len(codes), dtype=np.int64) if counts is None else counts
+    counts: np.ndarray,
+    these: range,
+    epochs: int,
+    batch: int = BATCH,
+    seed: int = SEED,
+) -> np.ndarray:
+    """The state after these of all epochs: gradient steps of adaptive size over shuffled batches."""
+    state = state.astype(np.float32)
+    net, (firsts, seconds) = _opened(state)
     starts = np.cumsum(counts) - counts
-    epochs = max(epochs, -(-least_steps // -(-len(counts) // batch)))
-    net = CharCnn.fresh(seed)
     rng = np.random.default_rng(seed)
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    step = 0
-    for epoch in range(epochs):
+    for _ in range(these.start):
+        rng.permutation(len(counts))
+    step = these.start * -(-len(counts) // batch)
+    for epoch in these:
         rate = 0.004 * (1 - epoch / epochs) + 0.0004
         order = rng.permutation(len(counts))
         for low in range(0, len(counts), batch):
@@ -161,10 +190,17 @@ def fit_cnn(
             rows = np.concatenate([np.arange(starts[i], starts[i] + counts[i]) for i in at.tolist()])
             step += 1
             found = net.gradients(codes[rows], labels[at], weights[at], counts[at])
-            for p, g, (first, second) in zip(net.parameters(), found, moments):
+            for p, g, first, second in zip(net.parameters(), found, firsts, seconds):
                 first *= 0.9
                 first += 0.1 * g
                 second *= 0.999
                 second += 0.001 * g * g
                 p -= (rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)).astype(p.dtype)
-    return net
+    return state
+
+
+def fit_cnn(codes: np.ndarray, labels: np.ndarray, weights: np.ndarray, counts: np.ndarray | None = None) -> CharCnn:
+    """All epochs over cases that are at hand."""
+    counts = np.ones(len(codes), dtype=np.int64) if counts is None else counts
+    epochs = epochs_for(len(counts))
+    return net_of(trained(fresh_state(), codes, labels, weights, counts, range(epochs), epochs))

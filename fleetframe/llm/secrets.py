@@ -2,14 +2,15 @@
 
 Base spans (``spans.base_secrets``) always stay. Generators propose further ones: values after words
 that name a credential in any spelling, and long tokens with digits. The network reads each candidate
-whole, with its context. It learns from a bounded sample of texts: base findings and the same values written
+whole, with its context. It learns from all texts: base findings and the same values written
 in other ways are the positive cases; other candidates, masked or spelled-out values and plain numbers
-are the negative ones. The threshold of a kind is the highest one that still finds the wanted share of
-the positive cases set aside.
+are the negative ones. The cases are dealt into parts of bounded size. Tasks train one part each from the same
+network, and after each round the networks are averaged by their cases. The threshold of a kind is the highest one
+that still finds the wanted share of the positive cases set aside, a third of each part.
 
 A null or empty text has no spans. Repeated rows give repeated results; other columns are ignored. Of further
 spans that overlap, the likeliest stays; ties go to the one that starts first, then to the longer one.
-Without a base span in the sample there is nothing to learn from, and only base spans are returned.
+Without a base span in any text there is nothing to learn from, and only base spans are returned.
 """
 
 from __future__ import annotations
@@ -17,19 +18,24 @@ from __future__ import annotations
 import random
 import re
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fleetframe.llm.boosted_trees import calibrated, monotone_levels
-from fleetframe.llm.char_cnn import PLACES, CharCnn, fit_cnn, window, window_count
-from fleetframe.llm.common import map_chunks, sampled_ids, texts_of
+from fleetframe.llm.boosted_trees import calibrated, levels_of, monotone_levels, pooled
+from fleetframe.llm.char_cnn import (
+    EPOCHS, PLACES, CharCnn, epochs_for, fit_cnn, fresh_state, net_of, trained, window, window_count,
+)
+from fleetframe.llm.common import map_chunks, texts_of
 from fleetframe.llm.spans import SECRET_KINDS, Span, Taken, base_secrets, digest, in_order, without_overlap, written
+from fleetframe.session import stored
 
-# Bounds of what the network learns from.
-SAMPLE_TEXTS = 3_000
-SAMPLE_CASES = 12_000
+# Windows of the cases that a task trains at a time, and pieces in which networks are averaged.
+PART_WINDOWS = 12_000
+STATE_PIECES = 64
 FEWEST_CASES = 40
 # Cases with more windows are not learned from; they are read whole when texts are searched.
 WINDOWS_LEARNED = 16
@@ -125,54 +131,221 @@ def stacked(cases: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.array(c, dtype=np.int64) for c in cases]).reshape(-1, PLACES), counts
 
 
+def set_aside(n: int) -> tuple[np.ndarray, int]:
+    """The cases in random order, and how many of the first are learned from; the others are set aside."""
+    return np.random.default_rng(9).permutation(n), n * 2 // 3
+
+
+def case_weights(labels: np.ndarray, ones: int, n: int) -> np.ndarray:
+    """Both labels weigh the same when ``ones`` of all ``n`` cases that are learned from are positive."""
+    share = np.float32(ones / n)
+    return np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)).astype(np.float32)
+
+
+def thresholds_of(levels: tuple[np.ndarray, np.ndarray], positives: dict[str, np.ndarray], recall: float) -> dict[str, float]:
+    """``positives`` has for each kind how many positive cases lie on each level."""
+    thresholds = {}
+    order = np.argsort(levels[1], kind="stable")
+    for kind in SECRET_KINDS:
+        so_far = np.cumsum(positives[kind][order])
+        n = int(so_far[-1])
+        # The highest level that finds the share; a kind without cases is never added.
+        level = levels[1][order[np.searchsorted(so_far, int((1 - recall) * n), side="right")]] if n else 1.1
+        thresholds[kind] = float(max(level, LEAST_PROBABILITY))
+    return thresholds
+
+
+def level_numbers(levels: tuple[np.ndarray, np.ndarray], logits: np.ndarray) -> np.ndarray:
+    return np.minimum(np.searchsorted(levels[0], logits, side="left"), len(levels[0]) - 1)
+
+
 def fit(cases: list[list[int]], labels: np.ndarray, kinds: list[str], recall: float = RECALL) -> SecretModel | None:
-    """The network from two thirds of the cases; levels and thresholds from the rest."""
+    """The model of cases that are at hand."""
     if len(cases) < FEWEST_CASES or len(set(labels.tolist())) < 2:
         return None
-    order = np.random.default_rng(9).permutation(len(cases))
+    order, kept = set_aside(len(cases))
     cases, labels, kinds_of = [cases[i] for i in order.tolist()], labels[order], np.array(kinds)[order]
-    kept = len(cases) * 2 // 3
-    share = labels[:kept].mean()
-    weights = np.where(labels[:kept] == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)).astype(np.float32)
     codes, counts = stacked(cases[:kept])
-    net = fit_cnn(codes, labels[:kept], weights, counts)
+    net = fit_cnn(codes, labels[:kept], case_weights(labels[:kept], int(labels[:kept].sum()), kept), counts)
     logits, truth = net.logits(*stacked(cases[kept:])), labels[kept:]
     levels = monotone_levels(logits, truth)
-    p = calibrated(levels, logits)
-    thresholds = {}
-    for kind in SECRET_KINDS:
-        positive = np.sort(p[(kinds_of[kept:] == kind) & (truth == 1)])
-        # The highest level that finds the share; a kind without cases is never added.
-        level = positive[int((1 - recall) * len(positive))] if len(positive) else 1.1
-        thresholds[kind] = float(max(level, LEAST_PROBABILITY))
-    return SecretModel(net, levels, thresholds)
+    numbers = level_numbers(levels, logits)
+    positives = {
+        kind: np.bincount(numbers[(kinds_of[kept:] == kind) & (truth == 1)], minlength=len(levels[0]))
+        for kind in SECRET_KINDS
+    }
+    return SecretModel(net, levels, thresholds_of(levels, positives, recall))
+
 
+PART = "part bigint, n bigint, n_kept bigint, ones bigint, ones_kept bigint, codes binary, counts binary, labels binary, kinds binary"
 
-def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_cases: int = SAMPLE_CASES) -> SecretModel | None:
-    """Learn from the texts with the smallest id hashes among those with long tokens or named values."""
-    texts = texts_of(docs)
-    likely = F.col("text").rlike(r"[A-Za-z]*[0-9][A-Za-z0-9+/_=-]{12}|(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]")
-    wanted = sampled_ids(texts, sample_texts, likely).distinct()
-    # At most ``sample_texts`` ids.
-    sample = texts.join(F.broadcast(wanted), "doc_id", "left_semi")
+
+def all_cases(docs: DataFrame) -> DataFrame:
+    """One row for each case of each text."""
 
     def start():
         def step(columns):
             rows = [
                 (doc_id, span[0], codes, label)
                 for doc_id, text in zip(columns["doc_id"], columns["text"])
-                for span, codes, label in cases(text, random.Random(doc_id))
+                for span, codes, label in cases(text, random.Random(doc_id or 0))
             ]
             return {name: [r[i] for r in rows] for i, name in enumerate(("doc_id", "kind", "codes", "label"))}
 
         return step
 
-    made = map_chunks(sample, start, "doc_id bigint, kind string, codes array<int>, label int")
-    made = made.orderBy(F.xxhash64("doc_id", "codes"), "doc_id", "label").limit(sample_cases).toPandas()
-    if made.empty:
+    return map_chunks(texts_of(docs), start, "doc_id bigint, kind string, codes array<int>, label int")
+
+
+def in_parts(made: DataFrame, part_windows: int) -> DataFrame:
+    """The cases dealt into parts of about so many windows, one row a part; within it, those learned from come first."""
+    windows = made.agg(F.sum(F.size("codes"))).first()[0] or 0
+    parts = max(1, -(-windows // (PLACES * part_windows)))
+    # Equal cases of repeated rows are told apart by their numbers, so no part gets all of them.
+    columns = ("place", "doc_id", "kind", "codes", "label")
+    each = made.withColumn("place", F.xxhash64("doc_id", "codes")).groupBy(*columns).count()
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "count"))).drop("count")
+    each = each.withColumn("part", F.pmod(F.xxhash64("place", "copy"), F.lit(parts)))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(name, "ascending") for name in ("place", "doc_id", "label", "kind", "copy")])
+        order, kept = set_aside(len(table))
+        codes = table["codes"].take(pa.array(order)).combine_chunks()
+        labels = table["label"].to_numpy()[order].astype(np.float32)
+        kinds = np.array([SECRET_KINDS.index(k) for k in table["kind"].to_pylist()], dtype=np.uint8)[order]
+        counts = codes.value_lengths().to_numpy() // PLACES
+        return pa.table(
+            {
+                "part": table["part"][:1],
+                "n": [len(table)],
+                "n_kept": [kept],
+                "ones": [int(labels.sum())],
+                "ones_kept": [int(labels[:kept].sum())],
+                "codes": [codes.flatten().to_numpy().astype(np.uint8).tobytes()],
+                "counts": [counts.astype(np.int64).tobytes()],
+                "labels": [labels.tobytes()],
+                "kinds": [kinds.tobytes()],
+            }
+        )
+
+    return stored(each.repartition(parts, "part").groupBy("part").applyInArrow(pack, PART))
+
+
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, windows of each case, labels and kinds of a part."""
+    codes = np.frombuffer(row["codes"], dtype=np.uint8).astype(np.int64).reshape(-1, PLACES)
+    return codes, *(
+        np.frombuffer(row[name], dtype=kind)
+        for name, kind in (("counts", np.int64), ("labels", np.float32), ("kinds", np.uint8))
+    )
+
+
+def train_round(parts: DataFrame, state: np.ndarray, these: range, epochs: int, ones: int, kept: int) -> np.ndarray:
+    """The mean of the states to which the parts lead, each weighted by its cases."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                n = row["n_kept"]
+                if not n:
+                    continue
+                codes, counts, labels, _ = _opened(row)
+                counts, labels = counts[:n], labels[:n]
+                weights = case_weights(labels, ones, kept)
+                pieces = np.array_split(
+                    trained(state, codes[: counts.sum()], labels, weights, counts, these, epochs), STATE_PIECES
+                )
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "piece": pa.array(range(STATE_PIECES), pa.int64()),
+                        "part": pa.array([row["part"]] * STATE_PIECES, pa.int64()),
+                        "n": pa.array([n] * STATE_PIECES, pa.int64()),
+                        "state": pa.array([p.tobytes() for p in pieces], pa.binary()),
+                    }
+                )
+
+    def mean(table: pa.Table) -> pa.Table:
+        # Always in the same order, so that the sums are the same on every run.
+        table = table.sort_by("part")
+        total = 0.0
+        for n, values in zip(table["n"].to_pylist(), table["state"]):
+            total = total + n * np.frombuffer(values.as_py(), dtype=np.float32).astype(np.float64)
+        values = (total / sum(table["n"].to_pylist())).astype(np.float32)
+        return pa.table({"piece": table["piece"][:1], "state": pa.array([values.tobytes()], pa.binary())})
+
+    learned = parts.mapInArrow(learn, "piece bigint, part bigint, n bigint, state binary")
+    means = learned.groupBy("piece").applyInArrow(mean, "piece bigint, state binary").orderBy("piece").collect()
+    return np.concatenate([np.frombuffer(r["state"], dtype=np.float32) for r in means])
+
+
+def judged_aside(parts: DataFrame, state: np.ndarray) -> DataFrame:
+    """Logit, kind and label of each case set aside."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = net_of(state)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                n = row["n_kept"]
+                codes, counts, labels, kinds = _opened(row)
+                logits = net.logits(codes[counts[:n].sum() :], counts[n:])
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "logit": pa.array(logits.astype(np.float64), pa.float64()),
+                        "kind": pa.array(kinds[n:].astype(np.int32), pa.int32()),
+                        "label": pa.array(labels[n:].astype(np.int32), pa.int32()),
+                    }
+                )
+
+    return stored(parts.mapInArrow(judge, "logit double, kind int, label int"))
+
+
+def levels_aside(aside: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic levels of all cases set aside: blocks of each range of logits, then of the blocks."""
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list[float], list[float], list[float]] = ([], [], [])
+        for batch in batches:
+            held = pooled(*(old + new.to_pylist() for old, new in zip(held, batch.columns)))
+        yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.float64()) for n, v in zip(("logit", "ones", "n"), held)})
+
+    once = aside.groupBy("logit").agg(
+        F.sum("label").cast("double").alias("ones"), F.count("*").cast("double").alias("n")
+    )
+    blocks = once.orderBy("logit").mapInArrow(pool, "logit double, ones double, n double")
+    rows = sorted((r["logit"], r["ones"], r["n"]) for r in blocks.collect())
+    return levels_of(pooled(*zip(*rows)))
+
+
+def train(docs: DataFrame, part_windows: int = PART_WINDOWS, recall: float = RECALL) -> SecretModel | None:
+    """Learn from the cases of all texts."""
+    parts = in_parts(stored(all_cases(docs)), part_windows)
+    total = parts.agg(
+        F.count("*").alias("parts"), *(F.sum(n).alias(n) for n in ("n", "n_kept", "ones", "ones_kept"))
+    ).first()
+    if not total["parts"] or total["n"] < FEWEST_CASES or total["ones"] in (0, total["n"]):
         return None
-    cases_made = [list(map(int, codes)) for codes in made["codes"]]
-    return fit(cases_made, made["label"].to_numpy(dtype=np.float32), made["kind"].tolist())
+    epochs = epochs_for(-(-total["n_kept"] // total["parts"]))
+    # A part that is alone has nobody to wait for; small parts are gone over several times in a round.
+    step = epochs if total["parts"] == 1 else -(-epochs // EPOCHS)
+    state = fresh_state()
+    for low in range(0, epochs, step):
+        these = range(low, min(low + step, epochs))
+        state = train_round(parts, state, these, epochs, total["ones_kept"], total["n_kept"])
+    aside = judged_aside(parts, state)
+    levels = levels_aside(aside)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = level_numbers(levels, batch.column("logit").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(numbers, pa.int64())], ["kind", "level"])
+
+    on_levels = aside.filter("label = 1").mapInArrow(number, "kind int, level bigint")
+    positives = {kind: np.zeros(len(levels[0]), dtype=np.int64) for kind in SECRET_KINDS}
+    for r in on_levels.groupBy("kind", "level").count().collect():
+        positives[SECRET_KINDS[r["kind"]]][r["level"]] = r["count"]
+    return SecretModel(net_of(state), levels, thresholds_of(levels, positives, recall))
 
 
 def found_in(texts: list[str], model: SecretModel | None) -> list[tuple[list[Span], list[Span]]]:

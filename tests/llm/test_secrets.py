@@ -178,3 +178,53 @@ def test_odd_rows(make_docs, odd_rows):
         assert len(rows) == len(odd_rows) and all(r["n_hex"] == 0 for r in rows)
     empty = make_docs([])
     assert secrets.found(empty, secrets.train(empty)).count() == 0
+
+
+def test_learns_from_every_text(make_docs, monkeypatch):
+    """Every case of every text reaches a part, repeated rows and a row without an id included."""
+    rows = corpus(200) + corpus(20)[:1] * 30 + [(None, f"password={'a1' * 12}")]
+    wanted = sum(len(secrets.cases(t, random.Random(i or 0))) for i, t in rows)
+    parts = secrets.in_parts(secrets.all_cases(make_docs(rows)), 100).collect()
+    assert len(parts) > 5 and sum(r["n"] for r in parts) == wanted
+    assert max(r["n"] for r in parts) < 200
+    monkeypatch.setattr(secrets, "train_round", lambda parts, state, *rest: state)
+    kept = []
+    monkeypatch.setattr(
+        secrets, "levels_aside", lambda aside, inner=secrets.levels_aside: (kept.append(aside.count()), inner(aside))[1]
+    )
+    secrets.train(make_docs(rows), 100)
+    assert kept == [wanted - sum(r["n_kept"] for r in parts)]
+
+
+def test_one_part_is_learned_as_cases_at_hand(make_docs):
+    docs = make_docs(corpus(150))
+    (row,) = secrets.in_parts(secrets.all_cases(docs), 100_000).collect()
+    codes, counts, labels, kinds = secrets._opened(row)
+    order, _ = secrets.set_aside(len(counts))
+    back = np.argsort(order)
+    made = [c.ravel().tolist() for c in np.split(codes, np.cumsum(counts)[:-1])]
+    here = secrets.fit([made[i] for i in back], labels[back], [spans.SECRET_KINDS[kinds[i]] for i in back])
+    model = secrets.train(docs, 100_000)
+    assert all((a == b).all() for a, b in zip(model.net.parameters(), here.net.parameters()))
+    assert model.thresholds == here.thresholds and (model.levels[1] == here.levels[1]).all()
+
+
+def test_many_parts_make_one_model(make_docs):
+    rows = corpus()
+    model = secrets.train(make_docs(rows), 400)
+    again = secrets.train(make_docs(rows[::-1]), 400)
+    assert all((a == b).all() for a, b in zip(model.net.parameters(), again.net.parameters()))
+    assert model.thresholds == again.thresholds
+    late = [(1, "use pwd = kJ8sQ2mN4xR7tY1wZ6 for it"), (2, "the number 4785380592391135 in the house")]
+    got = by_id(secrets.found(make_docs(late), model))
+    assert got[1]["spans"] == "assign:4:28" and got[2]["spans"] == ""
+
+
+def test_blocks_of_ranges_give_the_levels_of_all(spark):
+    rng = np.random.default_rng(5)
+    logits = rng.integers(-300, 300, 4_000) / 64
+    labels = (rng.random(4_000) < 1 / (1 + np.exp(-logits))).astype(int)
+    rows = [(float(x), 0, int(y)) for x, y in zip(logits, labels)]
+    aside = spark.createDataFrame(rows, "logit double, kind int, label int")
+    got, wanted = secrets.levels_aside(aside), secrets.monotone_levels(logits, labels)
+    assert (got[0] == wanted[0]).all() and (got[1] == wanted[1]).all()
