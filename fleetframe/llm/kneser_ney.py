@@ -31,7 +31,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetframe.llm.common import Memo, id_remainder, map_chunks, shared_folder, texts_of
+from fleetframe.llm.common import Memo, id_remainder, map_chunks, shared_folder, store_of, texts_of
 from fleetframe.session import pin
 
 # Text characters for each bucket of words, and of pairs.
@@ -192,16 +192,9 @@ def merged(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 # --- Arrays in the shared folder ---------------------------------------------------------------
 
 
-def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (
-        pyarrow.fs.LocalFileSystem(),
-        folder,
-    )
-
-
 def write_array(folder: str, name: str, values: np.ndarray) -> None:
     """Write under a name of its own first: a task that is run again leaves one whole file."""
-    files, path = _store(folder)
+    files, path = store_of(folder)
     files.create_dir(path, recursive=True)
     own = f"{path}/.{name}-{uuid.uuid4().hex}"
     with files.open_output_stream(own) as out:
@@ -212,7 +205,7 @@ def write_array(folder: str, name: str, values: np.ndarray) -> None:
 @functools.lru_cache(maxsize=20_000)
 def mapped(folder: str, name: str, kind: str) -> np.ndarray:
     """A file of the shared folder, mapped; from a store without paths it is copied first."""
-    files, path = _store(folder)
+    files, path = store_of(folder)
     path = f"{path}/{name}"
     info = files.get_file_info(path)
     if info.type == pyarrow.fs.FileType.NotFound or not info.size:

@@ -8,6 +8,9 @@ The index keeps, of each word, the examples that hold it with their weights, cut
 examples end, and the largest weight of each piece. A text's nearest examples are exact: a block is passed
 over only if the largest weights of the text's words in it cannot beat what was found.
 
+The model is made in one task, from the bounded sample and the counts of its words, and lies in the checkpoint
+folder, where the scoring tasks read it; the driver holds neither.
+
 Examples with the same text are one, which votes as often as it was drawn. The votes of the nearest
 examples, weighted by their cosine and by how common their label is, are turned into a probability by the
 labelled texts themselves, each judged by all others; there a text counts once for each of its labels,
@@ -32,7 +35,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetframe.llm.boosted_trees import calibrated, monotone_levels
-from fleetframe.llm.common import ROWS_AT_ONCE, SAMPLE_SEED, fields_of, id_remainder, map_chunks, sampled_ids, texts_of
+from fleetframe.llm.common import (
+    ROWS_AT_ONCE, SAMPLE_SEED, fields_of, id_remainder, map_chunks, read_object, sampled_ids, shared_folder, texts_of,
+    write_object,
+)
 
 # Bounds of what is learned from, for each kind: labelled texts, and their characters together. They also
 # bound the index that is sent to the workers.
@@ -235,10 +241,27 @@ class ToxicityModel:
         return np.where(votes < 0, self.without_terms, calibrated(self.levels, votes))
 
 
-def _document_counts(texts: DataFrame, known: dict[str, int]) -> np.ndarray:
+@dataclass(frozen=True)
+class StoredModel:
+    """A model in the checkpoint folder."""
+
+    folder: str
+
+    def read(self) -> ToxicityModel:
+        return read_object(self.folder, "model")
+
+    def __getattr__(self, name: str):
+        """What the model has."""
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return getattr(self.read(), name)
+
+
+def _document_counts(texts: DataFrame, folder: str) -> DataFrame:
     """How many texts hold each known word; a task gives one row for each word that it met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = read_object(folder, "words")
         counts = np.zeros(len(known), dtype=np.int64)
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -249,11 +272,7 @@ def _document_counts(texts: DataFrame, known: dict[str, int]) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["term", "n"])
 
-    held = np.zeros(len(known))
-    rows = texts.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    counted = rows.toPandas()
-    held[counted["term"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy()
-    return held
+    return texts.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -290,7 +309,7 @@ def train(
     learn_from: Column,
     examples: int = EXAMPLES_OF_A_KIND,
     example_chars: int = EXAMPLE_CHARS,
-) -> ToxicityModel | float:
+) -> StoredModel | float:
     """Learn from labelled rows that meet ``learn_from`` (a condition on doc_id).
 
     Without labels of both kinds there is only the share of toxic ones.
@@ -329,26 +348,49 @@ def train(
 
     named = sample.withColumn("text_hash", F.xxhash64("text"))
     ddl = "doc_id bigint, toxic int, text_hash bigint, words array<string>, counts array<int>"
-    found = map_chunks(named, counting, ddl).orderBy("doc_id").toArrow().combine_chunks()
     share = total[1] / (total[0] + total[1])
-    if len(np.unique(found["toxic"].to_numpy())) < 2:
-        return share
-    doc_ids, toxic_of, drawn, known, rows = _examples(found)
-    del found
-    if not known:
+    folder = shared_folder(docs.sparkSession, "toxicity")
+
+    def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(batches).combine_chunks()
+        usable = len(np.unique(found["toxic"].to_numpy())) == 2
+        if usable:
+            doc_ids, toxic_of, drawn, known, rows = _examples(found)
+            usable = bool(known)
+            write_object(folder, "words", known)
+            write_object(folder, "examples", (doc_ids, toxic_of, drawn, rows))
+        yield pa.RecordBatch.from_pydict({"usable": [usable]})
+
+    # At most twice ``examples`` rows.
+    together = map_chunks(named, counting, ddl).repartition(1).sortWithinPartitions("doc_id")
+    if not any(r["usable"] for r in together.mapInArrow(examine, "usable boolean").collect()):
         return share
-    once = drawn > 0
-    clean, toxic = (np.bincount(rows.terms, once[rows.row_of, kind], minlength=len(known)) for kind in (0, 1))
-    idf = np.log((1 + texts.count()) / (1 + _document_counts(texts, known))) + 1
-    weights = idf * telling(toxic, clean, int(once[:, 1].sum()), int(once[:, 0].sum()))
-    rows = rows.weighted(weights)
-    # Each example stands for as many labelled texts as its kind has for each one drawn.
-    kind_weights = np.array([total[0], total[1]]) / drawn.sum(axis=0)
-    model = ToxicityModel(
-        known, weights, Index.of(rows, len(known)), doc_ids, toxic_of, drawn, kind_weights,
-        (np.zeros(1), np.zeros(1)), share,
-    )
-    return _calibrated(model, rows)
+    n_texts = texts.count()
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = read_object(folder, "words")
+        doc_ids, toxic_of, drawn, rows = read_object(folder, "examples")
+        held = np.zeros(len(known))
+        for batch in batches:
+            held[batch.column("term").to_numpy()] = batch.column("n").to_numpy()
+        once = drawn > 0
+        clean, toxic = (np.bincount(rows.terms, once[rows.row_of, kind], minlength=len(known)) for kind in (0, 1))
+        weights = (np.log((1 + n_texts) / (1 + held)) + 1) * telling(
+            toxic, clean, int(once[:, 1].sum()), int(once[:, 0].sum())
+        )
+        rows = rows.weighted(weights)
+        # Each example stands for as many labelled texts as its kind has for each one drawn.
+        kind_weights = np.array([total[0], total[1]]) / drawn.sum(axis=0)
+        model = ToxicityModel(
+            known, weights, Index.of(rows, len(known)), doc_ids, toxic_of, drawn, kind_weights,
+            (np.zeros(1), np.zeros(1)), share,
+        )
+        write_object(folder, "model", _calibrated(model, rows))
+        yield pa.RecordBatch.from_pydict({"words": [len(known)]})
+
+    # One row for each word of the examples.
+    _document_counts(texts, folder).repartition(1).mapInArrow(fit, "words bigint").collect()
+    return StoredModel(folder)
 
 
 def _calibrated(model: ToxicityModel, rows: Rows) -> ToxicityModel:
@@ -386,26 +428,28 @@ def judged(texts: list[str], model: ToxicityModel) -> tuple[np.ndarray, np.ndarr
     return scores, nearest, cosine
 
 
-def scored(docs: DataFrame, model: ToxicityModel | float, held_out: Column) -> DataFrame:
+def scored(docs: DataFrame, model: StoredModel | float, held_out: Column) -> DataFrame:
     """Score, prediction and nearest example of every row."""
     marked = texts_of(docs).withColumn("held_out", held_out)
 
     def start():
+        opened = model if isinstance(model, float) else model.read()
+
         def step(columns):
             n = len(columns["doc_id"])
-            if isinstance(model, float):
-                scores, nearest, cosine = np.full(n, model), np.full(n, -1), np.zeros(n)
+            if isinstance(opened, float):
+                scores, nearest, cosine = np.full(n, opened), np.full(n, -1), np.zeros(n)
             else:
-                scores, nearest, cosine = judged(columns["text"], model)
+                scores, nearest, cosine = judged(columns["text"], opened)
             found = [i if i >= 0 else None for i in nearest.tolist()]
             return {
                 "doc_id": columns["doc_id"],
                 "held_out": columns["held_out"],
                 "score": scores,
                 "predicted": (scores >= TOXIC_FROM).astype(np.int32),
-                "nearest_doc_id": [None if i is None else int(model.doc_ids[i]) for i in found],
+                "nearest_doc_id": [None if i is None else int(opened.doc_ids[i]) for i in found],
                 "nearest_cosine": [None if i is None else c for i, c in zip(found, cosine.tolist())],
-                "nearest_toxic": [None if i is None else int(model.toxic[i]) for i in found],
+                "nearest_toxic": [None if i is None else int(opened.toxic[i]) for i in found],
             }
 
         return step
@@ -422,16 +466,18 @@ def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, train(docs, labels, learnable()), ~learnable())
 
 
-def without_toxic(docs: DataFrame, model: ToxicityModel | float) -> DataFrame:
+def without_toxic(docs: DataFrame, model: StoredModel | float) -> DataFrame:
     """The same columns, without the rows whose score says toxic."""
 
     def start():
+        opened = model if isinstance(model, float) else model.read()
+
         def step(columns):
             texts = [t or "" for t in columns["text"]]
-            if isinstance(model, float):
-                stay = [model < TOXIC_FROM] * len(texts)
+            if isinstance(opened, float):
+                stay = [opened < TOXIC_FROM] * len(texts)
             else:
-                stay = (judged(texts, model)[0] < TOXIC_FROM).tolist()
+                stay = (judged(texts, opened)[0] < TOXIC_FROM).tolist()
             return {name: [v for v, s in zip(values, stay) if s] for name, values in columns.items()}
 
         return step

@@ -1,8 +1,10 @@
+import pickle
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 
 from fleetframe.llm import toxicity
 from tests.llm.conftest import by_id
@@ -189,3 +191,22 @@ def test_nothing_to_learn_from(make_docs, make_labels):
     docs = make_docs([(1, "a"), (2, None)])
     assert {r["score"] for r in toxicity.train_and_score(docs, make_labels([])).collect()} == {0.0}
     assert toxicity.train_and_score(make_docs([]), make_labels([])).count() == 0
+
+
+def test_the_driver_does_not_hold_the_model(make_docs, make_labels, monkeypatch):
+    """It is fitted in a task and read where it is used; the driver keeps the name of its folder."""
+    rows, labels = corpus(200)
+
+    def in_a_task(inner):
+        def call(*args):
+            assert TaskContext.get() is not None
+            return inner(*args)
+
+        return call
+
+    for name in ("_examples", "_calibrated"):
+        monkeypatch.setattr(toxicity, name, in_a_task(getattr(toxicity, name)))
+    monkeypatch.setattr(toxicity.StoredModel, "read", in_a_task(toxicity.StoredModel.read))
+    model = toxicity.train(make_docs(rows), make_labels(labels), toxicity.learnable())
+    assert len(pickle.dumps(model)) < 1_000
+    assert toxicity.without_toxic(make_docs(rows), model).count() < len(rows)
