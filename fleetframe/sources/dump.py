@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,6 +36,8 @@ FORMAT = "sql_dump"
 SPLIT_BYTES = 64 << 20
 READ_BYTES = 1 << 20
 BATCH_ROWS = 8_192
+# Tasks that read a dump, before their shares reach the size of a range.
+TASKS_PER_CORE = 4
 # Longest head of a statement, up to its first row.
 HEAD_BYTES = 1 << 16
 # Rows of one statement that is written.
@@ -51,6 +54,7 @@ _LINE = re.compile(rb"(?:INSERT|REPLACE)\s", re.IGNORECASE)
 _QUOTED = rb"'(?:[^'\\]++|\\.|'')*+'"
 _ROW = re.compile(rb"\s*+\(((?:[^'()]++|" + _QUOTED + rb")*+)\)\s*+([,;])", re.DOTALL)
 _VALUE = re.compile(rb"\s*+(?:_\w+\s*+)?(?:'((?:[^'\\]++|\\.|'')*+)'|([^,'\s]++))\s*+(?:,|$)", re.DOTALL)
+_PLAIN_ROW_VALUE = rb"\s*+(?:'((?:[^'\\]++|\\.|'')*+)'|([^,'\s()]++))\s*+"
 _ESCAPED = re.compile(r"\\(.)|''", re.DOTALL)
 # What a character after a backslash stands for; any other stands for itself.
 _ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a", "%": "\\%", "_": "\\_"}
@@ -79,6 +83,13 @@ def row_values(body: bytes) -> list[str | None]:
     return values
 
 
+@lru_cache(maxsize=64)
+def _row_of(width: int) -> re.Pattern[bytes]:
+    """A row of so many values, as dump tools write them: group 1 is what lies between the brackets, then come two
+    groups a value, quoted or plain, and the sign after the row. Rows it does not match may still be rows."""
+    return re.compile(rb"\s*+\((" + rb",".join([_PLAIN_ROW_VALUE] * width) + rb")\)\s*+([,;])", re.DOTALL)
+
+
 def _bare(name: bytes) -> str:
     text = name.decode("utf-8").strip()
     return text[1:-1].replace("``", "`") if text.startswith("`") else text
@@ -92,7 +103,7 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 @dataclass
-class FileRange(InputPartition):
+class FileRange:
     """Bytes ``low`` to ``high`` of a file."""
 
     path: str
@@ -100,6 +111,28 @@ class FileRange(InputPartition):
     high: int
 
 
+@dataclass
+class FileRanges(InputPartition):
+    """Ranges that one task reads, one after another."""
+
+    ranges: list[FileRange]
+
+
+def dealt_ranges(ranges: list[FileRange], tasks: int, task_bytes: int) -> list[FileRanges]:
+    """All ranges in their order, neighbours together: about ``tasks`` shares, each of ``task_bytes`` at most or one range."""
+    share = min(task_bytes, -(-sum(r.high - r.low for r in ranges) // max(1, tasks)))
+    dealt: list[FileRanges] = []
+    room = 0
+    for one in ranges:
+        size = one.high - one.low
+        if not dealt or size > room:
+            dealt.append(FileRanges([]))
+            room = share
+        dealt[-1].ranges.append(one)
+        room -= size
+    return dealt
+
+
 class _Text:
     """A file read forward in pieces; ``at`` is a place in what is held."""
 
@@ -172,7 +205,23 @@ def _statement_rows(
     text: _Text, takes: bool, places: list[int | None], width: int, whole_file: bool
 ) -> Iterator[list[str | None]]:
     end = b","
+    usual = _row_of(len(places))
+    straight = places == list(range(width))
     while end == b",":
+        # The usual form of a row is taken apart by one match.
+        if found := usual.match(text.held, text.at):
+            text.at = found.end()
+            parts = found.groups()
+            body, end = parts[0], parts[-1]
+            if not whole_file and (b"\n" in body or b"\r" in body):
+                raise ValueError(f"raw line break in a value before byte {text.place}; read with split_bytes=0")
+            if takes:
+                values = [
+                    (None if p.upper() == b"NULL" else p.decode("ascii")) if q is None else _unescaped(q)
+                    for q, p in zip(parts[1:-1:2], parts[2:-1:2])
+                ]
+                yield values if straight else _placed(values, places, width)
+            continue
         while (found := _ROW.match(text.held, text.at)) is None:
             if not text.more():
                 raise ValueError(f"statement without an end at byte {text.place}")
@@ -184,11 +233,15 @@ def _statement_rows(
             values = row_values(body)
             if len(values) != len(places):
                 raise ValueError(f"{len(values)} values for {len(places)} columns before byte {text.place}")
-            row: list[str | None] = [None] * width
-            for place, value in zip(places, values):
-                if place is not None:
-                    row[place] = value
-            yield row
+            yield _placed(values, places, width)
+
+
+def _placed(values: list[str | None], places: list[int | None], width: int) -> list[str | None]:
+    row: list[str | None] = [None] * width
+    for place, value in zip(places, values):
+        if place is not None:
+            row[place] = value
+    return row
 
 
 def _column(values: list[str | None], kind: pa.DataType) -> pa.Array:
@@ -203,8 +256,9 @@ class DumpReader(DataSourceReader):
         self.names, self.arrow = schema.names, to_arrow_schema(schema)
         self.path, self.table = options["path"], options["table"]
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        self.tasks = int(options.get("tasks", 1))
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[FileRanges]:
         store, path = _opened(self.path)
         info = store.get_file_info(path)
         if info.type == fs.FileType.NotFound:
@@ -215,19 +269,20 @@ class DumpReader(DataSourceReader):
             if not file.base_name.startswith(("_", ".")):
                 step = self.split or file.size
                 ranges += [FileRange(file.path, low, min(low + step, file.size)) for low in range(0, file.size, step)]
-        return ranges
+        return dealt_ranges(ranges, self.tasks, SPLIT_BYTES)
 
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FileRanges) -> Iterator[pa.RecordBatch]:
         store, _ = _opened(self.path)
-        with store.open_input_file(partition.path) as source:
-            held: list[list[str | None]] = []
-            for row in rows_in_range(source, partition.low, partition.high, self.table, self.names, not self.split):
-                held.append(row)
-                if len(held) == BATCH_ROWS:
-                    yield self._batch(held)
-                    held = []
-            if held:
-                yield self._batch(held)
+        held: list[list[str | None]] = []
+        for one in partition.ranges:
+            with store.open_input_file(one.path) as source:
+                for row in rows_in_range(source, one.low, one.high, self.table, self.names, not self.split):
+                    held.append(row)
+                    if len(held) == BATCH_ROWS:
+                        yield self._batch(held)
+                        held = []
+        if held:
+            yield self._batch(held)
 
     def _batch(self, rows: list[list[str | None]]) -> pa.RecordBatch:
         columns = [_column(list(values), f.type) for values, f in zip(zip(*rows), self.arrow)]
@@ -235,7 +290,10 @@ class DumpReader(DataSourceReader):
 
 
 class DumpSource(DataSource):
-    """Options: ``path`` (a file or folder), ``table`` (its name in the dump), ``split_bytes``; the schema is given."""
+    """Options: ``path`` (a file or folder), ``table`` (its name in the dump), ``split_bytes``, ``tasks``; the schema is given.
+
+    Ranges are dealt to about so many tasks, in shares of at most ``SPLIT_BYTES``, so small ranges are no tasks of their own.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -252,7 +310,7 @@ def read_dump(
     reach_workers(spark)
     spark.dataSource.register(DumpSource)
     reader = spark.read.format(FORMAT).schema(schema).option("table", table).option("split_bytes", split_bytes)
-    return reader.load(path)
+    return reader.option("tasks", TASKS_PER_CORE * spark.sparkContext.defaultParallelism).load(path)
 
 
 def read_dump_tables(
@@ -270,6 +328,8 @@ def _literal(column: Column, kind: T.DataType) -> Column:
     text = column.cast("string")
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         return F.coalesce(text, F.lit("NULL"))
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("NULL"))
     for plain, escape in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0")):
         text = F.replace(text, F.lit(plain), F.lit(escape))
     return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("NULL"))

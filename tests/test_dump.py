@@ -108,3 +108,20 @@ def test_zero_dates_and_missing_files(spark, tmp_path):
     assert row.booking_id == "B1" and row.start_date is None and row.end_date is None
     with pytest.raises(Exception, match="nowhere"):
         dump.read_dump(spark, f"{tmp_path}/nowhere", "booking", SCHEMAS["booking"]).count()
+
+
+def test_small_ranges_share_a_task(spark, tmp_path):
+    rows = spark.range(400).selectExpr("CAST(id AS STRING) AS car_car_id", "'it''s\\\\' AS transaction_transaction_id")
+    dump.write_dump(rows.coalesce(2), str(tmp_path), "bridge", statement_rows=3)
+    read = dump.read_dump(spark, str(tmp_path), "bridge", rows.schema, 50)
+    most = 2 * dump.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert read.rdd.getNumPartitions() <= most
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_shares_keep_every_range_and_their_bound():
+    ranges = [dump.FileRange(path, low, low + 10) for path in "ab" for low in range(0, 100, 10)]
+    for tasks, bound, shares in [(1, 1000, 1), (4, 1000, 4), (1, 30, 7), (50, 1000, 20), (1, 5, 20)]:
+        dealt = dump.dealt_ranges(ranges, tasks, bound)
+        assert [r for d in dealt for r in d.ranges] == ranges
+        assert len(dealt) == shares
