@@ -8,8 +8,8 @@ from fleetframe import fixed
 from fleetframe.operators.intake import REASON
 from fleetframe.plans.first_come import accept_disjoint
 from fleetframe.plans.intervals import with_overlap_count
-from fleetframe.plans.lookups import measured
-from fleetframe.session import pin
+from fleetframe.plans.lookups import matching_rows, measured
+from fleetframe.session import stored
 from fleetframe.sources.tables import RentalTables
 
 def booked_ranges(tables: RentalTables, requests: DataFrame) -> DataFrame:
@@ -17,8 +17,9 @@ def booked_ranges(tables: RentalTables, requests: DataFrame) -> DataFrame:
     weight counts payments. Limited to dates the requests can touch.
 
     Bookings wholly before the first or after the last requested day cannot
-    change any count, so they are filtered out at the scan. The rest, usually
-    few, is joined outwards to payments and cars.
+    change any count, so they are filtered out at the scan. If the requested cars are few enough to be sent to the
+    tasks, only their payments are looked at; ranges of other cars are left out then, as no request can touch
+    them. Otherwise the bookings left, usually few, are joined outwards to payments and cars.
     """
     asked = requests.filter(F.col("start") <= F.col("end"))
     first_day = asked.agg(F.min("start")).scalar()
@@ -28,12 +29,19 @@ def booked_ranges(tables: RentalTables, requests: DataFrame) -> DataFrame:
         ((end >= first_day) | (start >= first_day)) & ((start <= last_day) | (end <= last_day))
     )
     payment = tables.transaction.select("transaction_id", "booking_booking_id")
-    paid = payment.join(
-        measured(near).hinted(), F.col("booking_booking_id") == F.col("booking_id")
-    ).select("transaction_id", "start_date", "end_date")
-    return tables.car_transaction.join(
-        measured(paid).hinted(), F.col("transaction_transaction_id") == F.col("transaction_id")
-    ).groupBy("car_car_id", "start_date", "end_date").agg(F.count("*").alias("weight"))
+    of_booking = F.col("booking_booking_id") == F.col("booking_id")
+    of_payment = F.col("transaction_transaction_id") == F.col("transaction_id")
+    cars = measured(asked.select("car_id").distinct())
+    if cars.fits_broadcast():
+        rented = measured(matching_rows(tables.car_transaction, "car_car_id", cars, "car_id"), keep=True)
+        if rented.fits_broadcast():
+            payment = matching_rows(payment, "transaction_id", rented, "transaction_transaction_id")
+        paid = measured(payment.join(rented.hinted(), of_payment), keep=True)
+        ranges = near.join(paid.hinted(), of_booking)
+    else:
+        paid = measured(payment.join(measured(near).hinted(), of_booking), keep=True)
+        ranges = tables.car_transaction.join(paid.hinted(), of_payment)
+    return ranges.groupBy("car_car_id", "start_date", "end_date").agg(F.count("*").alias("weight"))
 
 
 def availability_conflicts(requests: DataFrame, tables: RentalTables) -> DataFrame:
@@ -59,13 +67,14 @@ def admit_bookings(requests: DataFrame, tables: RentalTables) -> DataFrame:
     given to an earlier accepted request of the batch. ``requests`` has arrival,
     car_id, start, end and reject_reason; rows with a reason are passed through.
     """
-    pinned = pin(requests)
+    pinned = stored(requests)
     is_open = F.col(REASON).isNull()
     asked = pinned.filter(is_open).select("arrival", "car_id", "start", "end")
     free = availability_conflicts(asked, tables).filter(F.col("conflict_count") == 0)
     accepted = accept_disjoint(free, "arrival", "car_id", "start", "end").withColumnRenamed(
         "arrival", "_accepted"
     )
+    accepted = measured(accepted, keep=True).hinted()
     turned_away = is_open & F.col("_accepted").isNull()
     return (
         pinned.join(accepted, F.col("arrival") == F.col("_accepted"), "left")

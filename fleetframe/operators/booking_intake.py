@@ -21,7 +21,7 @@ from fleetframe.operators.intake import (
     unique_reason,
 )
 from fleetframe.plans.collations import under
-from fleetframe.plans.lookups import measured
+from fleetframe.plans.lookups import matching_rows, measured
 from fleetframe.plans.paging import with_positions
 from fleetframe.session import pin
 from fleetframe.sources.batches import write_batch
@@ -129,21 +129,24 @@ def resolve_booking_customer(
         F.col("license_number").alias("_added_licence"),
         F.col("arrival").alias("_added_at"),
     )
-    chosen = outcome.where(~F.col("_new") & F.col(REASON).isNull())
+    selects = ~F.col("_new") & F.col(REASON).isNull()
+    chosen = outcome.where(selects)
     on_file = held_values(
         customer, "id_card", chosen, "customer_selection", "drivers_license", collation=collation
     ).select(F.col("_held").alias("_filed_id"), F.col("drivers_license").alias("_filed_licence"))
     chosen_id = under(F.col("customer_selection"), collation)
-    selects = ~F.col("_new") & F.col(REASON).isNull()
-    joined = decided.join(
-        on_file, selects & (chosen_id == F.col("_filed_id")), "left"
-    ).join(
-        added,
-        selects
-        & (chosen_id == under(F.col("_added_id"), collation))
-        & (F.col("_added_at") < F.col("arrival")),
-        "left",
+    # Only rows that select a customer meet customers.
+    joined = (
+        chosen.frame.join(on_file, chosen_id == F.col("_filed_id"), "left")
+        .join(
+            added,
+            (chosen_id == under(F.col("_added_id"), collation)) & (F.col("_added_at") < F.col("arrival")),
+            "left",
+        )
+        .withColumn("_filed_id", F.col("_filed_id").cast("string"))
     )
+    others = decided.filter(~F.coalesce(selects, F.lit(False)))
+    joined = joined.unionByName(others, allowMissingColumns=True)
     # Both as plain texts again.
     found_id = F.coalesce(F.col("_filed_id").cast("string"), F.col("_added_id"))
     found_licence = F.when(F.col("_filed_id").isNotNull(), F.col("_filed_licence")).otherwise(
@@ -285,11 +288,19 @@ def post_bookings(
     }
 
 
+def requested_cars(requests: DataFrame, car: DataFrame) -> DataFrame:
+    """The cars that requests name, to be sent to them where they are few; else all cars."""
+    named = measured(requests.select("car_id").distinct())
+    if not named.fits_broadcast():
+        return car
+    return measured(matching_rows(car, "car_id", named, "car_id")).hinted()
+
+
 def decide_bookings(requests: DataFrame, tables: RentalTables, as_of: dt.date, seed: int = 0) -> DataFrame:
     """All requests with customer, staff, price and ``reject_reason``."""
     resolved = resolve_booking_customer(validate_bookings(requests, as_of), tables.customer)
     staffed = assign_staff(resolved, tables.staff, seed)
-    priced = price_bookings(staffed, tables.car)
+    priced = price_bookings(staffed, requested_cars(requests, tables.car))
     too_much = F.when(F.col("total_amount").isNull(), fixed.AMOUNT_TOO_LARGE)
     return admit_bookings(priced.withColumn(REASON, F.coalesce(REASON, too_much)), tables)
 
@@ -302,7 +313,9 @@ def process_booking_requests(
     highest: dict[str, int] | None = None,
 ) -> BookingBatch:
     """Run a batch of requests as if they came one after another at ``now``."""
-    decided = pin(decide_bookings(requests, tables, now.date(), seed))
+    # Cut from stored frames, so that all outputs agree.
+    decided = decide_bookings(requests, tables, now.date(), seed)
     posted = post_bookings(decided.filter(F.col(REASON).isNull()), tables, now, highest)
-    decisions = decided.select("arrival", REASON).join(posted.pop("ids"), "arrival", "left")
+    ids = measured(posted.pop("ids"), keep=True).hinted()
+    decisions = decided.select("arrival", REASON).join(ids, "arrival", "left")
     return BookingBatch(decisions=decisions, customer=customers_from_bookings(decided), **posted)

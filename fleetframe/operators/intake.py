@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetframe import fixed
 from fleetframe.functions import is_missing, form_trim
 from fleetframe.plans.collations import under, with_canonical
-from fleetframe.plans.first_come import accept_unique
+from fleetframe.plans.first_come import accept_unique, key_claims
 from fleetframe.plans.lookups import Measured, matching_rows, measured
 from fleetframe.plans.paging import with_positions
-from fleetframe.session import pin
+from fleetframe.session import pin, stored
 from fleetframe.sources.tables import MONEY, SCHEMAS
 
 REASON = "reject_reason"
@@ -42,9 +42,9 @@ def held_values(
     master: DataFrame, column: str, requests: Measured, asked: str, *extra: str, collation: str | None = None
 ) -> DataFrame:
     """The values asked for by the requests that the master table already holds, one of those that are equal.
-    A small batch is sent to the scan of the master."""
+    A small batch is sent to the scan of the master; for a large one all values of the master are given."""
     held = master.select(F.col(column).alias("_held"), *extra)
-    found = matching_rows(held, "_held", requests, asked, collation)
+    found = matching_rows(held, "_held", requests, asked, collation) if requests.fits_broadcast(asked) else held
     return found.withColumn("_held", under(F.col("_held"), collation)).dropDuplicates(["_held"])
 
 
@@ -62,7 +62,47 @@ def unique_reason(
     ``_taken``, the message of the first rule broken. Values are compared by their bytes, or under
     a collation, where values that are equal under it are one value.
     """
-    batch = measured(requests.withColumn("_open", open_rows), keep=True)
+    batch = measured(requests.withColumn("_open", F.coalesce(open_rows, F.lit(False))), keep=True)
+    if collation is None and batch.frame.agg(F.count_distinct("arrival") == F.count("*")).first()[0]:
+        return _reason_by_claims(batch, master, rules).select(*requests.columns, "_taken")
+    return _reason_by_rows(batch, master, rules, collation).select(*requests.columns, "_taken")
+
+
+def _reason_by_claims(batch: Measured, master: DataFrame, rules: list[UniqueRule]) -> DataFrame:
+    """``unique_reason`` where no arrival repeats: only arrivals and values meet, and whole rows once, by arrival."""
+    asking = batch.where(F.col("_open"))
+    keys = [column for column, _, _ in rules]
+    held = None
+    for i, (column, master_column, _) in enumerate(rules):
+        values = master.select(F.col(master_column).cast("string").alias("value")).filter(F.col("value").isNotNull())
+        if asking.fits_broadcast(column):
+            values = matching_rows(values, "value", asking, column)
+        values = values.select(F.lit(i).alias("kind"), "value")
+        held = values if held is None else held.unionByName(values)
+    held = stored(held) if batch.fits_broadcast(*keys) else held
+    asked = asking.frame.select("arrival", *keys)
+    accepted = stored(accept_unique(asked, "arrival", keys, held=held))
+    decided = asked.join(accepted.withColumn("_in", F.lit(True)), "arrival", "left")
+    claims = key_claims(decided, "arrival", keys, "_in")
+    # A value is taken by one accepted row at most, or by the master.
+    takers = claims.filter("_in").select("kind", "value", F.col("arrival").alias("_by"))
+    takers = takers.unionByName(held.select("kind", "value", F.lit(None).cast(batch.frame.schema["arrival"].dataType).alias("_by")))
+    refused = (
+        claims.filter(F.col("_in").isNull())
+        .drop("_in")
+        .join(takers, ["kind", "value"])
+        .filter(F.col("_by").isNull() | (F.col("_by") < F.col("arrival")))
+        .groupBy(F.col("arrival").alias("_refused"))
+        .agg(F.min("kind").alias("_rule"))
+    )
+    message = first_reason(*[(F.col("_rule") == i, message) for i, (_, _, message) in enumerate(rules)])
+    told = asking.frame.join(refused, F.col("arrival") == F.col("_refused"), "left").withColumn("_taken", message)
+    silent = batch.frame.filter(~F.col("_open")).withColumn("_taken", F.lit(None).cast("string"))
+    return told.drop("_refused", "_rule").unionByName(silent)
+
+
+def _reason_by_rows(batch: Measured, master: DataFrame, rules: list[UniqueRule], collation: str | None) -> DataFrame:
+    """``unique_reason`` for any arrivals and collations: whole rows meet the values rule by rule."""
     asking = batch.where(F.col("_open"))
     marked = batch.frame
     for i, (column, master_column, _) in enumerate(rules):
@@ -86,7 +126,7 @@ def unique_reason(
         marked = marked.join(holder, F.col(column) == F.col(f"_key{i}"), "left")
         earlier = F.coalesce(F.col(f"_by{i}") < F.col("arrival"), F.lit(False))
         reasons.append((F.col("_open") & (F.col(f"_held{i}").isNotNull() | earlier), message))
-    return marked.withColumn("_taken", first_reason(*reasons)).select(*requests.columns, "_taken")
+    return marked.withColumn("_taken", first_reason(*reasons))
 
 
 # ---------------------------------------------------------------- customers

@@ -13,27 +13,45 @@ from fleetframe.plans.intervals import with_overlap_count
 from fleetframe.session import pin, stored
 
 
-# Rounds of "earliest claim wins" before what is left is settled by components.
+# Rounds of "earliest claim wins" before what is left is settled by components. More follow while one
+# leaves at most this share of the claims.
 SIMPLE_ROUNDS = 2
+ROUND_SHARE = 0.5
 
 # Rows handed to one Python call, about. A larger component or group is handled
 # in further rounds.
 GROUP_ROWS = 50_000
 
 
+def key_claims(rows: DataFrame, arrival: str, keys: list[str], *more: str) -> DataFrame:
+    """One row (arrival, kind, value) per key that is not NULL; the kind is the place of the key."""
+    pairs = F.array(
+        *[F.struct(F.lit(i).alias("kind"), F.col(key).cast("string").alias("value")) for i, key in enumerate(keys)]
+    )
+    claims = rows.select(F.col(arrival).alias("arrival"), *more, F.explode(pairs).alias("_claim"))
+    return claims.select("arrival", *more, "_claim.kind", "_claim.value").filter(F.col("value").isNotNull())
+
+
 def accept_unique(
-    rows: DataFrame, arrival: str, keys: list[str], group_rows: int | None = None, last_links: int = LAST_LINKS
+    rows: DataFrame,
+    arrival: str,
+    keys: list[str],
+    group_rows: int | None = None,
+    last_links: int = LAST_LINKS,
+    held: DataFrame | None = None,
 ) -> DataFrame:
     """Arrivals accepted when each key value may be taken once.
 
     Rows are handled as if one after another: a row is turned away when an
     earlier *accepted* row already took one of its key values; values of rows
     turned away stay free. ``arrival`` must be unique. NULL keys never collide.
+    ``held`` has values (kind, value) that are taken before all rows.
 
     A simple round accepts every undecided row that arrived first for all its key
-    values, then drops the rows that share a value with one of those; minima per
-    key value are combined before the shuffle, so a value shared by very many rows
-    is cheap. That settles all but chains of collisions. At most ``group_rows`` open
+    values, then drops the rows that share a value with one of those, and all claims on values that no
+    other row claims; first and last arrivals per key value are combined before the shuffle, so a value
+    shared by very many rows is cheap. Rounds go on while they settle most of what is open. That settles all but
+    long chains of collisions. At most ``group_rows`` open
     claims are settled in order of arrival by one pandas call; more of them fall into
     components that share no value; they are found in rounds that grow with the
     logarithm of the longest chain, and each is settled by one pandas call. Of a
@@ -43,35 +61,25 @@ def accept_unique(
     Returns one column, ``arrival``.
     """
     group_rows = GROUP_ROWS if group_rows is None else group_rows
-    pairs = F.array(
-        *[F.struct(F.lit(i).alias("kind"), F.col(key).cast("string").alias("value")) for i, key in enumerate(keys)]
-    )
-    claims = (
-        rows.select(F.col(arrival).alias("arrival"), F.explode(pairs).alias("_claim"))
-        .select("arrival", "_claim.kind", "_claim.value")
-    )
-    claims = pin(claims)
-    free = claims.groupBy("arrival").agg(F.max(F.col("value").isNotNull()).alias("bound"))
-    accepted = free.filter(~F.col("bound")).select("arrival")
-    open_claims = claims.filter(F.col("value").isNotNull())
-
-    for turn in range(SIMPLE_ROUNDS + 1):
-        if open_claims.count() <= group_rows:
-            return accepted.unionByName(_settled(open_claims.withColumn("part", F.lit(0).cast("bigint")), 1))
-        if turn == SIMPLE_ROUNDS:
-            break
-        first = open_claims.groupBy("kind", "value").agg(F.min("arrival").alias("first_arrival"))
-        winners = stored(
-            open_claims.join(first, ["kind", "value"])
-            .groupBy("arrival")
-            .agg(F.min(F.col("arrival") == F.col("first_arrival")).alias("wins"))
-            .filter("wins")
-            .select("arrival")
-        )
-        accepted = accepted.unionByName(winners)
-        open_claims = _without_taken(open_claims, winners)
-
-    value_node = F.concat(F.lit("v"), F.col("kind").cast("string"), F.lit(":"), F.col("value"))
+    open_claims = key_claims(rows, arrival, keys)
+    unbound = F.lit(True)
+    for key in keys:
+        unbound = unbound & F.col(key).isNull()
+    accepted = rows.filter(unbound).select(F.col(arrival).alias("arrival")).distinct()
+    # Rows that repeat an arrival are one row.
+    accepted = accepted.limit(0) if accepted.isEmpty() else accepted.join(open_claims, "arrival", "left_anti")
+
+    left, before, turn = open_claims.count(), 0, 0
+    while left > group_rows and (turn < SIMPLE_ROUNDS or left <= ROUND_SHARE * before):
+        accepted, open_claims = _simple_round(accepted, open_claims, held)
+        before, left, held, turn = left, open_claims.count(), None, turn + 1
+    if left <= group_rows:
+        if held is not None:
+            hit = open_claims.join(held, ["kind", "value"], "left_semi").select("arrival").distinct()
+            open_claims = open_claims.join(hit, "arrival", "left_anti")
+        return accepted.unionByName(_settled(open_claims.withColumn("part", F.lit(0).cast("bigint")), 1))
+
+    value_node = F.concat(F.lit("v"), F.col("kind").cast("string"), F.lit(":"), F.col("value").cast("string"))
     ends = open_claims.select(F.concat(F.lit("a"), F.col("arrival").cast("string")).alias("row"), value_node.alias("held"))
     labels = components(ends, "row", "held", last_links).filter("node LIKE 'a%'")
     named = labels.select(
@@ -100,11 +108,31 @@ def accept_unique(
         waiting = stored(later.join(hit, "arrival", "left_anti"))
 
 
-def _without_taken(open_claims: DataFrame, winners: DataFrame) -> DataFrame:
-    """Claims of rows that share no value with a winner."""
-    taken = open_claims.join(winners, "arrival", "left_semi").select("kind", "value")
-    settled = open_claims.join(taken, ["kind", "value"], "left_semi").select("arrival").distinct()
-    return stored(open_claims.join(settled, "arrival", "left_anti"))
+def _simple_round(accepted: DataFrame, claims: DataFrame, held: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The accepted arrivals with those that come first for all their values, and the claims that are still open."""
+    spans = claims.groupBy("kind", "value").agg(F.min("arrival").alias("_first"), F.max("arrival").alias("_last"))
+    free = F.lit(True)
+    if held is not None:
+        spans = spans.join(held.select("kind", "value", F.lit(True).alias("_held")).distinct(), ["kind", "value"], "left")
+        free = F.col("_held").isNull()
+    # From here on a value is known by the arrival that claimed it first.
+    shared = F.when(F.col("_first") < F.col("_last"), F.struct("kind", F.col("_first").alias("value")))
+    marked = stored(
+        claims.join(spans, ["kind", "value"])
+        .groupBy("arrival")
+        .agg(
+            F.min(free).alias("_free"),
+            F.min(F.col("arrival") == F.col("_first")).alias("_wins"),
+            F.collect_list(shared).alias("_shared"),
+        )
+        .filter("_free")
+        .drop("_free")
+    )
+    winners = marked.filter("_wins").select("arrival")
+    taken = marked.filter("_wins").select(F.explode("_shared").alias("_claim")).select("_claim.*")
+    later = marked.filter(~F.col("_wins")).select("arrival", F.explode("_shared").alias("_claim")).select("arrival", "_claim.*")
+    hit = later.join(taken, ["kind", "value"], "left_semi").select("arrival").distinct()
+    return accepted.unionByName(winners), stored(later.join(hit, "arrival", "left_anti"))
 
 
 def _calls(rows: DataFrame, total: int, group_rows: int) -> int:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetframe.plans.lookups import measured
+
 
 def with_overlap_count(
     probes: DataFrame,
@@ -80,10 +82,11 @@ def with_overlap_count(
         return F.coalesce(F.sum(column).over(frame), zero)
 
     # As the last day of a probe, and as its first day. Both sums travel in one
-    # array, so the two joins below read the same columns and share one shuffle.
+    # array, so the two joins below read the same columns and share one shuffle, or one small table sent to all tasks.
     at_end = running("starts", up_to) - (F.sum("r_ends").over(whole) - running("r_ends", up_to))
     at_start = F.sum("r_starts").over(whole) - running("r_starts", before) - running("ends", before)
     sums = calendar.select("_g", "day", F.array(at_end, at_start).alias("_sums"))
+    sums = measured(sums, keep=True).hinted()
     last = sums.select(F.col("_g").alias("_g1"), F.col("day").alias("_d1"), F.col("_sums").alias("_last"))
     first = sums.select(F.col("_g").alias("_g2"), F.col("day").alias("_d2"), F.col("_sums").alias("_first"))
     valid = F.col(p_start) <= F.col(p_end)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetframe.plans.collations import under
-from fleetframe.session import pin
+from fleetframe.session import pin, stored
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -47,11 +47,14 @@ class Measured:
 def measured(df: DataFrame, keep: bool = False) -> Measured:
     """Pin a frame that may be small enough to send, and add up its values.
 
-    With ``keep`` the frame is pinned whatever its size, for one that feeds several branches anyway.
+    With ``keep`` the frame is stored whatever its size, for one that feeds several branches anyway or that is dear to
+    compute again.
     """
     most = max(0, BROADCAST_BYTES // (_VALUE_BYTES * len(df.columns)))
     if keep:
-        frame = pin(df)
+        frame = stored(df)
+        if frame.count() > most:
+            return Measured(frame, None)
     elif most:
         frame = pin(df.limit(most + 1))
     else:
