@@ -18,7 +18,8 @@ from fleetframe.operators.intake import (
     assign_ids,
     first_reason,
     held_values,
-    unique_reason,
+    open_batch,
+    taken_values,
 )
 from fleetframe.plans.collations import under
 from fleetframe.plans.lookups import matching_rows, measured
@@ -118,19 +119,17 @@ def resolve_booking_customer(
             ),
         ),
     )
-    decided = unique_reason(
-        checked, customer, _NEW_CUSTOMER_RULES, F.col("_new") & F.col(REASON).isNull(), collation
-    )
-    outcome = measured(decided.withColumn(REASON, F.coalesce(REASON, "_taken")).drop("_taken"), keep=True)
-    decided = outcome.frame
+    batch = open_batch(checked, F.col("_new") & F.col(REASON).isNull())
+    decided = taken_values(batch, customer, _NEW_CUSTOMER_RULES, collation, keep=True)
+    decided = decided.withColumn(REASON, F.coalesce(REASON, "_taken")).drop("_taken")
 
-    added = decided.filter(F.col("_new") & F.col(REASON).isNull()).select(
+    added = decided.filter(F.col("_open") & F.col(REASON).isNull()).select(
         F.col("id_card").alias("_added_id"),
         F.col("license_number").alias("_added_licence"),
         F.col("arrival").alias("_added_at"),
     )
     selects = ~F.col("_new") & F.col(REASON).isNull()
-    chosen = outcome.where(selects)
+    chosen = batch.where(selects)
     on_file = held_values(
         customer, "id_card", chosen, "customer_selection", "drivers_license", collation=collation
     ).select(F.col("_held").alias("_filed_id"), F.col("drivers_license").alias("_filed_licence"))
@@ -297,10 +296,17 @@ def requested_cars(requests: DataFrame, car: DataFrame) -> DataFrame:
 
 
 def decide_bookings(requests: DataFrame, tables: RentalTables, as_of: dt.date, seed: int = 0) -> DataFrame:
-    """All requests with customer, staff, price and ``reject_reason``."""
-    resolved = resolve_booking_customer(validate_bookings(requests, as_of), tables.customer)
+    """All requests with customer, staff, price and ``reject_reason``.
+
+    Only what a batch appends is carried along: the form's dates and choice of customer are left out once they are
+    read, and fields of a new customer are NULL or empty where none is named.
+    """
+    names_new = F.col("customer_selection") == fixed.NEW_CUSTOMER
+    validated = validate_bookings(requests, as_of).drop("start_date", "end_date")
+    needed = validated.withColumns({c: F.when(names_new, F.col(c)) for c in ("customer_search", *_NEW_FIELDS)})
+    resolved = resolve_booking_customer(needed, tables.customer).drop("customer_selection")
     staffed = assign_staff(resolved, tables.staff, seed)
-    priced = price_bookings(staffed, requested_cars(requests, tables.car))
+    priced = price_bookings(staffed, requested_cars(requests, tables.car)).drop("days")
     too_much = F.when(F.col("total_amount").isNull(), fixed.AMOUNT_TOO_LARGE)
     return admit_bookings(priced.withColumn(REASON, F.coalesce(REASON, too_much)), tables)
 

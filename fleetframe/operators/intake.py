@@ -62,25 +62,52 @@ def unique_reason(
     ``_taken``, the message of the first rule broken. Values are compared by their bytes, or under
     a collation, where values that are equal under it are one value.
     """
-    batch = measured(requests.withColumn("_open", F.coalesce(open_rows, F.lit(False))), keep=True)
-    if collation is None and batch.frame.agg(F.count_distinct("arrival") == F.count("*")).first()[0]:
-        return _reason_by_claims(batch, master, rules).select(*requests.columns, "_taken")
-    return _reason_by_rows(batch, master, rules, collation).select(*requests.columns, "_taken")
+    batch = open_batch(requests, open_rows)
+    return taken_values(batch, master, rules, collation).select(*requests.columns, "_taken")
 
 
-def _reason_by_claims(batch: Measured, master: DataFrame, rules: list[UniqueRule]) -> DataFrame:
-    """``unique_reason`` where no arrival repeats: only arrivals and values meet, and whole rows once, by arrival."""
+def open_batch(requests: DataFrame, open_rows: Column) -> Measured:
+    """The requests, stored once, with ``_open`` for those that meet the condition."""
+    return measured(requests.withColumn("_open", F.coalesce(open_rows, F.lit(False))), keep=True)
+
+
+def taken_values(
+    batch: Measured, master: DataFrame, rules: list[UniqueRule], collation: str | None = None, keep: bool = False
+) -> DataFrame:
+    """``unique_reason`` for an ``open_batch``. With ``keep`` what is dear to compute is stored, for a frame that
+    feeds several branches."""
+    # Only open rows are met by arrival.
+    found = batch.frame.agg(
+        F.count_distinct(F.when(F.col("_open"), F.col("arrival"))).alias("arrivals"),
+        F.count_if("_open").alias("open"),
+        F.count("*").alias("all"),
+    ).first()
+    if collation is None and found["arrivals"] == found["open"]:
+        few = 2 * found["open"] <= found["all"]
+        return _reason_by_claims(batch, master, rules, few, keep)
+    told = _reason_by_rows(batch, master, rules, collation).select(*batch.frame.columns, "_taken")
+    return stored(told) if keep else told
+
+
+def _reason_by_claims(
+    batch: Measured, master: DataFrame, rules: list[UniqueRule], few: bool = False, keep: bool = False
+) -> DataFrame:
+    """``unique_reason`` where no open arrival repeats: only arrivals and values meet, and whole rows once, by arrival.
+
+    If ``few`` rows are open, their arrivals and values are stored, as they are read many times."""
     asking = batch.where(F.col("_open"))
     keys = [column for column, _, _ in rules]
+    asked = asking.frame.select("arrival", *keys)
+    asking_keys = Measured(stored(asked) if few else asked, asking.column_bytes)
+    asked = asking_keys.frame
     held = None
     for i, (column, master_column, _) in enumerate(rules):
         values = master.select(F.col(master_column).cast("string").alias("value")).filter(F.col("value").isNotNull())
         if asking.fits_broadcast(column):
-            values = matching_rows(values, "value", asking, column)
+            values = matching_rows(values, "value", asking_keys, column)
         values = values.select(F.lit(i).alias("kind"), "value")
         held = values if held is None else held.unionByName(values)
     held = stored(held) if batch.fits_broadcast(*keys) else held
-    asked = asking.frame.select("arrival", *keys)
     accepted = stored(accept_unique(asked, "arrival", keys, held=held))
     decided = asked.join(accepted.withColumn("_in", F.lit(True)), "arrival", "left")
     claims = key_claims(decided, "arrival", keys, "_in")
@@ -95,6 +122,7 @@ def _reason_by_claims(batch: Measured, master: DataFrame, rules: list[UniqueRule
         .groupBy(F.col("arrival").alias("_refused"))
         .agg(F.min("kind").alias("_rule"))
     )
+    refused = stored(refused) if keep else refused
     message = first_reason(*[(F.col("_rule") == i, message) for i, (_, _, message) in enumerate(rules)])
     told = asking.frame.join(refused, F.col("arrival") == F.col("_refused"), "left").withColumn("_taken", message)
     silent = batch.frame.filter(~F.col("_open")).withColumn("_taken", F.lit(None).cast("string"))
