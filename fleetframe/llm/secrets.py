@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fleetframe.llm.boosted_trees import calibrated, levels_of, monotone_levels, pooled
+from fleetframe.llm.boosted_trees import calibrated, monotone_levels
 from fleetframe.llm.char_cnn import (
     EPOCHS, PLACES, CharCnn, epochs_for, fit_cnn, fresh_state, net_of, trained, window, window_count,
 )
-from fleetframe.llm.common import map_chunks, texts_of
+from fleetframe.llm.common import levels_by_score, map_chunks, texts_of
 from fleetframe.llm.spans import SECRET_KINDS, Span, Taken, base_secrets, digest, in_order, without_overlap, written
 from fleetframe.session import stored
 
@@ -302,20 +302,8 @@ def judged_aside(parts: DataFrame, state: np.ndarray) -> DataFrame:
 
 
 def levels_aside(aside: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic levels of all cases set aside: blocks of each range of logits, then of the blocks."""
-
-    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list[float], list[float], list[float]] = ([], [], [])
-        for batch in batches:
-            held = pooled(*(old + new.to_pylist() for old, new in zip(held, batch.columns)))
-        yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.float64()) for n, v in zip(("logit", "ones", "n"), held)})
-
-    once = aside.groupBy("logit").agg(
-        F.sum("label").cast("double").alias("ones"), F.count("*").cast("double").alias("n")
-    )
-    blocks = once.orderBy("logit").mapInArrow(pool, "logit double, ones double, n double")
-    rows = sorted((r["logit"], r["ones"], r["n"]) for r in blocks.collect())
-    return levels_of(pooled(*zip(*rows)))
+    """Isotonic levels of all cases set aside."""
+    return levels_by_score(aside.select(F.col("logit").alias("score"), F.col("label").alias("ones"), F.lit(1).alias("n")))
 
 
 def train(docs: DataFrame, part_windows: int = PART_WINDOWS, recall: float = RECALL) -> SecretModel | None:
